@@ -34,6 +34,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_or_not(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows; otherwise as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, found by exact name, so further columns (even ones that clash by case) do no harm."""
     bare = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, packed, shingle_hashes, stored, text_slices, word_hashes
+from tidemark.llm._common import keyed, packed, shingle_hashes, small_or_not, stored, text_slices, word_hashes
 from tidemark.llm._components import components, forest
 
 
@@ -209,11 +209,12 @@ def _block_links(percent: int, most_marks: int = 64):
     return run
 
 
-def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 48, block: int = 512, frequent_df: int = 64) -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 48, block: int = 512, frequent_df: int = 64, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id is the least doc_id reachable by links.
 
     short_list: entries up to which an inverted list is merged pair by pair; longer ones are searched in blocks of
-    about `block` documents. Neither changes the result.
+    about `block` documents. broadcast_rows: narrow rows (shared shingles, ids to verify) up to which they are
+    broadcast, more are joined by shuffle. None changes the result.
     """
     docs = keyed(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     context = docs.sparkSession.sparkContext
@@ -225,8 +226,8 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
         heads.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     )
-    shared = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    lists = stored(entries.join(shared, "token"), "lists")
+    shared = stored(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    lists = stored(entries.join(small_or_not(shared, broadcast_rows), "token"), "lists")
 
     short = lists.where(F.col("df") <= short_list)
     x, y = (short.select("token", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("pos").alias(f"p{d}")) for d in "ab")
@@ -242,6 +243,7 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     pairs = stored(pairs, "pairs")
     long = lists.where(F.col("df") > short_list).select("token", "doc_id", "df")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(long.select("doc_id")).distinct()
+    wanted = small_or_not(stored(wanted, "wanted"), broadcast_rows)
     sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens binary"), "sets")
 
     checked = (
