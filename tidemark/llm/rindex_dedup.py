@@ -5,7 +5,7 @@
    fragments and reports the others as repeats at once; what is left is dealt by anchor hash, packed in arrays.
 2. *Copies.* A bucket finds the corpus-wide first of equal fragments; the rest are repeats whole. Anchors with
    different fragments left are where a match begins or ends; only those fragments' bytes are fetched.
-3. *Index.* The fetched fragments of a bucket are joined, cut at anchor bounds, into texts of about a megabyte. Each
+3. *Index.* The fetched fragments of a bucket are joined, cut at anchor bounds, into texts of about 256 KB. Each
    text gets a run-compressed Burrows-Wheeler transform with the suffix positions at run ends and the common-prefix
    lengths there; from these samples the matching statistics of every position (where the neighbouring suffix
    starts, how long it agrees) are streamed in text order, and windows that agree over `length` with an earlier start
@@ -35,11 +35,14 @@ _POS = np.uint64((1 << 28) - 1)
 
 
 class RunLengthIndex:
-    """Run-compressed transform of a byte string, with samples at run ends."""
+    """Run-compressed transform of a byte string, with samples at run ends.
 
-    def __init__(self, text: np.ndarray):
+    Common prefixes shorter than `least` are told as 0.
+    """
+
+    def __init__(self, text: np.ndarray, least: int = 1):
         n = len(text)
-        self.n, self.text = n, text
+        self.n, self.text, self.least = n, text, least
         order = self._suffixes(text)
         before = text[order - 1]  # of suffix 0 the last byte: the string is read as a ring
         head = np.concatenate([[True], (before[1:] != before[:-1]) | (order[1:] == 0) | (order[:-1] == 0)])
@@ -57,39 +60,51 @@ class RunLengthIndex:
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
-        """Suffix order by prefix doubling from eight bytes."""
+        """Suffix order by prefix doubling from eight bytes; each round sorts what is still tied."""
         n = len(text)
         pad = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
         key = np.zeros(n, np.uint64)
         for i in range(8):
             key = (key << np.uint64(8)) | pad[i : i + n]
-        short = np.minimum(n - np.arange(n), 8)  # a string that ends sorts before its extensions
-        order = np.lexsort((short, key))
-        new = np.concatenate([[False], (key[order][1:] != key[order][:-1]) | (short[order][1:] != short[order][:-1])])
+        order = np.argsort(key, kind="stable")
+        tail = np.arange(max(0, n - 8), n)  # a string that ends sorts before its extensions, which padding can't tell
+        lead = key[order]
+        new = np.concatenate([[True], lead[1:] != lead[:-1]])
+        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        width = 8
-        while rank[order[-1]] < n - 1:
-            nxt = np.zeros(n, np.int64)
-            if width < n:
-                nxt[: n - width] = rank[width:] + 1
-            both = rank * np.int64(n + 1) + nxt
-            order = np.argsort(both, kind="stable")
-            rank[order] = np.cumsum(np.concatenate([[0], both[order][1:] != both[order][:-1]]))
-            width *= 2
+        rank[order] = start
+        at = np.flatnonzero(~(new & np.append(new[1:], True)))
+        width = 0 if np.isin(tail, order[at]).any() else 8
+        while len(at):
+            own = order[at]
+            if width:
+                nxt, step = np.where(own + width < n, rank[np.minimum(own + width, n - 1)] + 1, 0), 2 * width
+            else:  # once, by what is left of the string
+                nxt, step = np.minimum(n - own, 8), 8
+            both = rank[own] * np.int64(n + 1) + nxt
+            by = np.argsort(both, kind="stable")
+            own, both = own[by], both[by]
+            order[at] = own
+            new = np.concatenate([[True], both[1:] != both[:-1]])
+            rank[own] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+            at = at[~(new & np.append(new[1:], True))]
+            width = step
         return order
 
     def _agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a and b (0 where b is -1), by bisection on span hashes."""
         spans = SpanHash(self.text)
-        low = np.zeros(len(a), np.int64)
-        high = np.where(b >= 0, self.n - np.maximum(a, b), 0)
-        c = np.maximum(b, 0)
-        while (open_ := low < high).any():
-            mid = np.where(open_, (low + high + 1) // 2, 0)
-            same = spans.of(a, a + mid) == spans.of(c, c + mid)
-            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
-        return low
+        out = np.zeros(len(a), np.int64)
+        at = np.flatnonzero((b >= 0) & (self.n - np.maximum(a, b) >= self.least))
+        at = at[spans.of(a[at], a[at] + self.least) == spans.of(b[at], b[at] + self.least)]
+        a, b = a[at], b[at]
+        low, high = np.full(len(at), self.least), self.n - np.maximum(a, b)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = spans.of(a, a + mid) == spans.of(b, b + mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        out[at] = low
+        return out
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each position: the neighbouring suffix before it in the order (-1: none) and how long both agree."""
@@ -97,7 +112,8 @@ class RunLengthIndex:
         k = np.searchsorted(self.sample, at, "right") - 1
         step = at - self.sample[k]
         source = np.where(self.phi_of[k] >= 0, self.phi_of[k] + step, -1)
-        return source, np.maximum(self.common[k] - step, 0)
+        agree = self.common[k] - step
+        return source, np.where(agree >= self.least, agree, 0)
 
     def repeats(self, length: int) -> np.ndarray:
         """Whether the string of that length at each position also starts earlier."""
@@ -315,14 +331,14 @@ def _fetch(length: int, buckets: int):
     return run
 
 
-def _mark(length: int, text_bytes: int = 1 << 20):
+def _mark(length: int, text_bytes: int = 1 << 18):
     gap = b"\xff"  # in no UTF-8 text
 
     def marked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows.sort(key=lambda r: r[1:3])
         sizes = np.array([len(r[3]) for r in rows])
         at = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        again = RunLengthIndex(np.frombuffer(gap.join(r[3] for r in rows) + gap, np.uint8)).repeats(length)
+        again = RunLengthIndex(np.frombuffer(gap.join(r[3] for r in rows) + gap, np.uint8), length).repeats(length)
         many = sizes - length + 1
         ends = np.cumsum(many)
         inside = np.arange(ends[-1]) - np.repeat(ends - many, many)
