@@ -1,17 +1,575 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and DuckDB SQL for each."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import board, intervals, ranking, series, text
+from tidemark.sources import views
+
+# Term lists of the queries; parameters of the operators.
+FILLER = ["it is", "on the"]
+OPENERS = ["is", "are", "which"]
+MARKERS = ["the", "and", "with"]
+BANNED = [(1, "for"), (2, "mit license"), (3, "license"), (4, "token"), (5, "with")]
+BARRIERS = [("login", "der"), ("signup", "los"), ("payment", "est"), ("manual", "the")]
+RULES = [("license", "released under"), ("license", "licensed under"), ("contact", "@"), ("secret", "token")]
+GENERIC = ["the", "and", "for"]
+STOP = {"en": "the and of to is with that for", "fr": "le la les des que est un une", "de": "der die das und ein ist von den", "es": "el la los que de y en del"}
+KINDS = {"footage": "mp4 mov mkv", "asset": "png jpg", "doc": "pdf md"}
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = views.duckdb(sql)
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, *names: str):
+    got = [views.table(spark, sf_dir, n) for n in names]
+    return got[0] if len(got) == 1 else got
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+def _bound(words: list[str]) -> str:
+    return "(^|[^a-z0-9_])(" + "|".join(words) + ")([^a-z0-9_]|$)"
+
+
+_STOP_ROWS = [(code, rank, w) for rank, (code, ws) in enumerate(STOP.items()) for w in ws.split()]
+_KIND_ROWS = [(e, k) for k, es in KINDS.items() for e in es.split()]
+
+# -- scans -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT source, seg_no, start_s, end_s, role, text FROM v_segments")
+def scan_segments(spark, d):
+    return _t(spark, d, "v_segments").select("source", "seg_no", "start_s", "end_s", "role", "text")
+
+
+@query("SELECT id, name, round(CAST(composite AS DOUBLE), 6) AS composite, status, category, lane FROM v_board WHERE name IS NOT NULL")
+def scan_board(spark, d):
+    return _t(spark, d, "v_board").where("name is not null").select("id", "name", F.round(F.col("composite").cast("double"), 6).alias("composite"), "status", "category", "lane")
+
+
+@query("SELECT CAST(id AS VARCHAR) AS id FROM v_board WHERE is_done")
+def scan_done_ids(spark, d):
+    done = _t(spark, d, "v_board").where("is_done").select(F.when(F.col("id") % 2 == 0, F.to_json(F.struct("id"))).otherwise(F.col("id").cast("string")).alias("x"))
+    return done.select(F.coalesce(F.get_json_object("x", "$.id"), "x").alias("id"))
+
+
+@query("""SELECT campaign, ord, path FROM (SELECT *, bool_or(safe_margin) OVER (PARTITION BY campaign) AS anyf FROM v_resources
+          WHERE regexp_matches(lower(path), '\\.(mp4|mov|mkv)$')) t WHERE safe_margin OR NOT anyf""")
+def prefer_flagged_else_all(spark, d):
+    return board.prefer_flagged_else_all(_t(spark, d, "v_resources"))
+
+
+@query(f"""SELECT coalesce(k.kind, 'other') AS kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM v_resources r
+           LEFT JOIN (VALUES {_values(_KIND_ROWS)}) k(ext, kind) ON k.ext = lower(regexp_extract(r.path, '\\.([A-Za-z0-9]+)$', 1)) GROUP BY 1""")
+def route_by_extension(spark, d):
+    return board.route_by_extension(_t(spark, d, "v_resources"), spark.createDataFrame(_KIND_ROWS, "ext string, kind string"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
+          '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+          '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS text FROM pages""")
+def html_to_text(spark, d):
+    return text.html_to_text(_t(spark, d, "pages"))
+
+
+@query("SELECT source, substr(string_agg(text, chr(10) ORDER BY doc_id), 1, 24000) AS corpus FROM documents GROUP BY source")
+def corpus_build(spark, d):
+    return text.corpus_build(_t(spark, d, "documents"))
+
+
+_NOW = "SELECT source, campaign, ord, CASE WHEN size % 13 = 0 THEN size + 1 ELSE size END AS size FROM v_resources WHERE size % 29 <> 0"
+
+
+@query(f"""WITH n AS ({_NOW}) SELECT a.source, bool_and(coalesce(a.size = n.size, false)) AS reuse,
+          CAST(sum(CASE WHEN n.size <> a.size THEN 1 ELSE 0 END) AS BIGINT) AS changed, CAST(sum(CASE WHEN n.size IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing
+          FROM v_resources a LEFT JOIN n ON n.source = a.source AND n.campaign = a.campaign AND n.ord = a.ord GROUP BY a.source""")
+def manifest_diff(spark, d):
+    r = _t(spark, d, "v_resources")
+    now = r.where("size % 29 <> 0").withColumn("size", F.when(F.col("size") % 13 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return board.manifest_diff(r, now)
+
+
+# -- predicates --------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT id, source, start_s FROM v_moments WHERE NOT (length(text) > 0 AND regexp_matches(lower(text), '{_bound(FILLER)}'))")
+def filler_kill(spark, d):
+    return text.filler_kill(_t(spark, d, "v_moments"), FILLER).select("id", "source", "start_s")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS t FROM documents),
+          c AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n, max(c) AS top FROM (SELECT doc_id, t, count(*) AS c FROM t GROUP BY 1, 2) u GROUP BY 1)
+          SELECT d.doc_id, coalesce(n, 0) AS n_tokens, coalesce(top, 0) AS top, coalesce(n, 0) < 4 OR coalesce(top, 0) >= greatest(5, 0.5 * coalesce(n, 0)) AS junk
+          FROM documents d LEFT JOIN c USING (doc_id)""")
+def junk_text_flag(spark, d):
+    return text.junk_text_flag(_t(spark, d, "documents"))
+
+
+@query(r"""WITH g AS (SELECT *, substr(lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))), 1, 200) AS key FROM v_moments
+          WHERE end_s - start_s >= 3 AND (len(regexp_extract_all(text, '[A-Za-z'']+')) >= 4 OR (type = 'audio_spike' AND intensity >= 6))),
+          r AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY start_s, end_s, id) AS rn FROM g)
+          SELECT id, source FROM r WHERE key = '' OR rn = 1""")
+def prefilter_candidates(spark, d):
+    return text.prefilter_candidates(_t(spark, d, "v_moments"))
+
+
+_RANKABLE = "status IN ('scraped', 'refreshed') AND NOT disqualified AND NOT rules_unreadable AND composite > 0 AND core_known > 0"
+_REASON = "CASE WHEN is_done THEN 'done' WHEN rules_unreadable OR coalesce(rules_source = 'none', false) THEN 'rules unreadable' WHEN n_links = 0 THEN 'no footage' ELSE '' END"
+_RANKED = f"SELECT id, round(CAST(composite AS DOUBLE), 6) AS composite, CAST(core_known AS BIGINT) AS core_known, CAST(pre_score AS BIGINT) AS pre_score FROM v_board WHERE {_RANKABLE}"
+
+
+@query(f"SELECT id, round(CAST(composite AS DOUBLE), 6) AS composite FROM v_board WHERE {_RANKABLE}")
+def rankable_filter(spark, d):
+    return board.rankable_filter(_t(spark, d, "v_board"))
+
+
+@query(f"SELECT id, {_REASON} AS reason FROM v_board")
+def clippable_first_reason(spark, d):
+    return board.clippable_first_reason(_t(spark, d, "v_board"))
+
+
+@query("SELECT id, lang <> 'en' AND lang_conf <> 'low' AS skip FROM v_board")
+def language_skip(spark, d):
+    return board.language_skip(_t(spark, d, "v_board"))
+
+
+@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(lower(html), '{_bound([p])}') THEN '{n}'" for n, p in BARRIERS) + " END AS barrier FROM pages")
+def barrier_detect(spark, d):
+    return text.barrier_detect(_t(spark, d, "pages"), BARRIERS)
+
+
+@query(f"""SELECT clip_id, pos, CASE WHEN len(regexp_extract_all(text, '[^ ]*[A-Za-z0-9][^ ]*')) > 8 THEN 'too long' WHEN contains(text, chr(10)) THEN 'several lines'
+           WHEN NOT regexp_matches(lower(text), '{_bound(OPENERS)}') THEN 'no hook' END AS reason FROM v_candidates""")
+def caption_quality_kill(spark, d):
+    return text.caption_quality_kill(_t(spark, d, "v_candidates"), OPENERS)
+
+
+@query(f"""WITH b(ordinal, term) AS (VALUES {_values(BANNED)}),
+           h AS (SELECT c.clip_id, c.pos, min_by(b.term, b.ordinal) AS reason FROM v_candidates c JOIN b
+                 ON CASE WHEN contains(b.term, ' ') THEN contains(lower(c.text), b.term) ELSE regexp_matches(lower(c.text), '(^|[^a-z0-9_])' || b.term || '([^a-z0-9_]|$)') END GROUP BY 1, 2)
+           SELECT c.clip_id, c.pos, h.reason FROM v_candidates c LEFT JOIN h ON h.clip_id = c.clip_id AND h.pos = c.pos""")
+def banned_gauntlet(spark, d):
+    return text.banned_gauntlet(_t(spark, d, "v_candidates"), spark.createDataFrame(BANNED, "ordinal int, term string"))
+
+
+# -- joins -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT m.id, substr(coalesce(string_agg(s.text, ' ' ORDER BY s.start_s, s.seg_no), ''), 1, 300) AS context FROM v_moments m
+          LEFT JOIN v_segments s ON s.source = m.source AND s.end_s >= m.start_s - 8 AND s.start_s <= m.start_s + 4 WHERE trim(m.text) = '' GROUP BY m.id""")
+def interval_context(spark, d):
+    return intervals.interval_context(*_t(spark, d, "v_moments", "v_segments"))
+
+
+@query("SELECT id, source, start_s FROM v_moments m WHERE NOT EXISTS (SELECT 1 FROM v_posted p WHERE p.source = m.source AND m.start_s < p.end_s AND p.start_s < m.end_s)")
+def overlap_anti_join(spark, d):
+    return intervals.overlap_anti_join(*_t(spark, d, "v_moments", "v_posted")).select("id", "source", "start_s")
+
+
+_PEAK = """SELECT s.source, s.seg_no, (SELECT e.sec FROM v_energy e WHERE e.source = s.source AND e.sec >= floor(s.start_s) AND e.sec < ceil(s.end_s) ORDER BY e.rms DESC, e.sec LIMIT 1) AS peak FROM v_segments s"""
+
+
+@query(_PEAK)
+def energy_peak(spark, d):
+    return intervals.energy_peak(*_t(spark, d, "v_segments", "v_energy"))
+
+
+@query("""WITH q AS (SELECT * FROM v_moments m WHERE type = 'audio_spike' AND NOT EXISTS (SELECT 1 FROM v_segments s WHERE s.source = m.source AND trim(s.text) <> '' AND s.start_s < m.end_s + 0.4 AND s.end_s > m.start_s - 0.4)),
+          r AS (SELECT c.clip_id, q.id, q.start_s AS beat_start, row_number() OVER (PARTITION BY c.clip_id ORDER BY q.intensity DESC, q.start_s, q.id) AS rn FROM v_clips c JOIN q ON q.source = c.source AND abs(q.peak - c.peak) <= 22)
+          SELECT clip_id, id, beat_start FROM r WHERE rn <= 3""")
+def nonspeech_beats(spark, d):
+    return intervals.nonspeech_beats(*_t(spark, d, "v_clips", "v_moments", "v_segments"))
+
+
+@query("""WITH c AS (SELECT c.clip_id, c.start_s, c.end_s, s.end_s AS e, regexp_matches(rtrim(s.text, ' '), '[.!?]$') AS fin FROM v_clips c LEFT JOIN v_segments s ON s.source = c.source AND s.end_s >= c.start_s AND s.end_s <= c.end_s + 4),
+          p AS (SELECT clip_id, max(end_s) AS e0, bool_or(abs(e - end_s) <= 0.35) AS there,
+                min(CASE WHEN e > end_s AND e < least(end_s + 4, start_s + 34) AND fin THEN e END) AS sent, min(CASE WHEN e > end_s AND e < least(end_s + 4, start_s + 34) THEN e END) AS anye,
+                max(CASE WHEN e < end_s AND e - start_s >= 0.6 * (end_s - start_s) THEN e END) AS bef FROM c GROUP BY clip_id)
+          SELECT clip_id, CASE WHEN coalesce(there, false) THEN e0 ELSE coalesce(sent, anye, bef, e0) END AS new_end FROM p""")
+def snap_to_boundary(spark, d):
+    return intervals.snap_to_boundary(*_t(spark, d, "v_clips", "v_segments"))
+
+
+_QUIET = """SELECT source, CAST(min(sec) AS DOUBLE) AS start_s, CAST(max(sec) + 1 AS DOUBLE) AS end_s FROM (SELECT source, sec, sec - row_number() OVER (PARTITION BY source ORDER BY sec) AS g FROM v_energy WHERE rms < 5) t GROUP BY source, g"""
+
+
+@query(f"""WITH q AS ({_QUIET}), n AS (SELECT c.clip_id, c.start_s, c.end_s, min(q.start_s) AS a FROM v_clips c LEFT JOIN q ON q.source = c.source AND q.end_s - q.start_s >= 0.4 AND q.start_s >= c.end_s - 0.25 AND q.start_s < c.start_s + 34 GROUP BY 1, 2, 3)
+           SELECT clip_id, round(CASE WHEN a IS NULL THEN end_s ELSE least(a + 0.4, start_s + 34) END, 2) AS new_end FROM n""")
+def snap_to_silence(spark, d):
+    clips, energy = _t(spark, d, "v_clips", "v_energy")
+    return series.snap_to_silence(clips, series.silence_runs(energy, 5.0, 0.4))
+
+
+@query("SELECT clip_id, round(sum(CASE WHEN k <> 0 THEN b - a ELSE 0 END), 3) AS content, round(sum(CASE WHEN k <> 0 THEN b - a ELSE 0 END), 3) >= 15 AS kept FROM v_played GROUP BY clip_id")
+def min_content_gate(spark, d):
+    return intervals.min_content_gate(_t(spark, d, "v_played"))
+
+
+@query("""WITH o AS (SELECT p.*, coalesce(sum(b - a) OVER (PARTITION BY clip_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM v_played p),
+          r AS (SELECT o.*, c.peak - c.start_s AS t FROM o JOIN v_clips c USING (clip_id))
+          SELECT clip_id, round(min(CASE WHEN k <> 0 AND t >= a AND t < b THEN o + t - a END) - max(CASE WHEN k = 0 THEN o + b - a END), 3) AS gap FROM r GROUP BY clip_id""")
+def payoff_gap(spark, d):
+    return intervals.payoff_gap(*_t(spark, d, "v_played", "v_clips"))
+
+
+@query(f"""WITH t AS (SELECT clip_id, pos, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z'']+'))) AS token FROM v_candidates),
+           v AS (SELECT doc_id AS clip_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z'']+'))) AS token FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 <> 0)
+           SELECT clip_id, pos, token FROM t WHERE length(token) > 2 AND token NOT IN ({", ".join(f"'{g}'" for g in GENERIC)})
+           AND NOT EXISTS (SELECT 1 FROM v WHERE v.clip_id = t.clip_id AND (v.token = t.token OR (length(t.token) >= 4 AND length(v.token) >= 4 AND v.token[1:4] = t.token[1:4])))""")
+def grounding_anti_join(spark, d):
+    return text.grounding_anti_join(_t(spark, d, "v_candidates"), _t(spark, d, "documents").where("doc_id % 3 = 0 or doc_id % 5 <> 0"), GENERIC)
+
+
+@query(f"""WITH s(code, rk, word) AS (VALUES {_values(_STOP_ROWS)}),
+           t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ'']+')) AS word FROM documents),
+           n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+           v AS (SELECT doc_id, code, rk, count(*) AS c FROM t JOIN s USING (word) GROUP BY 1, 2, 3),
+           b AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, rk) AS rn FROM v)
+           SELECT d.doc_id, CASE WHEN n.n >= 8 THEN b.code END AS lang FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND b.rn = 1""")
+def dictionary_language_vote(spark, d):
+    return text.dictionary_language_vote(_t(spark, d, "documents"), spark.createDataFrame(_STOP_ROWS, "code string, rank int, word string"))
+
+
+@query("""WITH s AS (SELECT id, CAST(intensity AS BIGINT) % 101 AS score, text AS line, start_s AS pos FROM v_moments WHERE type = 'speech'
+                     UNION ALL SELECT id, 7 AS score, 'again' AS line, start_s + 1 AS pos FROM v_moments),
+          f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM s)
+          SELECT m.id, CAST(f.score AS BIGINT) AS score, substr(f.line, 1, 200) AS line FROM v_moments m JOIN f ON f.id = m.id AND f.rn = 1""")
+def score_attach(spark, d):
+    m = _t(spark, d, "v_moments")
+    first = m.where("type = 'speech'").select("id", (F.bround("intensity").cast("long") % 101).alias("score"), F.col("text").alias("line"), F.col("start_s").alias("pos"))
+    again = m.select("id", F.lit(7).cast("long").alias("score"), F.lit("again").alias("line"), (F.col("start_s") + 1).alias("pos"))
+    return board.score_attach(m, first.unionByName(again))
+
+
+@query("""WITH u AS (SELECT source, id FROM v_moments), d AS (SELECT source, id FROM v_moments WHERE intensity <> 10.1)
+          SELECT u.source, bool_and(d.id IS NOT NULL) AS fresh, CAST(sum(CASE WHEN d.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS stale FROM u LEFT JOIN d ON d.source = u.source AND d.id = u.id GROUP BY u.source""")
+def freshness_check(spark, d):
+    m = _t(spark, d, "v_moments").select("source", "id", "intensity")
+    return board.freshness_check(m, m.where("intensity <> 10.1"))
+
+
+# -- aggregations ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT source, sec, sum(amp) AS x FROM v_signal GROUP BY 1, 2)
+          SELECT source, CAST(floor(sec / 4) AS BIGINT) AS win, round(sqrt(sum(x * x) / count(*) + 1e-9), 2) AS rms FROM m GROUP BY 1, 2 HAVING count(*) = 4""")
+def track_mix_rms(spark, d):
+    return series.track_mix_rms(_t(spark, d, "v_signal"), 4)
+
+
+@query("""WITH s AS (SELECT source, lang, sum(n_chars) AS c FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, lang DESC) AS rn, sum(c) OVER (PARTITION BY source) AS a FROM s)
+          SELECT source, lang, CAST(c AS BIGINT) AS chars, round(CAST(c AS DOUBLE) / CAST(a AS DOUBLE), 4) AS share FROM r WHERE rn = 1""")
+def source_language(spark, d):
+    return board.source_language(_t(spark, d, "documents"))
+
+
+@query("""WITH s AS (SELECT source, lang, CAST(sum(n_chars) AS BIGINT) AS c FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, lang DESC) AS rn, sum(c) OVER (PARTITION BY source) AS a FROM s),
+          x AS (SELECT source, string_agg(lang || ':' || c, ',' ORDER BY lang, c) AS mix FROM s GROUP BY 1)
+          SELECT r.source, CASE WHEN lang = 'en' THEN 'pass' WHEN CAST(c AS DOUBLE) / CAST(a AS DOUBLE) < 0.6 THEN 'ambiguous' ELSE 'block' END AS decision, mix FROM r JOIN x USING (source) WHERE rn = 1""")
+def language_gate(spark, d):
+    return board.language_gate(_t(spark, d, "documents"))
+
+
+@query("""WITH g AS (SELECT source, stddev_pop(rms) AS s FROM v_energy GROUP BY 1),
+          w AS (SELECT c.clip_id, count(*) AS n, max(e.rms) AS p, median(e.rms) AS m, max(g.s) AS s, arg_min(e.sec, -e.rms * 100000 + e.sec) AS ps FROM v_clips c JOIN v_energy e ON e.source = c.source AND e.sec >= floor(c.start_s) AND e.sec < CAST(round(c.end_s) AS BIGINT) JOIN g ON g.source = c.source GROUP BY 1)
+          SELECT clip_id, p AS peak_rms, ps AS peak_sec, m AS median, round((p - m) / s, 2) AS z, round((p - m) / s, 2) >= 3 AS sharp FROM w WHERE n >= 3 AND s > 0""")
+def window_shape(spark, d):
+    return series.window_shape(*_t(spark, d, "v_clips", "v_energy"))
+
+
+@query("""SELECT clip_id, round(avg(CASE WHEN n_subjects = 1 THEN 1.0 ELSE 0 END), 4) AS single, round(avg(CASE WHEN n_subjects > 1 THEN 1.0 ELSE 0 END), 4) AS multi, round(avg(CASE WHEN n_subjects = 0 THEN 1.0 ELSE 0 END), 4) AS none,
+          round(median(cx), 4) AS centre, round(stddev_pop(cx), 3) AS spread,
+          CASE WHEN round(avg(CASE WHEN n_subjects = 0 THEN 1.0 ELSE 0 END), 4) > 0.5 THEN 'no subject' WHEN round(avg(CASE WHEN n_subjects > 1 THEN 1.0 ELSE 0 END), 4) > 0.3 THEN 'several subjects'
+               WHEN round(avg(CASE WHEN n_subjects = 1 THEN 1.0 ELSE 0 END), 4) < 0.5 THEN 'too few' ELSE 'track' END AS verdict FROM v_detections GROUP BY clip_id""")
+def subject_share_decision(spark, d):
+    return ranking.subject_share_decision(_t(spark, d, "v_detections"))
+
+
+@query(f"""SELECT category, count(*) AS campaigns, CAST(sum(CASE WHEN {_RANKABLE} THEN 1 ELSE 0 END) AS BIGINT) AS rankable,
+           CAST(sum(CASE WHEN {_RANKABLE} AND {_REASON} = '' THEN 1 ELSE 0 END) AS BIGINT) AS clippable FROM v_board GROUP BY category""")
+def board_health(spark, d):
+    return board.board_health(_t(spark, d, "v_board"))
+
+
+@query("SELECT status, count(*) AS attempts, CAST(sum(clips) AS BIGINT) AS clips, CAST(sum(CASE WHEN clips = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty FROM v_attempts GROUP BY status")
+def run_tally(spark, d):
+    return ranking.run_tally(_t(spark, d, "v_attempts"))
+
+
+_SECTION = "CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{n}'" for n, w in RULES) + " END"
+_FLOOR = f"SELECT campaign, section, ord, text FROM (SELECT campaign, section, text, row_number() OVER (PARTITION BY campaign, section ORDER BY doc_id, line_no) AS ord FROM (SELECT *, {_SECTION} AS section FROM v_rule_lines) a WHERE section IS NOT NULL) b WHERE ord <= 40"
+
+
+@query(_FLOOR)
+def rules_floor(spark, d):
+    return board.rules_floor(_t(spark, d, "v_rule_lines"), RULES)
+
+
+@query(f"""WITH f AS ({_FLOOR}), b AS (SELECT campaign, ord + 1000 * (CASE section WHEN 'license' THEN 1 WHEN 'contact' THEN 2 ELSE 3 END) AS ord, text, 0 AS p FROM f
+           UNION ALL SELECT campaign, doc_id * 100000 + line_no, text, 1 FROM v_rule_lines WHERE line_no = 0),
+           o AS (SELECT *, row_number() OVER (PARTITION BY campaign, lower(trim(text)) ORDER BY p, ord) AS rn FROM b)
+           SELECT campaign, count(*) AS n, arg_min(text, p * 1000000000000 + ord) AS first FROM o WHERE rn = 1 GROUP BY campaign""")
+def rules_merge(spark, d):
+    lines = _t(spark, d, "v_rule_lines")
+    rank = F.when(F.col("section") == "license", 1).when(F.col("section") == "contact", 2).otherwise(3)
+    floor = board.rules_floor(lines, RULES).select("campaign", (F.col("ord") + 1000 * rank).alias("ord"), "text")
+    return board.rules_merge(floor, lines.where("line_no = 0").select("campaign", (F.col("doc_id") * 100000 + F.col("line_no")).alias("ord"), "text"))
+
+
+@query(f"""WITH r AS (SELECT v.*, coalesce(k.kind, 'other') AS kind FROM v_resources v LEFT JOIN (VALUES {_values(_KIND_ROWS)}) k(ext, kind) ON k.ext = lower(regexp_extract(v.path, '\\.([A-Za-z0-9]+)$', 1)))
+           SELECT campaign, CAST(sum(CASE WHEN kind = 'footage' THEN 1 ELSE 0 END) AS BIGINT) AS footage, CAST(sum(CASE WHEN kind = 'asset' THEN 1 ELSE 0 END) AS BIGINT) AS assets, CAST(sum(CASE WHEN kind = 'doc' THEN 1 ELSE 0 END) AS BIGINT) AS docs,
+           CAST(sum(CASE WHEN kind = 'other' THEN 1 ELSE 0 END) AS BIGINT) AS other, round(sum(CASE WHEN kind = 'footage' THEN duration_sec ELSE 0 END) / 3600, 2) AS footage_hours, sum(CASE WHEN kind = 'other' THEN 1 ELSE 0 END) > 0 AS unread FROM r GROUP BY campaign""")
+def coverage_report(spark, d):
+    return board.coverage_report(_t(spark, d, "v_resources"), spark.createDataFrame(_KIND_ROWS, "ext string, kind string"))
+
+
+# -- ordered analytics -------------------------------------------------------------------------------------------
+
+_SPIKES = """SELECT source, CAST(min(sec) AS DOUBLE) AS start_s, CAST(max(sec) + 1 AS DOUBLE) AS end_s, CAST(arg_min(sec, -rms * 100000 + sec) AS DOUBLE) AS peak, round((max(rms) - max(mu)) / max(sd), 2) AS intensity
+FROM (SELECT e.*, mu, sd, sec - row_number() OVER (PARTITION BY e.source ORDER BY sec) AS g FROM v_energy e JOIN (SELECT source, avg(rms) AS mu, stddev_pop(rms) AS sd FROM v_energy GROUP BY 1) s ON s.source = e.source WHERE sd > 0 AND rms > mu + 1.5 * sd) t GROUP BY source, g"""
+
+
+@query(_SPIKES)
+def spike_runs(spark, d):
+    return series.spike_runs(_t(spark, d, "v_energy"), 1.5)
+
+
+@query(f"SELECT * FROM ({_QUIET}) q WHERE end_s - start_s >= 1.5")
+def silence_runs(spark, d):
+    return series.silence_runs(_t(spark, d, "v_energy"), 5.0, 1.5)
+
+
+@query(f"""WITH q AS (SELECT * FROM ({_QUIET}) z WHERE end_s - start_s >= 1.5),
+           c AS (SELECT clip_id, source, start_s, end_s - start_s AS len FROM v_clips),
+           r AS (SELECT c.clip_id, c.len, greatest(0.0, q.start_s - c.start_s) AS s, least(c.len, q.end_s - c.start_s) AS e FROM c JOIN q ON q.source = c.source AND q.start_s < c.start_s + c.len AND q.end_s > c.start_s
+                 UNION ALL SELECT clip_id, len, len, len FROM c),
+           g AS (SELECT clip_id, coalesce(max(e) OVER (PARTITION BY clip_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS a, s AS b FROM r),
+           k AS (SELECT * FROM g WHERE b - a > 0.1)
+           SELECT clip_id, round(a, 3) AS a, round(b, 3) AS b FROM k UNION ALL SELECT clip_id, 0.0, round(len, 3) FROM c WHERE clip_id NOT IN (SELECT clip_id FROM k)""")
+def keep_intervals(spark, d):
+    clips, energy = _t(spark, d, "v_clips", "v_energy")
+    return intervals.keep_intervals(series.silence_runs(energy, 5.0, 1.5), clips)
+
+
+@query("""WITH p AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY clip_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM v_played)
+          SELECT clip_id, k, a, least(b, a + 12 - s) AS b FROM p WHERE s < 12 OR k = 0""")
+def cap_cumulative(spark, d):
+    return intervals.cap_cumulative(_t(spark, d, "v_played"))
+
+
+@query("""WITH p AS (SELECT *, coalesce(sum(duration_sec) OVER (PARTITION BY campaign ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM v_resources)
+          SELECT campaign, ord, CAST(duration_sec AS DOUBLE) AS duration_sec FROM p WHERE s < 3600""")
+def budget_admit(spark, d):
+    return ranking.budget_admit(_t(spark, d, "v_resources"))
+
+
+@query("""WITH p AS (SELECT *, coalesce(sum(clips) OVER (PARTITION BY walk ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM v_attempts)
+          SELECT walk, attempt, clips FROM p WHERE s < 10 AND attempt <= 5""")
+def batch_floor_walk(spark, d):
+    return ranking.batch_floor_walk(_t(spark, d, "v_attempts"))
+
+
+@query("SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events) t WHERE rn <= 3")
+def daily_quota_admit(spark, d):
+    return ranking.daily_quota_admit(_t(spark, d, "events"))
+
+
+@query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) t WHERE rank <= 3")
+def top_k_per_channel(spark, d):
+    return ranking.top_k_per_channel(_t(spark, d, "events"))
+
+
+@query("""SELECT id, rank, concat_ws('_', 'clip', lpad(CAST(rank AS VARCHAR), 2, '0'), lpad(CAST(CAST(round(intensity) AS BIGINT) AS VARCHAR), 3, '0'), trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-')) AS name
+          FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY intensity DESC, id) AS rank FROM v_moments) t""")
+def rank_and_name(spark, d):
+    return ranking.rank_and_name(_t(spark, d, "v_moments"))
+
+
+@query("""WITH a AS (SELECT *, lag(end_s) OVER w AS pe, lag(regexp_matches(word, '[.!?]$')) OVER w AS pf FROM v_words WINDOW w AS (PARTITION BY source ORDER BY start_s, seg_no, word_no)),
+          b AS (SELECT *, CAST(sum(CASE WHEN pe IS NULL OR start_s - pe > 0.35 OR pf THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY start_s, seg_no, word_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM a),
+          c AS (SELECT *, row_number() OVER (PARTITION BY source, run ORDER BY start_s, seg_no, word_no) - 1 AS p, count(*) OVER (PARTITION BY source, run) AS n FROM b)
+          SELECT source, seg_no, word_no, run, CAST(least(p // 3, (CASE WHEN n % 3 = 1 AND n >= 4 THEN n // 3 ELSE (n + 2) // 3 END) - 1) AS BIGINT) AS line FROM c""")
+def speech_lines(spark, d):
+    return board.speech_lines(_t(spark, d, "v_words"))
+
+
+@query("""WITH s AS (SELECT source, seg_no, lead(min(start_s)) OVER (PARTITION BY source ORDER BY seg_no) AS af FROM v_words GROUP BY source, seg_no),
+          w AS (SELECT v.*, lead(v.start_s) OVER (PARTITION BY v.source, v.seg_no ORDER BY word_no) AS nx, s.af FROM v_words v JOIN s ON s.source = v.source AND s.seg_no = v.seg_no)
+          SELECT source, seg_no, word_no, round(greatest(start_s + 0.05, coalesce(nx, greatest(end_s, least(end_s + 0.25, coalesce(af - 0.03, end_s + 0.25))))), 4) AS shown_until FROM w""")
+def event_end_times(spark, d):
+    return board.event_end_times(_t(spark, d, "v_words"))
+
+
+@query("""WITH a AS (SELECT *, max(end_s) OVER (PARTITION BY source ORDER BY start_s, end_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM v_moments),
+          b AS (SELECT *, CAST(sum(CASE WHEN r IS NULL OR start_s - r > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY start_s, end_s, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM a)
+          SELECT source, island, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n FROM b GROUP BY 1, 2""")
+def merge_islands(spark, d):
+    return intervals.merge_islands(_t(spark, d, "v_moments"), 1.0)
+
+
+# -- selection ---------------------------------------------------------------------------------------------------
+
+_SCORE = "3 * least(len(regexp_extract_all(text, '[A-Za-z'']+')), 80) / 80.0 + 2 * least(len(regexp_extract_all(text, '[A-Za-z'']+')) / greatest(1.0, end_s - start_s), 4.0) / 4 + least(" + " + ".join(f"len(regexp_extract_all(lower(text), '\\b({m})\\b'))" for m in MARKERS) + " + len(regexp_extract_all(text, '\\?')), 8) + least(intensity, 12.0) / 12"
+
+
+@query(f"SELECT id, round({_SCORE}, 4) AS score FROM v_moments ORDER BY score DESC, id LIMIT 400")
+def content_rank_topn(spark, d):
+    return ranking.content_rank_topn(_t(spark, d, "v_moments"), MARKERS)
+
+
+@query("""WITH RECURSIVE o AS (SELECT id, source, start_s, round(intensity, 4) AS score, row_number() OVER (PARTITION BY source ORDER BY round(intensity, 4) DESC, id) AS rn FROM v_moments),
+          r AS (SELECT source, 1::BIGINT AS rn, [start_s] AS taken, true AS ok FROM o WHERE rn = 1
+                UNION ALL SELECT o.source, o.rn, CASE WHEN len(list_filter(r.taken, lambda t: abs(t - o.start_s) < 30)) = 0 THEN list_append(r.taken, o.start_s) ELSE r.taken END, len(list_filter(r.taken, lambda t: abs(t - o.start_s) < 30)) = 0
+                FROM r JOIN o ON o.source = r.source AND o.rn = r.rn + 1)
+          SELECT o.id, o.source, o.start_s, o.score FROM o JOIN r ON r.source = o.source AND r.rn = o.rn WHERE r.ok ORDER BY score DESC, id LIMIT 50""")
+def spread_topk(spark, d):
+    return ranking.spread_topk(_t(spark, d, "v_moments"), 30, 50)
+
+
+@query("SELECT source, batch, count(*) AS n, min(id) AS first_id FROM (SELECT *, CAST((row_number() OVER (PARTITION BY source ORDER BY intensity DESC, id) - 1) // 3 AS BIGINT) AS batch FROM v_moments) t GROUP BY 1, 2")
+def score_batches(spark, d):
+    return ranking.score_batches(_t(spark, d, "v_moments"), 3)
+
+
+@query("""SELECT campaign, path FROM (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY CASE WHEN contains(path, '9') THEN 0 ELSE 1 END, CASE WHEN suffix(lower(path), '.png') THEN 0 ELSE 1 END, path, ord) AS rn
+          FROM v_resources WHERE regexp_matches(lower(path), '\\.(png|pdf)$')) t WHERE rn = 1""")
+def priority_pick(spark, d):
+    return ranking.priority_pick(_t(spark, d, "v_resources"))
+
+
+@query("""WITH v AS (SELECT item, format_id, size, row_number() OVER (PARTITION BY item ORDER BY height DESC, tbr DESC, size DESC, format_id DESC) AS rn FROM v_formats WHERE height <= 1080 AND NOT has_audio),
+          a AS (SELECT item, format_id, size, row_number() OVER (PARTITION BY item ORDER BY tbr DESC, size DESC, format_id DESC) AS rn FROM v_formats WHERE height IS NULL AND has_audio),
+          c AS (SELECT item, format_id, size, row_number() OVER (PARTITION BY item ORDER BY height DESC, tbr DESC, size DESC, format_id DESC) AS rn FROM v_formats WHERE height <= 1080 AND has_audio),
+          i AS (SELECT item, count(height) AS wv, sum(CASE WHEN height <= 1080 THEN 1 ELSE 0 END) AS un FROM v_formats GROUP BY item)
+          SELECT i.item, CASE WHEN v.item IS NOT NULL AND a.item IS NOT NULL THEN v.format_id ELSE c.format_id END AS video, CASE WHEN v.item IS NOT NULL THEN a.format_id END AS audio,
+          round(CASE WHEN v.item IS NOT NULL AND a.item IS NOT NULL THEN 2.2::DOUBLE * (v.size + a.size) ELSE 1.5::DOUBLE * c.size END, 4) AS required,
+          CASE WHEN wv = 0 THEN 'no video' WHEN un = 0 THEN 'none under the cap' WHEN NOT (v.item IS NOT NULL AND a.item IS NOT NULL) AND c.item IS NULL THEN 'no audio' ELSE '' END AS reason
+          FROM i LEFT JOIN v ON v.item = i.item AND v.rn = 1 LEFT JOIN a ON a.item = i.item AND a.rn = 1 LEFT JOIN c ON c.item = i.item AND c.rn = 1""")
+def best_variant_pick(spark, d):
+    return ranking.best_variant_pick(_t(spark, d, "v_formats"))
+
+
+@query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame ORDER BY CASE WHEN class = 'person' THEN 0 ELSE 1 END, w * h DESC, box_id) AS rn FROM v_boxes)
+          SELECT clip_id, frame, round(cx, 4) AS cx, round(CASE WHEN class = 'person' THEN cy ELSE cy + 0.9::DOUBLE * sqrt(w * h) END, 4) AS cy, round(CASE WHEN class = 'person' THEN w ELSE 2.2::DOUBLE * sqrt(w * h) END, 4) AS w, round(CASE WHEN class = 'person' THEN h ELSE 3.2::DOUBLE * sqrt(w * h) END, 4) AS h FROM b WHERE rn = 1""")
+def primary_per_frame(spark, d):
+    return ranking.primary_per_frame(_t(spark, d, "v_boxes"))
+
+
+@query(f"SELECT * FROM ({_RANKED}) t ORDER BY composite DESC, core_known DESC, pre_score DESC, id LIMIT 100")
+def board_rank(spark, d):
+    return board.board_rank(_t(spark, d, "v_board"))
+
+
+@query(f"""WITH k AS (SELECT id, row_number() OVER (ORDER BY composite DESC, core_known DESC, pre_score DESC, id) AS rank FROM ({_RANKED}) t QUALIFY rank <= 10),
+           c AS (SELECT k.id, k.rank, CASE WHEN b.lang <> 'en' AND b.lang_conf <> 'low' THEN 'language' ELSE {_REASON} END AS reason FROM k JOIN v_board b USING (id))
+           SELECT id, rank, reason FROM c WHERE rank <= coalesce((SELECT min(rank) FROM c WHERE reason = ''), 10)""")
+def walk_first_pass(spark, d):
+    return board.walk_first_pass(_t(spark, d, "v_board"))
+
+
+# -- sets and transforms -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH p AS ({_PEAK}), s AS ({_SPIKES}), u AS (SELECT source, 'audio_spike' AS type, start_s, end_s, peak FROM s UNION ALL SELECT g.source, 'speech', g.start_s, g.end_s, CAST(p.peak AS DOUBLE) FROM v_segments g JOIN p ON p.source = g.source AND p.seg_no = g.seg_no)
+           SELECT 'm' || source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY type, start_s, end_s) - 1 AS VARCHAR), 4, '0') AS id, source, type, start_s, end_s, peak FROM u""")
+def moments_union(spark, d):
+    segments, energy = _t(spark, d, "v_segments", "v_energy")
+    return series.moments_union(segments, series.spike_runs(energy, 1.5), intervals.energy_peak(segments, energy))
+
+
+@query("SELECT dst, min(src) AS first_src, count(*) AS n FROM v_links GROUP BY dst")
+def ordered_distinct(spark, d):
+    return board.ordered_distinct(_t(spark, d, "v_links"))
+
+
+@query("WITH t AS (SELECT id, list_append(string_split(category, ' '), lower(trim(lane))) AS x FROM v_board), u AS (SELECT id, list_reduce(x, lambda a, y: a || ',' || y) AS tags, list_contains(x, 'economy') AS ok FROM t) SELECT id, tags FROM u WHERE ok")
+def tag_membership(spark, d):
+    return board.tag_membership(_t(spark, d, "v_board"), "economy")
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(translate(regexp_replace(text, '[–—]', ' - ', 'g'), '‐‑‘’“”', '--''''""'), '[ \t\n\r]+', ' ', 'g')) AS x FROM documents)
+          SELECT doc_id, CASE WHEN x = '' THEN 'clip' ELSE array_to_string(list_transform(string_split(x, ' '), lambda w: CASE WHEN w[1] = 'ß' THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ') END AS title FROM t""")
+def text_normalize(spark, d):
+    return text.text_normalize(_t(spark, d, "documents"))
+
+
+@query(r"""WITH u AS (SELECT DISTINCT page_id, regexp_replace(url, '[.,);\]}''"]+$', '') AS url FROM v_urls)
+          SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY url) - 1 AS pos, url FROM u""")
+def harvest_urls(spark, d):
+    return text.harvest_urls(_t(spark, d, "v_urls"))
+
+
+@query("""WITH b AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS b FROM v_urls)
+          SELECT page_id, url, CASE WHEN contains(b, '/folders/') THEN 'folder' WHEN contains(b, '/watch') THEN 'vod' WHEN contains(b, '/channel/') THEN 'channel' WHEN regexp_matches(lower(b), '\\.(mp4|mov|mkv|webm)$') THEN 'file'
+          WHEN regexp_matches(lower(b), '\\.(pdf|docx?|md|txt)$') OR contains(b, '/rules/') THEN 'doc' ELSE 'site' END AS kind FROM b""")
+def link_kind(spark, d):
+    return text.link_kind(_t(spark, d, "v_urls"))
+
+
+@query("WITH h AS (SELECT id, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) AS h FROM v_moments) SELECT id, h % 7 AS bucket, (h // 7) % 5 AS second FROM h")
+def hash_assign(spark, d):
+    return text.hash_assign(_t(spark, d, "v_moments"))
+
+
+@query("""WITH m AS (SELECT id, start_s - 4 AS s, end_s + 4 AS e, coalesce(peak, (start_s + end_s) / 2) AS mid FROM v_moments),
+          b AS (SELECT id, CASE WHEN e - s > 14 THEN mid - 7 WHEN e - s < 12 THEN s - (12 - (e - s)) / 2 ELSE s END AS a, CASE WHEN e - s > 14 THEN mid + 7 WHEN e - s < 12 THEN e + (12 - (e - s)) / 2 ELSE e END AS z FROM m)
+          SELECT id, round(greatest(0.0, least(a, 90.0)), 2) AS clip_start, round(greatest(greatest(0.0, least(a, 90.0)) + 1, least(z, 90.0)), 2) AS clip_end FROM b""")
+def clip_bounds(spark, d):
+    return intervals.clip_bounds(_t(spark, d, "v_moments"), cmax=14)
+
+
+@query("""SELECT event_id, CASE WHEN contains(lower(msg), 'per day') THEN 'daily' WHEN contains(lower(msg), 'per minute') OR contains(lower(msg), 'rate') THEN 'minute' WHEN contains(lower(msg), 'model not found') THEN 'dead model' WHEN regexp_matches(lower(msg), '403|permission') THEN 'permission' ELSE 'unknown' END AS tag,
+          60 * coalesce(try_cast(regexp_extract(msg, '([0-9]+)m[0-9]', 1) AS BIGINT), 0) + coalesce(try_cast(regexp_extract(msg, '[0-9]+m([0-9]+)s', 1) AS BIGINT), 0) + coalesce(try_cast(regexp_extract(msg, 'retry after ([0-9]+)', 1) AS BIGINT), 0) AS wait_s FROM v_errors""")
+def log_classify(spark, d):
+    return text.log_classify(_t(spark, d, "v_errors"))
+
+
+@query("""WITH j AS (SELECT event_id, unnest(CAST(json(regexp_extract(msg, '\\[.*\\]')) AS JSON[])) AS r FROM v_errors WHERE contains(msg, '['))
+          SELECT event_id, r->>'$.id' AS id, CAST(r->>'$.score' AS BIGINT) AS score FROM j""")
+def json_array_repair(spark, d):
+    return text.json_array_repair(_t(spark, d, "v_errors"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Moments from segments and energy, without filler, ranked by content."""
+    segments = views.table(spark, sf_dir, "v_segments")
+    moments = moments_union(spark, sf_dir).join(segments.select("source", "start_s", "end_s", "text"), ["source", "start_s", "end_s"], "left")
+    rows = moments.select("id", "source", "type", "start_s", "end_s", F.coalesce("text", F.lit("")).alias("text"), F.lit(0.0).alias("intensity"))
+    return ranking.content_rank_topn(text.filler_kill(rows, FILLER), MARKERS)
+
+
+@query()
+def flagship_moments(spark, d):
+    return flagship(spark, d)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    from tidemark.streaming import replays
+
+    return _QUERIES | replays.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.streaming import replays
+
+    return _ORACLES | {k: views.duckdb(v) for k, v in replays.ORACLES.items()}
