@@ -68,10 +68,10 @@ QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_normaliser,
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 e AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.i >= 85 * (x.n + y.n - o.i)),
@@ -79,5 +79,16 @@ l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT DISTINCT a AS doc_id, a AS top FROM l UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.doc_id WHERE r.top < l.b)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.top, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(top) AS top FROM r GROUP BY doc_id) m USING (doc_id)
+""",
+    "op2_warc_normaliser": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+h AS (SELECT page_id, octet_length(b) AS n, upper(sha1(b)) AS h FROM p),
+m AS (SELECT h, max(page_id) AS top, count(*) AS c FROM h GROUP BY h),
+x AS (SELECT page_id, n, h.h, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h.h, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT)) AS q FROM h)
+SELECT x.page_id, CAST(x.n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(x.q, lambda v: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v // 32768 + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v // 1024 % 32 + 1]
+    || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v // 32 % 32 + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v % 32 + 1]), '') AS payload_digest,
+  CASE WHEN m.top = x.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m.top <> x.page_id THEN m.top END AS refers_to
+FROM x JOIN m ON m.h = x.h
 """,
 }
