@@ -159,16 +159,27 @@ def _set_rows(width: int):
     return run
 
 
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as that: the shorter is probed in the longer by bisection."""
+    if len(p) > len(q):
+        p, q = q, p
+    shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
+def _group_links(percent: int):
+    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        held = {d: np.frombuffer(x, np.uint64) for d, x in zip(sets.doc_id, sets.tokens, strict=True)}
+        kept = [linked(held[a], held[b], percent) for a, b in zip(pairs.a, pairs.b, strict=True)]
+        return pairs.loc[kept, ["a", "b"]] if len(pairs) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.x, batch.y, strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                kept.append(100 * shared >= percent * (len(p) + len(q) - shared))
+            kept = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.x, batch.y, strict=True)]
             yield batch.loc[kept, ["a", "b"]]
 
     return run
@@ -209,12 +220,13 @@ def _block_links(percent: int, most_marks: int = 64):
     return run
 
 
-def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 48, block: int = 512, frequent_df: int = 64, broadcast_rows: int = 2_000_000) -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 48, block: int = 512, frequent_df: int = 64, broadcast_rows: int = 2_000_000, group_docs: int = 1000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id is the least doc_id reachable by links.
 
     short_list: entries up to which an inverted list is merged pair by pair; longer ones are searched in blocks of
     about `block` documents. broadcast_rows: narrow rows (shared shingles, ids to verify) up to which they are
-    broadcast, more are joined by shuffle. None changes the result.
+    broadcast, more are joined by shuffle. group_docs: candidates that hang together, up to which they are checked in
+    one task. None changes the result.
     """
     docs = keyed(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     context = docs.sparkSession.sparkContext
@@ -246,12 +258,21 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     wanted = small_or_not(stored(wanted, "wanted"), broadcast_rows)
     sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens binary"), "sets")
 
-    checked = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    # Candidates that hang together are checked in one task, which needs each set once; large groups pair by pair.
+    tops = stored(components(pairs), "groups")
+    bound = tops.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= group_docs)
+    near = small_or_not(stored(tops.join(bound, "component").select("node", "component"), "near"), broadcast_rows)
+    grouped = sets.join(near.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component")
+    listed = pairs.join(near.withColumnRenamed("node", "a"), "a").groupBy("component")
+    by_group = listed.cogroup(grouped).applyInPandas(_group_links(percent), "a long, b long")
+    wide = pairs.join(near.select(F.col("node").alias("a")), "a", "left_anti")
+    by_pair = (
+        wide.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInPandas(_verified(percent), "a long, b long")
     )
+    checked = by_group.unionByName(by_pair)
     held = long.groupBy("doc_id").agg(F.collect_list("token").alias("held"))  # a prefix at most
     n_blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
