@@ -262,8 +262,8 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     tops = stored(components(pairs), "groups")
     bound = tops.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= group_docs)
     near = small_or_not(stored(tops.join(bound, "component").select("node", "component"), "near"), broadcast_rows)
-    grouped = sets.join(near.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component")
-    listed = pairs.join(near.withColumnRenamed("node", "a"), "a").groupBy("component")
+    grouped = sets.join(near.toDF("doc_id", "own"), "doc_id").groupBy("own")
+    listed = pairs.join(near.toDF("a", "group"), "a").groupBy("group")
     by_group = listed.cogroup(grouped).applyInPandas(_group_links(percent), "a long, b long")
     wide = pairs.join(near.select(F.col("node").alias("a")), "a", "left_anti")
     by_pair = (
