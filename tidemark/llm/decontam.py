@@ -89,6 +89,17 @@ class ItemIndex:
         self.item, self.impact = item[order], impact[order]
         self.start = np.searchsorted(which[order], np.arange(len(self.terms) + 1))
         self.essential = df <= max(2, common * len(items))
+        # No item may reach the threshold by non-essential lists alone: its rarest one becomes essential until none does.
+        sorted_terms = which[order]
+        while len(items):
+            idle = ~self.essential[sorted_terms]
+            over = np.bincount(self.item[idle], self.impact[idle], minlength=len(items)) >= threshold - 1e-9
+            if not over.any():
+                break
+            rows = np.flatnonzero(idle & over[self.item])
+            rows = rows[np.lexsort((sorted_terms[rows], df[sorted_terms[rows]], self.item[rows]))]
+            own = self.item[rows]
+            self.essential[sorted_terms[rows[np.concatenate([[True], own[1:] != own[:-1]])]]] = True
         group = which[order] * max(1, self.n_blocks) + self.item // block
         at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         self.block_of, self.block_max = self.item[at] // block, np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)

@@ -68,7 +68,9 @@ class SuffixAutomaton:
         """Phrases that each piece symbols[start : start + size] is parsed into."""
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
-        state, count = np.zeros(len(size), np.int32), np.ones(len(size), np.int64)
+        state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
+        unknown = self.table[0] < 0  # such a symbol is a phrase by itself
+        ended = np.ones(len(size), bool)
         flat, width, root = self.table.ravel(), self.table.shape[1], np.maximum(self.table[0], 0)
         live = len(size)
         for k in range(int(size[0]) if live else 0):
@@ -76,9 +78,10 @@ class SuffixAutomaton:
                 live -= 1
             c = symbols[start[:live] + k]
             to = flat[state[:live].astype(np.int64) * width + c]
-            broken = to < 0
-            count[:live] += broken
-            state[:live] = np.where(broken, root[c], to)
+            new = ended[:live] | (to < 0)
+            count[:live] += new
+            state[:live] = np.where(new, root[c], to)
+            ended[:live] = unknown[c]
         out = np.empty(len(size), np.int64)
         out[order] = count
         return out
