@@ -233,9 +233,10 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     frequent = context.broadcast(frequent_shingles(docs.select("text"), width, frequent_df))
     heads = stored(docs.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n long, sum long, xor long, prefix array<long>"), "prefixes")
 
-    classes = heads.where("n > 0").groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("rep"))
+    classes = stored(heads.where("n > 0").groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = small_or_not(classes.select(F.col("rep").alias("doc_id")), broadcast_rows)
     entries = (
-        heads.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        heads.join(reps, "doc_id", "left_semi")
         .select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     )
     shared = stored(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
@@ -265,14 +266,14 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     grouped = sets.join(near.toDF("doc_id", "own"), "doc_id").groupBy("own")
     listed = pairs.join(near.toDF("a", "group"), "a").groupBy("group")
     by_group = listed.cogroup(grouped).applyInPandas(_group_links(percent), "a long, b long")
-    wide = pairs.join(near.select(F.col("node").alias("a")), "a", "left_anti")
-    by_pair = (
+    wide = stored(pairs.join(near.select(F.col("node").alias("a")), "a", "left_anti"), "wide")
+    by_pair = None if wide.isEmpty() else (
         wide.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInPandas(_verified(percent), "a long, b long")
     )
-    checked = by_group.unionByName(by_pair)
+    checked = by_group if by_pair is None else by_group.unionByName(by_pair)
     held = long.groupBy("doc_id").agg(F.collect_list("token").alias("held"))  # a prefix at most
     n_blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
