@@ -59,7 +59,7 @@ def keyed(df: DataFrame, key: str, *names: str) -> DataFrame:
     return got.select(key, *[F.col("_r").getField(f"col{i + 1}").getField(n).alias(n) for i, n in enumerate(names)])
 
 
-def text_slices(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about max_bytes; a longer text is a run by itself. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -158,7 +158,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int):
 def _frequent(length: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column("text"), 1 << 22):
+            for _, data, offsets in text_slices(batch.column("text")):
                 spans, _, first, last, anchor = fragments(data, offsets, length)
                 if not len(first):
                     continue
@@ -382,12 +382,12 @@ def _kept(keep_text: bool):
     return run
 
 
-def suffix_dedup(documents: DataFrame, length: int = 100, keep_text: bool = False, bucket_bytes: int = 8 << 20, frequent_kinds: int = 24, most_frequent: int = 1_000_000) -> DataFrame:
+def suffix_dedup(documents: DataFrame, length: int = 100, keep_text: bool = False, bucket_bytes: int = 8 << 20, frequent_kinds: int = 8, most_frequent: int = 1_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each document; kept_text is null unless asked for,
     and without characters that were cut.
 
     Bytes covered by a string of `length` bytes that also starts earlier (smaller doc_id, or same document and earlier)
-    are removed. bucket_bytes: text behind one bucket. frequent_kinds: different fragments of one anchor in 4 MB of
+    are removed. bucket_bytes: text behind one bucket. frequent_kinds: different fragments of one anchor in 1 MB of
     text that make it frequent. Neither changes the result.
     """
     docs = keyed(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
