@@ -78,6 +78,16 @@ def spread_topk(moments: DataFrame, apart: float = 60, n: int = 50) -> DataFrame
     return scored.groupBy("source").applyInPandas(pick, scored.schema).orderBy(F.desc("score"), "id").limit(n)
 
 
+def review_funnel(moments: DataFrame, alive: float = 1, best: float = 40, pool: float = 40, most: int = 10, apart: float = 60) -> DataFrame:
+    """(id, source, start_s, score): the spread choice of the alive moments of the pool; none if even the best is weak.
+
+    moments: as for spread_topk, with `junk`.
+    """
+    top = moments.agg(F.max("intensity").alias("top"))  # one row
+    rows = moments.where(~F.col("junk") & (F.col("intensity") >= max(alive, pool))).crossJoin(F.broadcast(top)).where(F.col("top") >= best)
+    return spread_topk(rows, apart, most)
+
+
 def score_batches(moments: DataFrame, size: int = 18) -> DataFrame:
     """(source, batch, n, first_id): batches of a source's moments in rank order."""
     rows = moments.withColumn("batch", F.floor((F.row_number().over(over("source", by=[F.desc("intensity"), "id"])) - 1) / size).cast("long"))

@@ -564,12 +564,14 @@ def flagship_moments(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from tidemark.plans import campaigns  # noqa: F401  registers its queries
     from tidemark.streaming import replays
 
     return _QUERIES | replays.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemark.plans import campaigns  # noqa: F401
     from tidemark.streaming import replays
 
     return _ORACLES | {k: views.duckdb(v) for k, v in replays.ORACLES.items()}
