@@ -111,5 +111,5 @@ def structure_quota(candidates: DataFrame, floor: int = 3, share: int = 5) -> Da
         used[row.openings[k]] = used.get(row.openings[k], 0) + 1
         return used, k
 
-    chosen = fold_by_key(lines, ["batch"], ["clip_id"], "k", "int", dict, step)
+    chosen = fold_by_key(lines, ["batch"], ["clip_id"], "k", "integer", dict, step)
     return chosen.select("batch", "clip_id", F.get("places", "k").alias("pos"), F.get("openings", "k").alias("opening"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def _folder(spark: SparkSession) -> str:
@@ -56,7 +59,75 @@ def st_spike_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(stream.select("event_id", "user_id", F.round("value", 4).alias("value")), spark)
 
 
-QUERIES = {f.__name__: f for f in (st_energy_tumbling, st_session_merge, st_spike_alerts)}
+def daily_quota(stream: DataFrame, quota: int = 3) -> DataFrame:
+    """(event_id, user_id, day): the first events of each user and day that arrive, `quota` at most; state: how many were let in."""
+
+    def admit(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        taken = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"]).head(max(0, quota - taken))
+        state.update((taken + len(rows),))
+        yield rows[["event_id", "user_id", "day"]]
+
+    rows = stream.select("event_id", "user_id", "ts", F.to_date("ts").cast("string").alias("day"))
+    return rows.groupBy("user_id", "day").applyInPandasWithState(admit, "event_id long, user_id long, day string", "taken long", "append", GroupStateTimeout.NoTimeout)
+
+
+def deadband(stream: DataFrame, safe: float = 20, easing: float = 0.06, most: float = 8, low: float = 0, high: float = 1000) -> DataFrame:
+    """(event_id, position): folds.deadband_follow over events as they arrive; state: a user's position."""
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for value in rows.value:
+            away = 0.0 if at is None else value - at
+            at = value if at is None else at
+            if abs(away) > safe:
+                at = min(high, max(low, at + min(most, max(-most, away * easing))))
+            out.append(at)
+        state.update((float(at),))
+        yield pd.DataFrame({"event_id": rows.event_id, "position": out})
+
+    rows = stream.where("value is not null").select("user_id", "event_id", "ts", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(follow, "event_id long, position double", "at double", "append", GroupStateTimeout.NoTimeout)
+
+
+def dedup_posted(stream: DataFrame, posted: DataFrame, late: str = "2 hours") -> DataFrame:
+    """(event_id, user_id): events once each, though a chunk may be sent again within `late`, without those already posted."""
+    fresh = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id")
+    return fresh.join(posted.select("event_id"), "event_id", "left_anti")
+
+
+def resumed(stream: DataFrame, spark: SparkSession, runs: int = 2) -> DataFrame:
+    """The stream's rows through a sink that replaces a batch's folder, run again from its checkpoint: no row comes twice."""
+    folder = _folder(spark)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    for _ in range(runs):
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def st_daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(daily_quota(events_stream(spark, sf_dir)), spark)
+
+
+def st_deadband_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(deadband(events_stream(spark, sf_dir)), spark).select("event_id", F.round("position", 4).alias("position"))
+
+
+def st_dedup_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    again = events_stream(spark, sf_dir).union(events_stream(spark, sf_dir))
+    return replay(dedup_posted(again, spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 = 0")), spark)
+
+
+def st_resume_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumed(events_stream(spark, sf_dir).select("event_id", "user_id", "event_type"), spark).select("event_id", "user_id", "event_type")
+
+
+QUERIES = {f.__name__: f for f in (st_energy_tumbling, st_session_merge, st_spike_alerts, st_daily_quota, st_deadband_follow, st_dedup_posted, st_resume_sink)}
 _LAST = "(SELECT max(ts) FROM events)"
 ORACLES = {
     "st_energy_tumbling": f"""SELECT user_id AS source, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, count(*) AS n, round(sqrt(avg(value * value)), 2) AS rms FROM events
@@ -65,5 +136,12 @@ GROUP BY user_id, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVA
 b AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
 SELECT user_id AS source, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 6 HOUR)) AS BIGINT) AS finish, count(*) AS n FROM b GROUP BY user_id, s
 HAVING max(ts) + INTERVAL 6 HOUR <= {_LAST} - INTERVAL 6 HOUR""",
+    "st_daily_quota": "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events) t WHERE rn <= 3",
+    "st_deadband_follow": """WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE value IS NOT NULL),
+r AS (SELECT user_id, rn::BIGINT AS rn, event_id, value AS c FROM o WHERE rn = 1
+UNION ALL SELECT o.user_id, o.rn, o.event_id, CASE WHEN abs(o.value - c) > 20 THEN least(1000.0::DOUBLE, greatest(0.0::DOUBLE, c + least(8.0::DOUBLE, greatest(-8.0::DOUBLE, (o.value - c) * 0.06::DOUBLE)))) ELSE c END FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+SELECT event_id, round(c, 4) AS position FROM r""",
+    "st_dedup_posted": "SELECT event_id, user_id FROM events WHERE event_id % 7 <> 0",
+    "st_resume_sink": "SELECT event_id, user_id, event_type FROM events",
     "st_spike_alerts": "SELECT e.event_id, e.user_id, round(e.value, 4) AS value FROM events e JOIN (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY 1) b ON b.user_id = e.user_id WHERE e.value > b.m + 2 * b.s",
 }
