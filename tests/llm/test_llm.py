@@ -57,8 +57,17 @@ def test_jaccard_on_odd_rows(spark):
     assert ngram_jaccard.ngram_jaccard_join(empty_documents(spark)).count() == 0
 
 
-@pytest.mark.parametrize("short_list,group", [(48, 1000), (1, 1000), (48, 1)])
-def test_jaccard_paths_agree_with_brute_force(spark, short_list, group):
+def test_overlap_bound_never_falls_short():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 70), (64, 65), (200, 230), (1000, 1100)):
+        pool = rng.integers(0, 1 << 63, 2 * max(n, m), dtype=np.uint64)
+        p, q = (np.unique(rng.choice(pool, k, replace=False)) for k in (n, m))
+        told = ngram_jaccard.overlap_bound(ngram_jaccard.bitmap(p), len(p), ngram_jaccard.bitmap(q), len(q))
+        assert len(np.intersect1d(p, q)) <= told <= min(len(p), len(q))
+
+
+@pytest.mark.parametrize("short_list,block", [(48, 16), (1, 16), (48, 2), (1, 2)])
+def test_jaccard_paths_agree_with_brute_force(spark, short_list, block):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -80,7 +89,7 @@ def test_jaccard_paths_agree_with_brute_force(spark, short_list, group):
             if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and top(a) != top(b):
                 up[max(top(a), top(b))] = min(top(a), top(b))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = ngram_jaccard.ngram_jaccard_join(docs, short_list=short_list, block=16, group_docs=group)
+    got = ngram_jaccard.ngram_jaccard_join(docs, short_list=short_list, block=block)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {i: (len(s), top(i)) for i, s in sets.items()}
 
 

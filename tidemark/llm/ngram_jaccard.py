@@ -6,10 +6,11 @@ equal sets are one class and one query. The search is split over the cluster by
 shingles, and linked documents meet in one of them.
 
 * Short lists are merged: Spark joins their entries, counts what each pair shares, and drops pairs whose count and
-  list positions rule T out.
-* Long lists are never expanded into pairs. Their documents are cut into blocks; a task holds two blocks, merges the
-  short lists of its own inverted index, keeps documents found T - L times, binary-probes the L long lists for the
-  rest, and returns edges that span what it linked.
+  list positions, or whose bitmaps (a bit or two a shingle), rule T out.
+* Long lists are never expanded into pairs. What hangs together by pairs or long lists is a group; groups (or long
+  lists, where these ship less) are cut into blocks. A task holds two blocks, merges the short lists of its own
+  inverted index, keeps documents found T - L times, binary-probes the L long lists for the rest, and returns edges
+  that span what it linked.
 
 Edge cases: a null or blank text has the empty set (n_shingles 0) and links with nothing; fewer words than the width
 are one shingle; rows with a null doc_id go, of rows that repeat a doc_id the least text stays.
@@ -136,16 +137,17 @@ def _prefixes(width: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
-            sizes, one, two, heads = [], [], [], []
+            sizes, one, two, heads, maps = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 sizes.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                 two.append(int(np.bitwise_xor.reduce(s * np.uint64(0x2545F4914F6CDD1D)).astype(np.int64)) if len(s) else 0)
+                maps.append(bitmap(s))
                 heads.append(ordered(s, often)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64))
             offsets = np.zeros(len(heads) + 1, np.int32)
             np.cumsum([len(h) for h in heads], out=offsets[1:])
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat], ["doc_id", "n", "sum", "xor", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat, pa.array(maps, pa.binary())], ["doc_id", "n", "sum", "xor", "prefix", "bits"])
 
     return run
 
@@ -167,11 +169,26 @@ def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(p) + len(q) - shared)
 
 
-def _group_links(percent: int):
-    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        held = {d: np.frombuffer(x, np.uint64) for d, x in zip(sets.doc_id, sets.tokens, strict=True)}
-        kept = [linked(held[a], held[b], percent) for a, b in zip(pairs.a, pairs.b, strict=True)]
-        return pairs.loc[kept, ["a", "b"]] if len(pairs) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for each hash by its low bits, of as many bits as the least power of two that the set fits in (64 at least)."""
+    bits = np.zeros(1 << max(6, int(len(tokens) - 1).bit_length()), bool)
+    bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return packed(np.packbits(bits))
+
+
+def overlap_bound(x: bytes, n: int, y: bytes, m: int) -> int:
+    """What sets of n and m can share at most: a bit that only one has stands for a hash that only this one has."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(z.reshape(-1, size), 0) for z in (p, q))
+    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+
+
+def _close(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = [overlap_bound(x, n, y, m) >= least_overlap(n, m, percent) for x, n, y, m in zip(batch.x, batch.na, batch.y, batch.nb, strict=True)]
+            yield batch.loc[kept, ["a", "b"]]
 
     return run
 
@@ -186,7 +203,7 @@ def _verified(percent: int):
 
 
 def _block_links(percent: int, most_marks: int = 64):
-    """Search of one block against another under one long-list shingle.
+    """Search of one block against another, of a whole group or under one long-list shingle.
 
     A pair that also shares a smaller long-list shingle is left to that one: documents are told apart by the smaller
     ones they hold (their mark), and each mark searches only what holds none of them.
@@ -220,18 +237,17 @@ def _block_links(percent: int, most_marks: int = 64):
     return run
 
 
-def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 48, block: int = 512, frequent_df: int = 64, broadcast_rows: int = 2_000_000, group_docs: int = 1000) -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 128, block: int = 512, frequent_df: int = 64, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id is the least doc_id reachable by links.
 
     short_list: entries up to which an inverted list is merged pair by pair; longer ones are searched in blocks of
     about `block` documents. broadcast_rows: narrow rows (shared shingles, ids to verify) up to which they are
-    broadcast, more are joined by shuffle. group_docs: candidates that hang together, up to which they are checked in
-    one task. None changes the result.
+    broadcast, more are joined by shuffle. None changes the result.
     """
     docs = keyed(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     context = docs.sparkSession.sparkContext
     frequent = context.broadcast(frequent_shingles(docs.select("text"), width, frequent_df))
-    heads = stored(docs.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n long, sum long, xor long, prefix array<long>"), "prefixes")
+    heads = stored(docs.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n long, sum long, xor long, prefix array<long>, bits binary"), "prefixes")
 
     classes = stored(heads.where("n > 0").groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("rep")), "classes")
     reps = small_or_not(classes.select(F.col("rep").alias("doc_id")), broadcast_rows)
@@ -251,40 +267,46 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
         .groupBy("a", "b", "na", "nb")
         .agg(F.count("*").alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
         .where(F.col("met") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb")) >= need)
-        .select("a", "b")
+        .select("a", "b", "na", "nb")
     )
     pairs = stored(pairs, "pairs")
-    long = lists.where(F.col("df") > short_list).select("token", "doc_id", "df")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(long.select("doc_id")).distinct()
-    wanted = small_or_not(stored(wanted, "wanted"), broadcast_rows)
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens binary"), "sets")
-
-    # Candidates that hang together are checked in one task, which needs each set once; large groups pair by pair.
-    tops = stored(components(pairs), "groups")
-    bound = tops.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= group_docs)
-    near = small_or_not(stored(tops.join(bound, "component").select("node", "component"), "near"), broadcast_rows)
-    grouped = sets.join(near.toDF("doc_id", "own"), "doc_id").groupBy("own")
-    listed = pairs.join(near.toDF("a", "group"), "a").groupBy("group")
-    by_group = listed.cogroup(grouped).applyInPandas(_group_links(percent), "a long, b long")
-    wide = stored(pairs.join(near.select(F.col("node").alias("a")), "a", "left_anti"), "wide")
+    x, y = (heads.select(F.col("doc_id").alias(d), F.col("bits").alias(name)) for d, name in (("a", "x"), ("b", "y")))
+    close = stored(pairs.join(x, "a").join(y, "b").mapInPandas(_close(percent), "a long, b long"), "close")
+
+    # Documents that hang together by what is left, or by long lists, are a group; linked ones are in one.
+    n_blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    long = lists.where(F.col("df") > short_list).select("token", "doc_id", n_blocks("df").alias("blocks"))
+    tops = small_or_not(stored(long.groupBy("token").agg(F.min("doc_id").alias("b")), "tops"), broadcast_rows)
+    groups = stored(components(close.unionByName(long.join(tops, "token").select(F.col("doc_id").alias("a"), "b"))), "groups")
+    sets = stored(docs.join(small_or_not(groups.select(F.col("node").alias("doc_id")), broadcast_rows), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens binary"), "sets")
+
+    # A group is searched whole, in blocks, where that ships no more sets than its pairs and long lists would.
+    spent = long.select("doc_id", "blocks").union(close.select("a", F.lit(2))).groupBy("doc_id").agg(F.sum("blocks").alias("rows"))
+    sized = groups.join(spent.withColumnRenamed("doc_id", "node"), "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.sum("rows").alias("rows"))
+    sized = sized.withColumn("blocks", n_blocks("size")).where("blocks = 1 or size * blocks <= rows").select("component", "blocks")
+    whole = stored(groups.join(small_or_not(stored(sized, "sized"), broadcast_rows), "component").select(F.col("component").alias("token"), F.col("node").alias("doc_id"), "blocks"), "whole")
+    done = small_or_not(whole.select("doc_id"), broadcast_rows)
+    wide = stored(close.join(done.withColumnRenamed("doc_id", "a"), "a", "left_anti"), "wide")
     by_pair = None if wide.isEmpty() else (
         wide.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInPandas(_verified(percent), "a long, b long")
     )
-    checked = by_group if by_pair is None else by_group.unionByName(by_pair)
-    held = long.groupBy("doc_id").agg(F.collect_list("token").alias("held"))  # a prefix at most
-    n_blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
+    rest = long.join(done, "doc_id", "left_anti")
+    held = rest.groupBy("doc_id").agg(F.collect_list("token").alias("held"))  # a prefix at most
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("p"), F.greatest(k, F.col("own")).alias("q")))
     units = (
-        long.withColumn("blocks", n_blocks).withColumn("own", own)
-        .select("token", "doc_id", "own", F.explode(others).alias("u")).select("token", "doc_id", "own", "u.p", "u.q")
+        rest.join(held, "doc_id").withColumn("whole", F.lit(False))
+        .unionByName(whole.withColumn("held", F.array().cast("array<long>")).withColumn("whole", F.lit(True)))
+        .withColumn("own", own)
+        .select("whole", "token", "doc_id", "held", "own", F.explode(others).alias("u")).select("whole", "token", "doc_id", "held", "own", "u.p", "u.q")
         .withColumn("side", F.when(F.col("p") == F.col("q"), "both").when(F.col("own") == F.col("p"), "left").otherwise("right"))
-        .join(sets.join(held, "doc_id"), "doc_id")
     )
-    blocks = units.groupBy("token", "p", "q").applyInPandas(_block_links(percent), "a long, b long")
-    found = components(checked.unionByName(blocks))
+    units = small_or_not(stored(units, "units"), broadcast_rows)
+    blocks = sets.join(units, "doc_id").groupBy("whole", "token", "p", "q").applyInPandas(_block_links(percent), "a long, b long")
+    checked = blocks if by_pair is None else blocks.unionByName(by_pair)
+    found = components(checked)
     members = heads.join(classes, ["n", "sum", "xor"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     return members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
