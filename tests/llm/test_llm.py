@@ -200,6 +200,22 @@ def test_html_extraction(spark):
     assert {r.page_id: (r.text, r.n_chars) for r in html_paths.extract_pages(pages).collect()} == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+def test_html_extraction_keeps_all_parts_of_an_article():
+    long, short = "A long paragraph, with many words in it; and it goes on. " * 20, "A short one, at the end."
+    item = "An item of a list, which is rather long; as items go, it is. "
+    for inside, want in (
+        (f"<section><p>{long}</p></section><section><p>{short}</p></section>", [long, short]),
+        (f"<h1>Headline</h1><div class=content><p>{long}</p><p>{short}</p></div>", ["Headline", long, short]),
+        (f"<p>{short}</p><ul>{f'<li>{item}</li>' * 30}</ul><p>{short}</p>", [short, *[item] * 30, short]),
+        (f"<h2>Headline</h2><p>{short}</p><blockquote><p>{long}</p></blockquote><p>{short}</p>", ["Headline", short, long, short]),
+    ):
+        for around in ("<article>{}</article>", "<main><div>{}</div></main>", "<div><div>{}</div></div>", "{}"):
+            page = f"<html><body><nav><a href=/>Menu</a></nav>{around.format(inside)}<footer>Legal notes</footer></body></html>"
+            assert html_paths.extract(page) == "\n\n".join(w.strip() for w in want)
+    two = f"<body><main><article><p>{long}</p></article><article><h2>Second</h2><p>{short}</p></article></main></body>"
+    assert html_paths.extract(two) == "\n\n".join((long.strip(), "Second", short))
+
+
 def test_embedding_links_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16))

@@ -3,8 +3,9 @@
 A page becomes blocks of text, each with the tag path from the root to its leaf. Per path the text length and the
 punctuation are summed and divided by the path's number of blocks; both ratios are smoothed over the blocks in page
 order and fused by product. Paths whose fused value reaches a threshold (the mean of the positive values, damped by
-their deviation) are content. The element that holds most of the content text is the article: its blocks are given,
-but for those below clutter (menus, notices, adverts, forms, comments; by tag, role or class words) and lists of links.
+their deviation) are content. The outermost article or main element that holds all content blocks is the article, or
+the whole page if there is none: its blocks are given, headlines and short parts too, but for those below clutter
+(menus, notices, adverts, forms, comments; by tag, role or class words) and lists of links.
 
 Each page stands alone, so the job is one map without a shuffle. Edge cases: null, empty or text-free html gives an
 empty text; unclosed and misnested tags close as browsers close them; rows with a null page_id go, of rows that repeat
@@ -177,20 +178,12 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     paths = content_paths(found) or {b[0] for b in found}
-    weight: dict[int, int] = {}
-    total = 0
-    chain: dict[int, tuple[int, ...]] = {}
-    for path, text, around, linked in found:
-        if path in paths:
-            size = max(1, len(text) - linked)
-            total += size
-            for depth, element in enumerate(around):
-                weight[element] = weight.get(element, 0) + size
-                chain[element] = around[: depth + 1]
-    holders = [e for e, w in weight.items() if w >= 0.6 * total]
-    inner = {b[2][-1] for b in found if b[2]}
-    holders = [e for e in holders if e not in inner or sum(1 for b in found if e in b[2]) > 1] or holders
-    top = max(holders, key=lambda e: (len(chain[e]), e)) if holders else None
+    own = [b for b in found if b[0] in paths]
+    depth = 0
+    while all(len(b[2]) > depth and b[2][depth] == own[0][2][depth] for b in own):
+        depth += 1
+    names = own[0][0].split("/")[:depth]
+    top = next((own[0][2][k] for k, name in enumerate(names) if name in ("article", "main")), None)
     kept = [b for b in found if top is None or top in b[2]]
     kept = [b for b in kept if b[0] in paths or b[3] * 2 <= len(b[1])]
     return "\n\n".join(b[1] for b in kept)
