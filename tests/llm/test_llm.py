@@ -173,6 +173,16 @@ def test_decontamination_finds_planted_items(spark):
     assert decontam.decontaminate(odd_documents(spark), items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_finds_items_of_any_length(spark):
+    around = "Some words stand before. " * 40
+    items = {n: " ".join(f"item{n}word{k}" for k in range(n)) for n in (*range(1, 13), 15, 20, 28)}
+    rows = [(n, f"{around}{t}, {around}") for n, t in items.items()] + [(100 + n, f"{around}{' '.join(t.split()[: n // 2])} {around}") for n, t in items.items()]
+    rows += [(200 + n, around + t.replace(f"item{n}word{n // 2 - 2} ", "changed ") + " " + around) for n, t in items.items() if n >= 15]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontam.decontaminate(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {i: [] if 100 < i < 200 else [i % 100] for i, _ in rows}
+
+
 def test_item_search_equals_full_scoring():
     rng = random.Random(7)
     items = [(i, " ".join(rng.choice(["the", "of", "and", *(f"t{k}" for k in range(80))]) for _ in range(rng.randint(6, 25)))) for i in range(60)]

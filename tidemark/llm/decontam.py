@@ -7,12 +7,15 @@ its length each, so that every item lies whole in one) is scored like WAND does
 many items are the non-essential lists, whose block maxima are summed beforehand as a bound; only the essential lists
 are walked; blocks whose bound stays below the threshold are skipped; the items of the rest are scored in full and all
 at or above it retrieved. A retrieved item is verified by shingles of five words: `overlap` of all and at least
-`part_overlap` of the question's and of the answer's must stand in the passage. The answer is the item's last
-sentence of five words or more, the question what stands before it.
+`part_overlap` of the question's and of the answer's must stand in the passage; or else the same shares of the words
+themselves, with the item laid word by word against one place of the passage: a changed word spoils five shingles, more
+than `overlap` lets go in an item of fewer than 29 words, and parts under five words have no shingle. The answer is the
+item's last sentence of five words or more, the question what stands before it.
 
 The index is broadcast in shards of at most shard_items items, one pass over the documents for each; documents are
-never shuffled. Edge cases: null or empty texts and items match nothing; an item of fewer than five words is one
-shingle; rows with a null id go, of rows that repeat one the least stays.
+never shuffled. Edge cases: null or empty texts and items match nothing; an item of fewer than five words is found by
+its words alone; a word put in or left out of an item of fewer than 24 words hides it; rows with a null id go, of rows
+that repeat one the least stays.
 """
 
 from __future__ import annotations
@@ -42,17 +45,15 @@ def words_of(text: str) -> np.ndarray:
     return word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
 
-def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of the question and of the answer."""
-    words = words_of(text)
+def answer_start(text: str, words: np.ndarray) -> int:
+    """Number of the answer's first word; what stands before it is the question."""
     sentences = [len(words_of(s)) for s in re.split(r"(?<=[.!?])\s+", text)]
     tail = 0
     for n in reversed(sentences):
         tail += n
         if tail >= WIDTH:
             break
-    cut = len(words) - tail if len(words) - tail >= WIDTH else len(words) // 2
-    return np.unique(shingle_hashes(words[:cut], WIDTH)), np.unique(shingle_hashes(words[cut:], WIDTH))
+    return len(words) - tail if len(words) - tail >= WIDTH else len(words) // 2
 
 
 def _expand(start: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,9 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], threshold: float, block: int = 8, common: float = 0.1, k1: float = 1.2, b: float = 0.75):
         items = [(i, t, w) for i, t in items if t and len(w := words_of(t))]
         self.ids = [i for i, _, _ in items]
-        self.parts = [question_and_answer(t) for _, t, _ in items]
+        self.words = [w for _, _, w in items]
+        self.cut = [answer_start(t, w) for _, t, w in items]
+        self.parts = [tuple(np.unique(shingle_hashes(p, WIDTH)) for p in (w[:k], w[k:])) for w, k in zip(self.words, self.cut, strict=True)]
         self.whole = [np.unique(shingle_hashes(w, WIDTH)) for _, _, w in items]
         self.threshold, self.block = threshold, block
         self.n_blocks = -(-len(items) // block)
@@ -155,6 +158,16 @@ def _share(part: np.ndarray, there: np.ndarray) -> float:
     return float(np.isin(part, there).mean()) if len(part) else 1.0
 
 
+def laid(words: np.ndarray, cut: int, passage: np.ndarray, overlap: float, part_overlap: float) -> bool:
+    """Whether at one place of the passage enough of an item's words, and of both its parts, stand word by word."""
+    pad = np.zeros(len(words) - 1, np.uint64)  # an item may hang over either end
+    same = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, passage, pad]), len(words)) == words
+    good = same.mean(1) >= overlap
+    for part in (same[:, :cut], same[:, cut:]):
+        good &= part.mean(1) >= part_overlap if part.shape[1] else True
+    return bool(good.any())
+
+
 def _scan(index, overlap: float, part_overlap: float, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: ItemIndex = index.value
@@ -172,9 +185,10 @@ def _scan(index, overlap: float, part_overlap: float, carry: tuple[str, ...] = (
                 size = np.minimum(start + ix.passage, bounds[owner + 1]) - start
                 for number, item, score in ix.search(words, start, size):
                     own = words[start[number] : start[number] + size[number]]
-                    there = shingle_hashes(own, WIDTH) if len(own) >= WIDTH else np.append(shingle_hashes(own, WIDTH), own[:0])
+                    there = shingle_hashes(own, WIDTH)
                     question, answer = ix.parts[item]
-                    if _share(ix.whole[item], there) >= overlap and min(_share(question, there), _share(answer, there)) >= part_overlap:
+                    shared = _share(ix.whole[item], there) >= overlap and min(_share(question, there), _share(answer, there)) >= part_overlap
+                    if shared or laid(ix.words[item], ix.cut[item], own, overlap, part_overlap):
                         held = hits[first + int(owner[number])]
                         held[ix.ids[item]] = max(score, held.get(ix.ids[item], 0.0))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(h) for h in hits], pa.list_(pa.int64())), pa.array([max(h.values(), default=0.0) for h in hits], pa.float64()), *(batch.column(c) for c in carry)], ["doc_id", "item_ids", "best_score", *carry])
