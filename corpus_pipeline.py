@@ -12,8 +12,8 @@ from tidemark.llm._common import keyed, shared_dir
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ("text", "lang", "source", "n_chars")
-#: Phrases a character above which a text of FOREIGN_CHARS or more is in none of the learned languages.
-FOREIGN_RATE, FOREIGN_CHARS = 0.4, 200
+#: Phrases a character above which a text, one phrase at its end let go, is in none of the learned languages.
+FOREIGN_RATE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs, "doc_id", *COLUMNS)
     model = lang_parse.train(rows.where(~lang_parse.held_out()))
     told = lang_parse.identify(rows, model, COLUMNS)
-    foreign = (F.col("phrase_rate") > FOREIGN_RATE) & (F.length("text") >= FOREIGN_CHARS)
+    parsed = F.length(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    foreign = F.col("phrase_rate") > FOREIGN_RATE + 1 / parsed
     return told.where((F.col("lang_pred") != "und") & ~foreign).select("doc_id", *COLUMNS)
 
 

@@ -266,6 +266,33 @@ def test_language_id(spark):
     assert lang_parse.language_id(empty_documents(spark)).count() == 0
 
 
+def test_language_id_learns_texts_of_every_length_and_script(spark):
+    rng = random.Random(11)
+    scripts = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "hy": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտր", "ka": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხ"}
+    stock = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 9))) for _ in range(60)] for k, v in scripts.items()}
+    size = {"en": 60, "ru": 60, "el": 6, "hy": 60, "ka": 3000}  # words a text: el always short, ka always long
+
+    def told(own):
+        rows = [(i, lang, " ".join(rng.choice(stock[lang]) for _ in range(size[lang]))) for i, lang in enumerate(own)]
+        return spark.createDataFrame(rows, "doc_id long, lang string, text string"), {i: lang for i, lang, _ in rows}
+
+    docs, truth = told([lang for lang in scripts for _ in range(30)])
+    assert {r.doc_id: r.lang_pred for r in lang_parse.language_id(docs).collect()} == truth
+    few, truth = told([lang for lang in ("en", "ru", "hy") for _ in range(30)])
+    model = lang_parse.train(few, alphabet=20)
+    assert {r.doc_id: r.lang_pred for r in lang_parse.identify(few, model).collect()} == truth
+
+
+def test_pipeline_drops_short_foreign_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", *corpus_pipeline.COLUMNS)
+    odd = ["привет как дела", "добрый", "καλημέρα σε όλους", "the house", "and the", "le jour est", "12 34"]
+    short = spark.createDataFrame([(-i, t, None, "s", len(t)) for i, t in enumerate(odd, 1)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(short), None).select("doc_id").collect()}
+    assert [i for i in range(1, 8) if -i in kept] == [4, 5, 6]
+
+
 def test_quality_model_sums_to_one_and_keeps_clean_text(spark):
     docs, marks = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = {r.doc_id: r.keep for r in kn_quality.quality(docs, marks).collect()}

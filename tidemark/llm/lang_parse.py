@@ -6,9 +6,10 @@ phrases, normalised by the text's length, wins. The automaton is kept as one den
 a parse is one table look-up a character, done for many texts at once. Texts are parsed in pieces of PIECE characters,
 all of them; a piece boundary ends a phrase in every language alike.
 
-Training reads at most `rows_per_language` labelled texts of each language (by a hash of their id) and of these whole
-texts up to `chars_per_language` characters. Character classes: the most frequent letters, after lower-casing, of the
-training text; other letters are one class; runs of anything else are one space.
+Training reads at most `rows_per_language` labelled texts of each language (by a hash of their id), of a text longer
+than `window` characters a window from its middle, and of these as many as fit in `chars_per_language` characters.
+Character classes: the `alphabet` most frequent letters, after lower-casing, of each language's own training text;
+other letters are dealt by code point into OTHERS classes; runs of anything else are one space.
 
 Edge cases: a null text, or one without a letter, is 'und' with score 0; equal counts go to the first language in
 order; without training rows all texts are 'und'; rows with a null id go, of rows that repeat an id the least stays.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import keyed
 
 PIECE = 2048
+OTHERS = 16
 
 
 class SuffixAutomaton:
@@ -98,15 +100,19 @@ class SuffixAutomaton:
 
 
 class Model:
-    """Automata of all languages over one alphabet."""
+    """Automata of all languages, each over its own alphabet."""
 
     def __init__(self, texts: dict[str, list[str]], chars: int, alphabet: int = 60):
-        joined = {lang: self._whole(own, chars) for lang, own in sorted(texts.items())}
-        often = Counter(c for t in joined.values() for c in t if c.isalpha())
-        self.kinds = sorted(c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:alphabet])
-        self.n = len(self.kinds) + 2
-        self.points = np.array([ord(c) for c in self.kinds], np.uint32)
-        self.automata = {lang: SuffixAutomaton(self._run_free(t), self.n) for lang, t in joined.items() if t}
+        self.points: dict[str, np.ndarray] = {}
+        self.automata: dict[str, SuffixAutomaton] = {}
+        for lang, own in sorted(texts.items()):
+            text = self._whole(own, chars)
+            often = Counter(c for c in text if c.isalpha())
+            kinds = sorted(c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:alphabet])
+            if text:
+                self.points[lang] = np.array([ord(c) for c in kinds], np.uint32)
+                points, letter = self._run_free(text)
+                self.automata[lang] = SuffixAutomaton(self.symbols(lang, points, letter).tolist(), len(kinds) + OTHERS + 1)
 
     @staticmethod
     def _whole(own: list[str], chars: int) -> str:
@@ -118,19 +124,21 @@ class Model:
             size += len(t)
         return "\n".join(out)
 
-    def symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(class, whether a letter) of each character; text is in lower case."""
+    def symbols(self, lang: str, points: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Class, in one language's alphabet, of each code point."""
+        kinds = self.points[lang]
+        out = len(kinds) + 1 + points.astype(np.int64) % OTHERS
+        if len(kinds):
+            at = np.minimum(np.searchsorted(kinds, points), len(kinds) - 1)
+            out = np.where(kinds[at] == points, at, out)
+        return np.where(letter, out, len(kinds)).astype(np.int32)
+
+    def _run_free(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.minimum(np.searchsorted(self.points, points), max(0, len(self.points) - 1))
-        out = np.where(self.points[at] == points, at, self.n - 1) if len(self.points) else np.full(len(points), self.n - 1)
         letter = self._letters()[np.minimum(points, 0x10FFFF)]
-        return np.where(letter, out, self.n - 2), letter
-
-    def _run_free(self, text: str) -> list[int]:
-        got, letter = self.symbols(text)
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        return got[keep].tolist()
+        return points[keep], letter[keep]
 
     @staticmethod
     def _letters() -> np.ndarray:
@@ -143,13 +151,14 @@ class Model:
         """(language, score, normalised phrases a character) of each text."""
         low = [(t or "").lower() for t in texts]
         size = np.array([len(t) for t in low], np.int64)
-        symbols, letters = self.symbols("".join(low))
+        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = self._letters()[np.minimum(points, 0x10FFFF)]
         ends = np.cumsum(size)
         keep = letters.copy()
         keep[1:] |= letters[:-1]  # the first of each run of others
         kept = np.concatenate([[0], np.cumsum(keep)])
         size = kept[ends] - kept[ends - size]
-        symbols, letters, ends = symbols[keep], letters[keep], np.cumsum(size)
+        points, letters, ends = points[keep], letters[keep], np.cumsum(size)
         has = np.concatenate([[0], np.cumsum(letters)])
         lettered = has[ends] - has[ends - size] > 0
         pieces = -(-size // PIECE)
@@ -160,7 +169,7 @@ class Model:
         names = list(self.automata)
         if not names:
             return ["und"] * len(low), [0.0] * len(low), [0.0] * len(low)
-        need = np.stack([np.bincount(owner, a.phrases(symbols, start, width), minlength=len(low)) for a in self.automata.values()], 1)
+        need = np.stack([np.bincount(owner, a.phrases(self.symbols(k, points, letters), start, width), minlength=len(low)) for k, a in self.automata.items()], 1)
         # h = phrases * log2(n) / n bits a character, a cross-entropy estimate
         bits = need * np.log2(np.maximum(size, 2))[:, None] / np.maximum(size, 1)[:, None]
         best = bits.argmin(1)
@@ -173,23 +182,24 @@ class Model:
 _LETTERS = None
 
 
-def train(labelled: DataFrame, rows_per_language: int = 400, chars_per_language: int = 60_000) -> Model:
+def train(labelled: DataFrame, rows_per_language: int = 400, chars_per_language: int = 60_000, window: int = 4000, alphabet: int = 60) -> Model:
     """Fit on (doc_id, text, lang) rows with neither null: a bounded sample by hash, collected and fitted here."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    light = rows.select("doc_id", "lang", F.length("text").alias("n")).where((F.col("n") >= 200) & (F.col("n") <= 4000))
+    light = rows.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
     # Hash ranges thin the rows before the window, so that no language's rows meet in one task.
     counts = {r.lang: r.n for r in light.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Model({}, chars_per_language)
+        return Model({}, chars_per_language, alphabet)
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1 << 20, 4 * rows_per_language * (1 << 20) // max(1, n)))) for k, n in counts.items()])
     chosen = light.where(slot <= share).select("doc_id", "lang", nth.alias("k")).where(F.col("k") <= rows_per_language).select("doc_id")
-    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").collect()  # at most rows_per_language texts of 4,000 characters a language
+    middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - window) / 2).cast("int") + 1), F.lit(window))
+    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", middle.alias("text"), "lang").collect()  # at most rows_per_language texts of `window` characters a language
     texts: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: str(r.doc_id)):
         texts.setdefault(r.lang, []).append(r.text)
-    return Model(texts, chars_per_language)
+    return Model(texts, chars_per_language, alphabet)
 
 
 def held_out() -> F.Column:
