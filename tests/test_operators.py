@@ -2,7 +2,9 @@
 
 import random
 
-from tidemark.operators import intervals, ranking, series
+from pyspark.sql import functions as F
+
+from tidemark.operators import intervals, ranking, series, text
 
 
 def test_bucketed_join_equals_nested_loops(spark):
@@ -35,3 +37,17 @@ def test_planted_bursts_are_found(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "source int, sec long, rms double")
     assert series.spike_runs(none).count() == series.silence_runs(none).count() == 0
+
+
+def test_corpus_joins_only_texts_before_the_limit(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice(["", None, "x" * rng.randrange(40)])) for i in range(400)]
+    rows += [(None, "a", "no id"), (7, "b", "twice"), (7, "b", "again"), (900, "c", "y" * 500), (901, "d", None)] + [(1000 + i, "hot", f"{i:04}" * 5) for i in range(3000)]
+    rng.shuffle(rows)
+    want = {}
+    for i, k, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2] or "")):
+        want.setdefault(k, []).extend([] if t is None else [t])
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.source: r.corpus for r in text.corpus_build(docs, 100, 4).collect()} == {k: "\n".join(v)[:100] for k, v in want.items()}
+    monkeypatch.setattr(text, "joined", lambda *_: F.count("*").cast("string"))  # how many texts meet in a source's group
+    assert text.corpus_build(docs, 100, 4).where("source = 'hot'").first().corpus == "5"

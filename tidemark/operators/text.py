@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import joined, over, words_pattern
+from tidemark.functions.ordered import earlier, joined, over, words_pattern
 
 
 def filler_kill(moments: DataFrame, phrases: list[str]) -> DataFrame:
@@ -48,9 +48,26 @@ def html_to_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.trim(x).alias("text"))
 
 
-def corpus_build(documents: DataFrame, limit: int = 24_000) -> DataFrame:
-    """(source, corpus): a source's texts in order, cut at the limit."""
-    return documents.groupBy("source").agg(joined(["doc_id"], "text", "\n").alias("corpus")).select("source", F.substring("corpus", 1, limit).alias("corpus"))
+def corpus_build(documents: DataFrame, limit: int = 24_000, salts: int = 64) -> DataFrame:
+    """(source, corpus): a source's texts in order, cut at the limit.
+
+    Ids and lengths alone tell which texts stand before the limit, first in `salts` parts of a source, then in it; only those texts meet.
+    """
+
+    def before_limit(rows: DataFrame, *keys: str, by: list[str]) -> DataFrame:
+        before = F.coalesce(F.sum("n").over(earlier(*keys, by=by)), F.lit(0))
+        return rows.withColumn("before", before).where(F.col("before") < limit).drop("before")
+
+    texts = documents.where("text is not null").select("source", "doc_id", "text")
+    size = (F.length("text") + 1).cast("long").alias("n")
+    narrow = texts.select("source", "doc_id", size, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+    first = before_limit(before_limit(narrow, "source", "salt", by=["doc_id"]), "source", by=["doc_id"])
+    chosen = first.select(F.col("source").alias("s"), F.col("doc_id").alias("d")).distinct()
+    own = texts.join(chosen, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    own = before_limit(own.select("source", "doc_id", size, F.substring("text", 1, limit).alias("text")), "source", by=["doc_id", "text"])
+    corpora = own.groupBy(F.col("source").alias("s")).agg(F.substring(joined(["doc_id"], "text", "\n"), 1, limit).alias("corpus"))
+    sources = documents.select("source").distinct()  # one without any text too
+    return sources.join(corpora, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.coalesce("corpus", F.lit("")).alias("corpus"))
 
 
 def dictionary_language_vote(documents: DataFrame, stop_words: DataFrame, least: int = 8) -> DataFrame:
