@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +19,13 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only on a local master that names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -34,9 +40,34 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows; otherwise as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def small_or_not(df: DataFrame, most_bytes: int) -> DataFrame:
+    """df with a broadcast hint if its rows come to at most that many bytes; else as it is, to be joined by shuffle.
+
+    A column counts 16 bytes, arrays 8 more for each entry, strings and binaries their length.
+    """
+    widths = [16 + (8 * F.greatest(F.size(c), F.lit(0)) if f.dataType.typeName() == "array" else F.octet_length(c) if f.dataType.typeName() in ("string", "binary") else F.lit(0)) for c, f in zip(df.columns, df.schema, strict=True)]
+    total = df.agg(F.sum(F.coalesce(functools.reduce(lambda x, y: x + y, widths), F.lit(16)).cast("long"))).first()[0]
+    return F.broadcast(df) if (total or 0) <= most_bytes else df
+
+
+def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Let Arrow batches to and from Python workers hold some megabytes of text, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, handing freed memory back to the system when a task ends: Python workers live on from stage to stage."""
+
+    def told(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return told
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -51,6 +82,7 @@ def keyed(df: DataFrame, key: str, *names: str) -> DataFrame:
     Rows with a null key can't be referred to and go. Of rows that repeat a key the least stays (nulls first); the
     check reads the key column alone, and the texts are shuffled only when it finds a repeat.
     """
+    bounded_batches(df.sparkSession)
     rows = pick(df, key, *names).where(F.col(key).isNotNull())
     if rows.groupBy(key).count().where("count > 1").isEmpty():
         return rows
@@ -59,7 +91,7 @@ def keyed(df: DataFrame, key: str, *names: str) -> DataFrame:
     return got.select(key, *[F.col("_r").getField(f"col{i + 1}").getField(n).alias(n) for i, n in enumerate(names)])
 
 
-def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about max_bytes; a longer text is a run by itself. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -129,6 +161,28 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_TAILS = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, long: int = 64) -> np.ndarray:
+    """Hash of each span: eight bytes a step, each step a bijection of what it adds; above `long` bytes by BLAKE2b."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * BASE)
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    at = np.flatnonzero(size <= long)
+    done = 0
+    while len(at):
+        lane = lanes[start[at] + done].view("<u8").ravel()
+        left = size[at] - done
+        lane = np.where(left < 8, lane & _TAILS[np.minimum(left, 7)], lane)
+        out[at] = mix(out[at] * BASE ^ lane)
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; and each text's first word number."""
     n = len(data)
@@ -147,7 +201,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[-1] = True
     after[:-1] = ~solid[1:]
     end = np.flatnonzero(solid & (after | cut[1:])) + 1
-    return SpanHash(low).of(start, end), start, end, np.searchsorted(start, offsets)
+    return _hashed(low, start, end), start, end, np.searchsorted(start, offsets)
 
 
 _COEFF = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import stored
+from tidemark.llm._common import lean, stored
 
 
 def forest(a: list[int], b: list[int]) -> dict[int, int]:
@@ -30,6 +30,7 @@ def forest(a: list[int], b: list[int]) -> dict[int, int]:
     return {x: root(x) for x in up}
 
 
+@lean
 def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The edges of each batch, replaced by stars that span the same components."""
     for batch in batches:

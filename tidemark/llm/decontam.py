@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, shingle_hashes, text_slices, word_hashes
+from tidemark.llm._common import keyed, lean, shingle_hashes, text_slices, word_hashes
 
 WIDTH = 5
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -169,6 +169,7 @@ def laid(words: np.ndarray, cut: int, passage: np.ndarray, overlap: float, part_
 
 
 def _scan(index, overlap: float, part_overlap: float, carry: tuple[str, ...] = ()):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: ItemIndex = index.value
         step = ix.passage // 2

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemark.llm._common import keyed
+from tidemark.llm._common import keyed, lean
 
 # Fixed values of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -189,6 +189,7 @@ def extract(page: str | None) -> str:
     return "\n\n".join(b[1] for b in kept)
 
 
+@lean
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         text = [extract(x) for x in batch.html]

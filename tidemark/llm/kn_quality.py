@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, stored
+from tidemark.llm._common import keyed, lean, stored
 
 BITS = 12
 _TOP = (1 << BITS) - 1
@@ -60,6 +60,7 @@ def _runs(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list[
 
 
 def _counted(order: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list] = {}
         size = 0
@@ -168,6 +169,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = 5, broadcast_ro
         rows = model.toArrow().to_pandas()
         shared = docs.sparkSession.sparkContext.broadcast({lang: Model(own, order) for lang, own in rows.groupby("lang")})
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield from scored(batch.column("doc_id"), batch.column("lang").to_pylist(), batch.column("text"), shared.value)

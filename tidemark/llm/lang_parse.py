@@ -2,8 +2,8 @@
 
 For each language a suffix automaton is built over labelled text. A text is parsed against it into phrases, each the
 longest string from where the last one ended that occurs in that language's text; the language that needs the fewest
-phrases, normalised by the text's length, wins. The automaton is kept as one dense table (state by character class), so
-a parse is one table look-up a character, done for many texts at once. Texts are parsed in pieces of PIECE characters,
+phrases, normalised by the text's length, wins. The automaton's transitions lie in a double array (rows of all states laid
+into one another), some eight bytes each, so a parse is one look-up a character, done for many texts at once. Texts are parsed in pieces of PIECE characters,
 all of them; a piece boundary ends a phrase in every language alike.
 
 Training reads at most `rows_per_language` labelled texts of each language (by a hash of their id), of a text longer
@@ -25,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed
+from tidemark.llm._common import keyed, lean
 
 PIECE = 2048
 OTHERS = 16
 
 
 class SuffixAutomaton:
-    """States and transitions of all substrings of a sequence of small integers; tables[state, symbol] is -1 for none."""
+    """States and transitions of all substrings of a sequence of small integers.
+
+    A state's transition by symbol c lies at base[state] + c, if owner there is the state.
+    """
 
     def __init__(self, symbols: list[int], n_symbols: int):
         steps: list[dict[int, int]] = [{}]
@@ -61,35 +64,61 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.table = np.full((len(steps), n_symbols), -1, np.int32)
-        for s, row in enumerate(steps):
-            for c, t in row.items():
-                self.table[s, c] = t
-
-    def __getstate__(self) -> tuple:
-        """The transitions that exist: the dense table is some fifty times as large."""
-        at = np.flatnonzero(self.table.ravel() >= 0)
-        return self.table.shape, at.astype(np.int64), self.table.ravel()[at]
-
-    def __setstate__(self, state: tuple) -> None:
-        shape, at, to = state
-        self.table = np.full(shape, -1, np.int32)
-        self.table.ravel()[at] = to
+        self._lay(steps, n_symbols)
+
+    def _lay(self, steps: list[dict[int, int]], width: int) -> None:
+        """First fit: states of many transitions first, those of one fill what is left."""
+        total = sum(map(len, steps))
+        used = np.zeros(2 * total + 4 * width + 64, bool)
+        used[:width] = True  # below, so that base + symbol is never negative
+        self.base = np.zeros(len(steps), np.int32)
+        low = width
+        for s in sorted((s for s, row in enumerate(steps) if len(row) > 1), key=lambda s: (-len(steps[s]), s)):
+            own = np.array(sorted(steps[s]))
+            at, span = low, 64
+            while True:
+                if at + span + 2 * width > len(used):
+                    used = np.concatenate([used, np.zeros(len(used) + span + 2 * width, bool)])
+                free = np.flatnonzero(~used[at : at + span]) + at
+                fits = free[~used[(free - own[0])[:, None] + own].any(1)] if len(free) else free
+                if len(fits):
+                    break
+                at, span = at + span, 2 * span
+            self.base[s] = fits[0] - own[0]
+            used[self.base[s] + own] = True
+            low = max(low, at - 256)  # holes further down are left to states of one transition
+            while used[low]:
+                low += 1
+        single = [s for s, row in enumerate(steps) if len(row) == 1]
+        free = np.flatnonzero(~used)[: len(single)]
+        free = np.concatenate([free, len(used) + np.arange(len(single) - len(free))])
+        self.base[single] = free - [next(iter(steps[s])) for s in single]
+        state = np.repeat(np.arange(len(steps), dtype=np.int32), [len(row) for row in steps])
+        at = self.base[state] + np.fromiter((c for row in steps for c in row), np.int32, total)
+        self.owner = np.full(int(at.max(initial=0)) + 2 * width + 1, -1, np.int32)
+        self.target = np.full(len(self.owner), -1, np.int32)
+        self.owner[at], self.target[at] = state, np.fromiter((t for row in steps for t in row.values()), np.int32, total)
+        self.root = self.step(np.zeros(width, np.int32), np.arange(width))
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The state after each symbol, -1 for none."""
+        at = self.base[state] + symbol
+        return np.where(self.owner[at] == state, self.target[at], -1)
 
     def phrases(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Phrases that each piece symbols[start : start + size] is parsed into."""
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
         state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
-        unknown = self.table[0] < 0  # such a symbol is a phrase by itself
+        unknown = self.root < 0  # such a symbol is a phrase by itself
         ended = np.ones(len(size), bool)
-        flat, width, root = self.table.ravel(), self.table.shape[1], np.maximum(self.table[0], 0)
+        root = np.maximum(self.root, 0)
         live = len(size)
         for k in range(int(size[0]) if live else 0):
             while live and size[live - 1] <= k:
                 live -= 1
             c = symbols[start[:live] + k]
-            to = flat[state[:live].astype(np.int64) * width + c]
+            to = self.step(state[:live], c)
             new = ended[:live] | (to < 0)
             count[:live] += new
             state[:live] = np.where(new, root[c], to)
@@ -212,13 +241,14 @@ def identify(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) ->
     docs = keyed(documents, "doc_id", *dict.fromkeys(("text", *carry)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             at = 0
             while at < len(batch):
                 held, size = [], 0
-                while at + len(held) < len(batch) and size < 2_000_000:
+                while at + len(held) < len(batch) and size < 400_000:
                     held.append(texts[at + len(held)].as_py())
                     size += len(held[-1] or "")
                 lang, score, rate = shared.value.predict(held)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, packed, shingle_hashes, small_or_not, stored, text_slices, word_hashes
+from tidemark.llm._common import keyed, lean, packed, shingle_hashes, small_or_not, stored, text_slices, word_hashes
 from tidemark.llm._components import components, forest
 
 
@@ -100,6 +100,7 @@ class BlockIndex:
 
 
 def _frequent_in(width: int, least: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -112,7 +113,7 @@ def _frequent_in(width: int, least: int):
             for s in shingle_sets(batch.column("text"), width):
                 held.append(s)
                 size += len(s)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield told()
                     held, size = [], 0
         if held:
@@ -134,6 +135,7 @@ def frequent_shingles(docs: DataFrame, width: int, at_least: int = 64, most: int
 
 
 def _prefixes(width: int, percent: int, frequent):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
@@ -153,6 +155,7 @@ def _prefixes(width: int, percent: int, frequent):
 
 
 def _set_rows(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([packed(s) for s in shingle_sets(batch.column("text"), width)], pa.binary())
@@ -185,6 +188,7 @@ def overlap_bound(x: bytes, n: int, y: bytes, m: int) -> int:
 
 
 def _close(percent: int):
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept = [overlap_bound(x, n, y, m) >= least_overlap(n, m, percent) for x, n, y, m in zip(batch.x, batch.na, batch.y, batch.nb, strict=True)]
@@ -194,6 +198,7 @@ def _close(percent: int):
 
 
 def _verified(percent: int):
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.x, batch.y, strict=True)]
@@ -237,12 +242,12 @@ def _block_links(percent: int, most_marks: int = 64):
     return run
 
 
-def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 128, block: int = 512, frequent_df: int = 64, broadcast_rows: int = 2_000_000) -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 128, block: int = 512, frequent_df: int = 64, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id is the least doc_id reachable by links.
 
     short_list: entries up to which an inverted list is merged pair by pair; longer ones are searched in blocks of
-    about `block` documents. broadcast_rows: narrow rows (shared shingles, ids to verify) up to which they are
-    broadcast, more are joined by shuffle. None changes the result.
+    about `block` documents. broadcast_bytes: size of narrow rows (shared shingles, ids to verify) up to which they
+    are broadcast, more are joined by shuffle. None changes the result.
     """
     docs = keyed(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     context = docs.sparkSession.sparkContext
@@ -250,13 +255,13 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     heads = stored(docs.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n long, sum long, xor long, prefix array<long>, bits binary"), "prefixes")
 
     classes = stored(heads.where("n > 0").groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = small_or_not(classes.select(F.col("rep").alias("doc_id")), broadcast_rows)
+    reps = small_or_not(classes.select(F.col("rep").alias("doc_id")), broadcast_bytes)
     entries = (
         heads.join(reps, "doc_id", "left_semi")
         .select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     )
     shared = stored(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    lists = stored(entries.join(small_or_not(shared, broadcast_rows), "token"), "lists")
+    lists = stored(entries.join(small_or_not(shared, broadcast_bytes), "token"), "lists")
 
     short = lists.where(F.col("df") <= short_list)
     x, y = (short.select("token", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("pos").alias(f"p{d}")) for d in "ab")
@@ -276,16 +281,16 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     # Documents that hang together by what is left, or by long lists, are a group; linked ones are in one.
     n_blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
     long = lists.where(F.col("df") > short_list).select("token", "doc_id", n_blocks("df").alias("blocks"))
-    tops = small_or_not(stored(long.groupBy("token").agg(F.min("doc_id").alias("b")), "tops"), broadcast_rows)
+    tops = small_or_not(stored(long.groupBy("token").agg(F.min("doc_id").alias("b")), "tops"), broadcast_bytes)
     groups = stored(components(close.unionByName(long.join(tops, "token").select(F.col("doc_id").alias("a"), "b"))), "groups")
-    sets = stored(docs.join(small_or_not(groups.select(F.col("node").alias("doc_id")), broadcast_rows), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens binary"), "sets")
+    sets = stored(docs.join(small_or_not(groups.select(F.col("node").alias("doc_id")), broadcast_bytes), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens binary"), "sets")
 
     # A group is searched whole, in blocks, where that ships no more sets than its pairs and long lists would.
     spent = long.select("doc_id", "blocks").union(close.select("a", F.lit(2))).groupBy("doc_id").agg(F.sum("blocks").alias("rows"))
     sized = groups.join(spent.withColumnRenamed("doc_id", "node"), "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.sum("rows").alias("rows"))
     sized = sized.withColumn("blocks", n_blocks("size")).where("blocks = 1 or size * blocks <= rows").select("component", "blocks")
-    whole = stored(groups.join(small_or_not(stored(sized, "sized"), broadcast_rows), "component").select(F.col("component").alias("token"), F.col("node").alias("doc_id"), "blocks"), "whole")
-    done = small_or_not(whole.select("doc_id"), broadcast_rows)
+    whole = stored(groups.join(small_or_not(stored(sized, "sized"), broadcast_bytes), "component").select(F.col("component").alias("token"), F.col("node").alias("doc_id"), "blocks"), "whole")
+    done = small_or_not(whole.select("doc_id"), broadcast_bytes)
     wide = stored(close.join(done.withColumnRenamed("doc_id", "a"), "a", "left_anti"), "wide")
     by_pair = None if wide.isEmpty() else (
         wide.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
@@ -304,7 +309,7 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
         .select("whole", "token", "doc_id", "held", "own", F.explode(others).alias("u")).select("whole", "token", "doc_id", "held", "own", "u.p", "u.q")
         .withColumn("side", F.when(F.col("p") == F.col("q"), "both").when(F.col("own") == F.col("p"), "left").otherwise("right"))
     )
-    units = small_or_not(stored(units, "units"), broadcast_rows)
+    units = small_or_not(stored(units, "units"), broadcast_bytes)
     blocks = sets.join(units, "doc_id").groupBy("whole", "token", "p", "q").applyInPandas(_block_links(percent), "a long, b long")
     checked = blocks if by_pair is None else blocks.unionByName(by_pair)
     found = components(checked)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, packed, stored
+from tidemark.llm._common import keyed, lean, packed, stored
 from tidemark.llm._components import components, forest
 
 
@@ -93,6 +93,7 @@ def _units(raw: list[bytes]) -> np.ndarray:
 def _deal(models, radius: float):
     """One row for each list a vector is of use in; its own one with code and code error."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (label, size), own in batch.groupby([batch.label, batch.raw.map(len)]):
@@ -159,6 +160,7 @@ def embedding_links(embeddings: DataFrame, cosine: float = 0.93, sample: int = 4
     good = rows.where(F.col("label").isNotNull() & sound)
     as_bytes = "vec_id long, label long, raw binary"
 
+    @lean
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = []

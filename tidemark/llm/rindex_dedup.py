@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import SpanHash, keyed, packed, stored, text_slices
+from tidemark.llm._common import keyed, lean, packed, stored, text_slices, SpanHash
 
 GRAM = 32
 _POS = np.uint64((1 << 28) - 1)
@@ -156,6 +156,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _frequent(length: int, least: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in text_slices(batch.column("text")):
@@ -242,6 +243,7 @@ def _cut(length: int, buckets: int, frequent):
             columns[column] = blobs
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         frags, wins, size = [], [], 0
@@ -281,6 +283,7 @@ def _cut(length: int, buckets: int, frequent):
 
 
 def _copies(length: int, buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frags, wins = [np.zeros((5, 0), np.int64)], [np.zeros((3, 0), np.int64)]
         for batch in batches:
@@ -317,6 +320,7 @@ def _copies(length: int, buckets: int):
 
 
 def _fetch(length: int, buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -346,6 +350,7 @@ def _mark(length: int, text_bytes: int = 1 << 18):
         doc, start = np.repeat([r[1] for r in rows], many)[hit], (np.repeat([r[2] for r in rows], many) + inside)[hit]
         return _merged(doc.astype(np.int64), start, start + length)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if len(b)]
         if not tables:
@@ -366,6 +371,7 @@ def _mark(length: int, text_bytes: int = 1 << 18):
 
 
 def _kept(keep_text: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm._common import keyed
+from tidemark.llm._common import keyed, lean
 
 MARK = "▁"
 LONG = 400
@@ -302,6 +302,7 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids) of each document, with begin and end ids."""
     model = documents.sparkSession.sparkContext.broadcast(read_model(model_path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value)
         for batch in batches:
@@ -319,6 +320,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give an empty text, ids outside the vocabulary an error."""
     model = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value)
         for batch in batches:
@@ -335,6 +337,7 @@ def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, then its ids decoded, in one pass."""
     model = documents.sparkSession.sparkContext.broadcast(read_model(model_path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value)
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, text_slices, word_hashes
+from tidemark.llm._common import keyed, lean, text_slices, word_hashes
 from tidemark.llm.decontam import plain, words_of
 
 # Word lists of the weakly labelled categories.
@@ -127,6 +127,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 8000, categorie
     share = min(1 << 20, int(1.2 * sample * (1 << 20) / max(1, n)))
     chosen = told.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([s.tobytes() for s in _word_sets(batch.column("text"))], pa.binary())
@@ -145,6 +146,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, sa
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.names]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = shared.value.predict(list(_word_sets(batch.column("text"))))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, shared_dir, stored
+from tidemark.llm._common import keyed, lean, shared_dir, stored
 
 _PIECE = 1 << 18
 
@@ -107,6 +107,7 @@ _RAW = "file string, seq long, page_id long, digest string, size long"
 
 
 def _capture(folder: str, file_bytes: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         system, root = _file_system(folder)
         out = engine = None
@@ -171,6 +172,7 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def _read(folder: str, with_payload: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _file_system(folder)
         opened = (None, None)
