@@ -91,6 +91,26 @@ def keyed(df: DataFrame, key: str, *names: str) -> DataFrame:
     return got.select(key, *[F.col("_r").getField(f"col{i + 1}").getField(n).alias(n) for i, n in enumerate(names)])
 
 
+def runs_by_key(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows of a sorted partition that agree in the (integer) key columns, one table a key."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = tuple(key[a].tolist())
+            if held and own != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_slices(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about max_bytes; a longer text is a run by itself. Null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,10 +7,14 @@ shingles, and linked documents meet in one of them.
 
 * Short lists are merged: Spark joins their entries, counts what each pair shares, and drops pairs whose count and
   list positions, or whose bitmaps (a bit or two a shingle), rule T out.
-* Long lists are never expanded into pairs. What hangs together by pairs or long lists is a group; groups (or long
-  lists, where these ship less) are cut into blocks. A task holds two blocks, merges the short lists of its own
-  inverted index, keeps documents found T - L times, binary-probes the L long lists for the rest, and returns edges
+* Long lists are never expanded into pairs. What hangs together by pairs or long lists is a group; a group (or a long
+  list, where that ships less) is searched as a whole: a task holds a block of documents, merges the short lists of its
+  own inverted index, keeps documents found T - L times, binary-probes the L long lists for the rest, and returns edges
   that span what it linked.
+* What is larger than a block is dealt by set size into levels, of which only neighbours can link. Each document is
+  first compared with a few pivots of its own and the neighbouring levels. Documents that pivots link to the group's
+  largest component need no search among themselves: only the others are searched for, in all blocks of the levels
+  near them. So a large group of near copies costs a few comparisons a document, not a search of all by all.
 
 Edge cases: a null or blank text has the empty set (n_shingles 0) and links with nothing; fewer words than the width
 are one shingle; rows with a null doc_id go, of rows that repeat a doc_id the least text stays.
@@ -18,6 +22,7 @@ are one shingle; rows with a null doc_id go, of rows that repeat a doc_id the le
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, lean, packed, shingle_hashes, small_or_not, stored, text_slices, word_hashes
+from tidemark.llm._common import keyed, lean, packed, runs_by_key, shingle_hashes, small_or_not, stored, text_slices, word_hashes
 from tidemark.llm._components import components, forest
 
 
@@ -158,8 +163,9 @@ def _set_rows(width: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([packed(s) for s in shingle_sets(batch.column("text"), width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "tokens"])
+            sets = [packed(s) for s in shingle_sets(batch.column("text"), width)]
+            n = pa.array([len(x) // 8 for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("token"), n, pa.array(sets, pa.binary())], ["doc_id", "token", "n", "tokens"])
 
     return run
 
@@ -207,47 +213,93 @@ def _verified(percent: int):
     return run
 
 
-def _block_links(percent: int, most_marks: int = 64):
-    """Search of one block against another, of a whole group or under one long-list shingle.
+def _block_links(percent: int):
+    """Edges that span what each unit's queries are linked to among its members."""
 
-    A pair that also shares a smaller long-list shingle is left to that one: documents are told apart by the smaller
-    ones they hold (their mark), and each mark searches only what holds none of them.
-    """
-
-    def run(unit: pd.DataFrame) -> pd.DataFrame:
-        token = unit.token.iloc[0]
-        marks = [frozenset(x for x in held if x < token) for held in unit.held]
-        right = unit.side.isin(("right", "both")).to_numpy()
-        left = unit.side.isin(("left", "both")).to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in unit.tokens]
-        ids = unit.doc_id.to_numpy()
-        by_mark: dict[frozenset, list[int]] = {}
-        for i in np.flatnonzero(left).tolist():
-            by_mark.setdefault(marks[i], []).append(i)
-        if len(by_mark) > most_marks:
-            by_mark = {frozenset(): [i for own in by_mark.values() for i in own]}
-        a, b = [], []
-        for mark, queries in by_mark.items():
-            among = [i for i in np.flatnonzero(right).tolist() if not mark & marks[i]]
-            if not among:
-                continue
-            index, names = BlockIndex([sets[i] for i in among]), ids[among]
-            for i in queries:
-                found = names[index.search(sets[i], percent)]
-                a += [int(ids[i])] * len(found)
-                b += found.tolist()
-        star = {x: r for x, r in forest(a, b).items() if x != r}
-        return pd.DataFrame({"a": list(star.keys()), "b": list(star.values())}, dtype="int64")
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in runs_by_key(batches, "kind", "token", "block", "part"):
+            ids = unit.column("doc_id").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in unit.column("tokens").to_pylist()]
+            among, queries = (np.flatnonzero(unit.column(c).to_numpy()) for c in ("member", "query"))
+            a, b = [], []
+            if len(ids) == 2 and len(among) == 2:
+                if linked(*sets, percent):
+                    a, b = [int(ids[0])], [int(ids[1])]
+            elif len(among) and len(queries):
+                index, names = BlockIndex([sets[i] for i in among]), ids[among]
+                for i in queries.tolist():
+                    found = names[index.search(sets[i], percent)]
+                    a += [int(ids[i])] * len(found)
+                    b += found.tolist()
+            star = {x: r for x, r in forest(a, b).items() if x != r}
+            yield pa.RecordBatch.from_arrays([pa.array(star.keys(), pa.int64()), pa.array(star.values(), pa.int64())], ["a", "b"])
 
     return run
 
 
-def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 128, block: int = 512, frequent_df: int = 64, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def _searched(members: DataFrame, percent: int, block: int, pivots: int, broadcast_bytes: int) -> DataFrame:
+    """Edges (a, b) that span the links among the members (kind, token, doc_id, n, tokens) of each (kind, token)."""
+    unit = ["kind", "token"]
+    sizes = stored(members.groupBy(*unit).agg(F.count("*").alias("size")), "sizes")
+    few = sizes.where(F.col("size") <= block).select(*unit)
+    many = sizes.where(F.col("size") > block).select(*unit)
+    nothing = [F.lit(0).cast("long").alias("block"), F.lit(0).alias("part"), "doc_id"]
+
+    def found(units: DataFrame) -> DataFrame:
+        dealt = units.repartition("kind", "token", "block", "part").sortWithinPartitions("kind", "token", "block", "part")
+        return dealt.mapInArrow(_block_links(percent), "a long, b long")
+
+    large = many.limit(1).count() > 0
+    small = members.join(small_or_not(many, broadcast_bytes), unit, "left_anti") if large else members
+    edges = found(small.select(*unit, *nothing, F.lit(True).alias("member"), F.lit(True).alias("query"), "tokens"))
+    if not large:
+        return edges
+
+    width = max(math.log(100 / percent), 0.0) + 1e-9
+    level = F.floor(F.log("n") / width)
+    rows = stored(members.join(small_or_not(many, broadcast_bytes), unit).withColumn("level", level), "large")
+    near = F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])).alias("level")
+    lots = [F.xxhash64("doc_id", F.lit(k)) for k in range(pivots)]
+    drawn = rows.groupBy(*unit, "level").agg(*[F.min(x).alias(f"h{k}") for k, x in enumerate(lots)])
+    some = rows.join(small_or_not(drawn, broadcast_bytes), [*unit, "level"]).where(functools.reduce(lambda x, y: x | y, [x == F.col(f"h{k}") for k, x in enumerate(lots)]))
+    some = stored(some.select(*unit, near, F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "pivots")
+    stars = (
+        rows.select(*unit, "level", F.col("doc_id").alias("a"), F.col("tokens").alias("x")).join(small_or_not(some, broadcast_bytes), [*unit, "level"]).where("a <> b")
+        .select("a", "b", "x", "y").mapInPandas(_verified(percent), "a long, b long")
+    )
+    stars = stored(stars, "stars")
+    tops = stored(components(stars), "tops")
+    named = stored(rows.select(*unit, "level", "doc_id").join(tops.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("top", F.coalesce("component", "doc_id")), "named")
+    count = named.groupBy(*unit, "top").agg(F.count("*").alias("size"))
+    largest = count.groupBy(*unit).agg(F.max_by("top", F.struct("size", "top")).alias("most"))
+    others = stored(named.join(largest, unit).where("top <> most").select(*unit, "doc_id"), "others")
+    if others.isEmpty():
+        return edges.unionByName(stars)
+    blocks = lambda n, most: F.ceil(n / F.lit(most)).cast("int")
+    cells = stored(rows.groupBy(*unit, "level").agg(blocks(F.count("*"), block).alias("blocks")), "cells")
+    parts = others.groupBy(*unit).agg(blocks(F.count("*"), 4 * block).alias("parts"))
+    own = F.col("level") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    index = (
+        rows.join(small_or_not(cells, broadcast_bytes), [*unit, "level"]).join(small_or_not(parts, broadcast_bytes), unit)
+        .select(*unit, own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", F.lit(True).alias("member"), F.lit(False).alias("query"), "tokens")
+    )
+    queries = (
+        rows.join(small_or_not(others, broadcast_bytes), [*unit, "doc_id"]).select(*unit, near, "doc_id", "tokens")
+        .join(small_or_not(cells, broadcast_bytes), [*unit, "level"]).join(small_or_not(parts, broadcast_bytes), unit)
+        .select(*unit, "level", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id", "tokens")
+        .select(*unit, (F.col("level") * (1 << 20) + F.col("k")).alias("block"), "part", "doc_id", F.lit(False).alias("member"), F.lit(True).alias("query"), "tokens")
+    )
+    return edges.unionByName(stars).unionByName(found(index.unionByName(queries)))
+
+
+def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85, short_list: int = 128, block: int = 512, pivots: int = 2, frequent_df: int = 64, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id is the least doc_id reachable by links.
 
     short_list: entries up to which an inverted list is merged pair by pair; longer ones are searched in blocks of
-    about `block` documents. broadcast_bytes: size of narrow rows (shared shingles, ids to verify) up to which they
-    are broadcast, more are joined by shuffle. None changes the result.
+    about `block` documents. pivots: documents of a level that all near it are compared with before a search.
+    broadcast_bytes: size of narrow rows (shared shingles, ids to verify) up to which they are broadcast; more are
+    joined by shuffle. None changes the result.
     """
     docs = keyed(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     context = docs.sparkSession.sparkContext
@@ -283,35 +335,26 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     long = lists.where(F.col("df") > short_list).select("token", "doc_id", n_blocks("df").alias("blocks"))
     tops = small_or_not(stored(long.groupBy("token").agg(F.min("doc_id").alias("b")), "tops"), broadcast_bytes)
     groups = stored(components(close.unionByName(long.join(tops, "token").select(F.col("doc_id").alias("a"), "b"))), "groups")
-    sets = stored(docs.join(small_or_not(groups.select(F.col("node").alias("doc_id")), broadcast_bytes), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, tokens binary"), "sets")
 
-    # A group is searched whole, in blocks, where that ships no more sets than its pairs and long lists would.
+    # A group is searched whole where that ships no more sets than its pairs and long lists would.
     spent = long.select("doc_id", "blocks").union(close.select("a", F.lit(2))).groupBy("doc_id").agg(F.sum("blocks").alias("rows"))
     sized = groups.join(spent.withColumnRenamed("doc_id", "node"), "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.sum("rows").alias("rows"))
-    sized = sized.withColumn("blocks", n_blocks("size")).where("blocks = 1 or size * blocks <= rows").select("component", "blocks")
-    whole = stored(groups.join(small_or_not(stored(sized, "sized"), broadcast_bytes), "component").select(F.col("component").alias("token"), F.col("node").alias("doc_id"), "blocks"), "whole")
-    done = small_or_not(whole.select("doc_id"), broadcast_bytes)
-    wide = stored(close.join(done.withColumnRenamed("doc_id", "a"), "a", "left_anti"), "wide")
-    by_pair = None if wide.isEmpty() else (
-        wide.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInPandas(_verified(percent), "a long, b long")
-    )
-    rest = long.join(done, "doc_id", "left_anti")
-    held = rest.groupBy("doc_id").agg(F.collect_list("token").alias("held"))  # a prefix at most
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("p"), F.greatest(k, F.col("own")).alias("q")))
-    units = (
-        rest.join(held, "doc_id").withColumn("whole", F.lit(False))
-        .unionByName(whole.withColumn("held", F.array().cast("array<long>")).withColumn("whole", F.lit(True)))
-        .withColumn("own", own)
-        .select("whole", "token", "doc_id", "held", "own", F.explode(others).alias("u")).select("whole", "token", "doc_id", "held", "own", "u.p", "u.q")
-        .withColumn("side", F.when(F.col("p") == F.col("q"), "both").when(F.col("own") == F.col("p"), "left").otherwise("right"))
-    )
-    units = small_or_not(stored(units, "units"), broadcast_bytes)
-    blocks = sets.join(units, "doc_id").groupBy("whole", "token", "p", "q").applyInPandas(_block_links(percent), "a long, b long")
-    checked = blocks if by_pair is None else blocks.unionByName(by_pair)
+    sized = stored(sized.withColumn("blocks", n_blocks("size")).where("blocks = 1 or size * blocks <= rows").select("component"), "sized")
+    whole = groups.join(small_or_not(sized, broadcast_bytes).withColumn("whole", F.lit(True)), "component", "left")
+    wanted = stored(whole.select(F.col("node").alias("doc_id"), F.when(F.col("whole"), F.col("component")).alias("token")), "wanted")
+    sets = stored(docs.join(small_or_not(wanted, broadcast_bytes), "doc_id").select("doc_id", "token", "text").mapInArrow(_set_rows(width), "doc_id long, token long, n long, tokens binary"), "sets")
+    members = sets.where("token is not null").select(F.lit(0).alias("kind"), "token", "doc_id", "n", "tokens")
+    loose = stored(wanted.where("token is null").select("doc_id"), "loose")
+    by_pair = None
+    if not loose.isEmpty():
+        some = small_or_not(loose, broadcast_bytes)
+        rest = sets.where("token is null").select("doc_id", "n", "tokens")
+        listed = stored(long.select("token", "doc_id").join(some, "doc_id", "left_semi"), "listed")
+        members = members.unionByName(rest.join(small_or_not(listed, broadcast_bytes), "doc_id").select(F.lit(1).alias("kind"), "token", "doc_id", "n", "tokens"))
+        x, y = (rest.select(F.col("doc_id").alias(d), F.col("tokens").alias(name)) for d, name in (("a", "x"), ("b", "y")))
+        by_pair = close.join(some.withColumnRenamed("doc_id", "a"), "a", "left_semi").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_verified(percent), "a long, b long")
+    checked = _searched(members, percent, block, pivots, broadcast_bytes)
+    checked = checked if by_pair is None else checked.unionByName(by_pair)
     found = components(checked)
     members = heads.join(classes, ["n", "sum", "xor"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     return members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
