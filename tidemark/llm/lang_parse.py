@@ -156,11 +156,11 @@ class Model:
     def symbols(self, lang: str, points: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """Class, in one language's alphabet, of each code point."""
         kinds = self.points[lang]
-        out = len(kinds) + 1 + points.astype(np.int64) % OTHERS
+        out = (len(kinds) + 1 + points % OTHERS).astype(np.int16)
         if len(kinds):
             at = np.minimum(np.searchsorted(kinds, points), len(kinds) - 1)
-            out = np.where(kinds[at] == points, at, out)
-        return np.where(letter, out, len(kinds)).astype(np.int32)
+            out = np.where(kinds[at] == points, at.astype(np.int16), out)
+        return np.where(letter, out, len(kinds)).astype(np.int16)
 
     def _run_free(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -248,7 +248,7 @@ def identify(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) ->
             at = 0
             while at < len(batch):
                 held, size = [], 0
-                while at + len(held) < len(batch) and size < 400_000:
+                while at + len(held) < len(batch) and size < 1_600_000:
                     held.append(texts[at + len(held)].as_py())
                     size += len(held[-1] or "")
                 lang, score, rate = shared.value.predict(held)

@@ -242,7 +242,6 @@ def _searched(members: DataFrame, percent: int, block: int, pivots: int, broadca
     """Edges (a, b) that span the links among the members (kind, token, doc_id, n, tokens) of each (kind, token)."""
     unit = ["kind", "token"]
     sizes = stored(members.groupBy(*unit).agg(F.count("*").alias("size")), "sizes")
-    few = sizes.where(F.col("size") <= block).select(*unit)
     many = sizes.where(F.col("size") > block).select(*unit)
     nothing = [F.lit(0).cast("long").alias("block"), F.lit(0).alias("part"), "doc_id"]
 

@@ -2,10 +2,10 @@
 
 A text becomes segments, each a run of the space mark and what follows it; no piece of the vocabulary crosses their
 bounds (checked when the model is read), so each distinct segment is encoded once a batch. All segments' symbols lie
-in one flat array. A round finds each segment's best pair (best score, then leftmost) by a segmented minimum, merges
-one pair in every segment at once and compacts; segments without a pair leave. Merging one pair a segment keeps the
-order of the reference algorithm even where a merge makes a pair that scores better than those left. Segments of
-over LONG symbols, where rounds would repeat too often, take the same merges from a heap.
+in one flat array. A round finds each segment's best pair level by a segmented minimum, merges the leftmost pairs of
+that level that don't overlap in every segment at once, and compacts; segments without a pair leave. Where a merged
+piece could itself make a pair as good or better (told by the vocabulary), only the leftmost is merged in that round:
+so the order is that of the reference algorithm, for segments of any length.
 
 Edge cases: a null or empty text has the begin and end ids only and decodes to ''; ties and repeated rows don't
 matter, as each row is encoded alone; rows with a null doc_id go, of rows that repeat a doc_id the least stays.
@@ -14,7 +14,6 @@ matter, as each row is encoded alone; rows with a null doc_id go, of rows that r
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -25,7 +24,6 @@ from pyspark.sql import DataFrame
 from tidemark.llm._common import keyed, lean
 
 MARK = "▁"
-LONG = 400
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = np.int64(1) << np.int64(30)
 
@@ -47,7 +45,7 @@ def read_model(path: str) -> dict:
 class Codec:
     """Encoder and decoder for lists of texts."""
 
-    def __init__(self, model: dict, cache: int = 200_000):
+    def __init__(self, model: dict, cache: int = 50_000):
         self.bos, self.eos, self._cache_size = model["bos"], model["eos"], cache
         normal = {p: i for i, (p, k) in enumerate(zip(model["pieces"], model["kind"], strict=True)) if k == "normal"}
         self.n_pieces = len(model["pieces"])
@@ -67,7 +65,14 @@ class Codec:
             for cut in range(1, len(p)):
                 if p[:cut] in normal and p[cut:] in normal:
                     pairs[normal[p[:cut]] * self.n_pieces + normal[p[cut:]]] = (i, level[model["scores"][i]])
-        self._pairs = pairs
+        least = np.full(self.n_pieces, _NONE, np.int64)  # the best level of a pair with the piece in it
+        for key, (_, rank) in pairs.items():
+            for side in divmod(key, self.n_pieces):
+                least[side] = min(least[side], rank)
+        own = np.full(self.n_pieces, _NONE, np.int64)
+        for p, i in normal.items():
+            own[i] = level[model["scores"][i]]
+        self._plain = least > own
         keys = np.array(sorted(pairs), np.int64)
         self._slots = 1 << (4 * len(keys)).bit_length()
         self._key = np.full(self._slots, -1, np.int64)
@@ -120,19 +125,25 @@ class Codec:
         done_sym, done_seg = [], []
         while len(sym):
             start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-            best = np.minimum.reduceat((level << np.int64(32)) | np.arange(len(sym)), start)
-            live = (best >> np.int64(32)) < _NONE
+            size = np.diff(np.append(start, len(sym)))
+            best = np.minimum.reduceat(level, start)
+            live = best < _NONE
             if not live.all():
-                size = np.diff(np.append(start, len(sym)))
                 stay = np.repeat(live, size)
                 done_sym.append(sym[~stay])
                 done_seg.append(seg[~stay])
-                shift = np.cumsum(np.where(live, 0, size))[live]
-                best = best[live] - shift
+                best, size = best[live], size[live]
                 sym, seg, merged, level = sym[stay], seg[stay], merged[stay], level[stay]
                 if not len(sym):
                     break
-            at = best & np.int64(0xFFFFFFFF)
+            own = np.repeat(np.arange(len(best)), size)
+            at = np.flatnonzero(level == best[own])
+            count = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), count, 0))
+            first = np.append(True, own[at[1:]] != own[at[:-1]])
+            plain = np.ones(len(best), bool)
+            plain[own[at[~self._plain[merged[at]]]]] = False
+            at = at[first | plain[own[at]] & ((count - run) % 2 == 0)]
             sym[at] = merged[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -151,37 +162,6 @@ class Codec:
         order = np.argsort(seg, kind="stable")
         return sym[order], np.bincount(seg, minlength=len(counts))
 
-    def _agenda(self, sym: list[int]) -> list[int]:
-        """The same merges for one long segment, from a heap."""
-        n = len(sym)
-        prev, after, stamp = list(range(-1, n - 1)), [*range(1, n), -1], [0] * n
-        heap: list[tuple[int, int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and sym[i] >= 0 and sym[j] >= 0 and (got := self._pairs.get(sym[i] * self.n_pieces + sym[j])):
-                heapq.heappush(heap, (got[1], i, j, stamp[i], stamp[j], got[0]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, j, si, sj, new = heapq.heappop(heap)
-            if stamp[i] != si or stamp[j] != sj or after[i] != j:
-                continue
-            sym[i], stamp[j] = new, -1
-            stamp[i] += 1
-            after[i] = after[j]
-            if after[j] >= 0:
-                prev[after[j]] = i
-            if prev[i] >= 0:
-                offer(prev[i])
-            offer(i)
-        out, i = [], 0
-        while i >= 0:
-            out.append(sym[i])
-            i = after[i]
-        return out
-
     def _learn(self, new: list[str]) -> None:
         chars = self._char
         unknown: dict[int, str] = {}
@@ -193,18 +173,10 @@ class Codec:
                 return -1 - ord(c)
             return got
 
-        long = [s for s in new if len(s) > LONG]
-        new = [s for s in new if len(s) <= LONG]
-        sym, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if new:
-            points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
-            kinds, back = np.unique(points, return_inverse=True)
-            sym = np.array([symbol(chr(c)) for c in kinds.tolist()], np.int32)[back]
-            sym, counts = self._rounds(sym, np.array([len(s) for s in new]))
-        for s in long:
-            got = self._agenda([symbol(c) for c in s])
-            sym = np.concatenate([sym, np.array(got, np.int32)])
-            counts = np.append(counts, len(got))
+        points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, back = np.unique(points, return_inverse=True)
+        sym = np.array([symbol(chr(c)) for c in kinds.tolist()], np.int32)[back]
+        sym, counts = self._rounds(sym, np.array([len(s) for s in new]))
         if unknown:  # by bytes
             out_of = sym < 0
             raw = {c: self._byte_ids[list(t.encode("utf-8", "surrogatepass"))] for c, t in unknown.items()}
@@ -217,7 +189,7 @@ class Codec:
                 flat[i : i + len(raw[c])] = raw[c]
             counts, sym = np.bincount(owner, weights=width, minlength=len(counts)).astype(np.int64), flat
         base = len(self._known)
-        self._known.update({s: base + i for i, s in enumerate([*new, *long])})
+        self._known.update({s: base + i for i, s in enumerate(new)})
         self._ids = np.concatenate([self._ids, sym.astype(np.int32)])
         self._off = np.concatenate([self._off, self._off[-1] + np.cumsum(counts)])
 
@@ -286,7 +258,7 @@ class Codec:
         return b"".join(out)
 
 
-def _groups(column: pa.Array, max_chars: int = 1_500_000) -> Iterator[list[str | None]]:
+def _groups(column: pa.Array, max_chars: int = 400_000) -> Iterator[list[str | None]]:
     held, size = [], 0
     for x in column:
         held.append(t := x.as_py())
