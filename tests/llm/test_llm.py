@@ -6,10 +6,11 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
-from tidemark.llm import decontam, html_paths, kn_quality, lang_parse, ngram_jaccard, pq_neardup, queries, rindex_dedup, sentencepiece_bpe, toxicity, warc
+from tidemark.llm import _common, decontam, html_paths, kn_quality, lang_parse, ngram_jaccard, pq_neardup, queries, rindex_dedup, sentencepiece_bpe, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, TEXT string"
@@ -126,7 +127,7 @@ def test_run_length_index_against_sorting():
             seen.add(text[i : i + 5])
 
 
-@pytest.mark.parametrize("kinds", [24, 1])
+@pytest.mark.parametrize("kinds", [240, 1])
 def test_suffix_dedup_against_brute_force(spark, kinds):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -141,13 +142,33 @@ def test_suffix_dedup_on_odd_rows(spark):
     assert got == brute_repeats(list(rows.items()), 100) and rindex_dedup.suffix_dedup(empty_documents(spark)).count() == 0
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    text = b"Some words of\tmany letters; " * 40 + b"x" * 300 + b" and more  \n of them" * 30
+    data = np.frombuffer(text, np.uint8)
+    whole = _common.word_hashes(data, np.array([0, len(data)]))
+    monkeypatch.setattr(_common, "_PIECE", 50)
+    pieces = _common.word_hashes(data, np.array([0, len(data)]))
+    assert all((x == y).all() for x, y in zip(whole, pieces, strict=True)) and len(whole[0]) == len(text.split())
+    windows = [(k, bytes(d[i : i + 9])) for _, k, d, _ in _common.window_slices(pa.array([text.decode()]), 9, 64) for i in range(len(d) - 8)]
+    assert [w for _, w in windows] == [text[i : i + 9] for i in range(len(text) - 8)]
+
+
+def test_unlike_words_have_unlike_hashes():
+    """Polynomials modulo a power of two can't tell Thue-Morse words from their complements."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {other} a b ab ba {word[:8]} {other[:8]} {word[:9]} {word[:64]} {other[:64]}".encode(), np.uint8)
+    hashes = _common.word_hashes(data, np.array([0, len(data)]))[0]
+    assert len(set(hashes.tolist())) == len(hashes) == 11
+
+
 def test_codec_equals_the_library(spark):
     import sentencepiece
 
     path = queries.tokenizer_path()
     library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.Codec(sentencepiece_bpe.read_model(path))
     rng = random.Random(6)
-    texts = [None, "", " ", "  ", "▁", "a\x00b", "<s></s>", "日本 🙂", "ab" * 700 + " " * 50, *("".join(rng.choice("ab ther\n▁é日🙂<0x") for _ in range(rng.randrange(70))) for _ in range(800))]
+    texts = [None, "", " ", "  ", "▁", "a\x00b", "<s></s>", "日本 🙂", "ab" * 700 + " " * 50, "in" * 2000 + "g" * 999, "".join(rng.choice("abehtrsin") for _ in range(5000)), *("".join(rng.choice("ab ther\n▁é日🙂<0x") for _ in range(rng.randrange(70))) for _ in range(800))]
     ids, offsets = codec.encode(texts)
     decoded = codec.decode(ids, offsets)
     for i, t in enumerate(texts):

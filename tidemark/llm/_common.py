@@ -129,6 +129,17 @@ def text_slices(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[in
         at = to
 
 
+def window_slices(column: pa.Array, width: int, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place in its text, bytes, offsets) as text_slices; a longer text in pieces that share width - 1 bytes."""
+    for at, data, offsets in text_slices(column, max_bytes):
+        if len(data) <= 4 * max_bytes:
+            yield at, 0, data, offsets
+            continue
+        for k in range(0, len(data) - width + 1, max_bytes):
+            piece = data[k : k + max_bytes + width - 1]
+            yield at, k, piece, np.array([0, len(piece)])
+
+
 _RNG = np.random.default_rng(20240601)
 BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -209,7 +220,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+    if len(offsets) == 2 and n > 2 * _PIECE:  # one long text, by pieces that end at white space
+        found, at = [], 0
+        while at < n:
+            to = min(n, at + _PIECE)
+            while to < n and not len(gap := np.flatnonzero(_SPACE[data[to : to + _PIECE]])):
+                to = min(n, to + _PIECE)
+            to = to if to == n else to + int(gap[0])
+            low = _LOWER[data[at:to]]
+            start, end = _spans(low, np.array([0, to - at]))
+            found.append((_hashed(low, start, end), start + at, end + at))
+            at = to
+        hashes, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        return hashes, start, end, np.array([0, len(start)])
     low = _LOWER[data]
+    start, end = _spans(low, offsets)
+    return _hashed(low, start, end), start, end, np.searchsorted(start, offsets)
+
+
+_PIECE = 1 << 20
+
+
+def _spans(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end; a text's bounds part words."""
+    n = len(low)
     solid = ~_SPACE[low]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -220,8 +254,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.empty(n, bool)
     after[-1] = True
     after[:-1] = ~solid[1:]
-    end = np.flatnonzero(solid & (after | cut[1:])) + 1
-    return _hashed(low, start, end), start, end, np.searchsorted(start, offsets)
+    return start, np.flatnonzero(solid & (after | cut[1:])) + 1
 
 
 _COEFF = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -11,10 +11,12 @@
    starts, how long it agrees) are streamed in text order, and windows that agree over `length` with an earlier start
    are marked.
 
-Anchors in the thick of one very frequent passage would put a fragment of each document into one bucket. Those (found
-over all documents, at most a million) are resolved by window hash instead: first in the map task, then by bucket.
+Anchors in the thick of one very frequent passage would put a fragment of each document into one bucket. Those with some
+hundreds of different fragments in the whole corpus (told from the one in SAMPLED of all contents, by hash) are resolved
+by window hash instead: first in the map task, then by bucket. So what one anchor brings to a bucket is bounded however
+large the corpus grows.
 
-Hashes have 64 bits. Edge cases: null text is empty; texts shorter than `length` lose nothing; rows with a null doc_id
+Fragments (of some 170 bytes at most) and windows are told apart by 64-bit hashes, the index compares bytes. Edge cases: null text is empty; texts shorter than `length` lose nothing; rows with a null doc_id
 go, of rows that repeat a doc_id the least stays.
 """
 
@@ -28,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import keyed, lean, packed, stored, text_slices, SpanHash
+from tidemark.llm._common import SpanHash, keyed, lean, packed, stored, window_slices
 
 GRAM = 32
+SAMPLED = 32
 _POS = np.uint64((1 << 28) - 1)
 
 
@@ -92,19 +95,22 @@ class RunLengthIndex:
         return order
 
     def _agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes a and b (0 where b is -1), by bisection on span hashes."""
-        spans = SpanHash(self.text)
+        """Length of the common prefix of suffixes a and b (0 where b is -1), by comparing 32 bytes of all at a time."""
         out = np.zeros(len(a), np.int64)
         at = np.flatnonzero((b >= 0) & (self.n - np.maximum(a, b) >= self.least))
-        at = at[spans.of(a[at], a[at] + self.least) == spans.of(b[at], b[at] + self.least)]
         a, b = a[at], b[at]
-        low, high = np.full(len(at), self.least), self.n - np.maximum(a, b)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            same = spans.of(a, a + mid) == spans.of(b, b + mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        out[at] = low
-        return out
+        size = self.n - np.maximum(a, b)
+        lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.text, np.zeros(32, np.uint8)]), 32)
+        done = 0
+        while len(at):
+            differ = lanes[a + done] != lanes[b + done]
+            any_ = differ.any(1)
+            same = np.where(any_, differ.argmax(1), 32)
+            out[at] = np.minimum(done + same, size)
+            done += 32
+            on = ~any_ & (size > done)
+            at, a, b, size = at[on], a[on], b[on], size[on]
+        return np.where(out >= self.least, out, 0)
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each position: the neighbouring suffix before it in the order (-1: none) and how long both agree."""
@@ -155,26 +161,18 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int):
     return spans, doc[new], start[new], start[last], grams[anchor[new]]
 
 
-def _frequent(length: int, least: int):
+def _sampled(length: int):
+    """(anchor, content) of the fragments whose content's hash falls to the sample, each once a slice."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column("text")):
+            for _, _, data, offsets in window_slices(batch.column("text"), length):
                 spans, _, first, last, anchor = fragments(data, offsets, length)
-                if not len(first):
-                    continue
-                order = np.argsort(anchor, kind="stable")
-                a = anchor[order]
-                run_at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                size = np.diff(np.append(run_at, len(a)))
-                tokens, counts = [], []
-                for i, k in zip(run_at[size >= least].tolist(), size[size >= least].tolist(), strict=True):
-                    own = order[i : i + k]
-                    kinds = len(np.unique(spans.of(first[own], last[own] + length)))
-                    if kinds >= least:
-                        tokens.append(a[i])
-                        counts.append(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(tokens, np.uint64).view(np.int64)), pa.array(counts, pa.int64())], ["anchor", "n"])
+                content = spans.of(first, last + length)
+                own = content % np.uint64(SAMPLED) == 0
+                content, at = np.unique(content[own], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[own][at].view(np.int64)), pa.array(content.view(np.int64))], ["anchor", "content"])
 
     return run
 
@@ -255,11 +253,11 @@ def _cut(length: int, buckets: int, frequent):
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for at, data, offsets in text_slices(batch.column("text")):
+            for at, place, data, offsets in window_slices(batch.column("text"), length):
                 spans, doc, first, last, anchor = fragments(data, offsets, length)
                 if not len(doc):
                     continue
-                base = offsets[doc]
+                base = offsets[doc] - place
                 hot = np.zeros(len(doc), bool)
                 if len(often):
                     hot = often[np.minimum(np.searchsorted(often, anchor), len(often) - 1)] == anchor
@@ -271,7 +269,7 @@ def _cut(length: int, buckets: int, frequent):
                     ends = np.cumsum(many)
                     start = np.repeat(first[hot] - ends + many, many) + np.arange(ends[-1])
                     owner = np.repeat(doc[hot], many)
-                    wins.append(np.stack([spans.of(start, start + length).view(np.int64), ids[at + owner], start - offsets[owner]]))
+                    wins.append(np.stack([spans.of(start, start + length).view(np.int64), ids[at + owner], start - offsets[owner] + place]))
                 size += len(data)
                 if size > 1 << 24:
                     yield from flush()
@@ -388,17 +386,19 @@ def _kept(keep_text: bool):
     return run
 
 
-def suffix_dedup(documents: DataFrame, length: int = 100, keep_text: bool = False, bucket_bytes: int = 8 << 20, frequent_kinds: int = 8, most_frequent: int = 1_000_000) -> DataFrame:
+def suffix_dedup(documents: DataFrame, length: int = 100, keep_text: bool = False, bucket_bytes: int = 8 << 20, frequent_kinds: int = 128, most_frequent: int = 1_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each document; kept_text is null unless asked for,
     and without characters that were cut.
 
     Bytes covered by a string of `length` bytes that also starts earlier (smaller doc_id, or same document and earlier)
-    are removed. bucket_bytes: text behind one bucket. frequent_kinds: different fragments of one anchor in 1 MB of
-    text that make it frequent. Neither changes the result.
+    are removed. bucket_bytes: text behind one bucket. frequent_kinds: different fragments of one anchor (as the sample
+    tells) that make it frequent; of more than most_frequent such anchors the rarest stay with their fragments. None
+    changes the result.
     """
     docs = keyed(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     context = docs.sparkSession.sparkContext
-    often = docs.select("text").mapInArrow(_frequent(length, frequent_kinds), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    kinds = docs.select("text").mapInArrow(_sampled(length), "anchor long, content long").distinct().groupBy("anchor").agg(F.count("*").alias("n"))
+    often = kinds.where(F.col("n") >= -(-frequent_kinds // SAMPLED))
     anchors = often.orderBy(F.desc("n"), "anchor").limit(most_frequent).select("anchor").toArrow().column("anchor").to_numpy()
     frequent = context.broadcast(np.sort(anchors.astype(np.int64).view(np.uint64)))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
