@@ -247,6 +247,43 @@ def test_html_extraction_keeps_all_parts_of_an_article():
     assert html_paths.extract(two) == "\n\n".join((long.strip(), "Second", short))
 
 
+def test_html_titles_stay_and_plain_clutter_goes():
+    one, two = "A first paragraph, with several words in it; and then it goes on for a while. " * 3, "A second one, which is about as long, and has a few more commas, too. " * 3
+    page = f'<article><div class="entry-header"><h1>The real title</h1></div><div class="share-buttons">Share it</div><p>{one}</p><p>{two}</p><article class="comment"><p>{one}</p></article></article>'
+    assert html_paths.extract(page) == "\n\n".join(("The real title", one.strip(), two.strip()))
+    page = f"<body><div>Welcome to our site</div><div><h1>Title</h1><p>{one}</p><p>{two}</p></div><ul><li>Home</li><li>About us</li></ul><div>© 2024 Some House</div></body>"
+    assert html_paths.extract(page) == "\n\n".join(("Title", one.strip(), two.strip()))
+    page = f"<form id=all><div class='topbar'>x</div><div><p>{one}<math><mi>x</mi>=2</math></p><x-note>and {two}</x-note></div></form>"
+    assert html_paths.extract(page) == f"{one.strip()} x=2\n\nand {two}".strip()
+
+
+def test_html_time_is_linear():
+    import time
+
+    for page in ("<div>word, text." * 100_000, "<a \"x " * 100_000, "<a b='x " * 100_000, "<li><b><p>" * 60_000, "<div>" * 60_000 + "</p></b></section>" * 60_000, "<!-- " * 100_000, "<script>" * 50_000, "<p>x<table><tr><td>" * 20_000):
+        at = time.process_time()
+        html_paths.extract(page)
+        assert time.process_time() - at < 8, page[:30]
+    deep = html_paths.extract("<div>" * 2000 + "<p>Some words, at the bottom.</p>" + "</div>" * 2000 + "<p>After it, some more.</p>")
+    assert "at the bottom" in deep and "After it" in deep
+
+
+def test_html_extraction_against_plain_splitting(spark):
+    """The given pages hold a flat article: split at its block tags by another way."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in html_paths.extract_pages(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", inner)]
+        want = "\n\n".join(x for x in parts if x)
+        assert got[r.page_id] == (r.url, want, len(want))
+    odd = pages.limit(3).unionByName(pages.limit(3)).selectExpr("*", "1 as HTML", "2 as Page_Id")
+    assert html_paths.extract_pages(odd).count() == 3 and html_paths.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_embedding_links_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16))
