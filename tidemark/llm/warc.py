@@ -161,8 +161,9 @@ def _normalise(folder: str):
                 index.append((name, page, at, len(member)))
                 at += len(member)
         system.move(part, f"{root}/{name}")
-        with system.open_output_stream(f"{root}/{name}.idx", compression=None) as out:
+        with system.open_output_stream(f"{part}.idx", compression=None) as out:
             out.write("".join(f"{p}\t{o}\t{n}\n" for _, p, o, n in index).encode())
+        system.move(f"{part}.idx", f"{root}/{name}.idx")
         return pd.DataFrame(index, columns=["file", "page_id", "offset", "length"])
 
     return run
@@ -204,7 +205,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
     raw = stored(rows.mapInArrow(_capture(folder, file_bytes), _RAW), "captured")
     top = raw.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
     linked = raw.join(top, "digest", "left").withColumn("refers_to", F.when((F.col("size") >= least) & (F.col("top") != F.col("page_id")), F.col("top")))
-    index = stored(linked.select("file", "page_id", "refers_to").groupBy("file").applyInPandas(_normalise(folder), _INDEX), "index")
+    # The rows are narrow, the work behind them isn't: a partition a file, as the given number isn't merged into fewer.
+    dealt = linked.select("file", "page_id", "refers_to").repartition(_files(raw), "file")
+    index = stored(dealt.groupBy("file").applyInPandas(_normalise(folder), _INDEX), "index")
     system, root = _file_system(folder)
     for found in system.get_file_info(__import__("pyarrow.fs").fs.FileSelector(root)):  # file names, not rows
         if found.base_name.startswith("raw-"):
@@ -212,9 +215,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
     return index
 
 
+def _files(rows: DataFrame) -> int:
+    return max(1, rows.select("file").distinct().count())
+
+
 def read_back(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """One row a record, read through the index; payload is given for responses if asked for."""
-    return index.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_read(folder, with_payload), _READ)
+    return index.repartition(_files(index), "file").sortWithinPartitions("file", "offset").mapInArrow(_read(folder, with_payload), _READ)
 
 
 def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
