@@ -277,7 +277,7 @@ def _searched(members: DataFrame, percent: int, block: int, pivots: int, broadca
         return edges.unionByName(stars)
     blocks = lambda n, most: F.ceil(n / F.lit(most)).cast("int")
     cells = stored(rows.groupBy(*unit, "level").agg(blocks(F.count("*"), block).alias("blocks")), "cells")
-    parts = others.groupBy(*unit).agg(blocks(F.count("*"), 4 * block).alias("parts"))
+    parts = others.groupBy(*unit).agg(blocks(F.count("*"), block).alias("parts"))
     own = F.col("level") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     index = (
         rows.join(small_or_not(cells, broadcast_bytes), [*unit, "level"]).join(small_or_not(parts, broadcast_bytes), unit)
