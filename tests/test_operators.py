@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import intervals, ranking, series, text
+from tidemark.operators import board, captions, intervals, patterns, ranking, series, text
 
 
 def test_bucketed_join_equals_nested_loops(spark):
@@ -51,3 +51,36 @@ def test_corpus_joins_only_texts_before_the_limit(spark, monkeypatch):
     assert {r.source: r.corpus for r in text.corpus_build(docs, 100, 4).collect()} == {k: "\n".join(v)[:100] for k, v in want.items()}
     monkeypatch.setattr(text, "joined", lambda *_: F.count("*").cast("string"))  # how many texts meet in a source's group
     assert text.corpus_build(docs, 100, 4).where("source = 'hot'").first().corpus == "5"
+
+
+def test_barriers_by_priority(spark):
+    pages = [(1, "Please log in, or sign up"), (2, "Sign-up is free"), (3, "Start your free trial"), (4, "DM us"), (5, "signal, cosign inside blogin"), (6, None), (7, "")]
+    got = text.barrier_detect(spark.createDataFrame(pages, "page_id long, html string"), patterns.BARRIERS)
+    assert {r.page_id: r.barrier for r in got.collect()} == {1: "login", 2: "signup", 3: "payment", 4: "manual", 5: None, 6: None, 7: None}
+
+
+def test_line_rules_in_order(spark):
+    lines = [
+        "one two three four five six seven eight nine", "is it?\nyes", "here is what he said?", "you won't believe this", "a plain line", "he won the game, no way", "did he say he won", "this is crazy?", "no way", "wait for the quiet part", "étis the end",
+    ]
+    candidates = spark.createDataFrame([(c, i, x) for c in (1, 2) for i, x in enumerate(lines)], "clip_id long, pos long, text string")
+    transcripts = spark.createDataFrame([(1, "some words were said here"), (2, "the and")], "clip_id long, text string")
+    got = {(r.clip_id, r.pos): r.reason for r in captions.caption_quality_kill(candidates, transcripts, ["the", "and"]).collect()}
+    want = ["too long", "several lines", "describes", "bait", "no hook", "giveaway", None, "filler", "filler", None, "no hook"]
+    assert [got[1, i] for i in range(11)] == want and [got[2, i] for i in range(11)] == [None if x == "filler" else x for x in want]
+    best = captions.caption_score_top2(candidates.where("clip_id = 1")).first()
+    assert (best.best_pos, best.best_score) == (1, 9)
+
+
+def test_rules_of_a_brief(spark):
+    lines = ["Length 20 seconds, use #Clip and #ad.", "Mention @house.", "Banned: casino, free money/bets or 77 and this one is far too long", "Submit by the deadline", "#Clip again"]
+    rows = spark.createDataFrame([("c", 1, i, x) for i, x in enumerate(lines)], "campaign string, doc_id long, line_no long, text string")
+    floor = board.rules_floor(rows, ["spam"])
+    got = {}
+    for r in floor.collect():
+        got.setdefault(r.field, set()).add(r.value)
+    assert got["hashtags"] == {"#Clip", "#ad"} and got["mentions"] == {"@house."} and got["banned_words"] == {"spam", "casino", "free money", "bets"}
+    assert got["required"] == {"hashtag: #Clip", "hashtag: #ad", "mention: @house.", "disclosure"} and got["platform_rules"] == {lines[0]} and got["deadlines"] == got["submission_process"] == {lines[3]}
+    more = spark.createDataFrame([("c", "hashtags", 1, " #CLIP"), ("c", "hashtags", 2, "#new"), ("c", "style", 1, " "), ("c", "style", 2, "calm"), ("c", "style", 3, "loud")], "campaign string, field string, ord long, value string")
+    merged = {(r.field, r.value) for r in board.rules_merge(floor, more, ["style"]).collect()}
+    assert {v for f, v in merged if f == "hashtags"} == {"#Clip", "#ad", "#new"} and [v for f, v in merged if f == "style"] == ["calm"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import over
+from tidemark.operators import patterns
 
 
 def _rankable() -> Column:
@@ -97,20 +98,48 @@ def language_gate(documents: DataFrame, gate: str = "en", least: float = 0.6) ->
     return rows.select("source", decision.alias("decision"), "mix")
 
 
-def rules_floor(lines: DataFrame, markers: list[tuple[str, str]], cap: int = 40) -> DataFrame:
-    """(campaign, section, ord, text): lines by the keyword that they hold, the first `cap` of each section."""
-    section = F.lit(None).cast("string")
-    for name, word in reversed(markers):
-        section = F.when(F.lower("text").contains(word), name).otherwise(section)
-    rows = lines.withColumn("section", section).where("section is not null")
-    return rows.withColumn("ord", F.row_number().over(over("campaign", "section", by=["doc_id", "line_no"])).cast("long")).where(F.col("ord") <= cap).select("campaign", "section", "ord", "text")
-
-
-def rules_merge(floor: DataFrame, additions: DataFrame) -> DataFrame:
-    """(campaign, n, texts): ordered union of rule lines, the floor's first, equal ones (by lower case) once."""
-    both = floor.withColumn("p", F.lit(0)).unionByName(additions.withColumn("p", F.lit(1)))
-    once = both.withColumn("key", F.lower(F.trim("text"))).withColumn("rn", F.row_number().over(over("campaign", "key", by=["p", "ord"]))).where("rn = 1")
-    return once.groupBy("campaign").agg(F.count("*").alias("n"), F.min_by("text", F.struct("p", "ord")).alias("first"))
+def rules_floor(lines: DataFrame, default_banned: list[str], cap: int = 40) -> DataFrame:
+    """(campaign, field, ord, value): what a campaign's lines rule, without a model.
+
+    Sections hold their first `cap` lines in order (ord); hashtags, mentions, required elements and banned terms are
+    sets (ord 0). Banned terms are the defaults and, from lines with a marking word, the terms of one to three words
+    after the first colon or dash. lines: (campaign, doc_id, line_no, text).
+    """
+    low = F.lower("text")
+    any_of = lambda words: F.greatest(*[low.contains(w) for w in words]) if len(words) > 1 else low.contains(words[0])
+    held = F.array_compact(F.array(*[F.when(any_of(words), name) for name, words in patterns.SECTIONS.items()]))
+    rows = lines.select("campaign", "doc_id", "line_no", F.explode(held).alias("field"), F.col("text").alias("value"))
+    sections = rows.withColumn("ord", F.row_number().over(over("campaign", "field", by=["doc_id", "line_no"])).cast("long")).where(F.col("ord") <= cap).select("campaign", "field", "ord", "value")
+
+    found = lambda mark, chars: F.regexp_extract_all("text", F.lit(f"(^|[^A-Za-z0-9_])({mark}[{chars}]+)"), F.lit(2))
+    typed = F.concat(
+        F.transform(found("#", "A-Za-z0-9_"), lambda x: F.struct(F.lit("hashtags").alias("field"), x.alias("value"))),
+        F.transform(found("#", "A-Za-z0-9_"), lambda x: F.struct(F.lit("required").alias("field"), F.concat(F.lit("hashtag: "), x).alias("value"))),
+        F.transform(found("@", "A-Za-z0-9_."), lambda x: F.struct(F.lit("mentions").alias("field"), x.alias("value"))),
+        F.transform(found("@", "A-Za-z0-9_."), lambda x: F.struct(F.lit("required").alias("field"), F.concat(F.lit("mention: "), x).alias("value"))),
+        F.array_compact(F.array(*[F.when(any_of(words), F.struct(F.lit("required").alias("field"), F.lit(kind).alias("value"))) for kind, words in (("watermark", ["watermark"]), ("disclosure", patterns.DISCLOSURE_MARKS))])),
+    )
+    parts = F.split(F.regexp_replace(low, "^[^:–-]*[:–-]", ""), "[,/;]| and | or ")
+    terms = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9'+ -]", "")))
+    n_words = lambda x: F.size(F.regexp_extract_all(x, F.lit("[^ ]+"), F.lit(0)))
+    terms = F.filter(terms, lambda x: (F.length(x) >= 2) & n_words(x).between(1, 3) & ~x.rlike("^[0-9]+$"))
+    banned = F.when(any_of(patterns.BANNED_MARKS), F.transform(terms, lambda x: F.struct(F.lit("banned_words").alias("field"), x.alias("value"))))
+    sets = lines.select("campaign", F.explode(F.concat(typed, F.coalesce(banned, F.slice(typed, 1, 0)))).alias("r")).select("campaign", "r.field", "r.value")
+    defaults = lines.select("campaign").distinct().select("campaign", F.lit("banned_words").alias("field"), F.explode(F.array(*map(F.lit, default_banned))).alias("value"))
+    sets = sets.unionByName(defaults).distinct().select("campaign", "field", F.lit(0).cast("long").alias("ord"), "value")
+    return sections.unionByName(sets)
+
+
+def rules_merge(floor: DataFrame, additions: DataFrame, scalars: list[str]) -> DataFrame:
+    """(campaign, field, origin, ord, value): the floor and what is added, field by field.
+
+    List fields are ordered unions, the floor's values (origin 0) first, equal ones (trimmed, in lower case) once; of a
+    scalar field the floor's value stays unless it is empty. Both: (campaign, field, ord, value).
+    """
+    both = floor.withColumn("origin", F.lit(0)).unionByName(additions.withColumn("origin", F.lit(1))).where(F.trim("value") != "")
+    key = F.when(F.col("field").isin(scalars), "").otherwise(F.lower(F.trim("value")))
+    once = both.groupBy("campaign", "field", key.alias("key")).agg(F.min(F.struct("origin", "ord", "value")).alias("r"))
+    return once.select("campaign", "field", "r.origin", "r.ord", "r.value")
 
 
 def ordered_distinct(links: DataFrame) -> DataFrame:

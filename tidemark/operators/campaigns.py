@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import stored
 from tidemark.functions.ordered import over
 
 VIDEO = r"\.(mp4|mov|mkv)$"
@@ -112,12 +113,16 @@ def campaign_digest(lines: DataFrame, sections: list[tuple[str, str]], per_secti
 
 
 def link_frontier(links: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
-    """(page_id, hop): pages within `hops` links of a seed, with the fewest links to it. links: (src, dst); seeds: (page_id)."""
+    """(page_id, hop): pages within `hops` links of a seed, with the fewest links to it. links: (src, dst); seeds: (page_id).
+
+    Each hop is written as a table, so the plan doesn't double with every one.
+    """
+    links = stored(links.select("src", "dst"), "links")
     seen = seeds.select("page_id").distinct().withColumn("hop", F.lit(0).cast("long"))
     edge = seen
     for hop in range(1, hops + 1):
         reached = links.join(edge, F.col("src") == F.col("page_id"), "left_semi").select(F.col("dst").alias("page_id")).distinct()
-        edge = reached.join(seen, "page_id", "left_anti").withColumn("hop", F.lit(hop).cast("long"))
+        edge = stored(reached.join(seen, "page_id", "left_anti").withColumn("hop", F.lit(hop).cast("long")), f"hop{hop}")
         seen = seen.unionByName(edge)
     return seen
 

@@ -6,35 +6,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import over, words_pattern
+from tidemark.operators import patterns
 
 
 def first_words(column: Column, n: int = 2) -> Column:
     return F.array_join(F.slice(F.split(F.lower(column), " "), 1, n), " ")
 
 
-def caption_score_top2(candidates: DataFrame, openers: list[str], dull: list[str]) -> DataFrame:
+def opening(column: Column, n: int = 2) -> Column:
+    """The first n words of letters, in lower case."""
+    return F.array_join(F.slice(F.regexp_extract_all(F.lower(column), F.lit("[a-z']+"), F.lit(0)), 1, n), " ")
+
+
+def word_count(column: Column) -> Column:
+    """Words that hold a letter or digit."""
+    return F.size(F.regexp_extract_all(column, F.lit(r"[^ ]*[A-Za-z0-9][^ ]*"), F.lit(0)))
+
+
+def line_score(text: Column) -> Column:
+    """Points of a line: its hooks, emoji, case and length, less for description and giveaways."""
+    low, words = F.lower(text), word_count(text)
+    one = lambda c, n: F.when(c, n).otherwise(0)
+    asks = low.rlike(patterns.HOOKS["question"])
+    letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+    score = one(text.rlike(patterns.EMOJI), 2) + one(asks | low.rlike(patterns.HOOKS["disbelief"]), 2) - one(low.rlike(patterns.DESCRIPTIVE), 6) - one(low.rlike(patterns.GIVEAWAY) & ~asks, 5)
+    for hook in patterns.HOOKS.values():
+        score = score + one(low.rlike(hook), 4)
+    score = score + one(words <= 6, 2) - one(words > 8, 8) - one(F.trim(text).endswith("."), 1)
+    return (score + one((letters > 0) & (F.length(F.regexp_replace(text, "[^a-z]", "")) > 0.85 * letters), 1)).cast("long")
+
+
+def caption_score_top2(candidates: DataFrame) -> DataFrame:
     """(clip_id, best_pos, best_score, variant_pos): the best line, and the next best with another two-word opening."""
-    low = F.lower("text")
-    words = F.size(F.split("text", " "))
-    score = (
-        F.when(low.rlike(words_pattern(openers)), 4).otherwise(0) + F.when(F.col("text").contains("?"), 2).otherwise(0) - F.when(low.rlike(words_pattern(dull)), 6).otherwise(0)
-        - F.when(words > 12, 5).otherwise(0) + F.when(words <= 6, 2).otherwise(0) + F.when(F.length(F.regexp_replace("text", "[^a-z]", "")) > 0.85 * F.length("text"), 1).otherwise(0)
-    )
-    rows = candidates.select("clip_id", "pos", score.cast("long").alias("score"), first_words(F.col("text")).alias("opening"))
-    order = over("clip_id", by=[F.desc("score"), "pos"])
-    rows = rows.withColumn("top", F.first("opening").over(order))
+    rows = candidates.select("clip_id", "pos", line_score(F.col("text")).alias("score"), opening(F.col("text")).alias("opening"))
     rank = F.struct(-F.col("score"), F.col("pos"))
-    other = F.when(F.col("opening") != F.col("top"), rank)
-    return rows.groupBy("clip_id").agg(F.min(rank)["pos"].alias("best_pos"), F.max("score").alias("best_score"), F.min(other)["pos"].alias("variant_pos"))
+    ranked = rows.select("clip_id", "opening", rank.alias("rank"))
+    best = ranked.groupBy("clip_id", "opening").agg(F.min("rank").alias("rank")).groupBy("clip_id").agg(F.slice(F.array_sort(F.collect_list("rank")), 1, 2).alias("top"))  # a row an opening
+    first, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
+    return best.select("clip_id", first["pos"].alias("best_pos"), (-first["col1"]).alias("best_score"), second["pos"].alias("variant_pos"))
+
+
+def caption_quality_kill(candidates: DataFrame, transcripts: DataFrame, generic: list[str], most: int = 8, least: int = 3) -> DataFrame:
+    """(clip_id, pos, reason): the first rule a line breaks; null if none.
+
+    transcripts: (clip_id, text). A line that is nothing but a common filler falls where the clip's transcript has
+    `least` distinct words of three letters or more that aren't generic, as then there is something to be said of it.
+    """
+    text, low = F.col("text"), F.lower("text")
+    asks = low.rlike(patterns.HOOKS["question"])
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))), lambda w: (F.length(w) > 2) & ~w.isin(generic))
+    told = transcripts.select("clip_id", (F.size(words) >= least).alias("told")).groupBy("clip_id").agg(F.max("told").alias("told"))
+    reason = (
+        F.when(word_count(text) > most, "too long").when(text.contains("\n"), "several lines").when(low.rlike(patterns.DESCRIPTIVE), "describes").when(low.rlike(patterns.BAIT), "bait")
+        .when(~low.rlike("|".join(patterns.HOOKS.values())), "no hook").when(low.rlike(patterns.GIVEAWAY) & ~asks, "giveaway").when(low.rlike(patterns.FILLER), "filler")
+    )
+    rows = candidates.select("clip_id", "pos", reason.alias("reason")).join(told, "clip_id", "left")
+    return rows.select("clip_id", "pos", F.when((F.col("reason") != "filler") | F.coalesce("told", F.lit(False)), F.col("reason")).alias("reason"))
 
 
 def tiered_fallback(lines: DataFrame) -> DataFrame:
     """(clip_id, pos, tier): the lines of each clip's first tier that has any; clips without one are left out.
 
-    lines: (clip_id, pos, kept, clean, grounded, specific).
+    lines: (clip_id, pos, kept, clean, grounded, specific, made, generic, told), all but the first two boolean: passed
+    all gates, passed the ban alone, told by the transcript, says something of its own, made from a template, a stock
+    line, and whether the clip has a transcript (stock lines are only for clips without one).
     """
-    k, c, g, s = (F.col(x) for x in ("kept", "clean", "grounded", "specific"))
-    tier = F.when(k & g & s, 1).when(c & g & s, 2).when(k & g, 3).when(k, 4).when(c, 5)
+    k, c, g, s, m, x, t = (F.col(n) for n in ("kept", "clean", "grounded", "specific", "made", "generic", "told"))
+    tier = F.when(k & g & s, 1).when(c & g & s, 2).when(m, 3).when(k & g, 4).when(k, 5).when(c, 6).when(x & ~t, 7)
     rows = lines.withColumn("tier", tier.cast("long")).where("tier is not null")
     return rows.withColumn("least", F.min("tier").over(over("clip_id"))).where("tier = least").select("clip_id", "pos", "tier")
 

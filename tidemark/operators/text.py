@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import earlier, joined, over, words_pattern
@@ -14,10 +14,19 @@ def filler_kill(moments: DataFrame, phrases: list[str]) -> DataFrame:
 
 
 def junk_text_flag(documents: DataFrame, least: int = 4, floor: int = 5, share: float = 0.5) -> DataFrame:
-    """(doc_id, n_tokens, top, junk): too few tokens, or one token that makes up most of them."""
-    tokens = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))).alias("t"))
-    counts = tokens.groupBy("doc_id", "t").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sum("c").alias("n"), F.max("c").alias("top"))
-    rows = documents.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), F.coalesce("top", F.lit(0)).alias("top"))
+    """(doc_id, n_tokens, top, junk): too few tokens, or one token that makes up most of them.
+
+    Counted inside the row, without a shuffle: equal tokens stand together once sorted, so the longest run is the top.
+    """
+    tokens = F.array_sort(F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)), F.array().cast("array<string>")))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+    def step(state: Column, token: Column) -> Column:
+        run = F.when(state["last"] == token, state["run"] + 1).otherwise(1)
+        return F.struct(token.alias("last"), run.alias("run"), F.greatest(state["top"], run).alias("top"))
+
+    rows = documents.select("doc_id", tokens.alias("tokens"))
+    rows = rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.aggregate("tokens", start, step)["top"].cast("long").alias("top"))
     return rows.withColumn("junk", (F.col("n_tokens") < least) | (F.col("top") >= F.greatest(F.lit(float(floor)), share * F.col("n_tokens"))))
 
 
@@ -30,11 +39,11 @@ def prefilter_candidates(moments: DataFrame, shortest: float = 3.0, loud: float
     return rows.where((F.col("key") == "") | (F.col("rn") == 1)).select("id", "source")
 
 
-def barrier_detect(pages: DataFrame, categories: list[tuple[str, str]]) -> DataFrame:
-    """(page_id, barrier): the first category, in order of priority, whose pattern the page's text holds."""
+def barrier_detect(pages: DataFrame, categories: list[tuple[str, list[str]]]) -> DataFrame:
+    """(page_id, barrier): the first category, in order of priority, one of whose patterns the page's text holds."""
     low, found = F.lower("html"), F.lit(None).cast("string")
-    for name, pattern in reversed(categories):
-        found = F.when(low.rlike(words_pattern([pattern])), name).otherwise(found)
+    for name, own in reversed(categories):
+        found = F.when(low.rlike("|".join(own)), name).otherwise(found)
     return pages.select("page_id", found.alias("barrier"))
 
 
@@ -70,39 +79,39 @@ def corpus_build(documents: DataFrame, limit: int = 24_000, salts: int = 64) ->
     return sources.join(corpora, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.coalesce("corpus", F.lit("")).alias("corpus"))
 
 
-def dictionary_language_vote(documents: DataFrame, stop_words: DataFrame, least: int = 8) -> DataFrame:
+def dictionary_language_vote(documents: DataFrame, stop_words: dict[str, list[str]], least: int = 8) -> DataFrame:
     """(doc_id, lang): the language whose stop words make up most of the tokens; null if there are few or none.
 
-    stop_words: (code, rank, word), a fixed list. On equal shares the lower rank wins.
+    stop_words: a short list a language. On equal shares the earlier language wins. Counted inside the row.
     """
-    tokens = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ']+"), F.lit(0))).alias("word"))
-    sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
-    votes = tokens.join(F.broadcast(stop_words), "word").groupBy("doc_id", "code", "rank").agg(F.count("*").alias("c"))
-    best = votes.groupBy("doc_id").agg(F.max_by("code", F.struct("c", -F.col("rank"))).alias("code"))
-    return documents.select("doc_id").join(sizes, "doc_id", "left").join(best, "doc_id", "left").select("doc_id", F.when(F.col("n") >= least, F.col("code")).alias("lang"))
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ']+"), F.lit(0))
+    rows = documents.select("doc_id", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+
+    def votes(own: list[str]) -> Column:
+        return F.size(F.filter("tokens", lambda w: w.isin(own)))
+
+    count = [votes(own) for own in stop_words.values()]
+    most, lang = F.greatest(*count), F.lit(None).cast("string")
+    for code, c in reversed(list(zip(stop_words, count, strict=True))):
+        lang = F.when(c == most, code).otherwise(lang)
+    return rows.select("doc_id", F.when((F.size("tokens") >= least) & (most > 0), lang).alias("lang"))
 
 
 def banned_gauntlet(candidates: DataFrame, terms: DataFrame) -> DataFrame:
     """(clip_id, pos, reason): the first banned term that each candidate line holds; null for survivors.
 
-    terms: (ordinal, term), a fixed list: phrases match anywhere, single words as whole words.
+    terms: (ordinal, term, is_pattern), a fixed list: patterns and phrases match anywhere, single words as whole words.
     """
     low = candidates.select("clip_id", "pos", F.lower("text").alias("low"))
     words = low.select("clip_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("term"))
-    single = words.join(F.broadcast(terms.where(~F.col("term").contains(" "))), "term").select("clip_id", "pos", "ordinal", "term")
-    phrases = F.broadcast(terms.where(F.col("term").contains(" ")))
-    inside = low.join(phrases, F.col("low").contains(F.col("term"))).select("clip_id", "pos", "ordinal", "term")  # few phrases, broadcast
+    anywhere = F.col("is_pattern") | F.col("term").contains(" ")
+    single = words.join(F.broadcast(terms.where(~anywhere)), "term").select("clip_id", "pos", "ordinal", "term")
+    there = F.when(F.col("is_pattern"), F.rlike("low", F.col("term"))).otherwise(F.col("low").contains(F.col("term")))
+    inside = low.join(F.broadcast(terms.where(anywhere)), there).select("clip_id", "pos", "ordinal", "term")  # a few, broadcast
     first = single.unionByName(inside).groupBy("clip_id", "pos").agg(F.min_by("term", "ordinal").alias("reason"))
     return candidates.select("clip_id", "pos").join(first, ["clip_id", "pos"], "left")
 
 
-def caption_quality_kill(candidates: DataFrame, openers: list[str], most: int = 8) -> DataFrame:
-    """(clip_id, pos, reason): the first rule a line breaks: too long, several lines, no opener; null if none."""
-    words = F.size(F.regexp_extract_all("text", F.lit(r"[^ ]*[A-Za-z0-9][^ ]*"), F.lit(0)))
-    reason = F.when(words > most, "too long").when(F.col("text").contains("\n"), "several lines").when(~F.lower("text").rlike(words_pattern(openers)), "no hook")
-    return candidates.select("clip_id", "pos", reason.alias("reason"))
-
-
 def grounding_anti_join(candidates: DataFrame, documents: DataFrame, generic: list[str], stem: int = 4) -> DataFrame:
     """(clip_id, pos, token): tokens of a line that its source text supports neither whole nor by a shared stem."""
     tokens = candidates.select("clip_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)))).alias("token")).where(F.length("token") > 2).where(~F.col("token").isin(generic))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import plugs
-from tidemark.operators import campaigns, captions, folds, ranking, timeline
-from tidemark.plans.catalog import GENERIC, OPENERS, RULES, _bound, _t, _values, query
+from tidemark.operators import campaigns, captions, folds, patterns, ranking, timeline
+from tidemark.plans.catalog import GENERIC, RULES, _ASKS, _HOOKED, _WORDS, _bound, _has, _t, _values, query
 from tidemark.streaming.replays import _folder
 
 # Term lists of the queries; parameters of the operators.
@@ -57,11 +57,16 @@ def links_union(spark, d):
     return campaigns.links_union(_t(spark, d, "v_resources"))
 
 
-@query("""WITH RECURSIVE w(page_id, hop) AS (SELECT DISTINCT src, 0::BIGINT FROM v_links WHERE src % 20 = 0 UNION SELECT l.dst, w.hop + 1 FROM w JOIN v_links l ON l.src = w.page_id WHERE w.hop < 3)
+@query("""WITH RECURSIVE w(page_id, hop) AS (SELECT page_id, 0::BIGINT FROM pages WHERE contains(html, '<html lang="de"') UNION SELECT b.src, w.hop + 1 FROM w JOIN v_links a ON a.src = w.page_id JOIN v_links b ON b.dst = a.dst WHERE w.hop < 3)
           SELECT page_id, min(hop) AS hop FROM w GROUP BY page_id""")
 def link_frontier(spark, d):
-    links = _t(spark, d, "v_links")
-    return campaigns.link_frontier(links, links.where("src % 20 = 0").select(F.col("src").alias("page_id")))
+    # A page leads to its links and a link to all pages with it, so that one on many pages is followed without pairing them.
+    links, pages = _t(spark, d, "v_links", "pages")
+    name = lambda c: F.concat(F.lit("p"), c)
+    edges = links.select(name("src").alias("src"), "dst").unionByName(links.select(F.col("dst").alias("src"), name("src").alias("dst")))
+    seeds = pages.where(F.col("html").contains('<html lang="de"')).select(name("page_id").alias("page_id"))
+    reached = campaigns.link_frontier(edges, seeds, hops=6).where(F.col("page_id").startswith("p"))
+    return reached.select(F.substring("page_id", 2, 20).cast("long").alias("page_id"), (F.col("hop") / 2).cast("long").alias("hop"))
 
 
 @query(f"SELECT b.id, a.tag FROM v_board b JOIN (VALUES {_values(ALIASES)}) a(alias, tag) ON a.alias = string_split(b.category, ' ')[1]")
@@ -72,13 +77,13 @@ def alias_resolve(spark, d):
 _PRINTS = "SELECT src AS id, string_agg(DISTINCT CAST(dst AS VARCHAR), '|' ORDER BY CAST(dst AS VARCHAR)) AS f FROM v_links {} GROUP BY src"
 
 
-@query(f"""WITH n AS ({_PRINTS.format("")}), c AS ({_PRINTS.format("WHERE (src + dst) % 11 <> 0")}),
+@query(f"""WITH n AS ({_PRINTS.format("")}), c AS ({_PRINTS.format("WHERE (src + length(dst)) % 11 <> 0")}),
            m AS (SELECT src AS id, CASE WHEN src % 3 = 0 THEN NULL WHEN count(*) > 2 THEN 'pass' ELSE 'skip' END AS v FROM v_links GROUP BY src)
            SELECT n.id, CASE WHEN coalesce(c.f = n.f, false) THEN CASE WHEN n.id % 2 = 0 THEN 'pass' ELSE 'skip' END ELSE coalesce(m.v, 'pass') END AS verdict,
                   CASE WHEN coalesce(c.f = n.f, false) THEN 'cache' WHEN m.v IS NOT NULL THEN 'measured' ELSE 'default' END AS origin FROM n LEFT JOIN c USING (id) LEFT JOIN m USING (id)""")
 def sticky_verdict(spark, d):
     links = _t(spark, d, "v_links")
-    cached = campaigns.fingerprints(links.where("(src + dst) % 11 <> 0")).withColumn("verdict", F.expr("CASE WHEN id % 2 = 0 THEN 'pass' ELSE 'skip' END"))
+    cached = campaigns.fingerprints(links.where("(src + length(dst)) % 11 <> 0")).withColumn("verdict", F.expr("CASE WHEN id % 2 = 0 THEN 'pass' ELSE 'skip' END"))
     measured = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).select("id", F.expr("CASE WHEN id % 3 = 0 THEN NULL WHEN n > 2 THEN 'pass' ELSE 'skip' END").alias("verdict"))
     return campaigns.sticky_verdict(links, cached, measured)
 
@@ -140,22 +145,30 @@ def campaign_digest(spark, d):
 # -- candidate lines ---------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH s AS (SELECT clip_id, pos, array_to_string(string_split(lower(text), ' ')[1:2], ' ') AS o, CASE WHEN regexp_matches(lower(text), '{_bound(OPENERS)}') THEN 4 ELSE 0 END + CASE WHEN contains(text, '?') THEN 2 ELSE 0 END
-           - CASE WHEN regexp_matches(lower(text), '{_bound(DULL)}') THEN 6 ELSE 0 END - CASE WHEN len(string_split(text, ' ')) > 12 THEN 5 ELSE 0 END + CASE WHEN len(string_split(text, ' ')) <= 6 THEN 2 ELSE 0 END
-           + CASE WHEN length(regexp_replace(text, '[^a-z]', '', 'g')) > 0.85::DOUBLE * length(text) THEN 1 ELSE 0 END AS score FROM v_candidates),
+_POINTS = f"""CASE WHEN regexp_matches(text, '{patterns.EMOJI}') THEN 2 ELSE 0 END + CASE WHEN {_ASKS} OR {_has(patterns.HOOKS["disbelief"])} THEN 2 ELSE 0 END - CASE WHEN {_has(patterns.DESCRIPTIVE)} THEN 6 ELSE 0 END
+  - CASE WHEN {_has(patterns.GIVEAWAY)} AND NOT {_ASKS} THEN 5 ELSE 0 END {"".join(f" + CASE WHEN {_has(h)} THEN 4 ELSE 0 END" for h in patterns.HOOKS.values())}
+  + CASE WHEN {_WORDS} <= 6 THEN 2 ELSE 0 END - CASE WHEN {_WORDS} > 8 THEN 8 ELSE 0 END - CASE WHEN suffix(trim(text), '.') THEN 1 ELSE 0 END
+  + CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 AND length(regexp_replace(text, '[^a-z]', '', 'g')) > 0.85::DOUBLE * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 1 ELSE 0 END"""
+
+
+@query(f"""WITH s AS (SELECT clip_id, pos, array_to_string(regexp_extract_all(lower(text), '[a-z'']+')[1:2], ' ') AS o, {_POINTS} AS score FROM v_candidates),
            b AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, pos) AS rn FROM s), t AS (SELECT * FROM b WHERE rn = 1),
            v AS (SELECT b.clip_id, arg_min(b.pos, b.rn) AS pos FROM b JOIN t ON t.clip_id = b.clip_id AND t.o <> b.o GROUP BY 1)
            SELECT t.clip_id, t.pos AS best_pos, CAST(t.score AS BIGINT) AS best_score, v.pos AS variant_pos FROM t LEFT JOIN v ON v.clip_id = t.clip_id""")
 def caption_score_top2(spark, d):
-    return captions.caption_score_top2(_t(spark, d, "v_candidates"), OPENERS, DULL)
+    return captions.caption_score_top2(_t(spark, d, "v_candidates"))
 
 
-@query(f"""WITH t AS (SELECT clip_id, pos, NOT regexp_matches(lower(text), '{_bound(DULL)}') AS k, len(string_split(text, ' ')) <= 8 AS c, length(text) > 40 AS g, regexp_matches(lower(text), '[a-z]{{9,}}') AS s FROM v_candidates),
-           r AS (SELECT clip_id, pos, CASE WHEN k AND g AND s THEN 1 WHEN c AND g AND s THEN 2 WHEN k AND g THEN 3 WHEN k THEN 4 WHEN c THEN 5 END AS tier FROM t)
+@query(f"""WITH t AS (SELECT clip_id, pos, NOT regexp_matches(lower(text), '{_bound(DULL)}') AS c, {_HOOKED} AND {_WORDS} <= 8 AS h, length(text) > 40 AS g, regexp_matches(lower(text), '[a-z]{{9,}}') AS s, {_has(patterns.FILLER)} AS x FROM v_candidates),
+           r AS (SELECT clip_id, pos, CASE WHEN c AND h AND g AND s THEN 1 WHEN c AND g AND s THEN 2 WHEN c AND h AND g THEN 4 WHEN c AND h THEN 5 WHEN c THEN 6 END AS tier FROM t)
            SELECT clip_id, pos, CAST(tier AS BIGINT) AS tier FROM (SELECT *, min(tier) OVER (PARTITION BY clip_id) AS m FROM r WHERE tier IS NOT NULL) u WHERE tier = m""")
 def tiered_fallback(spark, d):
     low = F.lower("text")
-    lines = _t(spark, d, "v_candidates").select("clip_id", "pos", (~low.rlike(_bound(DULL))).alias("kept"), (F.size(F.split("text", " ")) <= 8).alias("clean"), (F.length("text") > 40).alias("grounded"), low.rlike("[a-z]{9,}").alias("specific"))
+    clean, hooked = ~low.rlike(_bound(DULL)), low.rlike("|".join(patterns.HOOKS.values())) & (captions.word_count(F.col("text")) <= 8)
+    lines = _t(spark, d, "v_candidates").select(
+        "clip_id", "pos", (clean & hooked).alias("kept"), clean.alias("clean"), (F.length("text") > 40).alias("grounded"), low.rlike("[a-z]{9,}").alias("specific"),
+        F.lit(False).alias("made"), low.rlike(patterns.FILLER).alias("generic"), F.lit(True).alias("told"),
+    )
     return captions.tiered_fallback(lines)
 
 
@@ -196,19 +209,19 @@ def lexicon_prefix_match(spark, d):
 
 
 _ANCHORS = """SELECT clip_id, coalesce(array_to_string(list_filter(a, lambda x, i: a[1:i] = b[1:i]), ' '), '') AS anchor
-FROM (SELECT clip_id, string_split(min(lower(text)), ' ') AS a, string_split(max(lower(text)), ' ') AS b FROM v_candidates WHERE pos % 4 = 0 GROUP BY clip_id) t"""
+FROM (SELECT clip_id, string_split(min(lower(text)), ' ') AS a, string_split(max(lower(text)), ' ') AS b FROM v_candidates WHERE length(text) <= 60 GROUP BY clip_id) t"""
 
 
 @query(_ANCHORS)
 def udaf_common_prefix(spark, d):
-    return plugs.common_prefix_twin(_t(spark, d, "v_candidates").where("pos % 4 = 0"))
+    return plugs.common_prefix_twin(_t(spark, d, "v_candidates").where("length(text) <= 60"))
 
 
 @query(f"""WITH p AS ({_ANCHORS}), c AS (SELECT c.clip_id, c.pos, string_split(lower(c.text), ' ') AS w, CASE WHEN p.anchor = '' THEN [] ELSE string_split(p.anchor, ' ') END AS a FROM v_candidates c JOIN p USING (clip_id))
            SELECT clip_id, pos FROM c WHERE array_to_string(w[1:len(a)], ' ') = array_to_string(a, ' ') AND len(list_filter(w[len(a) + 1:], lambda x: NOT list_contains(a, x) AND NOT list_contains([{_quoted(GENERIC)}], x))) > 0""")
 def required_prefix_conformance(spark, d):
     c = _t(spark, d, "v_candidates")
-    return captions.required_prefix_conformance(c, c.where("pos % 4 = 0"), GENERIC)
+    return captions.required_prefix_conformance(c, c.where("length(text) <= 60"), GENERIC)
 
 
 @query()

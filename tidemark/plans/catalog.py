@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import board, intervals, ranking, series, text
+from tidemark.operators import board, captions, intervals, patterns, ranking, series, text
 from tidemark.sources import views
 
 # Term lists of the queries; parameters of the operators.
 FILLER = ["it is", "on the"]
-OPENERS = ["is", "are", "which"]
 MARKERS = ["the", "and", "with"]
-BANNED = [(1, "for"), (2, "mit license"), (3, "license"), (4, "token"), (5, "with")]
-BARRIERS = [("login", "der"), ("signup", "los"), ("payment", "est"), ("manual", "the")]
+BANNED = [(1, "for", False), (2, "mit license", False), (3, "license", False), (4, "token", False), (5, "with", False), (6, patterns.bounded(r"\b(re)?[a-z]{3}tion(s|ed)?\b"), True)]
+DEFAULT_BANNED = ["giveaway", "casino"]
 RULES = [("license", "released under"), ("license", "licensed under"), ("contact", "@"), ("secret", "token")]
 GENERIC = ["the", "and", "for"]
 STOP = {"en": "the and of to is with that for", "fr": "le la les des que est un une", "de": "der die das und ein ist von den", "es": "el la los que de y en del"}
@@ -44,13 +43,21 @@ def _t(spark: SparkSession, sf_dir: str, *names: str):
 
 
 def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
 
 
 def _bound(words: list[str]) -> str:
     return "(^|[^a-z0-9_])(" + "|".join(words) + ")([^a-z0-9_]|$)"
 
 
+def _has(pattern: str, of: str = "lower(text)") -> str:
+    return f"regexp_matches({of}, '{pattern.replace(chr(39), 2 * chr(39))}')"
+
+
+def _holds(words: list[str], of: str = "lower(text)") -> str:
+    return "(" + " OR ".join(f"contains({of}, '{w.replace(chr(39), 2 * chr(39))}')" for w in words) + ")"
+
+
 _STOP_ROWS = [(code, rank, w) for rank, (code, ws) in enumerate(STOP.items()) for w in ws.split()]
 _KIND_ROWS = [(e, k) for k, es in KINDS.items() for e in es.split()]
 
@@ -153,23 +160,30 @@ def language_skip(spark, d):
     return board.language_skip(_t(spark, d, "v_board"))
 
 
-@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(lower(html), '{_bound([p])}') THEN '{n}'" for n, p in BARRIERS) + " END AS barrier FROM pages")
+@query("SELECT page_id, CASE " + " ".join(f"WHEN {_has('|'.join(own), 'lower(html)')} THEN '{name}'" for name, own in patterns.BARRIERS) + " END AS barrier FROM pages")
 def barrier_detect(spark, d):
-    return text.barrier_detect(_t(spark, d, "pages"), BARRIERS)
+    return text.barrier_detect(_t(spark, d, "pages"), patterns.BARRIERS)
+
+
+_WORDS = "len(regexp_extract_all(text, '[^ ]*[A-Za-z0-9][^ ]*'))"
+_ASKS, _HOOKED = _has(patterns.HOOKS["question"]), _has("|".join(patterns.HOOKS.values()))
 
 
-@query(f"""SELECT clip_id, pos, CASE WHEN len(regexp_extract_all(text, '[^ ]*[A-Za-z0-9][^ ]*')) > 8 THEN 'too long' WHEN contains(text, chr(10)) THEN 'several lines'
-           WHEN NOT regexp_matches(lower(text), '{_bound(OPENERS)}') THEN 'no hook' END AS reason FROM v_candidates""")
+@query(f"""WITH v AS (SELECT doc_id AS clip_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z'']+')), lambda w: length(w) > 2 AND NOT list_contains([{", ".join(f"'{g}'" for g in GENERIC)}], w))) >= 3 AS told FROM documents),
+           r AS (SELECT clip_id, pos, CASE WHEN {_WORDS} > 8 THEN 'too long' WHEN contains(text, chr(10)) THEN 'several lines' WHEN {_has(patterns.DESCRIPTIVE)} THEN 'describes' WHEN {_has(patterns.BAIT)} THEN 'bait'
+                 WHEN NOT {_HOOKED} THEN 'no hook' WHEN {_has(patterns.GIVEAWAY)} AND NOT {_ASKS} THEN 'giveaway' WHEN {_has(patterns.FILLER)} THEN 'filler' END AS reason FROM v_candidates)
+           SELECT r.clip_id, pos, CASE WHEN reason <> 'filler' OR told THEN reason END AS reason FROM r JOIN v USING (clip_id)""")
 def caption_quality_kill(spark, d):
-    return text.caption_quality_kill(_t(spark, d, "v_candidates"), OPENERS)
+    transcripts = _t(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), "text")
+    return captions.caption_quality_kill(_t(spark, d, "v_candidates"), transcripts, GENERIC)
 
 
-@query(f"""WITH b(ordinal, term) AS (VALUES {_values(BANNED)}),
+@query(f"""WITH b(ordinal, term, is_pattern) AS (VALUES {_values(BANNED)}),
            h AS (SELECT c.clip_id, c.pos, min_by(b.term, b.ordinal) AS reason FROM v_candidates c JOIN b
-                 ON CASE WHEN contains(b.term, ' ') THEN contains(lower(c.text), b.term) ELSE regexp_matches(lower(c.text), '(^|[^a-z0-9_])' || b.term || '([^a-z0-9_]|$)') END GROUP BY 1, 2)
+                 ON CASE WHEN is_pattern THEN regexp_matches(lower(c.text), b.term) WHEN contains(b.term, ' ') THEN contains(lower(c.text), b.term) ELSE regexp_matches(lower(c.text), '(^|[^a-z0-9_])' || b.term || '([^a-z0-9_]|$)') END GROUP BY 1, 2)
            SELECT c.clip_id, c.pos, h.reason FROM v_candidates c LEFT JOIN h ON h.clip_id = c.clip_id AND h.pos = c.pos""")
 def banned_gauntlet(spark, d):
-    return text.banned_gauntlet(_t(spark, d, "v_candidates"), spark.createDataFrame(BANNED, "ordinal int, term string"))
+    return text.banned_gauntlet(_t(spark, d, "v_candidates"), spark.createDataFrame(BANNED, "ordinal int, term string, is_pattern boolean"))
 
 
 # -- joins -------------------------------------------------------------------------------------------------------
@@ -194,11 +208,12 @@ def energy_peak(spark, d):
     return intervals.energy_peak(*_t(spark, d, "v_segments", "v_energy"))
 
 
-@query("""WITH q AS (SELECT * FROM v_moments m WHERE type = 'audio_spike' AND NOT EXISTS (SELECT 1 FROM v_segments s WHERE s.source = m.source AND trim(s.text) <> '' AND s.start_s < m.end_s + 0.4 AND s.end_s > m.start_s - 0.4)),
+@query("""WITH q AS (SELECT * FROM v_moments m WHERE type = 'audio_spike' AND NOT EXISTS (SELECT 1 FROM v_segments s WHERE s.source = m.source AND s.role = 'user' AND trim(s.text) <> '' AND s.start_s < m.end_s + 0.4 AND s.end_s > m.start_s - 0.4)),
           r AS (SELECT c.clip_id, q.id, q.start_s AS beat_start, row_number() OVER (PARTITION BY c.clip_id ORDER BY q.intensity DESC, q.start_s, q.id) AS rn FROM v_clips c JOIN q ON q.source = c.source AND abs(q.peak - c.peak) <= 22)
           SELECT clip_id, id, beat_start FROM r WHERE rn <= 3""")
 def nonspeech_beats(spark, d):
-    return intervals.nonspeech_beats(*_t(spark, d, "v_clips", "v_moments", "v_segments"))
+    clips, moments, segments = _t(spark, d, "v_clips", "v_moments", "v_segments")
+    return intervals.nonspeech_beats(clips, moments, segments.where("role = 'user'"))  # one side's speech
 
 
 @query("""WITH c AS (SELECT c.clip_id, c.start_s, c.end_s, s.end_s AS e, regexp_matches(rtrim(s.text, ' '), '[.!?]$') AS fin FROM v_clips c LEFT JOIN v_segments s ON s.source = c.source AND s.end_s >= c.start_s AND s.end_s <= c.end_s + 4),
@@ -232,12 +247,15 @@ def payoff_gap(spark, d):
     return intervals.payoff_gap(*_t(spark, d, "v_played", "v_clips"))
 
 
-@query(f"""WITH t AS (SELECT clip_id, pos, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z'']+'))) AS token FROM v_candidates),
-           v AS (SELECT doc_id AS clip_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z'']+'))) AS token FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 <> 0)
+@query(f"""WITH t AS (SELECT source AS clip_id, seg_no AS pos, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z'']+'))) AS token FROM v_segments WHERE role = 'assistant'),
+           v AS (SELECT DISTINCT source AS clip_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS token FROM v_segments WHERE role <> 'assistant')
            SELECT clip_id, pos, token FROM t WHERE length(token) > 2 AND token NOT IN ({", ".join(f"'{g}'" for g in GENERIC)})
-           AND NOT EXISTS (SELECT 1 FROM v WHERE v.clip_id = t.clip_id AND (v.token = t.token OR (length(t.token) >= 4 AND length(v.token) >= 4 AND v.token[1:4] = t.token[1:4])))""")
+           AND NOT EXISTS (SELECT 1 FROM v WHERE v.clip_id = t.clip_id AND v.token = t.token)
+           AND NOT EXISTS (SELECT 1 FROM v WHERE v.clip_id = t.clip_id AND length(t.token) >= 4 AND length(v.token) >= 4 AND v.token[1:4] = t.token[1:4])""")
 def grounding_anti_join(spark, d):
-    return text.grounding_anti_join(_t(spark, d, "v_candidates"), _t(spark, d, "documents").where("doc_id % 3 = 0 or doc_id % 5 <> 0"), GENERIC)
+    s = _t(spark, d, "v_segments")  # answers, grounded on what else was said
+    answers = s.where("role = 'assistant'").select(F.col("source").alias("clip_id"), F.col("seg_no").alias("pos"), "text")
+    return text.grounding_anti_join(answers, s.where("role <> 'assistant'").select(F.col("source").alias("doc_id"), "text"), GENERIC)
 
 
 @query(f"""WITH s(code, rk, word) AS (VALUES {_values(_STOP_ROWS)}),
@@ -247,7 +265,7 @@ def grounding_anti_join(spark, d):
            b AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, rk) AS rn FROM v)
            SELECT d.doc_id, CASE WHEN n.n >= 8 THEN b.code END AS lang FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND b.rn = 1""")
 def dictionary_language_vote(spark, d):
-    return text.dictionary_language_vote(_t(spark, d, "documents"), spark.createDataFrame(_STOP_ROWS, "code string, rank int, word string"))
+    return text.dictionary_language_vote(_t(spark, d, "documents"), {code: words.split() for code, words in STOP.items()})
 
 
 @query("""WITH s AS (SELECT id, CAST(intensity AS BIGINT) % 101 AS score, text AS line, start_s AS pos FROM v_moments WHERE type = 'speech'
@@ -316,24 +334,32 @@ def run_tally(spark, d):
     return ranking.run_tally(_t(spark, d, "v_attempts"))
 
 
-_SECTION = "CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{n}'" for n, w in RULES) + " END"
-_FLOOR = f"SELECT campaign, section, ord, text FROM (SELECT campaign, section, text, row_number() OVER (PARTITION BY campaign, section ORDER BY doc_id, line_no) AS ord FROM (SELECT *, {_SECTION} AS section FROM v_rule_lines) a WHERE section IS NOT NULL) b WHERE ord <= 40"
+_TAGS = "unnest(regexp_extract_all(text, '(^|[^A-Za-z0-9_])({}[{}]+)', 2))"
+_FLOOR = f"""WITH l AS (SELECT campaign, doc_id, line_no, text, lower(text) AS low FROM v_rule_lines),
+  s AS ({" UNION ALL ".join(f"SELECT campaign, '{name}' AS field, doc_id, line_no, text AS value FROM l WHERE {_holds(words, 'low')}" for name, words in patterns.SECTIONS.items())}),
+  o AS (SELECT campaign, field, CAST(row_number() OVER (PARTITION BY campaign, field ORDER BY doc_id, line_no) AS BIGINT) AS ord, value FROM s),
+  h AS (SELECT campaign, {_TAGS.format("#", "A-Za-z0-9_")} AS value FROM l), m AS (SELECT campaign, {_TAGS.format("@", "A-Za-z0-9_.")} AS value FROM l),
+  t AS (SELECT campaign, trim(regexp_replace(x, '[^a-z0-9''+ -]', '', 'g')) AS value FROM (SELECT campaign, unnest(regexp_split_to_array(regexp_replace(low, '^[^:–-]*[:–-]', ''), '[,/;]| and | or ')) AS x FROM l WHERE {_holds(patterns.BANNED_MARKS, 'low')}) y),
+  u AS (SELECT campaign, 'hashtags' AS field, value FROM h UNION SELECT campaign, 'required', 'hashtag: ' || value FROM h UNION SELECT campaign, 'mentions', value FROM m UNION SELECT campaign, 'required', 'mention: ' || value FROM m
+        UNION SELECT campaign, 'required', 'watermark' FROM l WHERE contains(low, 'watermark') UNION SELECT campaign, 'required', 'disclosure' FROM l WHERE {_holds(patterns.DISCLOSURE_MARKS, 'low')}
+        UNION SELECT campaign, 'banned_words', value FROM t WHERE length(value) >= 2 AND len(regexp_extract_all(value, '[^ ]+')) BETWEEN 1 AND 3 AND NOT regexp_matches(value, '^[0-9]+$')
+        UNION SELECT campaign, 'banned_words', unnest([{", ".join(f"'{w}'" for w in DEFAULT_BANNED)}]) FROM l),
+  floor AS (SELECT campaign, field, ord, value FROM o WHERE ord <= 40 UNION ALL SELECT campaign, field, CAST(0 AS BIGINT), value FROM u)"""
 
 
-@query(_FLOOR)
+@query(f"{_FLOOR} SELECT campaign, field, ord, value FROM floor")
 def rules_floor(spark, d):
-    return board.rules_floor(_t(spark, d, "v_rule_lines"), RULES)
+    return board.rules_floor(_t(spark, d, "v_rule_lines"), DEFAULT_BANNED)
 
 
-@query(f"""WITH f AS ({_FLOOR}), b AS (SELECT campaign, ord + 1000 * (CASE section WHEN 'license' THEN 1 WHEN 'contact' THEN 2 ELSE 3 END) AS ord, text, 0 AS p FROM f
-           UNION ALL SELECT campaign, doc_id * 100000 + line_no, text, 1 FROM v_rule_lines WHERE line_no = 0),
-           o AS (SELECT *, row_number() OVER (PARTITION BY campaign, lower(trim(text)) ORDER BY p, ord) AS rn FROM b)
-           SELECT campaign, count(*) AS n, arg_min(text, p * 1000000000000 + ord) AS first FROM o WHERE rn = 1 GROUP BY campaign""")
+@query(f"""{_FLOOR}, e AS (SELECT campaign, doc_id * 100000 + line_no AS ord, text AS value FROM v_rule_lines WHERE line_no = 0),
+           b AS (SELECT campaign, field, 0 AS origin, ord, value FROM floor UNION ALL SELECT campaign, 'payout_terms', 1, ord, value FROM e UNION ALL SELECT campaign, 'style_guidance', 1, ord, value FROM e),
+           r AS (SELECT *, row_number() OVER (PARTITION BY campaign, field, CASE WHEN field = 'style_guidance' THEN '' ELSE lower(trim(value)) END ORDER BY origin, ord, value) AS rn FROM b WHERE trim(value) <> '')
+           SELECT campaign, field, origin, ord, value FROM r WHERE rn = 1""")
 def rules_merge(spark, d):
     lines = _t(spark, d, "v_rule_lines")
-    rank = F.when(F.col("section") == "license", 1).when(F.col("section") == "contact", 2).otherwise(3)
-    floor = board.rules_floor(lines, RULES).select("campaign", (F.col("ord") + 1000 * rank).alias("ord"), "text")
-    return board.rules_merge(floor, lines.where("line_no = 0").select("campaign", (F.col("doc_id") * 100000 + F.col("line_no")).alias("ord"), "text"))
+    extra = lines.where("line_no = 0").select("campaign", F.explode(F.array(F.lit("payout_terms"), F.lit("style_guidance"))).alias("field"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("ord"), F.col("text").alias("value"))
+    return board.rules_merge(board.rules_floor(lines, DEFAULT_BANNED), extra, ["style_guidance"])
 
 
 @query(f"""WITH r AS (SELECT v.*, coalesce(k.kind, 'other') AS kind FROM v_resources v LEFT JOIN (VALUES {_values(_KIND_ROWS)}) k(ext, kind) ON k.ext = lower(regexp_extract(v.path, '\\.([A-Za-z0-9]+)$', 1)))

@@ -52,12 +52,12 @@ UNION ALL SELECT clip_id, start_s, 2, CAST(8 AS DOUBLE), CAST(8 + 2 + clip_id %
 -- view: v_candidates spark
 SELECT doc_id AS clip_id, CAST(p AS BIGINT) AS pos, trim(c) AS text
 FROM documents LATERAL VIEW posexplode(split(text, '[.\\n]')) e AS p, c
-WHERE doc_id % 5 = 0 AND p < 12 AND length(trim(c)) > 0
+WHERE length(trim(c)) > 0
 -- view: v_candidates duckdb
 SELECT clip_id, CAST(p AS BIGINT) AS pos, trim(c) AS text
 FROM (SELECT doc_id AS clip_id, unnest(regexp_split_to_array(text, '[.\n]')) AS c,
              generate_subscripts(regexp_split_to_array(text, '[.\n]'), 1) - 1 AS p FROM documents) t
-WHERE clip_id % 5 = 0 AND p < 12 AND length(trim(c)) > 0
+WHERE length(trim(c)) > 0
 -- view: v_rule_lines spark
 SELECT source AS campaign, doc_id, CAST(p AS BIGINT) AS line_no, trim(c) AS text
 FROM documents LATERAL VIEW posexplode(split(text, '\\n')) e AS p, c WHERE length(trim(c)) > 0
@@ -87,13 +87,9 @@ SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN 'https://drive.example.com/f
 FROM pages
 UNION ALL SELECT page_id, url FROM pages
 -- view: v_links spark
-WITH e AS (SELECT DISTINCT page_id, h FROM pages LATERAL VIEW explode(regexp_extract_all(html, '<a href="(/[^"]+)"', 1)) x AS h),
-     r AS (SELECT h FROM e GROUP BY h HAVING count(*) BETWEEN 2 AND 5)
-SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM e a JOIN r ON a.h = r.h JOIN e b ON b.h = a.h WHERE a.page_id <> b.page_id
+SELECT DISTINCT page_id AS src, h AS dst FROM pages LATERAL VIEW explode(regexp_extract_all(html, '<a href="(/[^"]+)"', 1)) x AS h
 -- view: v_links duckdb
-WITH e AS (SELECT DISTINCT page_id, h FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]+)"', 1)) AS h FROM pages) t),
-     r AS (SELECT h FROM e GROUP BY h HAVING count(*) BETWEEN 2 AND 5)
-SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM e a JOIN r ON a.h = r.h JOIN e b ON b.h = a.h WHERE a.page_id <> b.page_id
+SELECT DISTINCT page_id AS src, h AS dst FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]+)"', 1)) AS h FROM pages) t
 -- view: v_errors both
 SELECT event_id, user_id,
        CASE event_id % 6 WHEN 0 THEN 'Error code: 429 rate limit tokens per day (TPD), try again in 5m30s'

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tidemark.functions.storage import shared_dir
+
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,17 +58,24 @@ def st_spike_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(stream.select("event_id", "user_id", F.round("value", 4).alias("value")), spark)
 
 
-def daily_quota(stream: DataFrame, quota: int = 3) -> DataFrame:
-    """(event_id, user_id, day): the first events of each user and day that arrive, `quota` at most; state: how many were let in."""
+def daily_quota(stream: DataFrame, quota: int = 3, late: str = "2 days") -> DataFrame:
+    """(event_id, user_id, day): the first events of each user and day that arrive, `quota` at most.
+
+    State: how many were let in, dropped by a timer once the watermark (`late` behind the newest event) has passed the day.
+    """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         taken = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"]).head(max(0, quota - taken))
         state.update((taken + len(rows),))
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1], tz="UTC").timestamp() + 86_400) * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows[["event_id", "user_id", "day"]]
 
-    rows = stream.select("event_id", "user_id", "ts", F.to_date("ts").cast("string").alias("day"))
-    return rows.groupBy("user_id", "day").applyInPandasWithState(admit, "event_id long, user_id long, day string", "taken long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark("ts", late).select("event_id", "user_id", "ts", F.to_date("ts").cast("string").alias("day"))
+    return rows.groupBy("user_id", "day").applyInPandasWithState(admit, "event_id long, user_id long, day string", "taken long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deadband(stream: DataFrame, safe: float = 20, easing: float = 0.06, most: float = 8, low: float = 0, high: float = 1000) -> DataFrame:
