@@ -301,6 +301,21 @@ def test_embedding_links_against_all_pairs(spark):
     assert pq_neardup.embedding_links(table.limit(0)).count() == 0
 
 
+def test_embedding_recall_in_many_dimensions(spark):
+    """Against brute force where the probes are not exact; labels may be words."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(900, 64))
+    near = base[:600] + rng.normal(scale=0.36, size=(600, 64))
+    unit = np.concatenate([base, near])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v.tolist(), "xy"[i % 2 if i < 900 else (i - 900) % 2]) for i, v in enumerate(unit)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r.n_links for r in pq_neardup.embedding_links(table).collect()}
+    kind = np.array([i % 2 if i < 900 else (i - 900) % 2 for i in range(1500)])
+    linked = (unit @ unit.T >= 0.93) & (kind[:, None] == kind)
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 500 and sum(got.values()) >= 0.99 * linked.sum() and all(got[i] <= linked[i].sum() for i in range(1500))
+
+
 def test_language_id(spark):
     symbols = [0, 1, 0, 1, 1, 0, 2]
     sam = lang_parse.SuffixAutomaton(symbols, 4)

@@ -1,13 +1,18 @@
 """Embedding near-dedup with product quantisation.
 
-Equal vectors of one label are one class. The distinct ones go into coarse inverted lists (an IVF per label, trained
-on a bounded sample) and are coded by their residual's nearest centroid in each subspace. A vector is a member of its
-nearest list and a query in every list that can hold a neighbour: by the triangle inequality a vector within distance
-r of the query, that lies nearest to centroid c, has d(q, c) <= d(q, nearest) + 2 r, so these probes suffice. Inside a
-list, asymmetric distances from a query's tables to the codes keep the members within reach (the query's distance
-can't fall short of the table distance by more than the code's own error), and these are ranked anew by exact cosine.
-
-Large lists are cut into blocks of members, each a task's work of its own, so a hot label or list is spread; a
+Equal vectors of one label are one class. The distinct ones go into coarse inverted lists (centroids shared by all
+labels of one vector size, trained on a bounded sample; lists are kept by label) and are coded by their residual's
+nearest centroid in each subspace. A vector is a member of its nearest list and a query in lists that can hold a
+neighbour: one within distance r of the query that lies nearer to centroid c than to the query's own centroid o must
+cross the plane between c and o, so the query is at most r from that plane. Of a distance r in a random direction only
+r / sqrt(size) is to be expected across a plane, so lists whose plane is within `sure` times that are probed: all that
+can hold a neighbour for vectors of up to sure^2 components, all but some in ten thousand beyond (sure of sqrt(size) or
+more is exact for any). Inside a list, asymmetric distances from a query's tables to the codes keep the members within
+reach (the query's distance can't fall short of the table distance by more than the code's own error), and these are
+ranked anew by exact cosine.
+
+The number of lists grows with the root of the largest label's size (max_lists at most), so a query meets ever smaller
+shares of its label. Large lists are cut into blocks of members, each a task's work of its own, so a hot label or list is spread; a
 query is a row in each block. Blocks return link counts per vector and edges that span what they linked, never pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link
@@ -17,6 +22,7 @@ Vectors of different sizes never meet.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,18 +64,20 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 class Quantiser:
     """Coarse centroids and residual subspace codebooks of one (label, size)."""
 
-    def __init__(self, sample: np.ndarray, per_list: int, subspaces: int, codes: int):
-        n, dim = sample.shape
-        self.coarse = k_means(sample, max(1, min(256, n // per_list)))
+    def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codes: int):
+        dim = sample.shape[1]
+        self.coarse = k_means(sample, lists)
+        self.apart = distances(self.coarse, self.coarse)
         self.cuts = np.linspace(0, dim, min(subspaces, dim) + 1).astype(int)
         residual = sample - self.coarse[nearest(sample, self.coarse)[0]]
         self.books = [k_means(residual[:, a:b], codes) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
 
-    def probes(self, unit: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(own list, whether each list can hold a neighbour)."""
+    def probes(self, unit: np.ndarray, radius: float, sure: float) -> tuple[np.ndarray, np.ndarray]:
+        """(own list, whether each list is to be probed)."""
         d = distances(unit, self.coarse)
         own = d.argmin(1)
-        return own, d <= d.min(1)[:, None] + 2 * radius + 1e-6
+        to_plane = (d**2 - d.min(1)[:, None] ** 2) / np.maximum(2 * self.apart[own], 1e-9)
+        return own, to_plane <= radius * min(1.0, sure / np.sqrt(unit.shape[1])) + 1e-6
 
     def encode(self, residual: np.ndarray) -> np.ndarray:
         return np.stack([nearest(residual[:, a:b], book)[0] for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], 1).astype(np.uint8)
@@ -90,16 +98,16 @@ def _units(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _deal(models, radius: float):
+def _deal(models, radius: float, sure: float):
     """One row for each list a vector is of use in; its own one with code and code error."""
 
     @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (label, size), own in batch.groupby([batch.label, batch.raw.map(len)]):
-                model: Quantiser = models.value[(int(label), int(size))]
+            for size, own in batch.groupby(batch.raw.map(len)):
+                model: Quantiser = models.value[int(size)]
                 unit = _units(own.raw.tolist())
-                home, reach = model.probes(unit, radius)
+                home, reach = model.probes(unit, radius, sure)
                 residual = unit - model.coarse[home]
                 code = model.encode(residual)
                 error = np.sqrt(((residual - model.decoded(code)) ** 2).sum(1))
@@ -107,7 +115,7 @@ def _deal(models, radius: float):
                 mine = home[row] == target
                 yield pd.DataFrame(
                     {
-                        "label": int(label), "dim": int(size), "list": target, "vec_id": own.vec_id.to_numpy()[row], "copies": own.copies.to_numpy()[row],
+                        "label": own.label.to_numpy()[row], "dim": int(size), "list": target, "vec_id": own.vec_id.to_numpy()[row], "copies": own.copies.to_numpy()[row],
                         "raw": own.raw.to_numpy()[row], "member": mine, "code": [packed(code[i]) if m else None for i, m in zip(row, mine, strict=True)], "error": np.where(mine, error[row], 0.0),
                     }
                 )
@@ -115,7 +123,7 @@ def _deal(models, radius: float):
     return run
 
 
-_DEALT = "label long, dim long, list long, vec_id long, copies long, raw binary, member boolean, code binary, error double"
+_DEALT = "label string, dim long, list long, vec_id long, copies long, raw binary, member boolean, code binary, error double"
 
 
 def _linked(models, cosine: float, radius: float, step: int = 256):
@@ -124,7 +132,7 @@ def _linked(models, cosine: float, radius: float, step: int = 256):
         members = unit[unit.role == "member"]
         if members.empty:
             return empty
-        model: Quantiser = models.value[(int(unit.label.iloc[0]), int(unit.dim.iloc[0]))]
+        model: Quantiser = models.value[int(unit.dim.iloc[0])]
         centre = model.coarse[int(unit.list.iloc[0])]
         code = np.stack([np.frombuffer(c, np.uint8) for c in members.code])
         there, ids, copies, error = _units(members.raw.tolist()), members.vec_id.to_numpy(), members.copies.to_numpy(), members.error.to_numpy()
@@ -150,15 +158,16 @@ def _linked(models, cosine: float, radius: float, step: int = 256):
     return run
 
 
-def embedding_links(embeddings: DataFrame, cosine: float = 0.93, sample: int = 4096, per_list: int = 64, subspaces: int = 16, codes: int = 64, block: int = 1024) -> DataFrame:
+def embedding_links(embeddings: DataFrame, cosine: float = 0.93, sample: int = 16_384, per_list: int = 16, max_lists: int = 2048, subspaces: int = 16, codes: int = 64, block: int = 1024, sure: float = 4.0) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector; see the module.
 
-    sample: vectors of each label and size that train its centroids and codebooks (a bound; every vector is indexed).
+    sample: vectors of each size that train its centroids and codebooks (a bound; every vector is indexed). per_list:
+    vectors of a label that a list has at least on average.
     """
-    rows = keyed(embeddings, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = keyed(embeddings, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("x"))
     sound = F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0), F.lit(False))
     good = rows.where(F.col("label").isNotNull() & sound)
-    as_bytes = "vec_id long, label long, raw binary"
+    as_bytes = "vec_id long, label string, raw binary"
 
     @lean
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,21 +185,18 @@ def embedding_links(embeddings: DataFrame, cosine: float = 0.93, sample: int = 4
     context = rows.sparkSession.sparkContext
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        import pickle
+        model = Quantiser(_units(group.raw.tolist()), int(group.lists.iloc[0]), subspaces, codes)
+        return pd.DataFrame({"dim": [len(group.raw.iloc[0])], "model": [pickle.dumps(model)]})
 
-        model = Quantiser(_units(group.raw.tolist()), per_list, subspaces, codes)
-        return pd.DataFrame({"label": [int(group.label.iloc[0])], "dim": [len(group.raw.iloc[0])], "model": [pickle.dumps(model)]})
-
-    groups = bare.groupBy("label", F.length("raw").alias("dim")).agg(F.count("*").alias("n"))
-    share = F.lit(float(sample << 20)) / F.col("n")
-    sampled = bare.withColumn("dim", F.length("raw")).join(F.broadcast(groups), ["label", "dim"]).where(F.pmod(order, F.lit(1 << 20)) <= share) if groups.count() <= 100_000 else bare.withColumn("dim", F.length("raw")).join(groups, ["label", "dim"]).where(F.pmod(order, F.lit(1 << 20)) <= share)
-    fitted = sampled.groupBy("label", "dim").applyInPandas(fit, "label long, dim long, model binary").collect()  # one small model a label
-    import pickle
-
-    models = context.broadcast({(r.label, r.dim): pickle.loads(r.model) for r in fitted})
+    dims = bare.groupBy("label", F.length("raw").alias("dim")).agg(F.count("*").alias("n")).groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    lists = F.greatest(F.lit(1), F.least(F.lit(max_lists), F.floor(F.col("most") / per_list), F.floor(2 * F.sqrt("most")))).cast("int")
+    dims = stored(dims.select("dim", "n", lists.alias("lists")), "sizes")  # a row for each size of vectors
+    sampled = bare.withColumn("dim", F.length("raw")).join(F.broadcast(dims), "dim").where(F.pmod(order, F.lit(1 << 20)) <= F.lit(float(sample << 20)) / F.col("n"))
+    fitted = sampled.groupBy("dim").applyInPandas(fit, "dim long, model binary").collect()  # one model of bounded size for each size of vectors
+    models = context.broadcast({r.dim: pickle.loads(r.model) for r in fitted})
 
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-9
-    dealt = stored(classes.select("vec_id", "label", "raw", "copies").mapInPandas(_deal(models, radius), _DEALT), "dealt")
+    dealt = stored(classes.select("vec_id", "label", "raw", "copies").mapInPandas(_deal(models, radius, sure), _DEALT), "dealt")
     key = ["label", "dim", "list"]
     blocks = dealt.where("member").groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     spread = dealt.join(blocks, key)
