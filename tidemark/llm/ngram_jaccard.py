@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import keyed, lean, packed, runs_by_key, shingle_hashes, small_or_not, stored, text_slices, word_hashes
@@ -53,12 +53,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def known(sets: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Whether each shingle is among the (sorted) frequent ones."""
+    if not len(frequent):
+        return np.zeros(len(sets), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)] == sets
+
+
 def ordered(sets: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Rare shingles by hash, then the frequent ones by hash."""
-    if not len(frequent):
-        return sets
-    at = np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)
-    often = frequent[at] == sets
+    often = known(sets, frequent)
     return np.concatenate([sets[~often], sets[often]])
 
 
@@ -144,17 +148,19 @@ def _prefixes(width: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
-            sizes, one, two, heads, maps = [], [], [], [], []
+            sizes, one, two, heads, rare, maps = [], [], [], [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 sizes.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                 two.append(int(np.bitwise_xor.reduce(s * np.uint64(0x2545F4914F6CDD1D)).astype(np.int64)) if len(s) else 0)
                 maps.append(bitmap(s))
-                heads.append(ordered(s, often)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                head = ordered(s, often)[: prefix_length(len(s), percent)] if len(s) else s
+                rare.append(int((~known(head, often)).sum()))
+                heads.append(head.view(np.int64))
             offsets = np.zeros(len(heads) + 1, np.int32)
             np.cumsum([len(h) for h in heads], out=offsets[1:])
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat, pa.array(maps, pa.binary())], ["doc_id", "n", "sum", "xor", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat, pa.array(rare, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "n", "sum", "xor", "prefix", "rare", "bits"])
 
     return run
 
@@ -303,16 +309,16 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
     docs = keyed(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     context = docs.sparkSession.sparkContext
     frequent = context.broadcast(frequent_shingles(docs.select("text"), width, frequent_df))
-    heads = stored(docs.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n long, sum long, xor long, prefix array<long>, bits binary"), "prefixes")
+    heads = stored(docs.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n long, sum long, xor long, prefix array<long>, rare long, bits binary"), "prefixes")
 
     classes = stored(heads.where("n > 0").groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("rep")), "classes")
     reps = small_or_not(classes.select(F.col("rep").alias("doc_id")), broadcast_bytes)
-    entries = (
-        heads.join(reps, "doc_id", "left_semi")
-        .select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    )
-    shared = stored(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    lists = stored(entries.join(small_or_not(shared, broadcast_bytes), "token"), "lists")
+    entries = heads.join(reps, "doc_id", "left_semi").select("doc_id", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+    # Lists of rare shingles are counted where their entries meet; frequent ones, known beforehand, by partial sums.
+    few = entries.where("pos < rare").drop("rare").withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    often = entries.where("pos >= rare").drop("rare")
+    sums = stored(often.groupBy("token").agg(F.count("*").alias("df")), "sums")
+    lists = stored(few.unionByName(often.join(small_or_not(sums, broadcast_bytes), "token").select(*few.columns)).where("df > 1"), "lists")
 
     short = lists.where(F.col("df") <= short_list)
     x, y = (short.select("token", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("pos").alias(f"p{d}")) for d in "ab")
