@@ -67,7 +67,7 @@ def test_overlap_bound_never_falls_short():
         assert len(np.intersect1d(p, q)) <= told <= min(len(p), len(q))
 
 
-@pytest.mark.parametrize("short_list,block", [(48, 16), (1, 16), (48, 2), (1, 2)])
+@pytest.mark.parametrize("short_list,block", [(48, 16), (1, 16), (48, 2), (1, 2), (2, 512)])
 def test_jaccard_paths_agree_with_brute_force(spark, short_list, block):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(60)]

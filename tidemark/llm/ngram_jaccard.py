@@ -7,7 +7,8 @@ shingles, and linked documents meet in one of them.
 
 * Short lists are merged: Spark joins their entries, counts what each pair shares, and drops pairs whose count and
   list positions, or whose bitmaps (a bit or two a shingle), rule T out.
-* Long lists are never expanded into pairs. What hangs together by pairs or long lists is a group; a group (or a long
+* Long lists are never expanded into pairs. Of those up to a block's length, documents that bitmaps show to be unlike
+  all others of the list are taken out first. What hangs together by pairs or long lists is a group; a group (or a long
   list, where that ships less) is searched as a whole: a task holds a block of documents, merges the short lists of its
   own inverted index, keeps documents found T - L times, binary-probes the L long lists for the rest, and returns edges
   that span what it linked.
@@ -209,6 +210,32 @@ def _close(percent: int):
     return run
 
 
+def _plausible(percent: int):
+    """Of each long list's documents those whose bitmap leaves some other document of the list possible."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in runs_by_key(batches, "token"):
+            n = unit.column("n").to_numpy()
+            bits = [np.frombuffer(x, np.uint8) for x in unit.column("bits").to_pylist()]
+            size = np.array([len(x) for x in bits])
+            ok = np.zeros(len(n), bool)
+            for wide in np.unique(size).tolist():
+                for narrow in np.unique(size[size <= wide]).tolist():
+                    own, other = np.flatnonzero(size == wide), np.flatnonzero(size == narrow)
+                    q = np.stack([bits[j] for j in other])
+                    for i in own.tolist():
+                        p = np.bitwise_or.reduce(bits[i].reshape(-1, narrow), 0)
+                        most = np.minimum(n[i] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), n[other] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+                        good = (most >= least_overlap(n[i], n[other], percent)) & (other != i)
+                        ok[other[good]] = True
+                        ok[i] |= good.any()
+            if ok.any():
+                yield from unit.select(["token", "doc_id", "df"]).filter(pa.array(ok)).to_batches()
+
+    return run
+
+
 def _verified(percent: int):
     @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,7 +364,11 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, percent: int = 85,
 
     # Documents that hang together by what is left, or by long lists, are a group; linked ones are in one.
     n_blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
-    long = lists.where(F.col("df") > short_list).select("token", "doc_id", n_blocks("df").alias("blocks"))
+    long = lists.where(F.col("df") > short_list).select("token", "doc_id", "n", "df")
+    middle = small_or_not(stored(long.where(F.col("df") <= block), "middle"), broadcast_bytes)  # bitmaps rule out what no other of the list can link to
+    middle = heads.select("doc_id", "bits").join(middle, "doc_id").select("token", "doc_id", "n", "df", "bits").repartition("token").sortWithinPartitions("token")
+    middle = middle.mapInArrow(_plausible(percent), "token long, doc_id long, df long")
+    long = stored(long.where(F.col("df") > block).select("token", "doc_id", "df").unionByName(middle), "long").select("token", "doc_id", n_blocks("df").alias("blocks"))
     tops = small_or_not(stored(long.groupBy("token").agg(F.min("doc_id").alias("b")), "tops"), broadcast_bytes)
     groups = stored(components(close.unionByName(long.join(tops, "token").select(F.col("doc_id").alias("a"), "b"))), "groups")
 
