@@ -366,27 +366,75 @@ def test_pipeline_drops_short_foreign_texts(spark):
     assert [i for i in range(1, 8) if -i in kept] == [4, 5, 6]
 
 
-def test_quality_model_sums_to_one_and_keeps_clean_text(spark):
+def test_quality_keeps_clean_text(spark):
     docs, marks = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = {r.doc_id: r.keep for r in kn_quality.quality(docs, marks).collect()}
     good = [r.doc_id for r in marks.where("quality = 1").collect()]
     bad = [r.doc_id for r in marks.where("quality = 0").collect()]
     assert sum(got[i] for i in good) >= 0.97 * len(good) and sum(not got[i] for i in bad) >= 0.7 * len(bad)
-    few = spark.createDataFrame([Row(lang="x", text="abcab"), Row(lang="x", text="abd")])
-    model = kn_quality.Model(kn_quality.fit(few, 3).toPandas(), 3)
-    for context in ("ab", "zz", "\x01a"):
-        total = sum(model.probability(np.array([(ord(context[0]) << 24) | (ord(context[1]) << 12) | ord(c)]))[0] for c in "abcd")
-        assert total <= 1 + 1e-9 and total > 0.7
     odd = {r.doc_id: r.keep for r in kn_quality.quality(odd_documents(spark), labels(spark, [(4, 1, 0), (6, None, None), (None, 1, 1)])).collect()}
     assert len(odd) == 9 and not odd[1] and not odd[2]
     assert kn_quality.quality(empty_documents(spark), labels(spark)).count() == 0
 
 
-def test_quality_paths_agree(spark):
+def brute_kneser_ney(texts, order):
+    """P(last symbol | those before) from counts in dictionaries."""
+    tables = {order: {}}
+    for t in texts:
+        raw = b"\xff" * (order - 1) + t.encode()
+        for i in range(len(raw) - order + 1):
+            g = raw[i : i + order]
+            tables[order][g] = tables[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        tables[k] = {}
+        for g in tables[k + 1]:
+            tables[k][g[1:]] = tables[k].get(g[1:], 0) + 1
+    cuts = {}
+    for k, own in tables.items():
+        n = [sum(c == j for c in own.values()) for j in range(5)]
+        y = n[1] / max(1, n[1] + 2 * n[2])
+        cuts[k] = [0] + [max(0.05, min(j - (j + 1) * y * n[j + 1] / max(1, n[j]), j - 0.05)) for j in (1, 2, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / max(2, len(tables[1]) + 1)
+        own, cut = tables[len(g)], cuts[len(g)]
+        after = {h: c for h, c in own.items() if h[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        total = sum(after.values())
+        less = sum(cut[min(c, 3)] for c in after.values())
+        return (max(0, own.get(g, 0) - cut[min(own.get(g, 0), 3)]) + less * p(g[1:])) / total
+
+    return p
+
+
+def test_quality_model_equals_brute_force(spark):
+    texts = ["abcab cab abba", "abd abd", "日本語の日本", "", "é"]
+    rows = spark.createDataFrame([Row(lang="x", text=t) for t in texts])
+    model, p = kn_quality.Model(kn_quality.fit(rows, 3).toPandas(), 3), brute_kneser_ney(texts, 3)
+    symbols = sorted({b for t in texts for b in t.encode()})
+    for context in (b"ab", b"zz", b"\xffa", b"\xff\xff", "日本".encode()[-2:]):
+        got = model.probability(np.array([int.from_bytes(context + bytes([c])) for c in symbols]))
+        assert np.allclose(got, [p(context + bytes([c])) for c in symbols], atol=1e-9, rtol=0)
+        assert 0.7 < got.sum() <= 1 + 1e-9
+
+
+def test_quality_paths_agree(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = kn_quality.fit(docs, 3)
-    one, two = ({r.doc_id: r.perplexity for r in kn_quality.perplexities(docs, model, 3, broadcast_rows=n, salts=2).collect()} for n in (10**9, 0))
+    one, two = ({r.doc_id: r.perplexity for r in kn_quality.perplexities(docs, model, 3, broadcast_rows=n, part_bytes=200_000).collect()} for n in (10**9, 0))
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-6 for k in one)
+    whole = kn_quality.grams([b"\xff\xff" + LONG.encode()], 3)[0]
+    pieces = [kn_quality.grams(parts, 3)[0] for _, parts in kn_quality._runs(pa.array([LONG]), 3, 1000)]
+    assert len(pieces) > 20 and (np.concatenate(pieces) == whole).all()
+
+
+def test_quality_of_short_and_far_scripts(spark):
+    """A language of short texts has a threshold too, and far scripts a model of their own."""
+    docs = [(i, "日本語の文です" if i % 2 else "日本の言葉です", "ja") for i in range(80)] + [(100, "Құшаққа", "ja")]
+    got = {r.doc_id: r for r in kn_quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels(spark, [(i, 1, 0) for i in range(80)])).collect()}
+    assert all(got[i].keep and got[i].threshold is not None for i in range(80)) and not got[100].keep
 
 
 def test_toxicity(spark):

@@ -1,17 +1,19 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are characters (code points, those from 4095 on as one). Map tasks count the n-grams of the highest order in
-trusted texts; Spark sums them, derives the continuation counts of each lower order from the distinct n-grams above
-it, the discounts D1, D2, D3+ from counts of counts, and joins counts with their contexts' totals by (language, order,
-context): that is the model table. A document's perplexity comes from its text and its language's model. A tenth of
-the trusted documents (by hash) isn't trained on: a quantile of their perplexities is their language's threshold.
+Symbols are the bytes of a text in UTF-8, so texts of every script have a model of their own code points. Map tasks
+count the n-grams of the highest order in trusted texts; Spark sums them, derives the continuation counts of each lower
+order from the distinct n-grams above it, the discounts D1, D2, D3+ from counts of counts, and joins counts with their
+contexts' totals by (language, order, context): that is the model table. A document's perplexity (for each byte) comes
+from its text and its language's model. A tenth of the trusted documents (by hash) isn't trained on: a quantile of
+their perplexities, each divided by what a text of its length may scatter, is their language's threshold.
 
 Documents stay where they are while the model fits a broadcast of at most `broadcast_rows` n-grams; beyond that they
-are grouped by language, in `salts` parts each, with a copy of the language's model for every part.
+are grouped by language, in parts of about `part_bytes` of text, with a copy of the language's model for every part.
 
-Edge cases: null or empty text has no perplexity and isn't kept; a language without trusted text (or null) has no
-threshold: its documents are kept, with null perplexity; documents without a label are scored like others; rows with a
-null id go, of rows that repeat an id the least stays.
+Edge cases: null or empty text has no perplexity and isn't kept; a language without trusted text (or null), or without
+any among the tenth, has no threshold: its documents are kept; documents without a label are scored like others; texts
+are read in pieces of a megabyte with the bytes before as context; rows with a null id go, of rows that repeat an id
+the least stays.
 """
 
 from __future__ import annotations
@@ -26,16 +28,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import keyed, lean, stored
 
-BITS = 12
-_TOP = (1 << BITS) - 1
+BITS = 8
+_BEGIN = b"\xff"  # no byte of UTF-8
 
 
-def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(packed n-grams of the order, offsets); each text starts after a run of begin symbols."""
-    pad = "\x01" * (order - 1)
-    points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.minimum(points, _TOP).astype(np.int64)
-    size = np.array([len(t) for t in texts], np.int64)
+def grams(parts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(packed n-grams of the order, offsets by part); each part starts with the order - 1 bytes before it."""
+    code = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.array([len(p) - (order - 1) for p in parts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(size)])
     n = len(code) - order + 1
     if n <= 0 or not size.sum():
@@ -47,16 +47,20 @@ def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return packed[at], offsets
 
 
-def _runs(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    at, held, size = 0, [], 0
-    for x in column:
-        held.append(x.as_py() or "")
-        size += len(held[-1])
-        if size > chars:
-            yield at, held
-            at, held, size = at + len(held), [], 0
+def _runs(column: pa.Array, order: int, most: int = 1 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(rows, parts) of about `most` bytes; a longer text goes on in the next run."""
+    rows, held, size = [], [], 0
+    for row, x in enumerate(column):
+        raw = _BEGIN * (order - 1) + (x.as_py() or "").encode("utf-8", "surrogatepass")
+        for at in range(0, len(raw) - order + 1, most):
+            rows.append(row)
+            held.append(raw[at : at + most + order - 1])
+            size += len(held[-1])
+            if size >= most:
+                yield rows, held
+                rows, held, size = [], [], 0
     if held:
-        yield at, held
+        yield rows, held
 
 
 def _counted(order: int):
@@ -75,8 +79,8 @@ def _counted(order: int):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 own = batch.column("text").filter(pa.array(langs == lang))
-                for _, texts in _runs(own):
-                    gram, count = np.unique(grams(texts, order)[0], return_counts=True)
+                for _, parts in _runs(own, order):
+                    gram, count = np.unique(grams(parts, order)[0], return_counts=True)
                     total.setdefault(lang, []).append((gram, count))
                     size += len(gram)
                     if size > 4_000_000:
@@ -87,7 +91,7 @@ def _counted(order: int):
     return run
 
 
-def fit(trusted: DataFrame, order: int = 5) -> DataFrame:
+def fit(trusted: DataFrame, order: int = 6) -> DataFrame:
     """(lang, order, gram, kind, value): of kind 0 an n-gram's discounted share, of kind 1 a context's weight for the order below."""
     top = trusted.where("text is not null and lang is not null").select("lang", "text").mapInArrow(_counted(order), "lang string, gram long, n long")
     level = stored(top.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"grams{order}")
@@ -141,29 +145,30 @@ class Model:
             p = self._value(k, 0, own, 0.0) + self._value(k, 1, own >> BITS, 1.0) * p
         return p
 
-    def perplexity(self, texts: list[str]) -> np.ndarray:
-        """Of each text; NaN for an empty one."""
-        gram, offsets = grams(texts, self.order)
+    def log_sums(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of log probabilities, number of symbols) of each part."""
+        gram, offsets = grams(parts, self.order)
         kinds, back = np.unique(gram, return_inverse=True)
         total = np.concatenate([[0.0], np.cumsum(np.log(self.probability(kinds))[back])])
-        n = np.diff(offsets)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.exp(-(total[offsets[1:]] - total[offsets[:-1]]) / n)
+        return total[offsets[1:]] - total[offsets[:-1]], np.diff(offsets)
 
 
-def perplexities(docs: DataFrame, model: DataFrame, order: int = 5, broadcast_rows: int = 8_000_000, salts: int = 64) -> DataFrame:
-    """(doc_id, lang, perplexity) of each document."""
+def perplexities(docs: DataFrame, model: DataFrame, order: int = 6, broadcast_rows: int = 8_000_000, part_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, lang, perplexity, size) of each document; size is that of its text in bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, lang string, perplexity double"
-
-    def scored(ids: pa.Array, langs: list, column: pa.Array, models: dict) -> Iterator[pa.RecordBatch]:
-        names = np.array([x if x in models else "" for x in langs], object)
-        for lang in sorted(set(names)):
-            mask = pa.array(names == lang)
-            own, keys, told = column.filter(mask), ids.filter(mask), np.array(langs, object)[names == lang]
-            for at, texts in _runs(own):
-                value = models[lang].perplexity(texts) if lang else np.full(len(texts), np.nan)
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(texts)), pa.array(told[at : at + len(texts)].tolist(), pa.string()), pa.array(value, from_pandas=True)], ["doc_id", "lang", "perplexity"])
+    names = ["doc_id", "lang", "perplexity", "size"]
+    out = f"doc_id {kind}, lang string, perplexity double, size long"
+
+    def scored(ids: pa.Array, langs: list, column: pa.Array, models: dict) -> pa.RecordBatch:
+        told = np.array([x if x in models else "" for x in langs], object)
+        logs, size = np.zeros(len(ids)), np.array([len((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in column], np.int64)
+        for lang in sorted(set(told) - {""}):
+            at = np.flatnonzero(told == lang)
+            for rows, parts in _runs(column.take(pa.array(at)), order):
+                np.add.at(logs, at[rows], models[lang].log_sums(parts)[0])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value = np.where(told != "", np.exp(-logs / size), np.nan)
+        return pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(value, from_pandas=True), pa.array(size)], names)
 
     if model.count() <= broadcast_rows:
         rows = model.toArrow().to_pandas()
@@ -172,40 +177,40 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = 5, broadcast_ro
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from scored(batch.column("doc_id"), batch.column("lang").to_pylist(), batch.column("text"), shared.value)
+                yield scored(batch.column("doc_id"), batch.column("lang").to_pylist(), batch.column("text"), shared.value)
 
         return docs.select("doc_id", "lang", "text").mapInArrow(run, out)
 
     def grouped(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         models = {left.column("lang")[0].as_py(): Model(right.to_pandas(), order)} if len(right) and len(left) else {}
-        got = [pa.Table.from_batches([b]) for b in scored(left.column("doc_id").combine_chunks(), left.column("lang").to_pylist(), left.column("text").combine_chunks(), models)]
-        return pa.concat_tables(got) if got else pa.table({"doc_id": left.column("doc_id").slice(0, 0), "lang": left.column("lang").slice(0, 0), "perplexity": pa.array([], pa.float64())})
+        return pa.Table.from_batches([scored(left.column("doc_id").combine_chunks(), left.column("lang").to_pylist(), left.column("text").combine_chunks(), models)])
 
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    salts = max(1, -(-total // part_bytes))
     dealt = docs.select("doc_id", "lang", "text").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return dealt.groupBy("lang", "salt").cogroup(copies.groupBy("lang", "salt")).applyInArrow(grouped, out)
 
 
-def quality(documents: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.99, allowance: float = 2.0, small: int = 2_000_000) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, order: int = 6, quantile: float = 0.99, allowance: float = 2.0, small: int = 2_000_000) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) of each document.
 
-    Trusted are documents with label quality 1. threshold: the quantile of the document's language, over held-out
-    trusted texts of 200 characters or more, times exp(allowance / sqrt(length)), since a short text's perplexity
-    scatters. small: trusted ids up to which they are broadcast; more are joined by shuffle.
+    Trusted are documents with label quality 1. A short text's perplexity scatters by about exp(allowance / sqrt(size
+    in bytes)): the threshold of a language is the quantile, over its held-out trusted texts, of perplexities divided
+    by that, and times it again for the text that is judged. small: trusted ids up to which they are broadcast; more
+    are joined by shuffle.
     """
     docs = keyed(documents, "doc_id", "text", "lang")
     good = keyed(labels, "doc_id", "quality").where("quality = 1").select("doc_id")
     good = F.broadcast(good) if good.count() <= small else good
     trusted = docs.join(good, "doc_id", "left_semi")
     tenth = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    model = fit(trusted.where(~tenth), order)
-    scored = stored(perplexities(docs, model, order), "perplexity")
-    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
-    sized = scored.join(sizes, "doc_id")
-    judged = sized.join(good, "doc_id", "left_semi").where(tenth & (F.col("size") >= 200))
-    limits = judged.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"))
-    threshold = F.col("limit") * F.exp(allowance / F.sqrt("size"))
+    scatter = F.when(F.col("size") > 0, F.exp(allowance / F.sqrt("size")))
+    scored = stored(perplexities(docs, fit(trusted.where(~tenth), order), order), "perplexity").withColumn("scatter", scatter)
+    judged = scored.where(tenth & F.col("perplexity").isNotNull()).join(good, "doc_id", "left_semi")
+    limits = judged.groupBy("lang").agg(F.percentile_approx(F.col("perplexity") / F.col("scatter"), quantile, 10_000).alias("limit"))
+    threshold = F.col("limit") * F.col("scatter")
     return (
-        sized.join(limits, "lang", "left").withColumn("threshold", threshold)
+        scored.join(F.broadcast(limits), "lang", "left").withColumn("threshold", threshold)  # a row for each language
         .select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), ((F.col("size") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("keep"))
     )
