@@ -446,6 +446,32 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty_documents(spark), labels(spark)).count() == 0
 
 
+def test_toxicity_chain_against_fits_one_by_one(spark):
+    """The chain's tasks give what plain loops over folds and categories give; text ids work."""
+    rng = np.random.default_rng(3)
+    rows = [(f"d{i}", " ".join(rng.choice(["sun", "rain", "mud", "oaf", "tea"], 6))) for i in range(120)]
+    marks = [(i, int("mud" not in t), int("oaf" in t)) for i, t in rows]
+    docs, told = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(marks, "doc_id string, quality int, toxic int")
+    chain = toxicity.train(docs, told)
+    sets = list(toxicity._word_sets(pa.array([t for _, t in rows])))
+    hashes = dict(docs.selectExpr("doc_id", "xxhash64(doc_id)").collect())
+    order = sorted(range(len(rows)), key=lambda i: hashes[rows[i][0]])
+    own, fold = [sets[i] for i in order], np.array([hashes[rows[i][0]] % toxicity.FOLDS for i in order])
+    extra, want = np.zeros((len(rows), 0)), np.zeros((len(rows), 0))
+    for y in (np.array([1.0 - marks[i][1] for i in order]), np.array([float(marks[i][2]) for i in order])):
+        out = np.zeros(len(rows))
+        for k in range(toxicity.FOLDS):
+            model = toxicity.Linear([own[i] for i in np.flatnonzero(fold != k)], extra[fold != k], y[fold != k], 2000)
+            for i in np.flatnonzero(fold == k):
+                out[i] = model.predict(own[i], np.zeros(len(own[i]), int), extra[i : i + 1])[0]
+        full = toxicity.Linear(own, extra, y, 2000)
+        want = np.column_stack([want, full.predict(*toxicity.Chain._pairs(own), want)])
+        extra = np.column_stack([extra, out])
+    assert chain.names == ["low_quality", "toxic"] and np.allclose(chain.predict(own), want)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, told).collect()}
+    assert all(abs(got[rows[i][0]].p_low_quality - want[j, 0]) < 1e-6 for j, i in enumerate(order)) and sum(r.toxic == bool(m) for (i, _, m) in marks for r in [got[i]]) >= 115
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()

@@ -4,31 +4,30 @@ Categories are predicted one after the other: each has a linear (logistic) model
 probabilities of the categories before it. While training, those probabilities are out of fold: K models, each fitted
 without a fifth of the rows, predict that fifth, so a later model meets earlier probabilities as good as it will get.
 
-The labels name one category, `toxic`, the chain's last. The earlier ones are told weakly: a row labelled toxic that
-holds a word of the category's list. Training reads at most `sample` labelled rows (by a hash of the id); what words
-count at all is chosen from these by their log-odds. Prediction reads every document.
-
-Edge cases: a null or empty text has the models' base rates; without labelled rows of both kinds all probabilities are
-0; labels of rows that repeat an id: the least counts; rows with a null id go, of rows that repeat one the least stays.
+Categories are columns of the labels: a category is met where its column equals the value given. The query's are
+`low_quality` (quality 0), then `toxic` (toxic 1); other label tables may name more. Training reads at most `sample`
+labelled rows (by a hash of the id); what words count at all is chosen from these by their log-odds. The K fits without
+a fold and the one on all rows are tasks of one Spark job a category. Prediction reads every document.
+
+Edge cases: a null or empty text has the models' base rates; rows whose label of any category is null aren't learned
+from; a category without labelled rows of both kinds has probability 0 (no such row) or its share; labels of rows that
+repeat an id: the least counts; rows with a null id go, of rows that repeat one the least stays. Ids may be of any type.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import keyed, lean, text_slices, word_hashes
-from tidemark.llm.decontam import plain, words_of
+from tidemark.llm.decontam import plain
 
-# Word lists of the weakly labelled categories.
-CATEGORY_WORDS = {
-    "insult": "idiot moron loser clown scum fool jerk".split(),
-    "contempt": "worthless disgusting stupid pathetic trash garbage dumb useless".split(),
-}
+CATEGORIES = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 FOLDS = 5
 
 
@@ -91,22 +90,27 @@ class Linear:
 class Chain:
     """Linear models of the categories in order."""
 
-    def __init__(self, sets: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, categories: dict[str, list[str]], words: int = 2000):
-        self.names = [*categories, "toxic"]
-        self.models: list[Linear] = []
-        if not len(toxic) or toxic.min() == toxic.max():
-            return
+    def __init__(self, names: list[str], models: list[Linear]):
+        self.names, self.models = names, models
+
+    @classmethod
+    def fitted(cls, spark: SparkSession, names: list[str], sets: list[np.ndarray], told: np.ndarray, fold: np.ndarray, words: int = 2000) -> Chain:
+        """told: a column of 0 and 1 for each name. Each category's fits (without each fold, and whole) run as tasks."""
+        models: list[Linear] = []
         extra = np.zeros((len(sets), 0))
-        for name in self.names:
-            told = toxic if name == "toxic" else toxic * np.array([bool(np.isin(words_of(" ".join(categories[name])), s).any()) for s in sets])
+        if not len(sets):
+            return cls(names, models)
+        for y in told.astype(float).T:
+            shared = spark.sparkContext.broadcast((sets, extra, y, fold, words))
+            rows = spark.range(FOLDS + 1, numPartitions=FOLDS + 1).mapInArrow(_fits(shared), "k long, model binary, out binary").collect()
+            got = {r.k: r for r in rows}
             out = np.zeros(len(sets))
             for k in range(FOLDS):
-                rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-                if len(own):
-                    model = Linear([sets[i] for i in rest], extra[rest], told[rest].astype(float), words)
-                    out[own] = model.predict(*self._pairs([sets[i] for i in own]), extra[own])
-            self.models.append(Linear(sets, extra, told.astype(float), words))
+                out[fold == k] = np.frombuffer(got[k].out, np.float64)
+            models.append(pickle.loads(got[FOLDS].model))
             extra = np.column_stack([extra, out])
+            shared.unpersist()
+        return cls(names, models)
 
     @staticmethod
     def _pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,26 +125,47 @@ class Chain:
         return extra if self.models else np.zeros((len(sets), len(self.names)))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = 8000, categories: dict[str, list[str]] | None = None, small: int = 2_000_000) -> Chain:
-    told = keyed(labels, "doc_id", "toxic").where("toxic is not null")
+def _fits(shared):
+    """Task k fits without fold k and predicts that fold; the last one fits on all rows and hands its model back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, extra, y, fold, words = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+                model = Linear([sets[i] for i in rest], extra[rest], y[rest], words)
+                out = model.predict(*Chain._pairs([sets[i] for i in own]), extra[own])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(model) if k == FOLDS else b""], pa.binary()), pa.array([out.tobytes()], pa.binary())], ["k", "model", "out"])
+
+    return run
+
+
+def train(documents: DataFrame, labels: DataFrame, sample: int = 8000, categories: dict[str, tuple[str, int]] | None = None) -> Chain:
+    categories = categories or CATEGORIES
+    columns = sorted({c for c, _ in categories.values()})
+    told = keyed(labels, "doc_id", *columns).where(" and ".join(f"{c} is not null" for c in columns))
     n = told.count()
     share = min(1 << 20, int(1.2 * sample * (1 << 20) / max(1, n)))
     chosen = told.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
 
+    marks = F.array(*[(F.col(c) == value).cast("long") for c, value in categories.values()])
+    rows = keyed(documents, "doc_id", "text").join(F.broadcast(chosen.select("doc_id", marks.alias("told"))), "doc_id")  # at most `sample` rows
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([s.tobytes() for s in _word_sets(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), sets], ["doc_id", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("told"), sets], ["id", "told", "words"])
 
-    rows = keyed(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("long"))  # at most `sample` rows
-    got = sorted(rows.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(run, "doc_id long, toxic long, words binary").collect())
-    fold = np.array([r.doc_id * 2654435761 % 4294967296 * FOLDS // 4294967296 for r in got])
-    return Chain([np.frombuffer(r.words, np.uint64) for r in got], np.array([r.toxic for r in got]), fold, categories or CATEGORY_WORDS)
+    id_hash = F.xxhash64(F.col("doc_id").cast("string")).alias("id")
+    got = sorted(rows.select(id_hash, "text", "told").mapInArrow(run, "id long, told array<long>, words binary").collect())
+    fold = np.array([r.id % FOLDS for r in got])
+    told_marks = np.array([r.told for r in got]).reshape(len(got), len(categories))
+    return Chain.fitted(documents.sparkSession, [*categories], [np.frombuffer(r.words, np.uint64) for r in got], told_marks, fold)
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 8000, categories: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, p_<category>..., p_toxic, toxic) of each document."""
+def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 8000, categories: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """(doc_id, p_<category>..., toxic) of each document; toxic: whether the last category reaches the threshold."""
     chain = train(documents, labels, sample, categories)
     docs = keyed(documents, "doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
@@ -154,4 +179,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, sa
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} double" for n in names))
-    return scored.select("doc_id", *[F.round(n, 6).alias(n) for n in names], (F.col("p_toxic") >= threshold).alias("toxic"))
+    return scored.select("doc_id", *[F.round(n, 6).alias(n) for n in names], (F.col(names[-1]) >= threshold).alias("toxic"))
