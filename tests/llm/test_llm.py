@@ -412,7 +412,7 @@ def brute_kneser_ney(texts, order):
 def test_quality_model_equals_brute_force(spark):
     texts = ["abcab cab abba", "abd abd", "日本語の日本", "", "é"]
     rows = spark.createDataFrame([Row(lang="x", text=t) for t in texts])
-    model, p = kn_quality.Model(kn_quality.fit(rows, 3).toPandas(), 3), brute_kneser_ney(texts, 3)
+    model, p = kn_quality.Model.of_rows(kn_quality.fit(rows, 3).toPandas(), 3), brute_kneser_ney(texts, 3)
     symbols = sorted({b for t in texts for b in t.encode()})
     for context in (b"ab", b"zz", b"\xffa", b"\xff\xff", "日本".encode()[-2:]):
         got = model.probability(np.array([int.from_bytes(context + bytes([c])) for c in symbols]))
@@ -423,8 +423,8 @@ def test_quality_model_equals_brute_force(spark):
 def test_quality_paths_agree(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = kn_quality.fit(docs, 3)
-    one, two = ({r.doc_id: r.perplexity for r in kn_quality.perplexities(docs, model, 3, broadcast_rows=n, part_bytes=200_000).collect()} for n in (10**9, 0))
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-6 for k in one)
+    one, two = ({r.doc_id: r.perplexity for r in kn_quality.perplexities(docs, model, 3, broadcast_bytes=n, part_bytes=200_000).collect()} for n in (10**9, 0))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-5 for k in one)
     whole = kn_quality.grams([b"\xff\xff" + LONG.encode()], 3)[0]
     pieces = [kn_quality.grams(parts, 3)[0] for _, parts in kn_quality._runs(pa.array([LONG]), 3, 1000)]
     assert len(pieces) > 20 and (np.concatenate(pieces) == whole).all()

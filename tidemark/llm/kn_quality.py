@@ -7,7 +7,7 @@ contexts' totals by (language, order, context): that is the model table. A docum
 from its text and its language's model. A tenth of the trusted documents (by hash) isn't trained on: a quantile of
 their perplexities, each divided by what a text of its length may scatter, is their language's threshold.
 
-Documents stay where they are while the model fits a broadcast of at most `broadcast_rows` n-grams; beyond that they
+Documents stay where they are while the model fits a broadcast of `broadcast_bytes` (12 for each n-gram); beyond that they
 are grouped by language, in parts of about `part_bytes` of text, with a copy of the language's model for every part.
 
 Edge cases: null or empty text has no perplexity and isn't kept; a language without trusted text (or null), or without
@@ -122,14 +122,18 @@ def fit(trusted: DataFrame, order: int = 6) -> DataFrame:
 class Model:
     """One language's tables, looked up by bisection."""
 
-    def __init__(self, rows: pd.DataFrame, order: int):
+    def __init__(self, tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], order: int):
         self.order = order
         self.tables = {}
-        for (k, kind), own in rows.groupby(["order", "kind"]):
-            at = np.argsort(own.gram.to_numpy(), kind="stable")
-            self.tables[int(k), int(kind)] = own.gram.to_numpy()[at], own.value.to_numpy()[at]
+        for key, (gram, value) in tables.items():
+            at = np.argsort(gram, kind="stable")
+            self.tables[key] = gram[at], value[at]
         self.symbols = max(2, len(self.tables.get((1, 0), [[]])[0]) + 1)
 
+    @classmethod
+    def of_rows(cls, rows: pd.DataFrame, order: int) -> Model:
+        return cls({(int(k), int(kind)): (own.gram.to_numpy(), own.value.to_numpy()) for (k, kind), own in rows.groupby(["order", "kind"])}, order)
+
     def _value(self, k: int, kind: int, gram: np.ndarray, other: float) -> np.ndarray:
         keys, values = self.tables.get((k, kind), (np.zeros(0, np.int64), np.zeros(0)))
         if not len(keys):
@@ -153,7 +157,28 @@ class Model:
         return total[offsets[1:]] - total[offsets[:-1]], np.diff(offsets)
 
 
-def perplexities(docs: DataFrame, model: DataFrame, order: int = 6, broadcast_rows: int = 8_000_000, part_bytes: int = 64 << 20) -> DataFrame:
+PACKED_BYTES = 12  # an n-gram's row in a packed table: 64 bits and a 32-bit value
+
+
+def packed_models(model: DataFrame, order: int) -> dict[str, Model]:
+    """Each language's model, brought to the driver as packed tables: PACKED_BYTES a row, so only where few rows are."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas()
+            got = [(lang, int(k), int(kind), own.gram.to_numpy(np.int64).tobytes(), own.value.to_numpy(np.float32).tobytes()) for (lang, k, kind), own in rows.groupby(["lang", "order", "kind"])]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got, strict=True)], ["lang", "order", "kind", "grams", "values"])
+
+    parts: dict[str, dict] = {}
+    table = model.mapInArrow(run, "lang string, order long, kind long, grams binary, values binary").toArrow()
+    for lang, k, kind, gram, value in zip(*(c.to_pylist() for c in table.columns), strict=True):
+        parts.setdefault(lang, {}).setdefault((k, kind), []).append((np.frombuffer(gram, np.int64), np.frombuffer(value, np.float32)))
+    return {lang: Model({key: tuple(np.concatenate(x) for x in zip(*own, strict=True)) for key, own in tables.items()}, order) for lang, tables in parts.items()}
+
+
+def perplexities(docs: DataFrame, model: DataFrame, order: int = 6, broadcast_bytes: int = 96 << 20, part_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, lang, perplexity, size) of each document; size is that of its text in bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "lang", "perplexity", "size"]
@@ -170,9 +195,8 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = 6, broadcast_ro
             value = np.where(told != "", np.exp(-logs / size), np.nan)
         return pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(value, from_pandas=True), pa.array(size)], names)
 
-    if model.count() <= broadcast_rows:
-        rows = model.toArrow().to_pandas()
-        shared = docs.sparkSession.sparkContext.broadcast({lang: Model(own, order) for lang, own in rows.groupby("lang")})
+    if model.count() * PACKED_BYTES <= broadcast_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast(packed_models(model, order))
 
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +206,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = 6, broadcast_ro
         return docs.select("doc_id", "lang", "text").mapInArrow(run, out)
 
     def grouped(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        models = {left.column("lang")[0].as_py(): Model(right.to_pandas(), order)} if len(right) and len(left) else {}
+        models = {left.column("lang")[0].as_py(): Model.of_rows(right.to_pandas(), order)} if len(right) and len(left) else {}
         return pa.Table.from_batches([scored(left.column("doc_id").combine_chunks(), left.column("lang").to_pylist(), left.column("text").combine_chunks(), models)])
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
