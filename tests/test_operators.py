@@ -84,3 +84,22 @@ def test_rules_of_a_brief(spark):
     more = spark.createDataFrame([("c", "hashtags", 1, " #CLIP"), ("c", "hashtags", 2, "#new"), ("c", "style", 1, " "), ("c", "style", 2, "calm"), ("c", "style", 3, "loud")], "campaign string, field string, ord long, value string")
     merged = {(r.field, r.value) for r in board.rules_merge(floor, more, ["style"]).collect()}
     assert {v for f, v in merged if f == "hashtags"} == {"#Clip", "#ad", "#new"} and [v for f, v in merged if f == "style"] == ["calm"]
+
+
+def test_titles_keep_words_apart(spark):
+    rows = [(1, "80% left—what’s  it"), (2, "night-and-day / mr beast"), (3, "10v1 don't"), (4, " \n"), (5, None), (6, "é ok")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.title for r in text.text_normalize(docs).collect()}
+    assert got == {1: "80% Left - What's It", 2: "Night-And-Day / Mr Beast", 3: "10v1 Don't", 4: "clip", 5: None, 6: "É Ok"}
+    assert {r.doc_id: r.title for r in text.text_normalize(docs, ascii_only=True).collect()}[6] == "Ok"
+
+
+def test_wanted_files_and_open_batches(spark):
+    rows = [("c", 1, "logo guide.png"), ("c", 2, "b9.pdf"), ("c", 3, "a.png"), ("c", 4, "my.png.png"), ("d", 1, "guide.png")]
+    files = spark.createDataFrame(rows, "campaign string, ord long, path string")
+    pick = lambda **k: {r.campaign: r.path for r in ranking.priority_pick(files, **k).collect()}
+    assert pick(reference=("guide",)) == {"c": "b9.pdf"} and pick(wanted="A.png", reference=("guide",))["c"] == "a.png"
+    assert pick(wanted="logo", reference=("guide",))["c"] == "logo guide.png"
+    moments = spark.createDataFrame([("s", f"m{i}", float(9 - i)) for i in range(5)], "source string, id string, intensity double")
+    done = spark.createDataFrame([("m0",), ("m1",), ("m2",)], "id string")
+    assert [tuple(r) for r in ranking.score_batches(moments, 2, done).orderBy("batch").collect()] == [("s", 1, 2, 1, "m2"), ("s", 2, 1, 1, "m4")]

@@ -52,3 +52,7 @@ DISCLOSURE_MARKS = ["disclosure", "#ad", "ftc", "sponsored", "paid partnership"]
 HOOKS = {name: bounded(p) for name, p in HOOKS.items()}
 DESCRIPTIVE, GIVEAWAY, BAIT, FILLER = map(bounded, (DESCRIPTIVE, GIVEAWAY, BAIT, FILLER))
 BARRIERS = [(name, [bounded(p) for p in own]) for name, own in BARRIERS]
+
+# Punctuation and its form in ASCII, and a word with the separators after it.
+PUNCTUATION = [(" *[‒–—―−﹘] *", " - "), ("[‐‑⁃﹣－]", "-"), ("[‘’ʼ′‵]", "'"), ("[“”″‶]", '"')]
+TITLE_WORD = "[^ /-]+[ /-]*|[ /-]+"

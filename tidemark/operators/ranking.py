@@ -88,16 +88,33 @@ def review_funnel(moments: DataFrame, alive: float = 1, best: float = 40, pool:
     return spread_topk(rows, apart, most)
 
 
-def score_batches(moments: DataFrame, size: int = 18) -> DataFrame:
-    """(source, batch, n, first_id): batches of a source's moments in rank order."""
+def score_batches(moments: DataFrame, size: int = 18, scored: DataFrame | None = None) -> DataFrame:
+    """(source, batch, n, open, first_id): batches of a source's moments in rank order that hold ids not scored yet.
+
+    scored: (id), what an earlier run scored. open: how many ids of the batch it left.
+    """
     rows = moments.withColumn("batch", F.floor((F.row_number().over(over("source", by=[F.desc("intensity"), "id"])) - 1) / size).cast("long"))
-    return rows.groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    done = F.lit(None)
+    if scored is not None:
+        rows = rows.join(scored.select("id").distinct().withColumn("done", F.lit(True)), "id", "left")
+        done = F.col("done")
+    got = rows.groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum(F.when(done, 0).otherwise(1)).cast("long").alias("open"), F.min("id").alias("first_id"))
+    return got.where("open > 0")
 
 
-def priority_pick(resources: DataFrame, keyword: str = "9") -> DataFrame:
-    """(campaign, path): one asset a campaign: named by the keyword first, then png, then by name."""
-    assets = resources.where(F.lower("path").rlike(r"\.(png|pdf)$"))
-    order = [F.when(F.col("path").contains(keyword), 0).otherwise(1), F.when(F.lower("path").endswith(".png"), 0).otherwise(1), "path", "ord"]
+def priority_pick(resources: DataFrame, keyword: str = "9", wanted: str | None = None, reference: tuple[str, ...] = ()) -> DataFrame:
+    """(campaign, path): one asset a campaign.
+
+    The file of the wanted name, or else with it in its name, first in order; without one, of the files whose names hold
+    none of the reference words, those with the keyword come first, then png, then by name.
+    """
+    name = F.lower("path")
+    tier = F.when(name == wanted.lower(), 0).when(name.contains(wanted.lower()), 1).otherwise(2) if wanted else F.lit(2)
+    guide = F.lit(False)
+    for word in reference:
+        guide = guide | name.contains(word)
+    assets = resources.where(name.rlike(r"\.(png|pdf)$")).withColumn("tier", tier).where((F.col("tier") < 2) | ~guide)
+    order = ["tier", F.when(F.col("tier") < 2, F.col("ord")), F.when(name.contains(keyword), 0).otherwise(1), F.when(name.endswith(".png"), 0).otherwise(1), name, "ord"]
     return assets.withColumn("rn", F.row_number().over(over("campaign", by=order))).where("rn = 1").select("campaign", "path")
 
 

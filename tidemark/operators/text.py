@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import patterns
+
 from tidemark.functions.ordered import earlier, joined, over, words_pattern
 
 
@@ -121,13 +123,25 @@ def grounding_anti_join(candidates: DataFrame, documents: DataFrame, generic: li
     return left.join(stems, ["clip_id", "stem"], "left_anti").select("clip_id", "pos", "token")
 
 
-def text_normalize(documents: DataFrame) -> DataFrame:
-    """(doc_id, title): dashes and quotes in ASCII, blanks collapsed, each word's first letter in upper case."""
-    x = F.regexp_replace("text", "[–—]", " - ")
-    x = F.translate(x, "‐‑‘’“”", "--''\"\"")
-    x = F.trim(F.regexp_replace(x, r"[ \t\n\r]+", " "))
-    words = F.transform(F.split(x, " "), lambda w: F.when(w.startswith("ß"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))))  # ß has no capital of one letter
-    title = F.array_join(words, " ")
+def text_normalize(documents: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(doc_id, title): dashes and quotes in ASCII, blanks collapsed, words in title case; 'clip' if nothing is left.
+
+    A word ends at blanks, hyphens and slashes. Its first letter goes to upper case unless a digit stands before it; the
+    rest stays. ascii_only: drop all other characters.
+    """
+    x = F.regexp_replace("text", r"[ \t\n\r]+", " ")
+    for of, plain in patterns.PUNCTUATION:
+        x = F.regexp_replace(x, of, plain)
+    if ascii_only:
+        x = F.regexp_replace(x, r"[^\x00-\x7F]", "")
+    x = F.trim(F.regexp_replace(x, " {2,}", " "))
+
+    def cased(w):
+        head = F.length(F.regexp_extract(w, r"^[^\p{L}\p{N}]*", 0))
+        first = F.substr(w, head + 1, F.lit(1))
+        return F.when(first == "ß", w).otherwise(F.concat(F.substr(w, F.lit(1), head), F.upper(first), F.substr(w, head + 2)))  # ß has no capital of one letter
+
+    title = F.array_join(F.transform(F.regexp_extract_all(x, F.lit(patterns.TITLE_WORD), F.lit(0)), cased), "")
     return documents.select("doc_id", F.when(title == "", "clip").otherwise(title).alias("title"))
 
 
@@ -149,9 +163,13 @@ def link_kind(urls: DataFrame) -> DataFrame:
 
 
 def hash_assign(moments: DataFrame, n: int = 7, m: int = 5) -> DataFrame:
-    """(id, bucket, second): stable buckets from the id's digest."""
-    h = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("long")
-    return moments.select("id", F.pmod(h, F.lit(n)).alias("bucket"), F.pmod(F.floor(h / 7).cast("long"), F.lit(m)).alias("second"))
+    """(id, bucket, second, twelfth): stable buckets from the id's digest; twelfth is the whole digest modulo 12."""
+    md5 = F.md5(F.col("id").cast("binary"))
+    number = lambda hexed: F.conv(hexed, 16, 10).cast("long")
+    h = number(F.substring(md5, 1, 8))
+    digits = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda i: number(F.substr(md5, i, F.lit(1))))
+    whole = number(F.substring(md5, 32, 1)) + 4 * F.aggregate(digits, F.lit(0).cast("long"), lambda x, y: x + y)  # powers of 16 are 4 modulo 12
+    return moments.select("id", F.pmod(h, F.lit(n)).alias("bucket"), F.pmod(F.floor(h / 7).cast("long"), F.lit(m)).alias("second"), F.pmod(whole, F.lit(12)).cast("long").alias("twelfth"))
 
 
 def log_classify(errors: DataFrame) -> DataFrame:

@@ -472,15 +472,19 @@ def spread_topk(spark, d):
     return ranking.spread_topk(_t(spark, d, "v_moments"), 30, 50)
 
 
-@query("SELECT source, batch, count(*) AS n, min(id) AS first_id FROM (SELECT *, CAST((row_number() OVER (PARTITION BY source ORDER BY intensity DESC, id) - 1) // 3 AS BIGINT) AS batch FROM v_moments) t GROUP BY 1, 2")
+@query("""SELECT source, batch, count(*) AS n, count(*) - count(scored) AS open, min(id) AS first_id FROM (SELECT m.*, s.id AS scored,
+          CAST((row_number() OVER (PARTITION BY source ORDER BY intensity DESC, m.id) - 1) // 3 AS BIGINT) AS batch FROM v_moments m LEFT JOIN (SELECT DISTINCT id FROM v_moments WHERE type = 'speech') s ON s.id = m.id) t
+          GROUP BY 1, 2 HAVING count(*) > count(scored)""")
 def score_batches(spark, d):
-    return ranking.score_batches(_t(spark, d, "v_moments"), 3)
+    moments = _t(spark, d, "v_moments")
+    return ranking.score_batches(moments, 3, moments.where("type = 'speech'"))
 
 
-@query("""SELECT campaign, path FROM (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY CASE WHEN contains(path, '9') THEN 0 ELSE 1 END, CASE WHEN suffix(lower(path), '.png') THEN 0 ELSE 1 END, path, ord) AS rn
-          FROM v_resources WHERE regexp_matches(lower(path), '\\.(png|pdf)$')) t WHERE rn = 1""")
+@query("""WITH a AS (SELECT *, lower(path) AS name, CASE WHEN lower(path) = 'f92' THEN 0 WHEN contains(lower(path), 'f92') THEN 1 ELSE 2 END AS tier FROM v_resources WHERE regexp_matches(lower(path), '\\.(png|pdf)$'))
+          SELECT campaign, path FROM (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY tier, CASE WHEN tier < 2 THEN ord END, CASE WHEN contains(name, '9') THEN 0 ELSE 1 END, CASE WHEN suffix(name, '.png') THEN 0 ELSE 1 END, name, ord) AS rn
+          FROM a WHERE tier < 2 OR NOT contains(name, '13')) t WHERE rn = 1""")
 def priority_pick(spark, d):
-    return ranking.priority_pick(_t(spark, d, "v_resources"))
+    return ranking.priority_pick(_t(spark, d, "v_resources"), wanted="f92", reference=("13",))
 
 
 @query("""WITH v AS (SELECT item, format_id, size, row_number() OVER (PARTITION BY item ORDER BY height DESC, tbr DESC, size DESC, format_id DESC) AS rn FROM v_formats WHERE height <= 1080 AND NOT has_audio),
@@ -533,8 +537,15 @@ def tag_membership(spark, d):
     return board.tag_membership(_t(spark, d, "v_board"), "economy")
 
 
-@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(translate(regexp_replace(text, '[–—]', ' - ', 'g'), '‐‑‘’“”', '--''''""'), '[ \t\n\r]+', ' ', 'g')) AS x FROM documents)
-          SELECT doc_id, CASE WHEN x = '' THEN 'clip' ELSE array_to_string(list_transform(string_split(x, ' '), lambda w: CASE WHEN w[1] = 'ß' THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ') END AS title FROM t""")
+_PLAIN = r"regexp_replace(text, '[ \t\n\r]+', ' ', 'g')"
+for _of, _to in patterns.PUNCTUATION:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_of}', '{_to.replace(chr(39), 2 * chr(39))}', 'g')"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace({_PLAIN}, ' {{2,}}', ' ', 'g'), ' ') AS x FROM documents),
+          w AS (SELECT doc_id, x, list_transform(regexp_extract_all(x, '{patterns.TITLE_WORD}'), lambda w: struct_pack(w := w, h := length(regexp_extract(w, '^[^\p{{L}}\p{{N}}]*')))) AS p FROM t)
+          SELECT doc_id, CASE WHEN x = '' THEN 'clip' ELSE array_to_string(list_transform(p, lambda q: CASE WHEN substr(q.w, q.h + 1, 1) = 'ß' THEN q.w
+            ELSE substr(q.w, 1, q.h) || upper(substr(q.w, q.h + 1, 1)) || substr(q.w, q.h + 2) END), '') END AS title FROM w""".replace("\\\\", "\\"))
 def text_normalize(spark, d):
     return text.text_normalize(_t(spark, d, "documents"))
 
@@ -552,7 +563,8 @@ def link_kind(spark, d):
     return text.link_kind(_t(spark, d, "v_urls"))
 
 
-@query("WITH h AS (SELECT id, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) AS h FROM v_moments) SELECT id, h % 7 AS bucket, (h // 7) % 5 AS second FROM h")
+@query("""WITH h AS (SELECT id, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) AS h FROM v_moments) SELECT id, h % 7 AS bucket, (h // 7) % 5 AS second,
+          CAST((CAST('0x' || substr(md5(id), 32, 1) AS BIGINT) + 4 * list_sum(list_transform(range(1, 32), lambda i: CAST('0x' || substr(md5(id), i, 1) AS BIGINT)))) % 12 AS BIGINT) AS twelfth FROM h""")
 def hash_assign(spark, d):
     return text.hash_assign(_t(spark, d, "v_moments"))
 
