@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -430,11 +431,31 @@ def test_quality_paths_agree(spark, monkeypatch):
     assert len(pieces) > 20 and (np.concatenate(pieces) == whole).all()
 
 
-def test_quality_of_short_and_far_scripts(spark):
-    """A language of short texts has a threshold too, and far scripts a model of their own."""
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_quality_of_short_and_far_scripts(spark, parts):
+    """A language of short texts has a threshold too, far scripts a model of their own, and equal texts one answer however they are dealt."""
     docs = [(i, "日本語の文です" if i % 2 else "日本の言葉です", "ja") for i in range(80)] + [(100, "Құшаққа", "ja")]
-    got = {r.doc_id: r for r in kn_quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels(spark, [(i, 1, 0) for i in range(80)])).collect()}
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(parts)
+    got = {r.doc_id: r for r in kn_quality.quality(rows, labels(spark, [(i, 1, 0) for i in range(80)])).collect()}
     assert all(got[i].keep and got[i].threshold is not None for i in range(80)) and not got[100].keep
+    assert len({(got[i].perplexity, got[i].threshold) for i in range(80)}) == 2
+
+
+def test_quality_keeps_by_the_quantile_of_held_out_texts(spark):
+    """keep from the perplexities alone, in plain Python; documents of equal text agree."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    marks = [(r.doc_id, int(r.doc_id % 3 > 0), 0) for r in docs.select("doc_id").collect()]
+    got = kn_quality.quality(docs, labels(spark, marks), quantile=0.6).collect()
+    size = {r.doc_id: len((r.text or "").encode()) for r in docs.collect()}
+    good = {i for i, q, _ in marks if q}
+    model = kn_quality.fit(docs.where("doc_id % 3 > 0").where("crc32(cast(doc_id as string)) % 10 <> 0"), 6)
+    told = {r.doc_id: (r.lang, r.perplexity) for r in kn_quality.perplexities(docs, model).collect()}
+    ratio = {i: p / np.exp(2.0 / np.sqrt(size[i])) for i, (_, p) in told.items() if p is not None and size[i]}
+    limit = {}
+    for lang in {x for x, _ in told.values()}:
+        held = sorted(ratio[i] for i in ratio if told[i][0] == lang and i in good and zlib.crc32(str(i).encode()) % 10 == 0)
+        limit[lang] = held[max(0, -(-len(held) * 6 // 10) - 1)] if held else None
+    assert {r.doc_id: r.keep for r in got} == {i: size[i] > 0 and (i not in ratio or limit[told[i][0]] is None or ratio[i] <= limit[told[i][0]] * (1 + 1e-12)) for i in told}
 
 
 def test_toxicity(spark):

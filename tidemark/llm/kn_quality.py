@@ -150,14 +150,16 @@ class Model:
         return p
 
     def log_sums(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of log probabilities, number of symbols) of each part."""
+        """(sum of log probabilities in units of 1 / UNITS, number of symbols) of each part: whole numbers, so that no sum depends on what else is summed."""
         gram, offsets = grams(parts, self.order)
         kinds, back = np.unique(gram, return_inverse=True)
-        total = np.concatenate([[0.0], np.cumsum(np.log(self.probability(kinds))[back])])
+        logs = np.rint(np.log(self.probability(kinds)) * UNITS).astype(np.int64)
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(logs[back])])
         return total[offsets[1:]] - total[offsets[:-1]], np.diff(offsets)
 
 
-PACKED_BYTES = 12  # an n-gram's row in a packed table: 64 bits and a 32-bit value
+PACKED_BYTES = 16  # an n-gram's row in a packed table: 64 bits and a 64-bit value
+UNITS = 1 << 28
 
 
 def packed_models(model: DataFrame, order: int) -> dict[str, Model]:
@@ -167,14 +169,14 @@ def packed_models(model: DataFrame, order: int) -> dict[str, Model]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pandas()
-            got = [(lang, int(k), int(kind), own.gram.to_numpy(np.int64).tobytes(), own.value.to_numpy(np.float32).tobytes()) for (lang, k, kind), own in rows.groupby(["lang", "order", "kind"])]
+            got = [(lang, int(k), int(kind), own.gram.to_numpy(np.int64).tobytes(), own.value.to_numpy(np.float64).tobytes()) for (lang, k, kind), own in rows.groupby(["lang", "order", "kind"])]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got, strict=True)], ["lang", "order", "kind", "grams", "values"])
 
     parts: dict[str, dict] = {}
     table = model.mapInArrow(run, "lang string, order long, kind long, grams binary, values binary").toArrow()
     for lang, k, kind, gram, value in zip(*(c.to_pylist() for c in table.columns), strict=True):
-        parts.setdefault(lang, {}).setdefault((k, kind), []).append((np.frombuffer(gram, np.int64), np.frombuffer(value, np.float32)))
+        parts.setdefault(lang, {}).setdefault((k, kind), []).append((np.frombuffer(gram, np.int64), np.frombuffer(value, np.float64)))
     return {lang: Model({key: tuple(np.concatenate(x) for x in zip(*own, strict=True)) for key, own in tables.items()}, order) for lang, tables in parts.items()}
 
 
@@ -186,13 +188,13 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = 6, broadcast_by
 
     def scored(ids: pa.Array, langs: list, column: pa.Array, models: dict) -> pa.RecordBatch:
         told = np.array([x if x in models else "" for x in langs], object)
-        logs, size = np.zeros(len(ids)), np.array([len((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in column], np.int64)
+        logs, size = np.zeros(len(ids), np.int64), np.array([len((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in column], np.int64)
         for lang in sorted(set(told) - {""}):
             at = np.flatnonzero(told == lang)
             for rows, parts in _runs(column.take(pa.array(at)), order):
                 np.add.at(logs, at[rows], models[lang].log_sums(parts)[0])
         with np.errstate(invalid="ignore", divide="ignore"):
-            value = np.where(told != "", np.exp(-logs / size), np.nan)
+            value = np.where(told != "", np.exp(-logs / UNITS / size), np.nan)
         return pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(value, from_pandas=True), pa.array(size)], names)
 
     if model.count() * PACKED_BYTES <= broadcast_bytes:
@@ -234,7 +236,8 @@ def quality(documents: DataFrame, labels: DataFrame, order: int = 6, quantile: f
     judged = scored.where(tenth & F.col("perplexity").isNotNull()).join(good, "doc_id", "left_semi")
     limits = judged.groupBy("lang").agg(F.percentile_approx(F.col("perplexity") / F.col("scatter"), quantile, 10_000).alias("limit"))
     threshold = F.col("limit") * F.col("scatter")
+    within = F.col("perplexity") / F.col("scatter") <= F.col("limit")  # the very values that the limit was chosen from
     return (
         scored.join(F.broadcast(limits), "lang", "left").withColumn("threshold", threshold)  # a row for each language
-        .select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), ((F.col("size") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("keep"))
+        .select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), ((F.col("size") > 0) & F.coalesce(within, F.lit(True))).alias("keep"))
     )
