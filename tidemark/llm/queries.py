@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, html_paths, kn_quality, lang_parse, ngram_jaccard, pq_neardup, rindex_dedup, sentencepiece_bpe, toxicity, warc
+from tidemark.llm import bpe_transducer, decontam, html_paths, kn_quality, lang_parse, ngram_jaccard, pq_neardup, rindex_dedup, sentencepiece_bpe, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +57,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_parse.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_normaliser, op3_kneser_ney_quality, op4_toxicity_chain, op5_sentencepiece, op6_decontamination, op7_html_extraction, op8_suffix_dedup, op9_embedding_neardup, op10_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_normaliser, op3_kneser_ney_quality, op4_toxicity_chain, op5_sentencepiece, op6_decontamination, op7_html_extraction, op8_suffix_dedup, op9_embedding_neardup, op10_language_id, op12_bpe, pipeline)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
