@@ -496,7 +496,7 @@ def test_toxicity_chain_against_fits_one_by_one(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
     at = [want.columns.index(c) for c in got.columns]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_transducer, decontam, html_paths, kn_quality, lang_parse, ngram_jaccard, pq_neardup, rindex_dedup, sentencepiece_bpe, toxicity, warc
+from tidemark.llm import bpe_transducer, decontam, html_paths, kn_quality, lang_parse, lexical_dag, ngram_jaccard, pq_neardup, rindex_dedup, sentencepiece_bpe, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +61,17 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_dag.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_normaliser, op3_kneser_ney_quality, op4_toxicity_chain, op5_sentencepiece, op6_decontamination, op7_html_extraction, op8_suffix_dedup, op9_embedding_neardup, op10_language_id, op12_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_normaliser, op3_kneser_ney_quality, op4_toxicity_chain, op5_sentencepiece, op6_decontamination, op7_html_extraction, op8_suffix_dedup, op9_embedding_neardup, op10_language_id, op12_bpe, op13_lexical_search, pipeline)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
@@ -94,5 +98,16 @@ SELECT x.page_id, CAST(x.n AS BIGINT) AS payload_bytes,
     || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v // 32 % 32 + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v % 32 + 1]), '') AS payload_digest,
   CASE WHEN m.top = x.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m.top <> x.page_id THEN m.top END AS refers_to
 FROM x JOIN m ON m.h = x.h
+""",
+    "op13_lexical_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT CAST(count(CASE WHEN len(w) > 0 THEN 1 END) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) u WHERE t IN (SELECT t FROM i) GROUP BY 1, 2),
+g AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * s.n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, s GROUP BY t, s.n),
+p AS (SELECT f.doc_id, f.t, g.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * len(d.w) * s.n) // s.l))) AS p FROM f JOIN g USING (t) JOIN d USING (doc_id), s),
+r AS (SELECT i.item_id, p.doc_id, CAST(sum(p.p) AS BIGINT) AS score FROM i JOIN p USING (t) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
 """,
 }
