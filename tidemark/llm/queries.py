@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_transducer, decontam, html_paths, kn_quality, lang_parse, lexical_dag, ngram_jaccard, pq_neardup, rindex_dedup, sentencepiece_bpe, toxicity, warc
+from tidemark.llm import bpe_transducer, decontam, hard_negatives, html_paths, kn_quality, lang_parse, lexical_dag, ngram_jaccard, pq_neardup, rindex_dedup, sentencepiece_bpe, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_parse.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), "vec_id % 100 = 0", positives=5, negatives=10, least=30, most=90, scale=256)
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -71,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_normaliser, op3_kneser_ney_quality, op4_toxicity_chain, op5_sentencepiece, op6_decontamination, op7_html_extraction, op8_suffix_dedup, op9_embedding_neardup, op10_language_id, op12_bpe, op13_lexical_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_normaliser, op3_kneser_ney_quality, op4_toxicity_chain, op5_sentencepiece, op6_decontamination, op7_html_extraction, op8_suffix_dedup, op9_embedding_neardup, op10_language_id, op11_hard_negatives, op12_bpe, op13_lexical_search, pipeline)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
@@ -98,6 +105,15 @@ SELECT x.page_id, CAST(x.n AS BIGINT) AS payload_bytes,
     || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v // 32 % 32 + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v % 32 + 1]), '') AS payload_digest,
   CASE WHEN m.top = x.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m.top <> x.page_id THEN m.top END AS refers_to
 FROM x JOIN m ON m.h = x.h
+""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, s.other AS negative_id, p.positive_score, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """,
     "op13_lexical_search": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL),
