@@ -1,12 +1,15 @@
 """Folds, selections and plug points against plain Python, on small random and odd inputs."""
 
+import bisect
 import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import plugs
-from tidemark.operators import campaigns, captions, folds
+from tidemark.operators import campaigns, captions, folds, ranking
+from tidemark.streaming import replays
 
 MOMENTS = "id string, source int, start_s double, end_s double, type string, intensity double, text string"
 
@@ -51,14 +54,15 @@ def test_window_overlap_suppress(spark, seed):
 
 def test_structure_quota(spark):
     rng = random.Random(6)
-    rows = [(i % 2, i, p, f"{rng.choice('ab')} {rng.choice('cd')} tail {p}") for i in range(24) for p in range(3)]
-    got = {r.clip_id: (r.pos, r.opening) for r in folds.structure_quota(spark.createDataFrame(rows, "batch long, clip_id long, pos long, text string")).collect()}
+    rows = [(i % 2, i, p, f"{rng.choice('ab')} {rng.choice('cd')} tail {p}", rng.randrange(4)) for i in range(24) for p in range(3)]
+    frame = spark.createDataFrame(rows, "batch long, clip_id long, pos long, text string, points long")
+    got = {r.clip_id: (r.pos, r.opening) for r in folds.structure_quota(frame, F.col("points")).collect()}
     for batch in (0, 1):
         used = {}
         for clip in sorted({r[1] for r in rows if r[0] == batch}):
-            lines = [(p, " ".join(t.split(" ")[:2])) for _, c, p, t in rows if c == clip]
+            lines = [(p, " ".join(t.split(" ")[:2])) for _, c, p, t, _ in sorted(rows, key=lambda r: (-r[4], r[2])) if c == clip]
             free = [x for x in lines if used.get(x[1], 0) < 3]
-            pick = free[0] if free else min(lines, key=lambda x: (used.get(x[1], 0), x[0]))
+            pick = free[0] if free else min(lines, key=lambda x: used.get(x[1], 0))
             used[pick[1]] = used.get(pick[1], 0) + 1
             assert got[clip] == pick
 
@@ -107,3 +111,55 @@ def test_quota_goes_on_in_the_next_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = replays.replay(replays.daily_quota(stream), spark).groupBy("day").count().collect()
     assert sorted(r["count"] for r in got) == [3, 3]
+
+
+def greedy(rows, apart):
+    """(id, source, start, score): best first over all sources."""
+    taken = {}
+    for i, k, s, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        near = taken.setdefault(k, [])
+        at = bisect.bisect_left(near, s)
+        if not (at and s - near[at - 1] < apart or at < len(near) and near[at] - s < apart):
+            near.insert(at, s)
+            yield i
+
+
+@pytest.mark.parametrize(("n", "span", "scores", "width"), [(3000, 20_000, 50, 4), (4000, 90_000, None, 8), (600, 60_000, "falling", 2), (2000, 900, 5, 4)])
+def test_spread_of_one_source_in_stretches(spark, n, span, scores, width):
+    rng = random.Random(n)
+    starts = [rng.randrange(-span, span) / 4 for _ in range(n)]
+    score = {s: -s for s in starts} if scores == "falling" else {s: float(rng.randrange(scores or 10**6)) for s in starts}  # falling: each choice rests on the one before
+    rows = [(f"m{i:05}", 1, s, score[s]) for i, s in enumerate(starts)] + [("z1", 2, 5.0, 1.0), ("z2", None, 5.0, 1.0)]
+    frame = spark.createDataFrame(rows, "id string, source int, start_s double, intensity double")
+    got = [r.id for r in ranking.spread_topk(frame, 30, 10**6, width=width, halo=2).collect()]
+    assert sorted(got) == sorted(greedy(rows, 30))
+
+
+def test_a_fold_holds_no_group(spark):
+    """A follower of many events of one user, whole and in the stream's order, beside users with few."""
+    rng = random.Random(9)
+    events = [(1, i, i, rng.uniform(0, 900)) for i in range(30_000)] + [(u, 0, 40_000 + u, 5.0) for u in range(2, 9)]
+    frame = spark.createDataFrame(events, "user_id long, s long, event_id long, value double").withColumn("ts", F.timestamp_seconds("s")).repartition(6)
+    at, want = None, {}
+    for _, _, i, x in events[:30_000]:
+        at = x if at is None else min(1000, max(0, at + min(8, max(-8, (x - at) * 0.06)))) if abs(x - at) > 20 else at
+        want[i] = round(at, 4)
+    got = {r.event_id: r.position for r in folds.deadband_follow(frame).collect()}
+    assert len(got) == len(events) and all(abs(got[i] - p) < 2e-4 for i, p in want.items()) and got[40_003] == 5.0
+
+
+def test_idle_positions_go(spark, tmp_path):
+    """A user unseen for longer than `idle` starts anew; others go on from where they were."""
+    schema = "user_id long, event_id long, ts timestamp, value double"
+    put = lambda k, rows: spark.createDataFrame([(u, i, pd.Timestamp(t, tz="UTC").to_pydatetime(), v) for u, i, t, v in rows], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: replays.deadband(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), idle="10 days", late="1 day").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    put(0, [(1, 1, "2024-01-01", 100.0), (2, 2, "2024-01-01", 100.0)])
+    run()
+    put(1, [(2, 3, "2024-01-08", 500.0)])
+    run()
+    put(2, [(3, 4, "2024-01-14", 0.0)])
+    run()
+    put(3, [(1, 5, "2024-01-15", 500.0), (2, 6, "2024-01-15", 500.0)])
+    run()
+    got = {r.event_id: r.position for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: 100.0, 2: 100.0, 3: 108.0, 4: 0.0, 5: 500.0, 6: 116.0}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, MapType, StringType
 
-from tidemark.functions.ordered import over, words_pattern
-from tidemark.operators import patterns
+from tidemark.functions.ordered import over
+from tidemark.operators import matcher, patterns
 
 
 def first_words(column: Column, n: int = 2) -> Column:
@@ -78,10 +81,13 @@ def tiered_fallback(lines: DataFrame) -> DataFrame:
 
 
 def compliance_scrub(candidates: DataFrame, banned: list[str]) -> DataFrame:
-    """(clip_id, kept, n_killed, variant, ships): clips with their clean lines; a bad second line is nulled, a bad first one stops the clip."""
-    bad = F.lower("text").rlike(words_pattern(banned))
-    rows = candidates.select("clip_id", F.struct("pos", bad.alias("bad"), "text").alias("line"))
-    sets = rows.groupBy("clip_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    """(clip_id, kept, n_killed, variant, ships): clips with their clean lines; a bad second line is nulled, a bad first one stops the clip.
+
+    Banned phrases match anywhere, single words as whole words: all of them in one pass a line.
+    """
+    terms = [(t.lower(), " " not in t, 1) for t in banned]
+    bad = matcher.matched(candidates.select("clip_id", "pos", "text", F.lower("text").alias("low")), "low", terms, "bad", BooleanType(), lambda found: next(found, None) is not None)
+    sets = bad.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bad", "text"))).alias("lines"))
     clean = F.filter("lines", lambda x: ~x["bad"])
     second = F.get("lines", F.lit(1))
     return sets.select(
@@ -113,19 +119,27 @@ def token_style_mask(words: DataFrame, terms: list[str], lexicon: list[str]) ->
     return words.select("source", "seg_no", "word_no", bare.alias("bare")).select("source", "seg_no", "word_no", shown.alias("shown"))
 
 
-def inflected(roots: DataFrame, suffixes: list[str]) -> DataFrame:
-    """(root, form): each root alone, with each suffix, and with its last consonant doubled before a suffix."""
-    last = F.substring("root", -1, 1)
-    plain = F.explode(F.array(F.lit(""), *map(F.lit, suffixes)))
-    a = roots.select("root", plain.alias("x")).select("root", F.concat("root", "x").alias("form"))
-    b = roots.where(~last.rlike("[aeiou]")).select("root", last.alias("last"), F.explode(F.array(*map(F.lit, suffixes))).alias("x"))
-    return a.unionByName(b.select("root", F.concat("root", "last", "x").alias("form"))).distinct()
+def inflected(roots: list[str], suffixes: list[str]) -> dict[str, str]:
+    """The root of each form: roots alone, with each suffix, and with the last consonant doubled, alone and before a suffix. A form of two roots is the first one's."""
+    out: dict[str, str] = {}
+    for root in roots:
+        for middle in ["", *([root[-1]] if root[-1:] not in "aeiou" else [])]:
+            for suffix in ["", *suffixes]:
+                out.setdefault(root + middle + suffix, root)
+    return out
 
 
 def lexicon_prefix_match(documents: DataFrame, roots: DataFrame, suffixes: list[str]) -> DataFrame:
-    """(doc_id, root, n): how often each text holds a form of each root; roots is a fixed list."""
-    tokens = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("form"))
-    return tokens.join(F.broadcast(inflected(roots, suffixes)), "form").groupBy("doc_id", "root").agg(F.count("*").alias("n"))
+    """(doc_id, root, n): how often each text holds a form of each root, in one pass a text. roots: (root)."""
+    found = documents.select("doc_id", F.lower("text").alias("low"))
+    letters, kind = frozenset("abcdefghijklmnopqrstuvwxyz"), MapType(StringType(), LongType())
+    out = []
+    for k, rows in enumerate(matcher.shards(roots.select(F.col("root").alias("term")).distinct())):
+        forms = [(form, True, root) for form, root in inflected(sorted(r.term for r in rows), suffixes).items()]
+        found = matcher.matched(found, "low", forms, f"held{k}", kind, lambda values: list(Counter(values).items()), letters)
+        out.append(f"held{k}")
+    held = F.map_concat(*out) if len(out) > 1 else F.col(out[0])
+    return found.select("doc_id", F.explode(held).alias("root", "n")).groupBy("doc_id", "root").agg(F.sum("n").alias("n"))
 
 
 def common_prefix(templates: DataFrame) -> DataFrame:

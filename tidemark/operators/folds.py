@@ -6,28 +6,43 @@ source is spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 from tidemark.functions.ordered import earlier, joined, over, running
+from tidemark.operators.captions import opening
 
 
-def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], out: str, kind: str, start: Callable, step: Callable) -> DataFrame:
-    """rows with a column `out`: what step(state, row) gives beside the next state, row by row of a key in order."""
+def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], out: str, kind: str | DataType, start: Callable, step: Callable) -> DataFrame:
+    """rows with a column `out`: what step(state, row) gives beside the next state, row by row of a key in order.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(order, kind="stable")
-        state, got = start(), []
-        for row in ordered.itertuples(index=False):
-            state, value = step(state, row)
-            got.append(value)
-        return ordered.assign(**{out: got})
+    Rows stream through in the order that Spark sorts them (on disk where need be), and only the state is held, so a
+    key may have any number of rows.
+    """
+    schema = StructType(list(rows.schema.fields)).add(out, kind)
+    made, names, at = to_arrow_type(schema[out].dataType), rows.columns, [rows.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_of = namedtuple("row_of", names, rename=True)
+        now, state = None, None
+        for batch in batches:
+            got = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = tuple(values[i] for i in at)
+                if now is None or key != now:
+                    now, state = key, start()
+                state, value = step(state, row_of._make(values))
+                got.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, made)], [*names, out])
 
-    return rows.groupBy(*keys).applyInPandas(run, StructType(list(rows.schema.fields)).add(out, kind))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _parts(rows: DataFrame, by: list[str], apart: Callable[[Column, Column], Column]) -> DataFrame:
@@ -69,17 +84,22 @@ def window_overlap_suppress(clips: DataFrame) -> DataFrame:
     rows = _parts(clips.select("clip_id", "source", "start_s", "end_s", "score"), ["start_s", "end_s", "clip_id"], lambda s, reach: s >= reach)
 
     def step(kept, row):
-        free = all(row.end_s <= a or b <= row.start_s for a, b in kept)
-        return (kept + [(row.start_s, row.end_s)] if free else kept), free
+        starts, ends = kept  # of kept windows, which don't overlap, so both are sorted
+        i = bisect_left(starts, row.end_s)
+        free = i == 0 or ends[i - 1] <= row.start_s
+        if free and row.end_s > row.start_s:
+            starts.insert(i, row.start_s)
+            ends.insert(i, row.end_s)
+        return kept, free
 
     ranked = rows.withColumn("low", -F.col("score"))
-    return fold_by_key(ranked, ["source", "part"], ["low", "clip_id"], "kept", "boolean", list, step).where("kept").select("clip_id", "source")
+    return fold_by_key(ranked, ["source", "part"], ["low", "clip_id"], "kept", "boolean", lambda: ([], []), step).where("kept").select("clip_id", "source")
 
 
 def deadband_follow(frames: DataFrame, safe: float = 20, easing: float = 0.06, most: float = 8, low: float = 0, high: float = 1000) -> DataFrame:
     """(event_id, position): a follower that moves only when the value leaves its dead zone, by an eased, bounded step.
 
-    frames: (user_id, ts, event_id, value). Each step needs the one before, so a user is one task's fold.
+    frames: (user_id, ts, event_id, value). Each step needs the one before, so a user's frames stream through one task.
     """
 
     def step(at, row):
@@ -94,20 +114,23 @@ def deadband_follow(frames: DataFrame, safe: float = 20, easing: float = 0.06, m
     return fold_by_key(rows, ["user_id"], ["ts", "event_id"], "position", "double", lambda: None, step).select("event_id", F.round("position", 4).alias("position"))
 
 
-def structure_quota(candidates: DataFrame, floor: int = 3, share: int = 5) -> DataFrame:
-    """(batch, clip_id, pos, opening): in order of clips the first line whose two-word opening is below its quota, else the least used.
+def structure_quota(candidates: DataFrame, score: Column, floor: int = 3, share: int = 5) -> DataFrame:
+    """(batch, clip_id, pos, opening): in order of clips each clip's best line whose two-word opening is below its quota, else the least used.
 
-    candidates: (batch, clip_id, pos, text); a batch is bounded by its maker, its quota is the larger of floor and a fifth of its clips.
+    candidates: (batch, clip_id, pos, text); score: of a line, the greater the better, the first of equals. A batch's
+    quota is the larger of floor and a `share`-th of its clips, rounded up.
     """
-    opening = F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 2), " ")
-    rows = candidates.select("batch", "clip_id", "pos", opening.alias("opening")).withColumn("n", F.size(F.collect_set("clip_id").over(over("batch"))))
-    lines = rows.groupBy("batch", "clip_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "opening"))).alias("lines"))
-    lines = lines.withColumn("openings", F.transform("lines", lambda x: x["opening"])).withColumn("places", F.transform("lines", lambda x: x["pos"])).drop("lines")
+    rows = candidates.select("batch", "clip_id", "pos", opening(F.col("text")).alias("opening"), score.alias("score"))
+    best = rows.groupBy("batch", "clip_id", "opening").agg(F.min(F.struct(-F.col("score"), F.col("pos"))).alias("rank"))  # lines of one opening differ in nothing but rank
+    clips = best.groupBy("batch", "clip_id").agg(F.array_sort(F.collect_list(F.struct("rank", "opening"))).alias("lines"))
+    sizes = clips.groupBy("batch").agg(F.count("*").alias("n"))
+    lines = clips.join(sizes, "batch").select("batch", "clip_id", "n", F.transform("lines", lambda x: x["opening"]).alias("openings"), F.transform("lines", lambda x: x["rank"]["pos"]).alias("places"))
 
     def step(used, row):
         quota = max(floor, -(-row.n // share))
-        ready = [k for k, o in enumerate(row.openings) if used.get(o, 0) < quota]
-        k = ready[0] if ready else min(range(len(row.openings)), key=lambda i: (used.get(row.openings[i], 0), i))
+        k = next((k for k, o in enumerate(row.openings) if used.get(o, 0) < quota), None)
+        if k is None:
+            k = min(range(len(row.openings)), key=lambda i: (used.get(row.openings[i], 0), i))
         used[row.openings[k]] = used.get(row.openings[k], 0) + 1
         return used, k
 

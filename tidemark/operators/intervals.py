@@ -43,15 +43,52 @@ def overlap_anti_join(moments: DataFrame, posted: DataFrame, width: float = 20)
     return moments.join(hit.select("id").distinct(), "id", "left_anti")
 
 
-def energy_peak(segments: DataFrame, energy: DataFrame, width: float = 20) -> DataFrame:
-    """(source, seg_no, peak): the loudest second within each segment, the first of equals; null without energy."""
+def _best_of_ranges(ranges: DataFrame, frames: DataFrame, base: int = 64, levels: int = 4) -> DataFrame:
+    """(id, best): for ranges (id, source, lo, hi), lo <= hi - 1, the struct (-rms, sec) that is least over the frames with lo <= sec < hi.
+
+    Maxima of blocks of base, base^2, ... seconds are made once. A range is cut into whole blocks of each size and what
+    is left at both ends, under 2 * base of a size but the largest, so it meets few rows however long it is.
+    """
+    best = frames.select("source", F.lit(0).alias("level"), F.col("sec").alias("block"), F.struct((-F.col("rms")).alias("neg"), F.col("sec").alias("sec")).alias("best"))
+    table = best
+    for level in range(1, levels):
+        best = best.groupBy("source", F.floor(F.col("block") / base).cast("long").alias("block")).agg(F.min("best").alias("best")).withColumn("level", F.lit(level))
+        table = table.unionByName(best)
+    parts = []
+    rows = ranges.select("id", "source", F.col("lo").cast("long").alias("a"), F.col("hi").cast("long").alias("b"))
+    run = lambda a, b: F.when(a < b, F.sequence(a, F.greatest(a, b - 1))).otherwise(F.array().cast("array<bigint>"))
+    of_level = lambda level: lambda x: F.struct(F.lit(level).alias("level"), x.alias("block"))
+    a, b = F.col("a"), F.col("b")
+    for level in range(levels):
+        up, down = F.ceil(a / base).cast("long"), F.floor(b / base).cast("long")
+        whole = run(a, b) if level == levels - 1 else F.when(up < down, F.concat(run(a, up * base), run(down * base, b))).otherwise(run(a, b))
+        parts.append(F.transform(whole, of_level(level)))
+        a, b = F.when(up < down, up).otherwise(F.lit(0).cast("long")), F.when(up < down, down).otherwise(F.lit(0).cast("long"))
+    cut = rows.select("id", "source", F.explode(F.concat(*parts)).alias("p")).select("id", "source", "p.level", "p.block")
+    return cut.join(table, ["source", "level", "block"]).groupBy("id").agg(F.min("best").alias("best"))
+
+
+def energy_peak(segments: DataFrame, energy: DataFrame, scores: DataFrame | None = None, radius: float = 1.0, least: float = 0.2) -> DataFrame:
+    """(source, seg_no, peak): the loudest second within each segment, the first of equals; null without energy.
+
+    scores: (source, at, score), if given, adds `opening`: the time of the best score within `radius` seconds of the
+    peak and inside the segment, the first of equals; the peak itself if nothing is scored there or that span is shorter
+    than `least`.
+    """
     last = energy.groupBy("source").agg(F.max("sec").alias("last"))
-    spans = segments.select("source", "seg_no", F.floor("start_s").alias("lo"), F.ceil("end_s").alias("hi")).join(last, "source", "left")
-    spans = spans.withColumn("lo", F.least("lo", "last")).withColumn("hi", F.least("hi", F.col("last") + 1))
-    frames = energy.select("source", "sec", "rms")
-    found = bucketed_join(spans.where("last is not null"), frames, "source", (F.col("sec") >= F.col("lo")) & (F.col("sec") < F.greatest(F.col("hi"), F.col("lo") + 1)), (F.col("lo"), F.col("hi")), (F.col("sec"), F.col("sec")), width)
-    peak = found.groupBy("source", "seg_no").agg(F.min_by("sec", F.struct(-F.col("rms"), F.col("sec"))).alias("peak"))
-    return segments.select("source", "seg_no").join(peak, ["source", "seg_no"], "left")
+    spans = segments.select("source", "seg_no", F.floor("start_s").alias("lo"), F.ceil("end_s").alias("hi")).join(last, "source").where("last is not null")
+    spans = spans.withColumn("lo", F.greatest(F.lit(0).cast("long"), F.least("lo", "last"))).withColumn("hi", F.greatest(F.col("lo") + 1, F.least("hi", F.col("last") + 1)))
+    ranges = spans.select(F.struct("source", "seg_no").alias("id"), "source", "lo", "hi")
+    found = _best_of_ranges(ranges, energy.select("source", "sec", "rms")).select("id.source", "id.seg_no", F.col("best.sec").alias("peak"))
+    out = segments.select("source", "seg_no", "start_s", "end_s").join(found, ["source", "seg_no"], "left")
+    if scores is None:
+        return out.select("source", "seg_no", "peak")
+    near = out.select("source", "seg_no", F.greatest("start_s", F.col("peak") - radius).alias("lo"), F.least("end_s", F.col("peak") + radius).alias("hi")).where("peak is not null").where(F.col("hi") - F.col("lo") >= least)
+    near = near.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / radius).cast("long"), F.floor(F.col("hi") / radius).cast("long"))))
+    frames = scores.where("score is not null").select("source", "at", "score", F.floor(F.col("at") / radius).cast("long").alias("cell"))
+    best = near.join(frames, ["source", "cell"]).where("at between lo and hi").groupBy("source", "seg_no").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("at").alias("at"))).alias("best"))
+    told = out.join(best, ["source", "seg_no"], "left")
+    return told.select("source", "seg_no", "peak", F.round(F.coalesce(F.col("best.at").cast("double"), F.col("peak").cast("double")), 2).alias("opening"))
 
 
 def nonspeech_beats(clips: DataFrame, moments: DataFrame, segments: DataFrame, reach: float = 22, guard: float = 0.4, top: int = 3, width: float = 40) -> DataFrame:

@@ -56,3 +56,6 @@ BARRIERS = [(name, [bounded(p) for p in own]) for name, own in BARRIERS]
 # Punctuation and its form in ASCII, and a word with the separators after it.
 PUNCTUATION = [(" *[‒–—―−﹘] *", " - "), ("[‐‑⁃﹣－]", "-"), ("[‘’ʼ′‵]", "'"), ("[“”″‶]", '"')]
 TITLE_WORD = "[^ /-]+[ /-]*|[ /-]+"
+
+# White space, as it is trimmed.
+BLANK = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"

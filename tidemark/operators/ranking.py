@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, insort
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import earlier, over
+from tidemark.functions.storage import stored
+from tidemark.operators.folds import fold_by_key
 
 
 def budget_admit(sources: DataFrame, cap: float = 3600) -> DataFrame:
@@ -56,26 +59,60 @@ def content_rank_topn(moments: DataFrame, markers: list[str], n: int = 400) -> D
     return moments.select("id", F.round(content_score(markers), 4).alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
 
-def spread_topk(moments: DataFrame, apart: float = 60, n: int = 50) -> DataFrame:
+def spread_topk(moments: DataFrame, apart: float = 60, n: int = 50, width: int = 32, halo: int = 4) -> DataFrame:
     """(id, source, start_s, score): best first, none within `apart` seconds of a taken start of its source; n at most.
 
-    The greedy choice of a source doesn't depend on other sources, so each source is folded by itself, in order of
-    score, and the n best of all are taken at the end.
+    The greedy choice of a source doesn't depend on other sources, so the n best of what each source takes are taken at
+    the end. A source is cut into stretches of `width` times `apart` seconds, each with `halo` times `apart` more of its
+    neighbours' rows on both sides. In a stretch, best first, a row near a taken one is dropped, one near an undecided
+    better one or near what the stretch doesn't see stays undecided, and others are taken: so what is decided is what
+    the greedy choice of the whole source decides. What stays open goes on to a round of stretches four times as long,
+    cut at other places. Rows stream through in order of rank; taken and open starts are sorted lists.
     """
-    scored = moments.select("id", "source", "start_s", F.round("intensity", 4).alias("score"))
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.assign(neg=-group.score).sort_values(["neg", "id"])
-        taken: list[float] = []
-        keep = []
-        for start in rows.start_s:
-            free = all(abs(start - t) >= apart for t in taken)
-            keep.append(free)
-            if free:
-                taken.append(start)
-        return rows[keep].drop(columns="neg")
-
-    return scored.groupBy("source").applyInPandas(pick, scored.schema).orderBy(F.desc("score"), "id").limit(n)
+    scored = moments.where("start_s is not null").select("id", "source", F.col("start_s").cast("double").alias("start_s"), F.round("intensity", 4).alias("score"))
+    state = _spread_round(scored.withColumn("taken", F.lit(False)), apart, width * apart, 0.0, halo * apart)
+    for k in range(1, 64):
+        state = stored(state, f"spread{k}")
+        if state.where("not taken").isEmpty():
+            break
+        long = width * 4**k * apart
+        state = _spread_round(state, apart, long, long / 3, halo * apart)
+    return state.drop("taken").orderBy(F.desc("score"), "id").limit(n)
+
+
+def _spread_round(rows: DataFrame, apart: float, long: float, shift: float, halo: float) -> DataFrame:
+    """The taken rows and those still open; those dropped are left out."""
+    at = F.floor((F.col("start_s") - shift) / long).cast("long")
+    place = F.col("start_s") - shift - at * long
+    near = F.array_compact(F.array(at, F.when(place < halo, at - 1), F.when(place >= long - halo, at + 1)))
+    dealt = rows.select("*", at.alias("own"), F.explode(near).alias("stretch")).withColumn("low", -F.col("score"))
+
+    def step(held, row):
+        taken, open_, left, right = held
+        if left is None:
+            left, right = row.stretch * long + shift - halo, (row.stretch + 1) * long + shift + halo
+        s, state = row.start_s, None
+        if row.taken:
+            state = "taken"
+        elif _within(taken, s, apart):
+            state = "dropped"
+        elif s - apart < left or s + apart > right or _within(open_, s, apart):
+            state = "open"
+        else:
+            state = "taken"
+        if state != "dropped":
+            insort(taken if state == "taken" else open_, s)
+        return (taken, open_, left, right), state
+
+    ordered = dealt.withColumn("last", ~F.col("taken"))  # what is taken stands first
+    told = fold_by_key(ordered, ["source", "stretch"], ["last", "low", "id"], "state", "string", lambda: ([], [], None, None), step)
+    own = told.where("own = stretch and state <> 'dropped'")
+    return own.select("id", "source", "start_s", "score", (F.col("state") == "taken").alias("taken"))
+
+
+def _within(starts: list[float], s: float, apart: float) -> bool:
+    i = bisect_left(starts, s)
+    return i > 0 and s - starts[i - 1] < apart or i < len(starts) and starts[i] - s < apart
 
 
 def review_funnel(moments: DataFrame, alive: float = 1, best: float = 40, pool: float = 40, most: int = 10, apart: float = 60) -> DataFrame:

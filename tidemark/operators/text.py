@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import html
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from tidemark.operators import patterns
+from pyspark.sql.types import LongType, StructType
 
 from tidemark.functions.ordered import earlier, joined, over, words_pattern
+from tidemark.operators import matcher, patterns
+from tidemark.operators.folds import fold_by_key
 
 
 def filler_kill(moments: DataFrame, phrases: list[str]) -> DataFrame:
@@ -16,19 +24,17 @@ def filler_kill(moments: DataFrame, phrases: list[str]) -> DataFrame:
 
 
 def junk_text_flag(documents: DataFrame, least: int = 4, floor: int = 5, share: float = 0.5) -> DataFrame:
-    """(doc_id, n_tokens, top, junk): too few tokens, or one token that makes up most of them.
-
-    Counted inside the row, without a shuffle: equal tokens stand together once sorted, so the longest run is the top.
-    """
-    tokens = F.array_sort(F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)), F.array().cast("array<string>")))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+    """(doc_id, n_tokens, top, junk): too few tokens, or one token that makes up most of them. Counted text by text, without a shuffle."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
-    def step(state: Column, token: Column) -> Column:
-        run = F.when(state["last"] == token, state["run"] + 1).otherwise(1)
-        return F.struct(token.alias("last"), run.alias("run"), F.greatest(state["top"], run).alias("top"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = re.compile("[a-z']+")
+        for batch in batches:
+            counts = [Counter(tokens.findall(t or "")) for t in batch.column("low").to_pylist()]
+            size, top = (pa.array(x, pa.int64()) for x in ([c.total() for c in counts], [max(c.values(), default=0) for c in counts]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, top], ["doc_id", "n_tokens", "top"])
 
-    rows = documents.select("doc_id", tokens.alias("tokens"))
-    rows = rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.aggregate("tokens", start, step)["top"].cast("long").alias("top"))
+    rows = documents.select("doc_id", F.lower("text").alias("low")).mapInArrow(run, f"doc_id {kind}, n_tokens long, top long")
     return rows.withColumn("junk", (F.col("n_tokens") < least) | (F.col("top") >= F.greatest(F.lit(float(floor)), share * F.col("n_tokens"))))
 
 
@@ -49,14 +55,18 @@ def barrier_detect(pages: DataFrame, categories: list[tuple[str, list[str]]]) ->
     return pages.select("page_id", found.alias("barrier"))
 
 
+def decoded(text: pd.Series) -> pd.Series:
+    """Character references decoded once: named ones by longest match, numbered ones, with or without the semicolon, by the rules of HTML."""
+    return text.map(html.unescape, na_action="ignore")
+
+
 def html_to_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text): markup dropped, entities decoded once, blanks and blank lines collapsed."""
-    x = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    x = F.regexp_replace(x, r"(?s)<[^>]+>", " ")
-    for entity, plain in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(plain))
-    x = F.regexp_replace(F.regexp_replace(x, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
-    return pages.select("page_id", F.trim(x).alias("text"))
+    """(page_id, text): markup dropped, character references decoded in a single pass, blanks and blank lines collapsed. Null is empty."""
+    x = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
+    rows = pages.select("page_id", F.regexp_replace(x, r"(?s)<[^>]+>", " ").alias("x"))
+    rows = rows.select("page_id", F.when(F.contains("x", F.lit("&")), F.pandas_udf(decoded, "string")("x")).otherwise(F.col("x")).alias("x"))
+    x = F.regexp_replace(F.regexp_replace("x", r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
+    return rows.select("page_id", F.regexp_replace(x, f"^[{patterns.BLANK}]+|[{patterns.BLANK}]+$", "").alias("text"))
 
 
 def corpus_build(documents: DataFrame, limit: int = 24_000, salts: int = 64) -> DataFrame:
@@ -84,43 +94,60 @@ def corpus_build(documents: DataFrame, limit: int = 24_000, salts: int = 64) ->
 def dictionary_language_vote(documents: DataFrame, stop_words: dict[str, list[str]], least: int = 8) -> DataFrame:
     """(doc_id, lang): the language whose stop words make up most of the tokens; null if there are few or none.
 
-    stop_words: a short list a language. On equal shares the earlier language wins. Counted inside the row.
+    stop_words: a short list a language. On equal shares the earlier language wins. Counted inside the row, each language once.
     """
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ']+"), F.lit(0))
-    rows = documents.select("doc_id", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
-
-    def votes(own: list[str]) -> Column:
-        return F.size(F.filter("tokens", lambda w: w.isin(own)))
-
-    count = [votes(own) for own in stop_words.values()]
-    most, lang = F.greatest(*count), F.lit(None).cast("string")
-    for code, c in reversed(list(zip(stop_words, count, strict=True))):
-        lang = F.when(c == most, code).otherwise(lang)
-    return rows.select("doc_id", F.when((F.size("tokens") >= least) & (most > 0), lang).alias("lang"))
+    letter = "[a-zà-ÿ']"
+    rows = documents.select("doc_id", F.lower("text").alias("low"))
+    votes = [F.regexp_count("low", F.lit(f"(?<!{letter})(?:{'|'.join(own)})(?!{letter})")) for own in stop_words.values()]
+    rows = rows.select("doc_id", F.regexp_count("low", F.lit(f"{letter}+")).alias("n"), F.array(*votes).alias("votes"))
+    most = F.array_max("votes")
+    lang = F.get(F.array(*map(F.lit, stop_words)), (F.array_position("votes", most) - 1).cast("int"))
+    return rows.select("doc_id", F.when((F.col("n") >= least) & (most > 0), lang).alias("lang"))
 
 
 def banned_gauntlet(candidates: DataFrame, terms: DataFrame) -> DataFrame:
     """(clip_id, pos, reason): the first banned term that each candidate line holds; null for survivors.
 
-    terms: (ordinal, term, is_pattern), a fixed list: patterns and phrases match anywhere, single words as whole words.
+    terms: (ordinal, term, is_pattern): phrases match anywhere, single words as whole words, in one pass a line with an
+    automaton of them all; patterns are a few, each searched for.
     """
-    low = candidates.select("clip_id", "pos", F.lower("text").alias("low"))
-    words = low.select("clip_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("term"))
-    anywhere = F.col("is_pattern") | F.col("term").contains(" ")
-    single = words.join(F.broadcast(terms.where(~anywhere)), "term").select("clip_id", "pos", "ordinal", "term")
-    there = F.when(F.col("is_pattern"), F.rlike("low", F.col("term"))).otherwise(F.col("low").contains(F.col("term")))
-    inside = low.join(F.broadcast(terms.where(anywhere)), there).select("clip_id", "pos", "ordinal", "term")  # a few, broadcast
-    first = single.unionByName(inside).groupBy("clip_id", "pos").agg(F.min_by("term", "ordinal").alias("reason"))
-    return candidates.select("clip_id", "pos").join(first, ["clip_id", "pos"], "left")
+    low = candidates.select("clip_id", "pos", F.lower("text").alias("low"), F.lit(None).cast("long").alias("first"))
+    named: dict[int, str] = {}
+    for rows in matcher.shards(terms):
+        named |= {int(r.ordinal): r.term for r in rows}
+        plain = [(r.term, " " not in r.term, int(r.ordinal)) for r in rows if not r.is_pattern]
+        hit = matcher.matched(low, "low", plain, "hit", LongType(), lambda found: min(found, default=None)) if plain else low.withColumn("hit", F.lit(None).cast("long"))
+        own = [F.when(F.rlike("low", F.lit(r.term)), F.lit(int(r.ordinal)).cast("long")) for r in rows if r.is_pattern]
+        low = hit.select("clip_id", "pos", "low", F.least("first", "hit", *own).alias("first"))
+    told = F.get(F.array(*map(F.lit, (named[k] for k in sorted(named)))), (F.array_position(F.array(*[F.lit(k).cast("long") for k in sorted(named)]), F.col("first")) - 1).cast("int")) if len(named) <= 200 else None
+    if told is not None:
+        return low.select("clip_id", "pos", told.alias("reason"))
+    return low.select("clip_id", "pos", F.col("first").alias("ordinal")).join(terms.select(F.col("ordinal").cast("long").alias("ordinal"), F.col("term").alias("reason")), "ordinal", "left").select("clip_id", "pos", "reason")
 
 
 def grounding_anti_join(candidates: DataFrame, documents: DataFrame, generic: list[str], stem: int = 4) -> DataFrame:
-    """(clip_id, pos, token): tokens of a line that its source text supports neither whole nor by a shared stem."""
-    tokens = candidates.select("clip_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)))).alias("token")).where(F.length("token") > 2).where(~F.col("token").isin(generic))
-    vocabulary = documents.select(F.col("doc_id").alias("clip_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)))).alias("token"))
-    stems = vocabulary.where(F.length("token") >= stem).select("clip_id", F.substring("token", 1, stem).alias("stem")).distinct()
-    left = tokens.join(vocabulary, ["clip_id", "token"], "left_anti").withColumn("stem", F.when(F.length("token") >= stem, F.substring("token", 1, stem)))
-    return left.join(stems, ["clip_id", "stem"], "left_anti").select("clip_id", "pos", "token")
+    """(clip_id, pos, unsupported, specific): what a line says that its source text doesn't, and whether it says something of its own that it does.
+
+    candidates: (clip_id, pos, text); documents: (doc_id, text), the source text of the clip of that id. Tokens of three
+    characters or more that aren't generic are supported if the source holds them, or a word with the same first `stem`
+    characters; unsupported: those that aren't, sorted, joined by commas. A clip's source is read before its lines, in
+    one stream, so neither side's words are exploded.
+    """
+    source = documents.select(F.col("doc_id").alias("clip_id"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pos"), F.lower("text").alias("low"))
+    lines = candidates.select("clip_id", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("pos"), F.lower("text").alias("low"))
+    common, pattern = frozenset(generic), re.compile("[a-z']+")
+
+    def step(known, row):
+        tokens = {t.strip("'") for t in pattern.findall(row.low or "")}
+        known = known or frozenset()
+        if row.kind == 0:
+            return known | tokens | {t[:stem] + "*" for t in tokens if len(t) >= stem}, None
+        said = [t for t in tokens if len(t) > 2 and t not in common]
+        odd = [t for t in said if t not in known and not (len(t) >= stem and t[:stem] + "*" in known)]
+        return known, {"unsupported": ",".join(sorted(odd)), "specific": len(odd) < len(said)}
+
+    told = fold_by_key(source.unionByName(lines), ["clip_id"], ["kind", "pos"], "told", StructType().add("unsupported", "string").add("specific", "boolean"), lambda: None, step)
+    return told.where("kind = 1").select("clip_id", "pos", "told.unsupported", "told.specific")
 
 
 def text_normalize(documents: DataFrame, ascii_only: bool = False) -> DataFrame:

@@ -199,7 +199,7 @@ def token_style_mask(spark, d):
 
 
 _FORMS = " UNION ".join(
-    [f"SELECT '{r}' AS root, '{r}{x}' AS form" for r in ROOTS for x in ["", *SUFFIXES]] + [f"SELECT '{r}' AS root, '{r}{r[-1]}{x}' AS form" for r in ROOTS if r[-1] not in "aeiou" for x in SUFFIXES]
+    [f"SELECT '{r}' AS root, '{r}{x}' AS form" for r in ROOTS for x in ["", *SUFFIXES]] + [f"SELECT '{r}' AS root, '{r}{r[-1]}{x}' AS form" for r in ROOTS if r[-1] not in "aeiou" for x in ["", *SUFFIXES]]
 )
 
 
@@ -224,9 +224,18 @@ def required_prefix_conformance(spark, d):
     return captions.required_prefix_conformance(c, c.where("length(text) <= 60"), GENERIC)
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT clip_id // 250 AS batch, clip_id, pos, array_to_string(regexp_extract_all(lower(text), '[a-z'']+')[1:2], ' ') AS opening, {_POINTS} AS score FROM v_candidates),
+           l AS (SELECT batch, clip_id, list(struct_pack(pos := pos, opening := opening) ORDER BY score DESC, pos) AS lines FROM s GROUP BY 1, 2),
+           o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY clip_id) AS rn, greatest(3, (count(*) OVER (PARTITION BY batch) + 4) // 5) AS quota FROM l),
+           r AS (SELECT DISTINCT batch, 0::BIGINT AS rn, []::VARCHAR[] AS used, 0::BIGINT AS clip_id, 0::BIGINT AS pos FROM o
+             UNION ALL SELECT batch, rn, list_append(used, best.opening), clip_id, best.pos FROM (SELECT r.batch, o.rn, r.used, o.clip_id,
+               coalesce(list_filter(o.lines, lambda x: len(list_filter(r.used, lambda u: u = x.opening)) < o.quota)[1],
+                        o.lines[list_sort(list_transform(o.lines, lambda x, i: struct_pack(n := len(list_filter(r.used, lambda u: u = x.opening)), i := i)))[1].i]) AS best
+               FROM r JOIN o ON o.batch = r.batch AND o.rn = r.rn + 1) t)
+           SELECT batch, clip_id, pos, used[len(used)] AS opening FROM r WHERE rn > 0""")
 def structure_quota(spark, d):
-    return folds.structure_quota(_t(spark, d, "v_candidates").withColumn("batch", F.floor(F.col("clip_id") / 250).cast("long")))
+    lines = _t(spark, d, "v_candidates").withColumn("batch", F.floor(F.col("clip_id") / 250).cast("long"))
+    return folds.structure_quota(lines, captions.line_score(F.col("text")))
 
 
 # -- timelines and folds -----------------------------------------------------------------------------------------

