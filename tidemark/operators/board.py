@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,23 @@ from tidemark.operators import patterns
 
 def _rankable() -> Column:
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    return F.coalesce(F.col("status").isin("scraped", "refreshed"), F.lit(False)) & no("disqualified") & no("rules_unreadable") & (F.coalesce("composite", F.lit(0.0)) > 0) & (F.coalesce("core_known", F.lit(0)) > 0)
+    fit = F.coalesce(F.col("status").isin("scraped", "refreshed"), F.lit(False)) & no("disqualified") & no("rules_unreadable") & no("excluded_prohibited")
+    return fit & (F.coalesce("composite", F.lit(0.0)) > 0) & (F.coalesce("core_known", F.lit(0)) > 0)
+
+
+def scan_board(boards: DataFrame) -> DataFrame:
+    """(id, name, composite, status, category, lane): the named campaigns of board documents.
+
+    boards: (doc), each `{"campaigns": [...]}` or a bare list. A document that isn't JSON, or holds no campaign, fails the job.
+    """
+    whole = F.parse_json("doc")
+    bare = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
+    rows = boards.select(whole.alias("v")).select(F.when(bare, F.col("v").cast("array<variant>")).otherwise(F.try_variant_get("v", "$.campaigns", "array<variant>")).alias("all"))
+    none = F.raise_error(F.lit("a board has no campaigns")).cast("array<variant>")
+    one = rows.select(F.explode(F.when(F.coalesce(F.size("all"), F.lit(0)) > 0, F.col("all")).otherwise(none)).alias("c"))
+    get = lambda name, kind: F.try_variant_get("c", f"$.{name}", kind).alias(name)
+    got = one.select(get("id", "bigint"), get("name", "string"), F.round(F.try_variant_get("c", "$.composite", "double"), 6).alias("composite"), *(get(n, "string") for n in ("status", "category", "lane")))
+    return got.where("name is not null")
 
 
 def rankable_filter(board: DataFrame) -> DataFrame:
@@ -20,9 +39,18 @@ def rankable_filter(board: DataFrame) -> DataFrame:
 
 
 def clippable_first_reason(board: DataFrame) -> DataFrame:
-    """(id, reason): the first precondition that fails: done, rules unreadable, no footage; '' if none."""
-    unreadable = F.coalesce(F.col("rules_unreadable"), F.lit(False)) | F.coalesce(F.col("rules_source") == "none", F.lit(False))
-    return board.select("id", F.when(F.col("is_done"), "done").when(unreadable, "rules unreadable").when(F.coalesce("n_links", F.lit(0)) == 0, "no footage").otherwise("").alias("reason"))
+    """(id, reason): the first precondition that fails: done, rules that can't be read or weren't found, no footage; '' if none.
+
+    Rules of a modal, a shared document or a page can be read; records of no known source pass if any rules, or links to
+    some, were kept.
+    """
+    source = F.col("rules_source")
+    kept = (F.length(F.trim(F.coalesce("rules_text", F.lit("")))) > 0) | (F.coalesce("n_rule_links", F.lit(0)) > 0)
+    rules = (
+        F.when(F.coalesce("rules_unreadable", F.lit(False)), "rules unreadable").when(source.isin("modal", "gdoc", "notion"), "").when(source == "unreadable", "rules unreadable")
+        .when(source == "none", "no readable rules").when(kept, "").otherwise("no rules captured")
+    )
+    return board.select("id", F.when(F.col("is_done"), "done").when(rules != "", rules).when(F.coalesce("n_links", F.lit(0)) == 0, "no footage").otherwise("").alias("reason"))
 
 
 def language_skip(board: DataFrame, gate: str = "en") -> DataFrame:
@@ -30,26 +58,51 @@ def language_skip(board: DataFrame, gate: str = "en") -> DataFrame:
     return board.select("id", F.coalesce((F.col("lang") != gate) & (F.col("lang_conf") != "low"), F.lit(False)).alias("skip"))
 
 
-def board_rank(board: DataFrame, n: int = 100) -> DataFrame:
-    """(id, composite, core_known, pre_score): the n best rankable campaigns, in order of the three."""
-    rows = board.where(_rankable()).select("id", F.round(F.col("composite").cast("double"), 6).alias("composite"), F.col("core_known").cast("long").alias("core_known"), F.col("pre_score").cast("long").alias("pre_score"))
-    return rows.orderBy(F.desc("composite"), F.desc("core_known"), F.desc("pre_score"), "id").limit(n)
+def board_rank(board: DataFrame, n: int = 100, lane: str | None = None, category: str | None = None, rescued: tuple[str, str, float] | None = None) -> DataFrame:
+    """(id, composite, core_known, pre_score, effective): the n best rankable campaigns, by effective, then the other two.
+
+    lane, category: only campaigns with that lane, with that category among theirs. rescued: (category, pattern,
+    weight): campaigns of another category too, if their name or rules hold the pattern, at that weight. effective: the
+    composite by its weight.
+    """
+    rows = board.where(_rankable())
+    held = lambda name, one: F.array_contains(F.transform(F.array_compact(name), lambda x: F.upper(F.trim(x))), one.strip().upper())
+    if lane:
+        rows = rows.where(held(F.array("lane", "second_lane"), lane))
+    weight = F.lit(1.0)
+    if category:
+        own = F.array("category", "second_category")
+        weight = F.when(held(own, category), 1.0)
+        if rescued:
+            other, pattern, less = rescued
+            weight = weight.when(held(own, other) & F.lower(F.concat_ws(" ", "name", "rules_text")).rlike(pattern), less)
+    known = [F.round(F.col("composite").cast("double"), 6).alias("composite"), F.col("core_known").cast("long").alias("core_known"), F.col("pre_score").cast("long").alias("pre_score")]
+    rows = rows.select("id", *known, F.round(F.col("composite").cast("double") * weight, 6).alias("effective")).where("effective is not null")
+    return rows.orderBy(F.desc("effective"), F.desc("core_known"), F.desc("pre_score"), "id").limit(n)
 
 
 def walk_first_pass(board: DataFrame, gate: str = "en", n: int = 10) -> DataFrame:
     """(id, rank, reason): the n best in order up to the first that passes all checks, with reasons."""
-    ranked = board_rank(board, n).withColumn("rank", F.row_number().over(over(by=[F.desc("composite"), F.desc("core_known"), F.desc("pre_score"), "id"])).cast("long"))  # n rows
+    ranked = board_rank(board, n).withColumn("rank", F.row_number().over(over(by=[F.desc("effective"), F.desc("core_known"), F.desc("pre_score"), "id"])).cast("long"))  # n rows
     checks = clippable_first_reason(board).join(language_skip(board, gate), "id").select("id", F.when(F.col("skip"), "language").otherwise(F.col("reason")).alias("reason"))
     rows = ranked.select("id", "rank").join(checks, "id")
     first = rows.where("reason = ''").agg(F.min("rank").alias("first"))
     return rows.crossJoin(F.broadcast(first)).where(F.col("first").isNull() | (F.col("rank") <= F.col("first"))).select("id", "rank", "reason")  # one row
 
 
-def board_health(board: DataFrame) -> DataFrame:
-    """(category, campaigns, rankable, clippable) by category."""
-    rows = board.select("id", "category", _rankable().alias("ok")).join(clippable_first_reason(board), "id")
+def board_health(board: DataFrame, as_of: str, fresh: float = 72) -> DataFrame:
+    """(category, campaigns, rankable, clippable, age_h, state) by category, and of the whole board as `all`.
+
+    age_h: hours from the newest `generated_at`, an ISO time, to as_of; state: fresh below `fresh` hours, else stale,
+    unknown without a time.
+    """
+    made = F.try_to_timestamp(F.regexp_replace("generated_at", "Z$", "+00:00"))
+    rows = board.select("id", "category", _rankable().alias("ok"), made.alias("made")).join(clippable_first_reason(board), "id")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return rows.groupBy("category").agg(F.count("*").alias("campaigns"), one(F.col("ok")).alias("rankable"), one(F.col("ok") & (F.col("reason") == "")).alias("clippable"))
+    sums = rows.rollup("category").agg(F.grouping("category").alias("whole"), F.count("*").alias("campaigns"), one(F.col("ok")).alias("rankable"), one(F.col("ok") & (F.col("reason") == "")).alias("clippable"), F.max("made").alias("made"))
+    age = F.round((F.unix_seconds(F.to_timestamp(F.lit(as_of))) - F.unix_seconds("made")) / 3600, 2)
+    state = F.when(F.col("made").isNull(), "unknown").when(age < fresh, "fresh").otherwise("stale")
+    return sums.select(F.when(F.col("whole") == 1, "all").otherwise(F.col("category")).alias("category"), "campaigns", "rankable", "clippable", age.alias("age_h"), state.alias("state"))
 
 
 def prefer_flagged_else_all(resources: DataFrame) -> DataFrame:
@@ -74,12 +127,44 @@ def manifest_diff(before: DataFrame, now: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.every(F.coalesce(F.col("was") == F.col("size"), F.lit(False))).alias("reuse"), one(F.col("size") != F.col("was")).alias("changed"), one(F.col("size").isNull()).alias("missing"))
 
 
-def coverage_report(resources: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(campaign, footage, assets, docs, other, footage_hours, unread): what each campaign's resources cover."""
-    rows = resources.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).join(F.broadcast(kinds), "ext", "left").withColumn("kind", F.coalesce("kind", F.lit("other")))
-    n = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).cast("long")
-    hours = F.sum(F.when(F.col("kind") == "footage", F.col("duration_sec")).otherwise(0.0)) / 3600
-    return rows.groupBy("campaign").agg(n("footage").alias("footage"), n("asset").alias("assets"), n("doc").alias("docs"), n("other").alias("other"), F.round(hours, 2).alias("footage_hours")).withColumn("unread", F.col("other") > 0)
+def resource_usage(resources: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(campaign, ord, path, kind, usage): how each resource was used; UNREAD where a document gave no text, UNUSED where nothing handles its kind.
+
+    resources: (campaign, ord, path, duration_sec, text_len), text_len null where no text could be read.
+    """
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    rows = resources.withColumn("ext", ext).join(F.broadcast(kinds), "ext", "left").withColumn("kind", F.coalesce("kind", F.lit("other")))
+    purpose = F.lower("path").rlike("(guide|reference|safe|margin|template)")
+    usage = (
+        F.when(F.col("kind") == "footage", F.concat(F.lit("probed video ("), F.col("duration_sec").cast("long").cast("string"), F.lit(" s)")))
+        .when(F.col("kind") == "asset", F.when(purpose, "applied as reference").otherwise("watermark candidate"))
+        .when(F.col("kind") == "doc", F.when(F.coalesce("text_len", F.lit(0)) > 0, F.concat(F.lit("read + extracted ("), F.col("text_len").cast("string"), F.lit(" chars)"))).otherwise("UNREAD: no text"))
+        .otherwise("UNUSED: no handler")
+    )
+    return rows.select("campaign", "ord", "path", "kind", "duration_sec", F.coalesce(usage, F.lit("probed video (unknown length)")).alias("usage"))
+
+
+def coverage_report(resources: DataFrame, kinds: DataFrame, rules: DataFrame) -> DataFrame:
+    """(campaign, footage, assets, docs, other, footage_hours, unused, unread, flags): what each campaign's resources cover and what is unclear.
+
+    resources as for resource_usage; rules: (campaign, field), what rules were found. flags: the open questions in order,
+    joined by bars: payout terms or a submission process not found, and each resource not fully used.
+    """
+    used = resource_usage(resources, kinds)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    kind = F.col("kind")
+    hours = F.sum(F.when(kind == "footage", F.coalesce("duration_sec", F.lit(0.0))).otherwise(0.0)) / 3600
+    odd = F.col("usage").rlike("^UN(USED|READ)")
+    question = F.struct("ord", F.concat(F.lit("not fully used: "), F.col("path"), F.lit(" ("), F.col("usage"), F.lit(")")).alias("text"))
+    rows = used.groupBy("campaign").agg(
+        n(kind == "footage").alias("footage"), n(kind == "asset").alias("assets"), n(kind == "doc").alias("docs"), n(kind == "other").alias("other"), F.round(hours, 2).alias("footage_hours"),
+        n(F.col("usage").startswith("UNUSED")).alias("unused"), n(F.col("usage").startswith("UNREAD")).alias("unread"), F.array_sort(F.collect_list(F.when(odd, question))).alias("odd"),
+    )
+    found = rules.groupBy("campaign").agg(F.max(F.col("field") == "payout_terms").alias("payout"), F.max(F.col("field").isin("submission_process", "deadlines")).alias("submission"))
+    told = rows.join(found, "campaign", "left")
+    missing = lambda c, text: F.when(F.coalesce(c, F.lit(False)), None).otherwise(F.lit(text))
+    flags = F.concat(F.array_compact(F.array(missing("payout", "no payout terms found"), missing("submission", "no submission process found"))), F.transform("odd", lambda x: x["text"]))
+    return told.select("campaign", "footage", "assets", "docs", "other", "footage_hours", "unused", "unread", F.array_join(flags, " | ").alias("flags"))
 
 
 def source_language(documents: DataFrame) -> DataFrame:
@@ -130,14 +215,30 @@ def rules_floor(lines: DataFrame, default_banned: list[str], cap: int = 40) -> D
     return sections.unionByName(sets)
 
 
+def _canonical(value: pd.Series) -> pd.Series:
+    """Structs and lists in JSON with their keys in order; other text trimmed and in lower case."""
+
+    def key(x: str) -> str:
+        if x.strip()[:1] in ("{", "["):
+            try:
+                return json.dumps(json.loads(x), sort_keys=True)
+            except ValueError:
+                pass
+        return x.strip().lower()
+
+    return value.map(key, na_action="ignore")
+
+
 def rules_merge(floor: DataFrame, additions: DataFrame, scalars: list[str]) -> DataFrame:
     """(campaign, field, origin, ord, value): the floor and what is added, field by field.
 
-    List fields are ordered unions, the floor's values (origin 0) first, equal ones (trimmed, in lower case) once; of a
-    scalar field the floor's value stays unless it is empty. Both: (campaign, field, ord, value).
+    List fields are ordered unions, the floor's values (origin 0) first, equal ones once: text trimmed and in lower case,
+    structs (JSON objects) whatever the order of their keys. Of a scalar field the floor's value stays unless it is
+    empty. Both: (campaign, field, ord, value).
     """
     both = floor.withColumn("origin", F.lit(0)).unionByName(additions.withColumn("origin", F.lit(1))).where(F.trim("value") != "")
-    key = F.when(F.col("field").isin(scalars), "").otherwise(F.lower(F.trim("value")))
+    struct = F.pandas_udf(_canonical, "string")("value")
+    key = F.when(F.col("field").isin(scalars), "").when(F.trim("value").rlike(r"^[{\[]"), struct).otherwise(F.lower(F.trim("value")))
     once = both.groupBy("campaign", "field", key.alias("key")).agg(F.min(F.struct("origin", "ord", "value")).alias("r"))
     return once.select("campaign", "field", "r.origin", "r.ord", "r.value")
 

@@ -59,3 +59,44 @@ TITLE_WORD = "[^ /-]+[ /-]*|[ /-]+"
 
 # White space, as it is trimmed.
 BLANK = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+# What error texts hold, in lower case.
+RATE_MARKS = ["429", "rate limit", "rate_limit", "tpm", "tpd", "rpm", "rpd", "quota", "resource_exhausted", "resourceexhausted", "insufficient_quota"]
+DAY_MARKS = ["per day", "perday", "per_day", "tpd", "rpd", "daily", "requests per day", "tokens per day"]
+MINUTE_MARKS = ["per minute", "perminute", "per_minute", "tpm", "rpm"]
+GONE_MARKS = ["not found", "does not exist", "is not supported", "not available", "deprecated", "has been removed", "no longer available"]
+SHARE_DENIED = ["change the permission", "anyone with the link", "not have access", "access denied", "no longer available", "permission denied"]
+SHARE_BUSY = ["have had many accesses", "many accesses", "too many users", "too many requests", "rate limit", "quota exceeded", "try again later"]
+BLOCK_MARKS = [
+    "http error 403", "403: forbidden", "403 forbidden", "error 403", "forbidden", "sign in to confirm you're not a bot", "confirm you're not a bot", "not a bot", "verify you're human", "unusual traffic",
+    "this content isn't available", "http error 429", "429: too many requests", "too many requests", "429 too many", "failed to extract any player response", "please sign in",
+]
+BUSY_MARKS = [
+    "sign in to confirm you're not a bot", "confirm you're not a bot", "not a bot", "http error 429", "429: too many requests", "too many requests", "429 too many", "temporarily blocked", "rate-limited", "rate limited",
+    "verify you're human", "unusual traffic", "this content isn't available", "drive folder throttled", "throttled (temporary)", "retryable on a later run", "have had many accesses", "many accesses", "quota exceeded",
+    "try again later", "throttl",
+]
+# Labels of a failed run by what its reason holds, in order.
+REASON_TAGS = [
+    (BUSY_MARKS, "retryable throttle"), (["language"], "language gate"), (["dead-floor", "dead floor"], "dead floor"), (["zero usable", "no usable"], "no usable sources"), (["no footage"], "no footage"),
+    (["no candidate moments", "no moments"], "no moments"),
+]
+# Hosts, extensions and words by which links are told apart.
+VIDEO_HOSTS = ["youtube.com", "youtu.be", "kick.com", "twitch.tv", "vimeo.com"]
+CHANNEL_HOSTS = ["youtube.com", "youtu.be"]
+ONE_VIDEO = ["watch?v=", "youtu.be/", "/shorts/", "/live/", "/embed/"]
+CHANNEL_PATHS = ["/@", "/channel/", "/user/", "/c/", "list="]
+CHANNEL_ENDS = r"(/videos|/streams|/featured|youtube\.com)/*$"
+KINDS = {"footage": "mp4 mov mkv webm m4v avi ts flv", "asset": "png jpg jpeg webp gif", "doc": "pdf docx doc txt md markdown rtf csv tsv xlsx xls gdoc gsheet gslides json"}
+DOC_ENDS = r"\.(" + KINDS["doc"].replace(" ", "|") + ")$"
+FILE_ENDS = r"\.(" + " ".join(KINDS.values()).replace(" ", "|") + ")$"
+RULE_LABELS = [
+    "rule", "requirement", "guideline", "content document", "content doc", "brief", "sop", "instruction", "clipping", "how to", "campaign doc", "notion", "must read", "readme", "read me", "policy", "criteria", "faq",
+]
+RULE_PATHS = ["rule", "requirement", "guideline", "brief", "/sop", "instruction", "policy", "criteria", "content-doc"]
+# What leads to rules elsewhere, and prefaces of a list of lines.
+POINTER = bounded(
+    r"\bsee\b[^.\n]{0,40}\b(rules?|requirements?|documents?|docs?|resources?|below|guidelines?)\b|in (the )?resources?\b|linked (doc|document|below)|content document|refer to (the )?(doc|link)"
+    r"|\battached\b|below in resources|see (the )?(doc|document|link|google doc)"
+)
+PREFACES = ["here are", "here's", "sure", "captions:", "caption:"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordered import earlier, over
 from tidemark.functions.storage import stored
 from tidemark.operators.folds import fold_by_key
+from tidemark.operators.text import reason_tag
 
 
 def budget_admit(sources: DataFrame, cap: float = 3600) -> DataFrame:
@@ -192,5 +193,6 @@ def subject_share_decision(detections: DataFrame, single: float = 0.5, multi: fl
 
 
 def run_tally(attempts: DataFrame) -> DataFrame:
-    """(status, attempts, clips, empty): totals by status."""
-    return attempts.groupBy("status").agg(F.count("*").alias("attempts"), F.sum("clips").cast("long").alias("clips"), F.sum(F.when(F.col("clips") == 0, 1).otherwise(0)).cast("long").alias("empty"))
+    """(walk, tag, attempts, clips): how a walk's attempts ended: with clips, empty, or by the label of why they failed. attempts: (walk, clips, msg), msg of failed ones."""
+    tag = F.when(F.col("msg").isNotNull(), reason_tag(F.col("msg"))).when(F.col("clips") > 0, "clips").otherwise("empty")
+    return attempts.groupBy("walk", tag.alias("tag")).agg(F.count("*").alias("attempts"), F.sum("clips").cast("long").alias("clips"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -180,13 +182,30 @@ def harvest_urls(urls: DataFrame) -> DataFrame:
 
 
 def link_kind(urls: DataFrame) -> DataFrame:
-    """(page_id, url, kind): what a link leads to, by host, path and extension, never by its query."""
-    bare = F.regexp_replace("url", r"[?#].*$", "")
+    """(page_id, url, kind, rules): what a link leads to, and the way its rules can be read, if it leads to some.
+
+    urls: (page_id, url, label). kind, by host, path and extension: drive_folder, gdoc, channel, vod, file, site, or
+    other for what is no web link. rules: gdoc for shared documents and files, local for a document's path, web for a
+    document's address or a page that its label or its path, never its query, calls rules; else null.
+    """
+    low, label = F.lower("url"), F.lower(F.coalesce("label", F.lit("")))
+    path = F.substring_index(low, "?", 1)
+    any_of = _any
+    web = low.rlike("^https?:")
+    folder = low.contains("drive.google.com") & any_of(low, ["/folders/", "folder"])
+    shared = any_of(low, ["docs.google.com", "drive.google.com"])
+    channel = any_of(low, patterns.CHANNEL_HOSTS) & ~any_of(low, patterns.ONE_VIDEO) & (any_of(low, patterns.CHANNEL_PATHS) | low.rlike(patterns.CHANNEL_ENDS))
+    video = any_of(low, patterns.VIDEO_HOSTS)
     kind = (
-        F.when(bare.contains("/folders/"), "folder").when(bare.contains("/watch"), "vod").when(bare.contains("/channel/"), "channel")
-        .when(F.lower(bare).rlike(r"\.(mp4|mov|mkv|webm)$"), "file").when(F.lower(bare).rlike(r"\.(pdf|docx?|md|txt)$") | bare.contains("/rules/"), "doc").otherwise("site")
+        F.when(~web, "other").when(folder, "drive_folder").when(shared, "gdoc").when(channel, "channel").when(video, "vod")
+        .when(path.rlike(patterns.FILE_ENDS), "file").otherwise("site")
     )
-    return urls.select("page_id", "url", kind.alias("kind"))
+    search = low.contains("whop.com") & any_of(path, ["/discover", "/search"])
+    rules = (
+        F.when(~web, F.when(low.rlike(patterns.DOC_ENDS), "local")).when(video | folder, None).when(shared, "gdoc").when(path.rlike(patterns.DOC_ENDS), "web").when(search, None)
+        .when(any_of(label, patterns.RULE_LABELS) | any_of(path, patterns.RULE_PATHS), "web")
+    )
+    return urls.select("page_id", "url", kind.alias("kind"), rules.alias("rules"))
 
 
 def hash_assign(moments: DataFrame, n: int = 7, m: int = 5) -> DataFrame:
@@ -199,16 +218,112 @@ def hash_assign(moments: DataFrame, n: int = 7, m: int = 5) -> DataFrame:
     return moments.select("id", F.pmod(h, F.lit(n)).alias("bucket"), F.pmod(F.floor(h / 7).cast("long"), F.lit(m)).alias("second"), F.pmod(whole, F.lit(12)).cast("long").alias("twelfth"))
 
 
-def log_classify(errors: DataFrame) -> DataFrame:
-    """(event_id, tag, wait_s): the kind of an error text, and the seconds it asks to wait."""
-    low = F.lower("msg")
-    part = lambda p: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(msg, '{p}', 1), '') AS bigint)"), F.lit(0))
-    tag = F.when(low.contains("per day"), "daily").when(low.contains("per minute") | low.contains("rate"), "minute").when(low.contains("model not found"), "dead model").when(low.rlike("403|permission"), "permission").otherwise("unknown")
-    wait = 60 * part("([0-9]+)m[0-9]") + part("[0-9]+m([0-9]+)s") + part("retry after ([0-9]+)")
-    return errors.select("event_id", tag.alias("tag"), wait.alias("wait_s"))
+def _any(of: Column, words: list[str]) -> Column:
+    return functools.reduce(lambda x, y: x | y, [of.contains(w) for w in words])
+
+
+def wait_seconds(low: Column) -> Column:
+    """Seconds that an error text in lower case asks to wait: a duration of hours, minutes and seconds, a retry delay, or a time to retry after."""
+    span = F.regexp_extract(low, r"try again in ([0-9hms.\s]+)", 1)
+    unit = lambda x: F.when(x.endswith("h"), 3600.0).when(x.endswith("m"), 60.0).otherwise(1.0)
+    parts = F.regexp_extract_all(span, F.lit(r"[0-9.]+\s*[hms]"), F.lit(0))
+    total = F.aggregate(parts, F.lit(0.0), lambda x, y: x + F.coalesce(F.regexp_extract(y, "^[0-9.]+", 0).try_cast("double"), F.lit(0.0)) * unit(y))
+    number = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit("")).try_cast("double")
+    return F.when(F.size(parts) > 0, total).otherwise(F.coalesce(number(r"retry_delay\s*\{\s*seconds:\s*([0-9]+)"), number(r"retry[\s_-]*after[\"'\s:]*([0-9]+)")))
+
+
+def reason_tag(text: Column) -> Column:
+    """A short label of why a run came to nothing."""
+    low, out = F.lower(text), F.lit("nothing usable")
+    for words, tag in reversed(patterns.REASON_TAGS):
+        out = F.when(_any(low, words), tag).otherwise(out)
+    return out
+
 
+def log_classify(errors: DataFrame, longest: float = 90) -> DataFrame:
+    """(event_id, rate, wait_s, dead_model, share, blocked, reason): what an error text says, by cascades of its marks.
+
+    rate: daily, minute, or error for what is no limit; an unclear one is daily if it asks to wait longer than
+    `longest`. dead_model: the model itself is gone. share: permission, throttle or unknown, by the status code before
+    the words. blocked: the address is shut out. reason: a run's label for it.
+    """
+    rows = errors.select("event_id", F.lower(F.coalesce("msg", F.lit(""))).alias("low"))
+    rows = rows.select("event_id", "low", wait_seconds(F.col("low")).alias("wait"), F.nullif(F.regexp_extract("low", r"status code[:\s]+([0-9]{3})", 1), F.lit("")).cast("int").alias("code"))
+    low = F.col("low")
+    limit, day, minute = _any(low, patterns.RATE_MARKS), _any(low, patterns.DAY_MARKS), _any(low, patterns.MINUTE_MARKS)
+    rate = F.when(~limit, "error").when(day & ~minute, "daily").when(minute & ~day, "minute").when(F.col("wait") > longest, "daily").otherwise("minute")
+    dead = _any(low, ["model_not_found", "modelnotfound"]) | (low.contains("404") & ~low.contains("429")) | (low.contains("model") & _any(low, patterns.GONE_MARKS))
+    share = (
+        F.when(F.col("code").isin(401, 403, 404), "permission").when((F.col("code") == 429) | F.col("code").between(500, 599), "throttle")
+        .when(_any(low, patterns.SHARE_BUSY), "throttle").when(_any(low, patterns.SHARE_DENIED), "permission").otherwise("unknown")
+    )
+    return rows.select("event_id", rate.alias("rate"), F.round(F.when(limit, F.col("wait")), 4).alias("wait_s"), dead.alias("dead_model"), share.alias("share"), _any(low, patterns.BLOCK_MARKS).alias("blocked"), reason_tag(low).alias("reason"))
+
+
+def balanced_arrays(text: str) -> Iterator[str]:
+    """Spans of balanced brackets, by where they start; brackets in strings, with their escapes, don't count."""
+    found, open_, quoted, skip = [], [], False, False
+    for i, c in enumerate(text):
+        if quoted:
+            quoted = skip or c != '"'
+            skip = c == "\\" and not skip
+        elif c == '"' and open_:
+            quoted, skip = True, False
+        elif c == "[":
+            open_.append(i)
+        elif c == "]" and open_:
+            found.append((open_.pop(), i + 1))
+    for a, b in sorted(found):
+        yield text[a:b]
+
+
+def parsed_array(text: str, tolerant: bool) -> list | None:
+    """The array from the first to the last bracket of a noisy text; None if that doesn't parse. tolerant: then the first balanced span that does."""
+    a, b = text.find("["), text.rfind("]")
+    if a < 0 or b < a:
+        return None
+    for span in (text[a : b + 1], *(balanced_arrays(text) if tolerant else ())):
+        try:
+            return json.loads(span)
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+def plain_lines(text: str) -> list[str]:
+    """Lines without bullets, numbers, quotes and trailing commas; prefaces and single characters are left out."""
+    out = []
+    for line in text.splitlines():
+        line = re.sub(r"^\s*(?:[-*•]|\d+[.)])\s*", "", line.strip()).strip().strip('"').strip("'").rstrip(",").strip()
+        if len(line) > 1 and not line.lower().startswith(tuple(patterns.PREFACES)):
+            out.append(line)
+    return out
+
+
+def json_array_repair(errors: DataFrame, tolerant: bool = False) -> DataFrame:
+    """(event_id, place, id, score, line): what a model's noisy answer lists.
+
+    Fences are stripped. Of an array anywhere in the text, objects give id and score (null if it is no whole number),
+    other elements a line; without one, or with an empty one, each of the text's lines, cleaned, is a line.
+    """
+    kind = errors.schema["event_id"].dataType.simpleString()
+
+    def told(text: str | None) -> list[tuple]:
+        bare = re.sub(r"\s*```\s*$", "", re.sub(r"^```[a-zA-Z0-9]*\s*", "", (text or "").strip())).strip()
+        rows = []
+        for x in parsed_array(bare, tolerant) or []:
+            if isinstance(x, dict):
+                score = x.get("score")
+                rows.append((None if x.get("id") is None else str(x["id"]), score if isinstance(score, int) and not isinstance(score, bool) else None, None))
+            elif line := (x if isinstance(x, str) else json.dumps(x)).strip():
+                rows.append((None, None, line))
+        return rows or [(None, None, line) for line in plain_lines(bare)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, *r) for i, text in zip(batch.column("event_id").to_pylist(), batch.column("msg").to_pylist(), strict=True) for k, r in enumerate(told(text))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (batch.schema.field("event_id").type, pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["event_id", "place", "id", "score", "line"])
 
-def json_array_repair(errors: DataFrame) -> DataFrame:
-    """(event_id, id, score): rows of the outermost array in a noisy text; nothing if it doesn't parse."""
-    rows = F.from_json(F.regexp_extract("msg", r"(?s)\[.*\]", 0), "array<struct<id:string,score:bigint>>")
-    return errors.select("event_id", F.explode(rows).alias("r")).select("event_id", "r.id", "r.score")
+    return errors.select("event_id", "msg").mapInArrow(run, f"event_id {kind}, place long, id string, score long, line string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ DEFAULT_BANNED = ["giveaway", "casino"]
 RULES = [("license", "released under"), ("license", "licensed under"), ("contact", "@"), ("secret", "token")]
 GENERIC = ["the", "and", "for"]
 STOP = {"en": "the and of to is with that for", "fr": "le la les des que est un une", "de": "der die das und ein ist von den", "es": "el la los que de y en del"}
-KINDS = {"footage": "mp4 mov mkv", "asset": "png jpg", "doc": "pdf md"}
+KINDS = patterns.KINDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -58,6 +59,10 @@ def _holds(words: list[str], of: str = "lower(text)") -> str:
     return "(" + " OR ".join(f"contains({of}, '{w.replace(chr(39), 2 * chr(39))}')" for w in words) + ")"
 
 
+def _tagged(low: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_holds(words, low)} THEN '{tag}'" for words, tag in patterns.REASON_TAGS) + " ELSE 'nothing usable' END"
+
+
 _STOP_ROWS = [(code, rank, w) for rank, (code, ws) in enumerate(STOP.items()) for w in ws.split()]
 _KIND_ROWS = [(e, k) for k, es in KINDS.items() for e in es.split()]
 
@@ -71,7 +76,9 @@ def scan_segments(spark, d):
 
 @query("SELECT id, name, round(CAST(composite AS DOUBLE), 6) AS composite, status, category, lane FROM v_board WHERE name IS NOT NULL")
 def scan_board(spark, d):
-    return _t(spark, d, "v_board").where("name is not null").select("id", "name", F.round(F.col("composite").cast("double"), 6).alias("composite"), "status", "category", "lane")
+    rows = _t(spark, d, "v_board").select(F.floor(F.col("id") / 50).alias("k"), F.struct("id", "name", "composite", "status", "category", "lane").alias("c"))
+    boards = rows.groupBy("k").agg(F.collect_list("c").alias("campaigns"))  # documents of 50 campaigns, in both layouts
+    return board.scan_board(boards.select(F.when(F.col("k") % 2 == 0, F.to_json(F.struct("campaigns"))).otherwise(F.to_json("campaigns")).alias("doc")))
 
 
 @query("SELECT CAST(id AS VARCHAR) AS id FROM v_board WHERE is_done")
@@ -143,8 +150,10 @@ def prefilter_candidates(spark, d):
     return text.prefilter_candidates(_t(spark, d, "v_moments"))
 
 
-_RANKABLE = "status IN ('scraped', 'refreshed') AND NOT disqualified AND NOT rules_unreadable AND composite > 0 AND core_known > 0"
-_REASON = "CASE WHEN is_done THEN 'done' WHEN rules_unreadable OR coalesce(rules_source = 'none', false) THEN 'rules unreadable' WHEN n_links = 0 THEN 'no footage' ELSE '' END"
+_RANKABLE = "status IN ('scraped', 'refreshed') AND NOT disqualified AND NOT rules_unreadable AND NOT excluded_prohibited AND composite > 0 AND core_known > 0"
+_RULES = """CASE WHEN rules_unreadable THEN 'rules unreadable' WHEN rules_source IN ('modal', 'gdoc', 'notion') THEN '' WHEN rules_source = 'unreadable' THEN 'rules unreadable' WHEN rules_source = 'none' THEN 'no readable rules'
+  WHEN length(trim(coalesce(rules_text, ''))) > 0 OR n_rule_links > 0 THEN '' ELSE 'no rules captured' END"""
+_REASON = f"CASE WHEN is_done THEN 'done' WHEN {_RULES} <> '' THEN {_RULES} WHEN n_links = 0 THEN 'no footage' ELSE '' END"
 _RANKED = f"SELECT id, round(CAST(composite AS DOUBLE), 6) AS composite, CAST(core_known AS BIGINT) AS core_known, CAST(pre_score AS BIGINT) AS pre_score FROM v_board WHERE {_RANKABLE}"
 
 
@@ -337,13 +346,15 @@ def subject_share_decision(spark, d):
     return ranking.subject_share_decision(_t(spark, d, "v_detections"))
 
 
-@query(f"""SELECT category, count(*) AS campaigns, CAST(sum(CASE WHEN {_RANKABLE} THEN 1 ELSE 0 END) AS BIGINT) AS rankable,
-           CAST(sum(CASE WHEN {_RANKABLE} AND {_REASON} = '' THEN 1 ELSE 0 END) AS BIGINT) AS clippable FROM v_board GROUP BY category""")
+@query(f"""WITH h AS (SELECT category, grouping(category) AS g, count(*) AS campaigns, CAST(sum(CASE WHEN {_RANKABLE} THEN 1 ELSE 0 END) AS BIGINT) AS rankable, CAST(sum(CASE WHEN {_RANKABLE} AND {_REASON} = '' THEN 1 ELSE 0 END) AS BIGINT) AS clippable,
+             max(CAST(replace(replace(generated_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS made FROM v_board GROUP BY ROLLUP (category)),
+           a AS (SELECT *, round((epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(made)) / 3600, 2) AS age_h FROM h)
+           SELECT CASE WHEN g = 1 THEN 'all' ELSE category END AS category, campaigns, rankable, clippable, age_h, CASE WHEN made IS NULL THEN 'unknown' WHEN age_h < 78.5 THEN 'fresh' ELSE 'stale' END AS state FROM a""")
 def board_health(spark, d):
-    return board.board_health(_t(spark, d, "v_board"))
+    return board.board_health(_t(spark, d, "v_board"), "2024-01-31T12:00:00+00:00", fresh=78.5)
 
 
-@query("SELECT status, count(*) AS attempts, CAST(sum(clips) AS BIGINT) AS clips, CAST(sum(CASE WHEN clips = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty FROM v_attempts GROUP BY status")
+@query(f"SELECT walk, tag, count(*) AS attempts, CAST(sum(clips) AS BIGINT) AS clips FROM (SELECT *, CASE WHEN msg IS NOT NULL THEN {_tagged('lower(msg)')} WHEN clips > 0 THEN 'clips' ELSE 'empty' END AS tag FROM v_attempts) t GROUP BY 1, 2")
 def run_tally(spark, d):
     return ranking.run_tally(_t(spark, d, "v_attempts"))
 
@@ -366,21 +377,34 @@ def rules_floor(spark, d):
     return board.rules_floor(_t(spark, d, "v_rule_lines"), DEFAULT_BANNED)
 
 
+# One struct in two orders of its keys.
+_STRUCT = """CASE WHEN line_no = 0 THEN concat('{"type": "tag", "detail": "', CAST(length(text) % 40 AS VARCHAR(20)), '"}') ELSE concat('{"detail":"', CAST(length(text) % 40 AS VARCHAR(20)), '","type":"tag"}') END"""
+
+
 @query(f"""{_FLOOR}, e AS (SELECT campaign, doc_id * 100000 + line_no AS ord, text AS value FROM v_rule_lines WHERE line_no = 0),
-           b AS (SELECT campaign, field, 0 AS origin, ord, value FROM floor UNION ALL SELECT campaign, 'payout_terms', 1, ord, value FROM e UNION ALL SELECT campaign, 'style_guidance', 1, ord, value FROM e),
-           r AS (SELECT *, row_number() OVER (PARTITION BY campaign, field, CASE WHEN field = 'style_guidance' THEN '' ELSE lower(trim(value)) END ORDER BY origin, ord, value) AS rn FROM b WHERE trim(value) <> '')
+           t0 AS (SELECT campaign, doc_id * 100000 + line_no AS ord, {_STRUCT} AS value FROM v_rule_lines WHERE line_no <= 1),
+           b AS (SELECT campaign, 'required_elements' AS field, 1 AS origin, ord, value FROM t0 UNION ALL SELECT campaign, field, 0 AS origin, ord, value FROM floor UNION ALL SELECT campaign, 'payout_terms', 1, ord, value FROM e UNION ALL SELECT campaign, 'style_guidance', 1, ord, value FROM e),
+           r AS (SELECT *, row_number() OVER (PARTITION BY campaign, field, CASE WHEN field = 'style_guidance' THEN '' WHEN field = 'required_elements' THEN concat(value->>'$.detail', '|', value->>'$.type') ELSE lower(trim(value)) END ORDER BY origin, ord, value) AS rn FROM b WHERE trim(value) <> '')
            SELECT campaign, field, origin, ord, value FROM r WHERE rn = 1""")
 def rules_merge(spark, d):
     lines = _t(spark, d, "v_rule_lines")
     extra = lines.where("line_no = 0").select("campaign", F.explode(F.array(F.lit("payout_terms"), F.lit("style_guidance"))).alias("field"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("ord"), F.col("text").alias("value"))
-    return board.rules_merge(board.rules_floor(lines, DEFAULT_BANNED), extra, ["style_guidance"])
-
-
-@query(f"""WITH r AS (SELECT v.*, coalesce(k.kind, 'other') AS kind FROM v_resources v LEFT JOIN (VALUES {_values(_KIND_ROWS)}) k(ext, kind) ON k.ext = lower(regexp_extract(v.path, '\\.([A-Za-z0-9]+)$', 1)))
-           SELECT campaign, CAST(sum(CASE WHEN kind = 'footage' THEN 1 ELSE 0 END) AS BIGINT) AS footage, CAST(sum(CASE WHEN kind = 'asset' THEN 1 ELSE 0 END) AS BIGINT) AS assets, CAST(sum(CASE WHEN kind = 'doc' THEN 1 ELSE 0 END) AS BIGINT) AS docs,
-           CAST(sum(CASE WHEN kind = 'other' THEN 1 ELSE 0 END) AS BIGINT) AS other, round(sum(CASE WHEN kind = 'footage' THEN duration_sec ELSE 0 END) / 3600, 2) AS footage_hours, sum(CASE WHEN kind = 'other' THEN 1 ELSE 0 END) > 0 AS unread FROM r GROUP BY campaign""")
+    structs = lines.where("line_no <= 1").select("campaign", F.lit("required_elements").alias("field"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("ord"), F.expr(_STRUCT).alias("value"))
+    return board.rules_merge(board.rules_floor(lines, DEFAULT_BANNED), extra.unionByName(structs), ["style_guidance"])
+
+
+@query(f"""WITH r AS (SELECT v.*, coalesce(k.kind, 'other') AS kind, CASE WHEN size % 5 <> 0 THEN size END AS text_len FROM v_resources v LEFT JOIN (VALUES {_values(_KIND_ROWS)}) k(ext, kind) ON k.ext = lower(regexp_extract(v.path, '\\.([A-Za-z0-9]+)$', 1))),
+           u AS (SELECT *, CASE kind WHEN 'footage' THEN 'probed video (' || CAST(duration_sec AS BIGINT) || ' s)' WHEN 'asset' THEN CASE WHEN regexp_matches(lower(path), '(guide|reference|safe|margin|template)') THEN 'applied as reference' ELSE 'watermark candidate' END
+                    WHEN 'doc' THEN CASE WHEN coalesce(text_len, 0) > 0 THEN 'read + extracted (' || text_len || ' chars)' ELSE 'UNREAD: no text' END ELSE 'UNUSED: no handler' END AS usage FROM r),
+           f AS (SELECT campaign, bool_or(source % 3 = 0) AS payout, bool_or(source % 4 = 0) AS submission FROM v_resources GROUP BY campaign),
+           a AS (SELECT campaign, {", ".join(f"CAST(sum(CASE WHEN kind = '{k}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for k, n in (("footage", "footage"), ("asset", "assets"), ("doc", "docs"), ("other", "other")))},
+                   round(sum(CASE WHEN kind = 'footage' THEN duration_sec ELSE 0 END) / 3600, 2) AS footage_hours, CAST(sum(CASE WHEN prefix(usage, 'UNUSED') THEN 1 ELSE 0 END) AS BIGINT) AS unused, CAST(sum(CASE WHEN prefix(usage, 'UNREAD') THEN 1 ELSE 0 END) AS BIGINT) AS unread,
+                   string_agg('not fully used: ' || path || ' (' || usage || ')', ' | ' ORDER BY ord) FILTER (prefix(usage, 'UN')) AS odd FROM u GROUP BY campaign)
+           SELECT a.* EXCLUDE (odd), concat_ws(' | ', CASE WHEN NOT payout THEN 'no payout terms found' END, CASE WHEN NOT submission THEN 'no submission process found' END, odd) AS flags FROM a JOIN f USING (campaign)""")
 def coverage_report(spark, d):
-    return board.coverage_report(_t(spark, d, "v_resources"), spark.createDataFrame(_KIND_ROWS, "ext string, kind string"))
+    r = _t(spark, d, "v_resources")
+    found = [r.where(f"source % {k} = 0").select("campaign", F.lit(field).alias("field")) for k, field in ((3, "payout_terms"), (4, "submission_process"))]
+    return board.coverage_report(r.withColumn("text_len", F.when(F.col("size") % 5 != 0, F.col("size"))), spark.createDataFrame(_KIND_ROWS, "ext string, kind string"), found[0].unionByName(found[1]))
 
 
 # -- ordered analytics -------------------------------------------------------------------------------------------
@@ -519,9 +543,23 @@ def primary_per_frame(spark, d):
     return ranking.primary_per_frame(_t(spark, d, "v_boxes"))
 
 
-@query(f"SELECT * FROM ({_RANKED}) t ORDER BY composite DESC, core_known DESC, pre_score DESC, id LIMIT 100")
+_SIGNAL = patterns.bounded(r"\b(stream|streamer|irl|vlog)\b")
+
+
+def _best(weight: str, where: str, mode: str) -> str:
+    return f"""SELECT '{mode}' AS mode, * FROM (SELECT id, round(CAST(composite AS DOUBLE), 6) AS composite, CAST(core_known AS BIGINT) AS core_known, CAST(pre_score AS BIGINT) AS pre_score, round(CAST(composite AS DOUBLE) * {weight}, 6) AS effective
+      FROM v_board WHERE {_RANKABLE} AND {where}) t WHERE effective IS NOT NULL ORDER BY effective DESC, core_known DESC, pre_score DESC, id LIMIT 100"""
+
+
+_HAS_CATEGORY = "coalesce({0} = category OR {0} = second_category, {0} = category)"
+
+
+@query(f"""SELECT * FROM ({_best("1.0::DOUBLE", "true", "all")}) UNION ALL SELECT * FROM ({_best("1.0::DOUBLE", "(upper(trim(lane)) = 'BRAND#7' OR coalesce(upper(trim(second_lane)) = 'BRAND#7', false))", "lane")})
+           UNION ALL SELECT * FROM ({_best("CASE WHEN " + _HAS_CATEGORY.format("'economy'") + " THEN 1.0::DOUBLE WHEN " + _HAS_CATEGORY.format("'promo'") + " AND regexp_matches(lower(concat_ws(' ', name, rules_text)), '" + _SIGNAL + "') THEN 0.6::DOUBLE END", "true", "rescued")})""")
 def board_rank(spark, d):
-    return board.board_rank(_t(spark, d, "v_board"))
+    b = _t(spark, d, "v_board")
+    modes = {"all": board.board_rank(b), "lane": board.board_rank(b, lane="brand#7"), "rescued": board.board_rank(b, category="economy", rescued=("promo", _SIGNAL, 0.6))}
+    return functools.reduce(lambda x, y: x.unionByName(y), [rows.withColumn("mode", F.lit(name)) for name, rows in modes.items()])
 
 
 @query(f"""WITH k AS (SELECT id, row_number() OVER (ORDER BY composite DESC, core_known DESC, pre_score DESC, id) AS rank FROM ({_RANKED}) t QUALIFY rank <= 10),
@@ -565,14 +603,20 @@ def text_normalize(spark, d):
 
 
 @query(r"""WITH u AS (SELECT DISTINCT page_id, regexp_replace(url, '[.,);\]}''"]+$', '') AS url FROM v_urls)
-          SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY url) - 1 AS pos, url FROM u""")
+          SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY url) - 1 AS pos, url FROM u WHERE regexp_matches(url, '^https?://')""")
 def harvest_urls(spark, d):
     return text.harvest_urls(_t(spark, d, "v_urls"))
 
 
-@query("""WITH b AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS b FROM v_urls)
-          SELECT page_id, url, CASE WHEN contains(b, '/folders/') THEN 'folder' WHEN contains(b, '/watch') THEN 'vod' WHEN contains(b, '/channel/') THEN 'channel' WHEN regexp_matches(lower(b), '\\.(mp4|mov|mkv|webm)$') THEN 'file'
-          WHEN regexp_matches(lower(b), '\\.(pdf|docx?|md|txt)$') OR contains(b, '/rules/') THEN 'doc' ELSE 'site' END AS kind FROM b""")
+_ONE_VIDEO, _CHANNEL_PATH, _VIDEO_HOST = (_holds(x, "low") for x in (patterns.ONE_VIDEO, patterns.CHANNEL_PATHS, patterns.VIDEO_HOSTS))
+
+
+@query(rf"""WITH b AS (SELECT *, lower(url) AS low, split_part(lower(url), '?', 1) AS path FROM v_urls),
+          m AS (SELECT *, regexp_matches(low, '^https?:') AS web, contains(low, 'drive.google.com') AND contains(low, 'folder') AS folder, {_holds(["docs.google.com", "drive.google.com"], "low")} AS shared,
+                  {_holds(patterns.CHANNEL_HOSTS, "low")} AND NOT {_ONE_VIDEO} AND ({_CHANNEL_PATH} OR regexp_matches(low, '{patterns.CHANNEL_ENDS}')) AS chan, {_VIDEO_HOST} AS video FROM b)
+          SELECT page_id, url, CASE WHEN NOT web THEN 'other' WHEN folder THEN 'drive_folder' WHEN shared THEN 'gdoc' WHEN chan THEN 'channel' WHEN video THEN 'vod' WHEN regexp_matches(path, '{patterns.FILE_ENDS}') THEN 'file' ELSE 'site' END AS kind,
+                 CASE WHEN NOT web THEN CASE WHEN regexp_matches(low, '{patterns.DOC_ENDS}') THEN 'local' END WHEN video OR folder THEN NULL WHEN shared THEN 'gdoc' WHEN regexp_matches(path, '{patterns.DOC_ENDS}') THEN 'web'
+                      WHEN contains(low, 'whop.com') AND (contains(path, '/discover') OR contains(path, '/search')) THEN NULL WHEN {_holds(patterns.RULE_LABELS, "lower(label)")} OR {_holds(patterns.RULE_PATHS, "path")} THEN 'web' END AS rules FROM m""")
 def link_kind(spark, d):
     return text.link_kind(_t(spark, d, "v_urls"))
 
@@ -590,14 +634,38 @@ def clip_bounds(spark, d):
     return intervals.clip_bounds(_t(spark, d, "v_moments"), cmax=14)
 
 
-@query("""SELECT event_id, CASE WHEN contains(lower(msg), 'per day') THEN 'daily' WHEN contains(lower(msg), 'per minute') OR contains(lower(msg), 'rate') THEN 'minute' WHEN contains(lower(msg), 'model not found') THEN 'dead model' WHEN regexp_matches(lower(msg), '403|permission') THEN 'permission' ELSE 'unknown' END AS tag,
-          60 * coalesce(try_cast(regexp_extract(msg, '([0-9]+)m[0-9]', 1) AS BIGINT), 0) + coalesce(try_cast(regexp_extract(msg, '[0-9]+m([0-9]+)s', 1) AS BIGINT), 0) + coalesce(try_cast(regexp_extract(msg, 'retry after ([0-9]+)', 1) AS BIGINT), 0) AS wait_s FROM v_errors""")
+_WAIT_SPAN = r"regexp_extract(low, 'try again in ([0-9hms.\s]+)', 1)"
+_WAIT_PARTS = rf"regexp_extract_all({_WAIT_SPAN}, '[0-9.]+\s*[hms]')"
+_UNIT = "CASE suffix(y, 'h') WHEN true THEN 3600 ELSE CASE suffix(y, 'm') WHEN true THEN 60 ELSE 1 END END"
+
+
+@query(rf"""WITH e AS (SELECT event_id, lower(coalesce(msg, '')) AS low FROM v_errors),
+          w AS (SELECT *, CASE WHEN len({_WAIT_PARTS}) > 0 THEN list_sum(list_transform({_WAIT_PARTS}, lambda y: coalesce(try_cast(regexp_extract(y, '^[0-9.]+') AS DOUBLE), 0) * {_UNIT}))
+                  ELSE coalesce(try_cast(nullif(regexp_extract(low, 'retry_delay\s*\{{\s*seconds:\s*([0-9]+)', 1), '') AS DOUBLE), try_cast(nullif(regexp_extract(low, 'retry[\s_-]*after["''\s:]*([0-9]+)', 1), '') AS DOUBLE)) END AS wait,
+                  try_cast(nullif(regexp_extract(low, 'status code[:\s]+([0-9]{{3}})', 1), '') AS INTEGER) AS code FROM e),
+          m AS (SELECT *, {_holds(patterns.RATE_MARKS, "low")} AS lim, {_holds(patterns.DAY_MARKS, "low")} AS dy, {_holds(patterns.MINUTE_MARKS, "low")} AS mn FROM w)
+          SELECT event_id, CASE WHEN NOT lim THEN 'error' WHEN dy AND NOT mn THEN 'daily' WHEN mn AND NOT dy THEN 'minute' WHEN wait > 90 THEN 'daily' ELSE 'minute' END AS rate, round(CASE WHEN lim THEN wait END, 4) AS wait_s,
+                 {_holds(["model_not_found", "modelnotfound"], "low")} OR (contains(low, '404') AND NOT contains(low, '429')) OR (contains(low, 'model') AND {_holds(patterns.GONE_MARKS, "low")}) AS dead_model,
+                 CASE WHEN code IN (401, 403, 404) THEN 'permission' WHEN code = 429 OR code BETWEEN 500 AND 599 THEN 'throttle' WHEN {_holds(patterns.SHARE_BUSY, "low")} THEN 'throttle' WHEN {_holds(patterns.SHARE_DENIED, "low")} THEN 'permission' ELSE 'unknown' END AS share,
+                 {_holds(patterns.BLOCK_MARKS, "low")} AS blocked, {_tagged("low")} AS reason FROM m""")
 def log_classify(spark, d):
     return text.log_classify(_t(spark, d, "v_errors"))
 
 
-@query("""WITH j AS (SELECT event_id, unnest(CAST(json(regexp_extract(msg, '\\[.*\\]')) AS JSON[])) AS r FROM v_errors WHERE contains(msg, '['))
-          SELECT event_id, r->>'$.id' AS id, CAST(r->>'$.score' AS BIGINT) AS score FROM j""")
+_PREFACED = " OR ".join("prefix(lower(line), '" + w.replace("'", "''") + "')" for w in patterns.PREFACES)
+
+
+@query(rf"""WITH s AS (SELECT event_id, regexp_replace(regexp_replace(msg, '^\s*```[a-zA-Z0-9]*\s*|^\s+', ''), '\s*```\s*$|\s+$', '') AS s FROM v_errors),
+          o AS (SELECT event_id, s, regexp_extract(s, '(?s)\[.*\]') AS o FROM s),
+          a AS (SELECT event_id, s, CASE WHEN json_valid(o) THEN CAST(json(o) AS JSON[]) ELSE [] END AS arr FROM o),
+          r AS (SELECT event_id, unnest(arr) AS r, generate_subscripts(arr, 1) AS k FROM a),
+          j AS (SELECT event_id, k, CASE WHEN json_type(r) = 'OBJECT' THEN r->>'$.id' END AS id, CASE WHEN json_type(r) = 'OBJECT' AND json_type(r->'$.score') IN ('UBIGINT', 'BIGINT') THEN CAST(r->>'$.score' AS BIGINT) END AS score,
+                       CASE WHEN json_type(r) <> 'OBJECT' THEN trim(r->>'$', chr(9) || chr(10) || chr(13) || ' ') END AS line FROM r),
+          g AS (SELECT * FROM j WHERE line IS NULL OR line <> ''),
+          x AS (SELECT event_id, unnest(string_split(s, chr(10))) AS x, generate_subscripts(string_split(s, chr(10)), 1) AS k FROM a WHERE event_id NOT IN (SELECT event_id FROM g)),
+          l AS (SELECT event_id, k, trim(rtrim(trim(trim(trim(regexp_replace(trim(x), '^\s*([-*•]|[0-9]+[.)])\s*', '')), '"'), ''''), ',')) AS line FROM x),
+          u AS (SELECT event_id, k, id, score, line FROM g UNION ALL SELECT event_id, k, NULL, NULL, line FROM l WHERE length(line) > 1 AND NOT ({_PREFACED}))
+          SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY k) - 1 AS place, id, score, line FROM u""")
 def json_array_repair(spark, d):
     return text.json_array_repair(_t(spark, d, "v_errors"))
 

@@ -68,10 +68,13 @@ FROM (SELECT source AS campaign, doc_id, unnest(string_split(text, chr(10))) AS
 -- view: v_board both
 SELECT p_partkey AS id, p_name AS name, p_retailprice / 2000 AS composite, p_size % 6 AS core_known, p_size AS pre_score,
        CASE p_partkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'refreshed' ELSE 'scraped' END AS status,
-       p_partkey % 11 = 0 AS disqualified, p_partkey % 13 = 0 AS rules_unreadable,
-       CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'modal' WHEN 2 THEN 'gdoc' END AS rules_source,
-       lower(p_type) AS category, upper(p_brand) AS lane, p_size % 4 AS n_links, p_partkey % 17 = 0 AS is_done,
-       CASE WHEN p_partkey % 7 = 0 THEN 'de' ELSE 'en' END AS lang, CASE WHEN p_partkey % 14 = 0 THEN 'low' ELSE 'high' END AS lang_conf
+       p_partkey % 11 = 0 AS disqualified, p_partkey % 13 = 0 AS rules_unreadable, p_partkey % 19 = 0 AS excluded_prohibited,
+       CASE p_partkey % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'modal' WHEN 2 THEN 'gdoc' WHEN 3 THEN 'notion' WHEN 4 THEN 'unreadable' END AS rules_source,
+       CASE p_partkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN concat('clips of the ', p_name, ' live stream') END AS rules_text, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS n_rule_links,
+       lower(p_type) AS category, CASE p_size % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'promo' END AS second_category,
+       upper(p_brand) AS lane, CASE WHEN p_size % 4 = 1 THEN 'brand#7 ' END AS second_lane, p_size % 4 AS n_links, p_partkey % 17 = 0 AS is_done,
+       CASE WHEN p_partkey % 7 = 0 THEN 'de' ELSE 'en' END AS lang, CASE WHEN p_partkey % 14 = 0 THEN 'low' ELSE 'high' END AS lang_conf,
+       CASE WHEN p_partkey % 23 <> 0 THEN concat('2024-01-', lpad(CAST(1 + (p_partkey + p_size) % 28 AS VARCHAR(2)), 2, '0'), 'T06:00:00Z') END AS generated_at
 FROM part
 -- view: v_resources both
 SELECT l_orderkey AS campaign,
@@ -81,25 +84,34 @@ SELECT l_orderkey AS campaign,
        l_suppkey AS source, l_suppkey * 1000 + l_partkey AS size, l_quantity * 60 AS duration_sec, l_returnflag = 'A' AS safe_margin
 FROM lineitem
 -- view: v_urls both
-SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN 'https://drive.example.com/folders/' WHEN 1 THEN 'https://video.example.com/watch?v='
-                                        WHEN 2 THEN 'https://video.example.com/channel/' ELSE 'https://site.example.com/rules/' END,
-       CAST(page_id AS VARCHAR(20)), CASE page_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '' ELSE '.pdf' END) AS url
+SELECT page_id, concat(CASE page_id % 11 WHEN 0 THEN 'https://drive.google.com/drive/folders/' WHEN 1 THEN 'https://www.youtube.com/watch?v=' WHEN 2 THEN 'https://www.youtube.com/@' WHEN 3 THEN 'https://docs.google.com/document/d/'
+                                        WHEN 4 THEN 'https://site.example.com/rules/' WHEN 5 THEN 'https://kick.com/' WHEN 6 THEN 'files/brief' WHEN 7 THEN 'https://site.example.com/a?rules=' WHEN 8 THEN 'https://drive.google.com/file/d/'
+                                        WHEN 9 THEN 'https://whop.com/discover/rules/' ELSE 'https://site.example.com/page' END,
+       CAST(page_id AS VARCHAR(20)), CASE page_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '' ELSE '.pdf' END) AS url, CASE page_id % 5 WHEN 0 THEN 'Must read' ELSE 'more' END AS label
 FROM pages
-UNION ALL SELECT page_id, url FROM pages
+UNION ALL SELECT page_id, url, '' AS label FROM pages
 -- view: v_links spark
 SELECT DISTINCT page_id AS src, h AS dst FROM pages LATERAL VIEW explode(regexp_extract_all(html, '<a href="(/[^"]+)"', 1)) x AS h
 -- view: v_links duckdb
 SELECT DISTINCT page_id AS src, h AS dst FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]+)"', 1)) AS h FROM pages) t
 -- view: v_errors both
 SELECT event_id, user_id,
-       CASE event_id % 6 WHEN 0 THEN 'Error code: 429 rate limit tokens per day (TPD), try again in 5m30s'
+       CASE event_id % 12 WHEN 0 THEN 'Error code: 429 rate limit tokens per day (TPD), try again in 5m30s'
                          WHEN 1 THEN 'rate_limit tokens per minute (TPM) retry after 12'
                          WHEN 2 THEN '404 model not found' WHEN 3 THEN 'status code: 403 permission'
-                         WHEN 4 THEN 'note [{"id":"m1","score":71},{"id":"m2","score":8}] end' ELSE 'connection reset' END AS msg
+                         WHEN 4 THEN 'note [{"id":"m1","score":71},{"id":"m2","score":8}] end' WHEN 5 THEN 'connection reset'
+                         WHEN 6 THEN concat('ResourceExhausted: quota exceeded, retry_delay { seconds: ', CAST(event_id % 200 AS VARCHAR(20)), ' }')
+                         WHEN 7 THEN concat('Quota: please try again in 1h', CAST(event_id % 60 AS VARCHAR(20)), 'm2.5s')
+                         WHEN 8 THEN concat('status code: ', CAST(400 + event_id % 200 AS VARCHAR(20)), ' have had many accesses')
+                         WHEN 9 THEN concat('```json', chr(10), '["- First line", "2. second, with a comma", "", 7]', chr(10), '```')
+                         WHEN 10 THEN concat('Here are some:', chr(10), '1. "Wait for it",', chr(10), '* no way', chr(10), '- x', chr(10), chr(10), 'Sure thing', chr(10), '"take ', CAST(event_id AS VARCHAR(20)), '" ')
+                         ELSE 'see [1] then [{"id":"m3","score":"high"}] language gate: no usable footage' END AS msg
 FROM events WHERE event_type = 'error'
 -- view: v_attempts both
 SELECT o_custkey AS walk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS attempt,
-       CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_orderkey % 9 END AS clips, o_orderstatus AS status
+       CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_orderkey % 9 END AS clips, o_orderstatus AS status,
+       CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 7 WHEN 0 THEN 'language gate: mostly de' WHEN 1 THEN 'No footage in the folder' WHEN 2 THEN 'best is under the dead-floor' WHEN 3 THEN 'zero usable sources'
+                                             WHEN 4 THEN 'no candidate moments' WHEN 5 THEN 'HTTP Error 429: Too Many Requests' ELSE 'it broke off' END END AS msg
 FROM orders
 -- view: v_detections both
 SELECT user_id AS clip_id, event_id AS frame, event_id % 7 AS bucket,
