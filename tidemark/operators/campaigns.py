@@ -31,14 +31,6 @@ def alias_resolve(board: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("tag", unknown).alias("tag"))
 
 
-def rules_pointer_flag(documents: DataFrame, pointer: str, least: int = 160) -> DataFrame:
-    """(doc_id, n_clean, pointer): whether a text's first two sections only point elsewhere: short without placeholders, or with a pointer phrase."""
-    head = F.array_join(F.slice(F.split("text", "\n"), 1, 2), " ")
-    clean = F.trim(F.regexp_replace(head, r"\(none[^)]*\)", ""))
-    rows = documents.select("doc_id", clean.alias("clean"))
-    return rows.select("doc_id", F.length("clean").cast("long").alias("n_clean"), ((F.length("clean") < least) | F.lower("clean").rlike(pointer)).alias("pointer"))
-
-
 def policy_decision(documents: DataFrame, prior: DataFrame, required: str, negated: str, mention: str) -> DataFrame:
     """(doc_id, decision, ambiguous): on where the policy is required and not negated; contradictions and bare mentions are off and ambiguous; a prior decision wins."""
     low = F.lower("text")
@@ -85,33 +77,6 @@ def restriction_expand(lines: DataFrame, phrase: str) -> DataFrame:
     return found.select("campaign", F.explode(F.concat(F.array("p"), forms)).alias("term")).distinct()
 
 
-def posting_checklist(lines: DataFrame, sections: list[tuple[str, str]]) -> DataFrame:
-    """(campaign, section, kind, item): sentences of rule lines once each, by the first section whose word they hold, else `other`; sentences with a number are to be verified."""
-    item = F.explode(F.split("text", "[.!?]+"))
-    rows = lines.select("campaign", "doc_id", "line_no", item.alias("raw")).withColumn("item", F.trim("raw")).where(F.length("item") > 0)
-    section = F.lit("other")
-    for name, word in reversed(sections):
-        section = F.when(F.lower("item").contains(word), name).otherwise(section)
-    kind = F.when(F.col("item").rlike("[0-9]"), "verify").when(section == "other", "note").otherwise("box")
-    rows = rows.select("campaign", section.alias("section"), kind.alias("kind"), F.lower("item").alias("item"))
-    return rows.distinct()
-
-
-def campaign_digest(lines: DataFrame, sections: list[tuple[str, str]], per_section: int = 5) -> DataFrame:
-    """(campaign, digest): a report of each section's first lines, `_(none)_` where it has none, and how many lines there are."""
-    section = F.lit(None).cast("string")
-    for name, word in reversed(sections):
-        section = F.when(F.lower("text").contains(word), name).otherwise(section)
-    names = list(dict.fromkeys(n for n, _ in sections))
-    rows = lines.select("campaign", "doc_id", "line_no", F.substring("text", 1, 80).alias("text"), section.alias("section"))
-    counts = rows.groupBy("campaign").agg(F.count("*").alias("n"))
-    first = rows.where("section is not null").withColumn("rn", F.row_number().over(over("campaign", "section", by=["doc_id", "line_no"]))).where(F.col("rn") <= per_section)
-    texts = first.groupBy("campaign").pivot("section", names).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda x: x["text"]), "; "))
-    out = counts.join(texts, "campaign", "left")
-    body = [F.concat(F.lit(f"{n}: "), F.when(F.coalesce(F.col(n), F.lit("")) == "", "_(none)_").otherwise(F.col(n))) for n in names]
-    return out.select("campaign", F.concat_ws("\n", *body, F.concat(F.lit("lines: "), F.col("n").cast("string"))).alias("digest"))
-
-
 def link_frontier(links: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """(page_id, hop): pages within `hops` links of a seed, with the fewest links to it. links: (src, dst); seeds: (page_id).
 

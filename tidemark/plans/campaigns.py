@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import plugs
 from tidemark.operators import campaigns, captions, folds, patterns, ranking, timeline
-from tidemark.plans.catalog import GENERIC, RULES, _ASKS, _HOOKED, _WORDS, _bound, _has, _t, _values, query
+from tidemark.plans.catalog import GENERIC, _ASKS, _HOOKED, _WORDS, _bound, _has, _t, _values, query
 from tidemark.streaming.replays import _folder
 
 # Term lists of the queries; parameters of the operators.
@@ -19,7 +19,6 @@ ROOTS = ["licens", "releas", "permit", "report"]
 SUFFIXES = ["e", "ed", "ing", "s", "es"]
 ALIASES = [("promo", "promotion"), ("economy", "economy"), ("standard", "standard"), ("small", "size-s"), ("medium", "size-m"), ("large", "size-l")]
 REQUIRED, NEGATED, MENTION = "licens|token", "licensed under|no token", "released|copyright"
-POINTER = "https?://|released under"
 PHRASE = "under (?:the )?([a-z]+)"
 
 
@@ -99,12 +98,6 @@ def preedited_verdict(spark, d):
 # -- rules and policies ------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH c AS (SELECT doc_id, trim(regexp_replace(array_to_string(string_split(text, chr(10))[1:2], ' '), '\\(none[^)]*\\)', '', 'g'), ' ') AS c FROM documents)
-           SELECT doc_id, length(c) AS n_clean, length(c) < 160 OR regexp_matches(lower(c), '{POINTER}') AS pointer FROM c""")
-def rules_pointer_flag(spark, d):
-    return campaigns.rules_pointer_flag(_t(spark, d, "documents"), POINTER)
-
-
 @query(f"""WITH p AS (SELECT doc_id, regexp_matches(lower(text), '{REQUIRED}') AS m, regexp_matches(lower(text), '{NEGATED}') AS n, regexp_matches(regexp_replace(lower(text), '{NEGATED}', ' ', 'g'), '{REQUIRED}') AS s,
                   regexp_matches(lower(text), '{MENTION}') AS b FROM documents)
            SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'on' WHEN m AND NOT n THEN 'on' ELSE 'off' END AS decision,
@@ -121,27 +114,6 @@ def restriction_expand(spark, d):
     return campaigns.restriction_expand(_t(spark, d, "v_rule_lines"), PHRASE)
 
 
-_SECTION_OF = "CASE " + " ".join(f"WHEN contains(lower({{0}}), '{w}') THEN '{n}'" for n, w in RULES)
-
-
-@query(f"""WITH i AS (SELECT campaign, trim(unnest(regexp_split_to_array(text, '[.!?]+')), ' ') AS item FROM v_rule_lines), s AS (SELECT campaign, item, {_SECTION_OF.format("item")} ELSE 'other' END AS section FROM i WHERE length(item) > 0)
-           SELECT DISTINCT campaign, section, CASE WHEN regexp_matches(item, '[0-9]') THEN 'verify' WHEN section = 'other' THEN 'note' ELSE 'box' END AS kind, lower(item) AS item FROM s""")
-def posting_checklist(spark, d):
-    return campaigns.posting_checklist(_t(spark, d, "v_rule_lines"), RULES)
-
-
-_NAMES = list(dict.fromkeys(n for n, _ in RULES))
-
-
-@query(f"""WITH l AS (SELECT campaign, doc_id, line_no, substr(text, 1, 80) AS text, {_SECTION_OF.format("text")} END AS section FROM v_rule_lines),
-           f AS (SELECT campaign, section, text, row_number() OVER (PARTITION BY campaign, section ORDER BY doc_id, line_no) AS rn FROM l WHERE section IS NOT NULL),
-           c AS (SELECT campaign, count(*) AS n FROM l GROUP BY 1),
-           t AS (SELECT campaign, {", ".join(f"string_agg(CASE WHEN section = '{n}' THEN text END, '; ' ORDER BY rn) AS {n}" for n in _NAMES)} FROM f WHERE rn <= 5 GROUP BY 1)
-           SELECT campaign, {" || chr(10) || ".join(f"'{n}: ' || coalesce(nullif({n}, ''), '_(none)_')" for n in _NAMES)} || chr(10) || 'lines: ' || c.n AS digest FROM c LEFT JOIN t USING (campaign)""")
-def campaign_digest(spark, d):
-    return campaigns.campaign_digest(_t(spark, d, "v_rule_lines"), RULES)
-
-
 # -- candidate lines ---------------------------------------------------------------------------------------------
 
 

@@ -16,7 +16,6 @@ FILLER = ["it is", "on the"]
 MARKERS = ["the", "and", "with"]
 BANNED = [(1, "for", False), (2, "mit license", False), (3, "license", False), (4, "token", False), (5, "with", False), (6, patterns.bounded(r"\b(re)?[a-z]{3}tion(s|ed)?\b"), True)]
 DEFAULT_BANNED = ["giveaway", "casino"]
-RULES = [("license", "released under"), ("license", "licensed under"), ("contact", "@"), ("secret", "token")]
 GENERIC = ["the", "and", "for"]
 STOP = {"en": "the and of to is with that for", "fr": "le la les des que est un une", "de": "der die das und ein ist von den", "es": "el la los que de y en del"}
 KINDS = patterns.KINDS
@@ -684,14 +683,14 @@ def flagship_moments(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from tidemark.plans import campaigns  # noqa: F401  registers its queries
+    from tidemark.plans import briefs, campaigns  # noqa: F401  register their queries
     from tidemark.streaming import replays
 
     return _QUERIES | replays.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.plans import campaigns  # noqa: F401
+    from tidemark.plans import briefs, campaigns  # noqa: F401
     from tidemark.streaming import replays
 
     return _ORACLES | {k: views.duckdb(v) for k, v in replays.ORACLES.items()}

@@ -65,6 +65,35 @@ FROM documents LATERAL VIEW posexplode(split(text, '\\n')) e AS p, c WHERE lengt
 SELECT campaign, doc_id, CAST(p AS BIGINT) AS line_no, trim(c) AS text
 FROM (SELECT source AS campaign, doc_id, unnest(string_split(text, chr(10))) AS c,
              generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents) t WHERE length(trim(c)) > 0
+-- view: v_briefs both
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE concat('# Campaign ', source, chr(10), '## On-modal requirements / guidelines', chr(10), CASE WHEN doc_id % 4 = 1 THEN '(none on the modal)' ELSE substr(text, 1, 90) END, chr(10),
+         '### Detail', chr(10), substr(text, 91, CAST(60 + doc_id % 90 AS INTEGER)), chr(10), '## Rules text (scout detail extraction)', chr(10), CASE WHEN doc_id % 4 = 2 THEN 'See the linked doc below.' ELSE '(NONE)' END, chr(10), '## Other', chr(10), text) END AS text
+FROM documents
+-- view: v_brief_lines spark
+SELECT campaign, CAST(0 AS BIGINT) AS doc_id, CAST(p AS BIGINT) AS line_no, c AS text FROM (SELECT p_partkey AS campaign, array(concat('# Campaign ', p_name), concat('Make a ', p_name, ' clip. Keep it vertical, ', p_size, ' seconds at most.'),
+  CASE WHEN p_partkey % 3 <> 0 THEN concat('Tag @', lower(replace(p_brand, '#', '')), ' and use #', replace(p_brand, '#', ''), ' plus #ad. Link in bio is required!') END,
+  CASE WHEN p_partkey % 4 <> 0 THEN concat('Submit within ', p_size, CASE p_partkey % 3 WHEN 0 THEN ' min' WHEN 1 THEN ' hours' ELSE ' days' END, ' of posting. The deadline is day ', p_size) END,
+  CASE WHEN p_partkey % 5 <> 0 THEN concat('Minimum ', p_size * 100, ' views to qualify; at least ', p_size, ' seconds. Views over ', p_size, 'k views pay double') END,
+  CASE WHEN p_partkey % 2 = 0 THEN concat('Do not use: casino, free ', lower(p_type), ' or gambling') END, CASE WHEN p_partkey % 6 <> 0 THEN concat('Payout $', CAST(floor(p_retailprice) AS BIGINT), ' per 1k views') END,
+  CASE WHEN p_partkey % 7 = 0 THEN 'The watermark is in the folder' END) AS a FROM part) t LATERAL VIEW posexplode(a) e AS p, c WHERE c IS NOT NULL
+-- view: v_brief_lines duckdb
+SELECT campaign, CAST(0 AS BIGINT) AS doc_id, CAST(p AS BIGINT) AS line_no, c AS text FROM (SELECT campaign, unnest(a) AS c, generate_subscripts(a, 1) - 1 AS p FROM (SELECT p_partkey AS campaign, [concat('# Campaign ', p_name), concat('Make a ', p_name, ' clip. Keep it vertical, ', p_size, ' seconds at most.'),
+  CASE WHEN p_partkey % 3 <> 0 THEN concat('Tag @', lower(replace(p_brand, '#', '')), ' and use #', replace(p_brand, '#', ''), ' plus #ad. Link in bio is required!') END,
+  CASE WHEN p_partkey % 4 <> 0 THEN concat('Submit within ', p_size, CASE p_partkey % 3 WHEN 0 THEN ' min' WHEN 1 THEN ' hours' ELSE ' days' END, ' of posting. The deadline is day ', p_size) END,
+  CASE WHEN p_partkey % 5 <> 0 THEN concat('Minimum ', p_size * 100, ' views to qualify; at least ', p_size, ' seconds. Views over ', p_size, 'k views pay double') END,
+  CASE WHEN p_partkey % 2 = 0 THEN concat('Do not use: casino, free ', lower(p_type), ' or gambling') END, CASE WHEN p_partkey % 6 <> 0 THEN concat('Payout $', CAST(floor(p_retailprice) AS BIGINT), ' per 1k views') END,
+  CASE WHEN p_partkey % 7 = 0 THEN 'The watermark is in the folder' END] AS a FROM part) t) u WHERE c IS NOT NULL
+-- view: v_brief_rules both
+SELECT p_partkey AS campaign, 'required' AS field, CAST(1 AS BIGINT) AS ord, concat('caption: say ', p_name) AS value FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 'required', CAST(2 AS BIGINT), 'logo: keep the logo in view' FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'required', CAST(3 AS BIGINT), concat('Restriction: no ', CASE WHEN p_size % 2 = 0 THEN 'end screen' ELSE 'gore' END) FROM part WHERE p_partkey % 3 <> 1
+UNION ALL SELECT p_partkey, 'required', CAST(4 AS BIGINT), concat('content_source: only  from day ', CAST(p_size AS VARCHAR(10))) FROM part WHERE p_partkey % 4 = 1
+UNION ALL SELECT p_partkey, 'required', CAST(5 AS BIGINT), 'quality: sharp' FROM part WHERE p_partkey % 8 = 2
+UNION ALL SELECT p_partkey, 'watermark_required', CAST(0 AS BIGINT), CASE WHEN p_size % 3 = 0 THEN 'true' ELSE 'False' END FROM part WHERE p_size % 3 <> 2
+UNION ALL SELECT p_partkey, 'resolution', CAST(0 AS BIGINT), '1080x1920' FROM part WHERE p_partkey % 5 = 3
+UNION ALL SELECT p_partkey, 'aspect_ratio', CAST(0 AS BIGINT), '9:16' FROM part WHERE p_partkey % 5 = 3
+UNION ALL SELECT p_partkey, 'style_guidance', CAST(0 AS BIGINT), 'calm' FROM part WHERE p_partkey % 9 = 1
+UNION ALL SELECT p_partkey, 'ambiguities', CAST(p_size AS BIGINT), concat('is day ', CAST(p_size AS VARCHAR(10)), ' open?') FROM part WHERE p_partkey % 10 = 7
 -- view: v_board both
 SELECT p_partkey AS id, p_name AS name, p_retailprice / 2000 AS composite, p_size % 6 AS core_known, p_size AS pre_score,
        CASE p_partkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'refreshed' ELSE 'scraped' END AS status,
