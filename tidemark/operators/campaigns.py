@@ -56,13 +56,23 @@ def sticky_verdict(links: DataFrame, cached: DataFrame, measured: DataFrame) ->
 
 
 def preedited_verdict(resources: DataFrame, raw: float = 120, sample: int = 40) -> DataFrame:
-    """(campaign, verdict): pass if any of the first `sample` files of a folder is long enough to be raw; skip if all that could be read are short."""
-    rows = resources.withColumn("rn", F.row_number().over(over("campaign", "source", by=["ord"]))).where(F.col("rn") <= sample)
+    """(campaign, verdict): whether a campaign's footage is cut already.
+
+    pass if a source is a channel of raw recordings, or any of the first `sample` videos of a source is at least `raw`
+    seconds long; else skip if at least one, and no fewer than couldn't be read, were measured and every source could be
+    listed; else unmeasurable. resources: (campaign, source, ord, path, duration_sec, raw_channel, listed), duration_sec null
+    where it couldn't be read.
+    """
     video = F.lower("path").rlike(VIDEO)
+    rows = resources.withColumn("rn", F.row_number().over(over("campaign", "source", by=[F.when(video, 0).otherwise(1), "ord"])))
+    use = video & (F.col("rn") <= sample)
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    sums = rows.groupBy("campaign").agg(F.max(video & (F.col("duration_sec") >= raw)).alias("raw"), one(video).alias("measured"), one(F.lower("path").endswith(".bin")).alias("unreadable"))
-    verdict = F.when(F.col("raw"), "pass").when(F.col("measured") >= F.greatest(F.lit(1), F.col("unreadable")), "skip").otherwise("unmeasurable")
-    return sums.select("campaign", verdict.alias("verdict"))
+    known = F.col("duration_sec").isNotNull()
+    sums = rows.groupBy("campaign").agg(
+        F.max(F.coalesce("raw_channel", F.lit(False)) | (use & known & (F.col("duration_sec") >= raw))).alias("raw"), one(use & known).alias("measured"), one(use & ~known).alias("unreadable"), F.min(F.coalesce("listed", F.lit(True))).alias("listed"),
+    )
+    done = (F.col("measured") >= F.greatest(F.lit(1), F.col("unreadable"))) & F.col("listed")
+    return sums.select("campaign", F.when(F.col("raw"), "pass").when(done, "skip").otherwise("unmeasurable").alias("verdict"))
 
 
 def restriction_expand(lines: DataFrame, phrase: str) -> DataFrame:

@@ -96,19 +96,35 @@ def compliance_scrub(candidates: DataFrame, banned: list[str]) -> DataFrame:
     )
 
 
-def tags_minus_banned(candidates: DataFrame, default: list[str], banned: list[str]) -> DataFrame:
-    """(clip_id, pos, tags): a line's own first words and the default tags, distinct in order, without banned ones."""
-    own = F.slice(F.split(F.lower("text"), " "), 1, 2)
-    tags = F.array_distinct(F.concat(own, F.array(*map(F.lit, default))))
-    return candidates.select("clip_id", "pos", F.array_join(F.filter(tags, lambda t: ~t.isin(banned)), ",").alias("tags"))
-
-
-def noun_fallback(documents: DataFrame, generic: list[str], template: str) -> DataFrame:
-    """(doc_id, caption): the template with the text's first token of four letters that is no generic word or verb form; else left out."""
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
-    noun = F.get(F.filter(tokens, lambda t: ~t.isin(generic) & ~t.rlike("(ed|ing|ly)$")), F.lit(0))
-    before, after = template.split("{}")
-    return documents.select("doc_id", F.concat(F.lit(before), noun, F.lit(after)).alias("caption")).where("caption is not null")
+def tags_minus_banned(candidates: DataFrame, required: Column, default: list[str], banned: list[str], longest: int = 90) -> DataFrame:
+    """(clip_id, pos, tags, post, title): what is posted with a line: its required and the default tags, distinct in order, without banned ones; the line with its required tags; and its title, without closing emoji.
+
+    A post or title that holds a banned term is the bare line instead. required: an array of tags. Phrases match
+    anywhere, single words as whole words.
+    """
+    words, phrases = [t.lower() for t in banned if " " not in t], [t.lower() for t in banned if " " in t]
+    pattern = "|".join([*([r"(^|[^a-z0-9_])(" + "|".join(words) + r")([^a-z0-9_]|$)"] if words else []), *phrases]) or r"[^\s\S]"
+    hit = lambda c: F.lower(c).rlike(pattern)
+    own = required.cast("array<string>")
+    rows = candidates.select("clip_id", "pos", "text", F.array_compact(own).alias("own"))
+    tags = F.filter(F.array_distinct(F.concat("own", F.array(*map(F.lit, default)))), lambda t: ~hit(t))
+    post = F.trim(F.concat("text", F.lit("  "), F.array_join("own", " ")))
+    bare = F.trim(F.regexp_replace("text", f"[{patterns.CLOSING} ]+$", ""))
+    title = F.substring(F.when(bare == "", F.col("text")).otherwise(bare), 1, longest)
+    rows = rows.select("clip_id", "pos", "text", F.array_join(tags, ",").alias("tags"), post.alias("post"), title.alias("title"))
+    return rows.select("clip_id", "pos", "tags", *(F.when(hit(F.col(c)), F.col("text")).otherwise(F.col(c)).alias(c) for c in ("post", "title")))
+
+
+def noun_fallback(documents: DataFrame, generic: list[str], templates: list[str], banned: list[str] = ()) -> DataFrame:
+    """(doc_id, pos, caption): each template with the text's first word of four letters that is no generic word or verb form, but for those that hold a banned term; texts without such a word give none."""
+    tokens = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)), lambda t: F.trim(t, F.lit("'")))
+    noun = F.get(F.filter(tokens, lambda t: t.rlike("^[a-z]{4,}$") & ~t.isin(generic) & ~t.rlike("(ed|ing|ly)$")), F.lit(0))
+    rows = documents.select("doc_id", noun.alias("noun")).where("noun is not null")
+    made = F.array(*(F.concat(F.lit(a), "noun", F.lit(b)) for a, b in (t.split("{}") for t in templates)))
+    lines = rows.select("doc_id", F.posexplode(made).alias("pos", "caption"))
+    terms = [(t.lower(), " " not in t, 1) for t in banned]
+    told = matcher.matched(lines.withColumn("low", F.lower("caption")), "low", terms, "bad", BooleanType(), lambda found: next(found, None) is not None)
+    return told.where("not bad").select("doc_id", F.col("pos").cast("long").alias("pos"), "caption")
 
 
 def token_style_mask(words: DataFrame, terms: list[str], lexicon: list[str]) -> DataFrame:

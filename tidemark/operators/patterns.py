@@ -100,3 +100,6 @@ POINTER = bounded(
     r"|\battached\b|below in resources|see (the )?(doc|document|link|google doc)"
 )
 PREFACES = ["here are", "here's", "sure", "captions:", "caption:"]
+# Emoji that a title is cut of at its end, and captions made around one word.
+CLOSING = "😭✌️🔥💀🙏✋"
+NOUN_TEMPLATES = ["wait till you hear about {} 👀", "the truth about {} 😳", "nobody talks about {} enough 😭", "what they said about {} 💀"]

@@ -183,13 +183,13 @@ def primary_per_frame(boxes: DataFrame, preferred: str = "person") -> DataFrame:
     return best.select("clip_id", "frame", F.round("cx", 4).alias("cx"), F.round(F.when(own, F.col("cy")).otherwise(F.col("cy") + 0.9 * side), 4).alias("cy"), F.round(F.when(own, F.col("w")).otherwise(2.2 * side), 4).alias("w"), F.round(F.when(own, F.col("h")).otherwise(3.2 * side), 4).alias("h"))
 
 
-def subject_share_decision(detections: DataFrame, single: float = 0.5, multi: float = 0.3, none: float = 0.5) -> DataFrame:
-    """(clip_id, single, multi, none, verdict, centre, spread): whether a clip's subject can be followed."""
+def subject_share_decision(detections: DataFrame, single: float = 0.5, multi: float = 0.3, none: float = 0.5, width: float = 1080, still: float = 0.02) -> DataFrame:
+    """(clip_id, single, multi, none, verdict, centre, spread, static): whether a clip's subject can be followed, and whether it stands still: its centre's deviation is below `still` of the width."""
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
     n = F.col("n_subjects")
     rows = detections.groupBy("clip_id").agg(share(n == 1).alias("single"), share(n > 1).alias("multi"), share(n == 0).alias("none"), F.round(F.expr("percentile(cx, 0.5)"), 4).alias("centre"), F.round(F.stddev_pop("cx"), 3).alias("spread"))
     verdict = F.when(F.col("none") > none, "no subject").when(F.col("multi") > multi, "several subjects").when(F.col("single") < single, "too few").otherwise("track")
-    return rows.withColumn("verdict", verdict)
+    return rows.withColumn("verdict", verdict).withColumn("static", (F.col("verdict") == "track") & (F.col("spread") / width < still))
 
 
 def run_tally(attempts: DataFrame) -> DataFrame:

@@ -9,11 +9,18 @@ from tidemark.functions.ordered import earlier, over
 from tidemark.operators import intervals, series
 
 
+def once(words: DataFrame, digits: int = 3) -> DataFrame:
+    """words without those that repeat a word of their source at the same times, to so many digits; the first place stays."""
+    place = F.struct("seg_no", "word_no", "start_s", "end_s")
+    rows = words.groupBy("source", "word", F.round("start_s", digits), F.round("end_s", digits)).agg(F.min(place).alias("r"))
+    return rows.select("source", "word", "r.*")
+
+
 def timeline_remap(words: DataFrame, played: DataFrame, clips: DataFrame, gap: float = 0.06, width: float = 20) -> DataFrame:
-    """(clip_id, seg_no, word_no, out_start, out_end): each word where it is heard in the edit; a word played twice stays twice, its touching fragments are one."""
+    """(clip_id, seg_no, word_no, out_start, out_end): each word where it is heard in the edit; a word told twice at the same times is one, a word played twice stays twice, its touching fragments are one."""
     cut = played.select("clip_id", "k", "a", "b").withColumn("out", F.coalesce(F.sum(F.col("b") - F.col("a")).over(earlier("clip_id", by=["k"])), F.lit(0.0)))
     cut = cut.join(clips.select("clip_id", "source", F.col("start_s").alias("zero")), "clip_id").select("clip_id", "source", "k", "out", (F.col("zero") + F.col("a")).alias("from"), (F.col("zero") + F.col("b")).alias("to"))
-    said = words.select("source", "seg_no", "word_no", F.col("start_s").alias("ws"), F.col("end_s").alias("we"))
+    said = once(words).select("source", "seg_no", "word_no", F.col("start_s").alias("ws"), F.col("end_s").alias("we"))
     heard = intervals.bucketed_join(cut, said, "source", (F.col("ws") < F.col("to")) & (F.col("from") < F.col("we")), (F.col("from"), F.col("to")), (F.col("ws"), F.col("we")), width)
     rows = heard.select("clip_id", "seg_no", "word_no", "k", (F.col("out") + F.greatest("ws", "from") - F.col("from")).alias("s"), (F.col("out") + F.least("we", "to") - F.col("from")).alias("e"))
     keys = ("clip_id", "seg_no", "word_no")

@@ -87,12 +87,14 @@ def sticky_verdict(spark, d):
     return campaigns.sticky_verdict(links, cached, measured)
 
 
-@query(r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY campaign, source ORDER BY ord) AS rn FROM v_resources),
-          s AS (SELECT campaign, bool_or(regexp_matches(lower(path), '\.(mp4|mov|mkv)$') AND duration_sec >= 2400) AS raw, sum(CASE WHEN regexp_matches(lower(path), '\.(mp4|mov|mkv)$') THEN 1 ELSE 0 END) AS m,
-                sum(CASE WHEN suffix(lower(path), '.bin') THEN 1 ELSE 0 END) AS u FROM r WHERE rn <= 40 GROUP BY campaign)
-          SELECT campaign, CASE WHEN raw THEN 'pass' WHEN m >= greatest(1, u) THEN 'skip' ELSE 'unmeasurable' END AS verdict FROM s""")
+@query(r"""WITH v AS (SELECT *, regexp_matches(lower(path), '\.(mp4|mov|mkv)$') AS video, CASE WHEN size % 6 <> 0 THEN duration_sec END AS seconds FROM v_resources),
+          r AS (SELECT *, row_number() OVER (PARTITION BY campaign, source ORDER BY CASE WHEN video THEN 0 ELSE 1 END, ord) AS rn FROM v),
+          s AS (SELECT campaign, bool_or(source % 97 = 0 OR (video AND rn <= 40 AND seconds IS NOT NULL AND seconds >= 2400)) AS raw, sum(CASE WHEN video AND rn <= 40 AND seconds IS NOT NULL THEN 1 ELSE 0 END) AS m,
+                sum(CASE WHEN video AND rn <= 40 AND seconds IS NULL THEN 1 ELSE 0 END) AS u, bool_and(source % 9 <> 0) AS l FROM r GROUP BY campaign)
+          SELECT campaign, CASE WHEN coalesce(raw, false) THEN 'pass' WHEN m >= greatest(1, u) AND l THEN 'skip' ELSE 'unmeasurable' END AS verdict FROM s""")
 def preedited_verdict(spark, d):
-    return campaigns.preedited_verdict(_t(spark, d, "v_resources"), raw=2400)
+    r = _t(spark, d, "v_resources").withColumn("duration_sec", F.when(F.col("size") % 6 != 0, F.col("duration_sec")))
+    return campaigns.preedited_verdict(r.withColumn("raw_channel", F.col("source") % 97 == 0).withColumn("listed", F.col("source") % 9 != 0), raw=2400)
 
 
 # -- rules and policies ------------------------------------------------------------------------------------------
@@ -151,17 +153,27 @@ def compliance_scrub(spark, d):
     return captions.compliance_scrub(_t(spark, d, "v_candidates"), DULL)
 
 
-@query(f"""WITH w AS (SELECT clip_id, pos, list_concat(string_split(lower(text), ' ')[1:2], [{_quoted(DEFAULT_TAGS)}]) AS t FROM v_candidates),
-           u AS (SELECT clip_id, pos, t, list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i AND NOT list_contains([{_quoted(GENERIC)}], t[i])) AS keep FROM w)
-           SELECT clip_id, pos, array_to_string(list_transform(keep, lambda i: t[i]), ',') AS tags FROM u""")
+_HIT = "regexp_matches(lower({}), '" + _bound(["the", "shorts"]) + "|of the')"
+
+
+@query(f"""WITH w AS (SELECT clip_id, pos, text, list_transform(string_split(lower(text), ' ')[1:2], lambda t: '#' || t) AS own FROM v_candidates),
+           u AS (SELECT *, list_concat(own, [{_quoted("#" + t for t in DEFAULT_TAGS)}]) AS t FROM w),
+           k AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i AND NOT {_HIT.format("t[i]")}) AS keep, trim(text || '  ' || array_to_string(own, ' '), ' ') AS post, trim(regexp_replace(text, '[{patterns.CLOSING} ]+$', ''), ' ') AS bare FROM u),
+           f AS (SELECT *, substr(CASE WHEN bare = '' THEN text ELSE bare END, 1, 90) AS title FROM k)
+           SELECT clip_id, pos, array_to_string(list_transform(keep, lambda i: t[i]), ',') AS tags, CASE WHEN {_HIT.format("post")} THEN text ELSE post END AS post, CASE WHEN {_HIT.format("title")} THEN text ELSE title END AS title FROM f""")
 def tags_minus_banned(spark, d):
-    return captions.tags_minus_banned(_t(spark, d, "v_candidates"), DEFAULT_TAGS, GENERIC)
+    own = F.transform(F.slice(F.split(F.lower("text"), " "), 1, 2), lambda t: F.concat(F.lit("#"), t))
+    return captions.tags_minus_banned(_t(spark, d, "v_candidates"), own, ["#" + t for t in DEFAULT_TAGS], ["the", "shorts", "of the"])
+
+
+_MADE = "[" + ", ".join("'" + t.replace("{}", "' || n || '") + "'" for t in patterns.NOUN_TEMPLATES) + "]"
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda x: NOT list_contains([{_quoted(GENERIC)}], x) AND NOT regexp_matches(x, '(ed|ing|ly)$'))[1] AS n FROM documents)
-           SELECT doc_id, 'wait for the ' || n || ' part' AS caption FROM t WHERE n IS NOT NULL""")
+@query(f"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z'']+'), lambda x: trim(x, '''')), lambda x: regexp_matches(x, '^[a-z]{{4,}}$') AND NOT list_contains([{_quoted(GENERIC)}], x) AND NOT regexp_matches(x, '(ed|ing|ly)$'))[1] AS n FROM documents),
+           m AS (SELECT doc_id, unnest({_MADE}) AS caption, generate_subscripts({_MADE}, 1) - 1 AS pos FROM t WHERE n IS NOT NULL)
+           SELECT doc_id, pos, caption FROM m WHERE NOT (regexp_matches(caption, '{_bound(["nobody", "with"])}') OR contains(caption, 'truth about a'))""")
 def noun_fallback(spark, d):
-    return captions.noun_fallback(_t(spark, d, "documents"), GENERIC, "wait for the {} part")
+    return captions.noun_fallback(_t(spark, d, "documents"), GENERIC, patterns.NOUN_TEMPLATES, ["nobody", "with", "truth about a"])
 
 
 @query(f"""WITH b AS (SELECT source, seg_no, word_no, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS b FROM v_words)
@@ -214,12 +226,15 @@ def structure_quota(spark, d):
 
 
 @query("""WITH p AS (SELECT p.clip_id, p.k, c.source, c.start_s + p.a AS f, c.start_s + p.b AS t, coalesce(sum(p.b - p.a) OVER (PARTITION BY p.clip_id ORDER BY p.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM v_played p JOIN v_clips c USING (clip_id)),
-          h AS (SELECT clip_id, k, seg_no, word_no, o + greatest(start_s, f) - f AS s, o + least(end_s, t) - f AS e FROM p JOIN v_words w ON w.source = p.source AND w.start_s < t AND f < w.end_s),
+          d AS (SELECT source, seg_no, word_no, start_s, end_s FROM (SELECT *, row_number() OVER (PARTITION BY source, word, round(start_s, 3), round(end_s, 3) ORDER BY seg_no, word_no) AS r
+                FROM (SELECT * FROM v_words UNION ALL SELECT source, seg_no, word_no + 1000, word, start_s, end_s FROM v_words WHERE length(word) > 6) u) z WHERE r = 1),
+          h AS (SELECT clip_id, k, seg_no, word_no, o + greatest(start_s, f) - f AS s, o + least(end_s, t) - f AS e FROM p JOIN d w ON w.source = p.source AND w.start_s < t AND f < w.end_s),
           g AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY clip_id, seg_no, word_no ORDER BY s, k) <= 0.06 THEN 0 ELSE 1 END AS n FROM h),
           r AS (SELECT *, sum(n) OVER (PARTITION BY clip_id, seg_no, word_no ORDER BY s, k ROWS UNBOUNDED PRECEDING) AS run FROM g)
           SELECT clip_id, seg_no, word_no, round(min(s), 3) AS out_start, round(max(e), 3) AS out_end FROM r GROUP BY clip_id, seg_no, word_no, run""")
 def timeline_remap(spark, d):
-    return timeline.timeline_remap(*_t(spark, d, "v_words", "v_played", "v_clips"))
+    words, played, clips = _t(spark, d, "v_words", "v_played", "v_clips")
+    return timeline.timeline_remap(words.unionByName(words.where("length(word) > 6").withColumn("word_no", F.col("word_no") + 1000)), played, clips)  # long words twice
 
 
 @query("""WITH g AS (SELECT source, stddev_pop(rms) AS s FROM v_energy GROUP BY 1),

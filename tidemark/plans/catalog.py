@@ -340,9 +340,10 @@ def window_shape(spark, d):
 @query("""SELECT clip_id, round(avg(CASE WHEN n_subjects = 1 THEN 1.0 ELSE 0 END), 4) AS single, round(avg(CASE WHEN n_subjects > 1 THEN 1.0 ELSE 0 END), 4) AS multi, round(avg(CASE WHEN n_subjects = 0 THEN 1.0 ELSE 0 END), 4) AS none,
           round(median(cx), 4) AS centre, round(stddev_pop(cx), 3) AS spread,
           CASE WHEN round(avg(CASE WHEN n_subjects = 0 THEN 1.0 ELSE 0 END), 4) > 0.5 THEN 'no subject' WHEN round(avg(CASE WHEN n_subjects > 1 THEN 1.0 ELSE 0 END), 4) > 0.3 THEN 'several subjects'
-               WHEN round(avg(CASE WHEN n_subjects = 1 THEN 1.0 ELSE 0 END), 4) < 0.5 THEN 'too few' ELSE 'track' END AS verdict FROM v_detections GROUP BY clip_id""")
+               WHEN round(avg(CASE WHEN n_subjects = 1 THEN 1.0 ELSE 0 END), 4) < 0.5 THEN 'too few' ELSE 'track' END AS verdict,
+          verdict = 'track' AND round(stddev_pop(cx), 3) / 1080 < 0.06 AS static FROM v_detections GROUP BY clip_id""")
 def subject_share_decision(spark, d):
-    return ranking.subject_share_decision(_t(spark, d, "v_detections"))
+    return ranking.subject_share_decision(_t(spark, d, "v_detections"), still=0.06)
 
 
 @query(f"""WITH h AS (SELECT category, grouping(category) AS g, count(*) AS campaigns, CAST(sum(CASE WHEN {_RANKABLE} THEN 1 ELSE 0 END) AS BIGINT) AS rankable, CAST(sum(CASE WHEN {_RANKABLE} AND {_REASON} = '' THEN 1 ELSE 0 END) AS BIGINT) AS clippable,
