@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.bounds import small_or_not
 from tidemark.functions.ordered import over
 from tidemark.operators import patterns
 
@@ -114,7 +116,7 @@ def prefer_flagged_else_all(resources: DataFrame) -> DataFrame:
 
 def route_by_extension(resources: DataFrame, kinds: DataFrame) -> DataFrame:
     """(kind, n, size): resources by the kind of their extension; kinds: (ext, kind), a fixed list."""
-    rows = resources.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).join(F.broadcast(kinds), "ext", "left")
+    rows = resources.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).join(small_or_not(kinds), "ext", "left")
     return rows.groupBy(F.coalesce("kind", F.lit("other")).alias("kind")).agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("size"))
 
 
@@ -133,7 +135,7 @@ def resource_usage(resources: DataFrame, kinds: DataFrame) -> DataFrame:
     resources: (campaign, ord, path, duration_sec, text_len), text_len null where no text could be read.
     """
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    rows = resources.withColumn("ext", ext).join(F.broadcast(kinds), "ext", "left").withColumn("kind", F.coalesce("kind", F.lit("other")))
+    rows = resources.withColumn("ext", ext).join(small_or_not(kinds), "ext", "left").withColumn("kind", F.coalesce("kind", F.lit("other")))
     purpose = F.lower("path").rlike("(guide|reference|safe|margin|template)")
     usage = (
         F.when(F.col("kind") == "footage", F.concat(F.lit("probed video ("), F.col("duration_sec").cast("long").cast("string"), F.lit(" s)")))
@@ -190,26 +192,28 @@ def rules_floor(lines: DataFrame, default_banned: list[str], cap: int = 40) -> D
     sets (ord 0). Banned terms are the defaults and, from lines with a marking word, the terms of one to three words
     after the first colon or dash. lines: (campaign, doc_id, line_no, text).
     """
-    low = F.lower("text")
-    any_of = lambda words: F.greatest(*[low.contains(w) for w in words]) if len(words) > 1 else low.contains(words[0])
+    any_of = lambda words: functools.reduce(lambda x, y: x | y, [F.col("low").contains(w) for w in words])
+    rows = lines.select("campaign", "doc_id", "line_no", "text", F.lower("text").alias("low"))
     held = F.array_compact(F.array(*[F.when(any_of(words), name) for name, words in patterns.SECTIONS.items()]))
-    rows = lines.select("campaign", "doc_id", "line_no", F.explode(held).alias("field"), F.col("text").alias("value"))
-    sections = rows.withColumn("ord", F.row_number().over(over("campaign", "field", by=["doc_id", "line_no"])).cast("long")).where(F.col("ord") <= cap).select("campaign", "field", "ord", "value")
-
-    found = lambda mark, chars: F.regexp_extract_all("text", F.lit(f"(^|[^A-Za-z0-9_])({mark}[{chars}]+)"), F.lit(2))
+    ruled = rows.select("campaign", "doc_id", "line_no", "text", held.alias("held")).where(F.size("held") > 0)
+    ruled = ruled.select("campaign", F.explode("held").alias("field"), "doc_id", "line_no", F.col("text").alias("value"))
+    sections = ruled.withColumn("ord", F.row_number().over(over("campaign", "field", by=["doc_id", "line_no"])).cast("long")).where(F.col("ord") <= cap).select("campaign", "field", "ord", "value")
+
+    marked = rows.where(any_of(["#", "@", "watermark", *patterns.DISCLOSURE_MARKS, *patterns.BANNED_MARKS]))
+    found = lambda mark, chars: F.when(F.col("text").contains(mark), F.regexp_extract_all("text", F.lit(f"(^|[^A-Za-z0-9_])({mark}[{chars}]+)"), F.lit(2))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    parts = F.split(F.regexp_replace("low", "^[^:–-]*[:–-]", ""), "[,/;]| and | or ")
+    own = marked.select("campaign", "low", found("#", "A-Za-z0-9_").alias("tags"), found("@", "A-Za-z0-9_.").alias("handles"), F.when(any_of(patterns.BANNED_MARKS), parts).otherwise(none).alias("parts"))
+    named = lambda field, of, name: F.transform(of, lambda x: F.struct(F.lit(field).alias("field"), name(x).alias("value")))
+    needs = F.array_compact(F.array(*[F.when(any_of(words), F.lit(kind)) for kind, words in (("watermark", ["watermark"]), ("disclosure", patterns.DISCLOSURE_MARKS))]))
     typed = F.concat(
-        F.transform(found("#", "A-Za-z0-9_"), lambda x: F.struct(F.lit("hashtags").alias("field"), x.alias("value"))),
-        F.transform(found("#", "A-Za-z0-9_"), lambda x: F.struct(F.lit("required").alias("field"), F.concat(F.lit("hashtag: "), x).alias("value"))),
-        F.transform(found("@", "A-Za-z0-9_."), lambda x: F.struct(F.lit("mentions").alias("field"), x.alias("value"))),
-        F.transform(found("@", "A-Za-z0-9_."), lambda x: F.struct(F.lit("required").alias("field"), F.concat(F.lit("mention: "), x).alias("value"))),
-        F.array_compact(F.array(*[F.when(any_of(words), F.struct(F.lit("required").alias("field"), F.lit(kind).alias("value"))) for kind, words in (("watermark", ["watermark"]), ("disclosure", patterns.DISCLOSURE_MARKS))])),
-    )
-    parts = F.split(F.regexp_replace(low, "^[^:–-]*[:–-]", ""), "[,/;]| and | or ")
-    terms = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9'+ -]", "")))
-    n_words = lambda x: F.size(F.regexp_extract_all(x, F.lit("[^ ]+"), F.lit(0)))
-    terms = F.filter(terms, lambda x: (F.length(x) >= 2) & n_words(x).between(1, 3) & ~x.rlike("^[0-9]+$"))
-    banned = F.when(any_of(patterns.BANNED_MARKS), F.transform(terms, lambda x: F.struct(F.lit("banned_words").alias("field"), x.alias("value"))))
-    sets = lines.select("campaign", F.explode(F.concat(typed, F.coalesce(banned, F.slice(typed, 1, 0)))).alias("r")).select("campaign", "r.field", "r.value")
+        named("hashtags", "tags", lambda x: x), named("required", "tags", lambda x: F.concat(F.lit("hashtag: "), x)), named("mentions", "handles", lambda x: x), named("required", "handles", lambda x: F.concat(F.lit("mention: "), x)),
+        named("required", needs, lambda x: x), named("banned", "parts", lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9'+ -]", ""))),
+    )
+    sets = own.select("campaign", F.explode(typed).alias("r")).select("campaign", "r.field", "r.value")
+    n_words = F.size(F.regexp_extract_all("value", F.lit("[^ ]+"), F.lit(0)))
+    term = (F.length("value") >= 2) & n_words.between(1, 3) & ~F.col("value").rlike("^[0-9]+$")
+    sets = sets.where((F.col("field") != "banned") | term).select("campaign", F.when(F.col("field") == "banned", "banned_words").otherwise(F.col("field")).alias("field"), "value")
     defaults = lines.select("campaign").distinct().select("campaign", F.lit("banned_words").alias("field"), F.explode(F.array(*map(F.lit, default_banned))).alias("value"))
     sets = sets.unionByName(defaults).distinct().select("campaign", "field", F.lit(0).cast("long").alias("ord"), "value")
     return sections.unionByName(sets)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import over
+from tidemark.functions.storage import stored
 from tidemark.operators import patterns
 from tidemark.operators.board import resource_usage
 
@@ -119,6 +120,7 @@ def posting_checklist(lines: DataFrame, rules: DataFrame) -> DataFrame:
     or seconds are quoted, the first few; required elements of a type without a section come under `Other requirements`,
     so that none is dropped.
     """
+    rules = stored(rules.select("campaign", "field", "ord", "value"), "rules")  # read by every section
     typed = rules.where("field = 'required'").select("campaign", "ord", F.lower(F.substring_index("value", ":", 1)).alias("type"), F.when(F.col("value").contains(":"), F.trim(F.regexp_replace("value", "^[^:]*:", ""))).otherwise(F.col("value")).alias("detail"))
     of = lambda *fields: rules.where(F.col("field").isin(*fields)).select("campaign", "field", "ord", "value")
     out: list[DataFrame] = []
@@ -133,7 +135,7 @@ def posting_checklist(lines: DataFrame, rules: DataFrame) -> DataFrame:
         return found.groupBy("campaign", "value").agg(F.min("ord").alias("ord"))
 
     of_types = lambda *types: typed.where(F.col("type").isin(*types))
-    every = lines.select("campaign").distinct().withColumn("ord", F.lit(0))
+    every = stored(lines.select("campaign").distinct(), "campaigns").withColumn("ord", F.lit(0))
 
     def nothing(number: int, held: DataFrame, text: str) -> None:
         put(every.join(held.select("campaign").distinct(), "campaign", "left_anti"), number, 9, "none", F.lit(text))
@@ -155,6 +157,7 @@ def posting_checklist(lines: DataFrame, rules: DataFrame) -> DataFrame:
     low = F.lower("sentence")
     told = sentences(texts.where(F.lower("text").rlike(r"bio|[0-9]"))).withColumn("bio", low.rlike(LINK_IN_BIO))
     told = told.withColumn("window", low.rlike(POSTING) & low.rlike(TIME_WINDOW)).withColumn("views", low.rlike(LEAST_VIEWS)).withColumn("seconds", low.rlike(LEAST_SECONDS))
+    told = stored(told.where("bio or window or views or seconds"), "told")
     put(_first(told.where("bio"), 4, False), 2, 0, "box", F.col("sentence"))
 
     mark = every.drop("ord").join(rules.where("field = 'watermark_required'").groupBy("campaign").agg(F.max(F.lower("value")).alias("needed")), "campaign", "left").withColumn("ord", F.lit(0))

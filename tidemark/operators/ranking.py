@@ -116,14 +116,18 @@ def _within(starts: list[float], s: float, apart: float) -> bool:
     return i > 0 and s - starts[i - 1] < apart or i < len(starts) and starts[i] - s < apart
 
 
-def review_funnel(moments: DataFrame, alive: float = 1, best: float = 40, pool: float = 40, most: int = 10, apart: float = 60) -> DataFrame:
-    """(id, source, start_s, score): the spread choice of the alive moments of the pool; none if even the best is weak.
+def review_funnel(moments: DataFrame, alive: float = 1, best: float = 40, pool: float = 40, most: int = 10, apart: float = 60, clear: float = 60) -> DataFrame:
+    """(id, source, start_s, score, n_cleared, n_filler): the spread choice of the alive moments of the pool; none if even the best is weak.
 
-    moments: as for spread_topk, with `junk`.
+    n_cleared: how many of the pool score at least `clear`; n_filler: how many of it don't. moments: as for spread_topk,
+    with `junk`.
     """
-    top = moments.agg(F.max("intensity").alias("top"))  # one row
-    rows = moments.where(~F.col("junk") & (F.col("intensity") >= max(alive, pool))).crossJoin(F.broadcast(top)).where(F.col("top") >= best)
-    return spread_topk(rows, apart, most)
+    rows = moments.where(~F.col("junk") & (F.col("intensity") >= max(alive, pool)))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    tally = rows.agg(one(F.col("intensity") >= clear).alias("n_cleared"), one(F.col("intensity") < clear).alias("n_filler"))  # one row
+    top = moments.agg(F.max("intensity").alias("top"))
+    chosen = spread_topk(rows.crossJoin(F.broadcast(top)).where(F.col("top") >= best), apart, most)
+    return chosen.crossJoin(F.broadcast(tally))
 
 
 def score_batches(moments: DataFrame, size: int = 18, scored: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from tidemark.functions.bounds import small_or_not
 from tidemark.functions.ordered import earlier, joined, over, words_pattern
+from tidemark.functions.storage import stored
 from tidemark.operators import matcher, patterns
 from tidemark.operators.folds import fold_by_key
 
@@ -85,7 +87,7 @@ def corpus_build(documents: DataFrame, limit: int = 24_000, salts: int = 64) ->
     size = (F.length("text") + 1).cast("long").alias("n")
     narrow = texts.select("source", "doc_id", size, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
     first = before_limit(before_limit(narrow, "source", "salt", by=["doc_id"]), "source", by=["doc_id"])
-    chosen = first.select(F.col("source").alias("s"), F.col("doc_id").alias("d")).distinct()
+    chosen = small_or_not(stored(first.select(F.col("source").alias("s"), F.col("doc_id").alias("d")).distinct(), "chosen"))
     own = texts.join(chosen, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     own = before_limit(own.select("source", "doc_id", size, F.substring("text", 1, limit).alias("text")), "source", by=["doc_id", "text"])
     corpora = own.groupBy(F.col("source").alias("s")).agg(F.substring(joined(["doc_id"], "text", "\n"), 1, limit).alias("corpus"))

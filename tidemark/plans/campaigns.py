@@ -290,10 +290,10 @@ def heuristic_select(spark, d):
 _ALIVE = "intensity >= 8 AND len(regexp_extract_all(text, '[A-Za-z'']+')) >= 4 AND (SELECT max(intensity) FROM v_moments) >= 10"
 
 
-@query(_spread("intensity", _ALIVE, 60, 10))
+@query(f"""SELECT t.*, (SELECT count(*) FROM v_moments WHERE {_ALIVE} AND intensity >= 11) AS n_cleared, (SELECT count(*) FROM v_moments WHERE {_ALIVE} AND intensity < 11) AS n_filler FROM ({_spread("intensity", _ALIVE, 60, 10)}) t""")
 def review_funnel(spark, d):
     words = F.size(F.regexp_extract_all("text", F.lit("[A-Za-z']+"), F.lit(0)))
-    return ranking.review_funnel(_t(spark, d, "v_moments").withColumn("junk", words < 4), alive=8, best=10, pool=8)
+    return ranking.review_funnel(_t(spark, d, "v_moments").withColumn("junk", words < 4), alive=8, best=10, pool=8, clear=11)
 
 
 # -- plug points -------------------------------------------------------------------------------------------------
