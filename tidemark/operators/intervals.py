@@ -49,11 +49,9 @@ def _best_of_ranges(ranges: DataFrame, frames: DataFrame, base: int = 64, levels
     Maxima of blocks of base, base^2, ... seconds are made once. A range is cut into whole blocks of each size and what
     is left at both ends, under 2 * base of a size but the largest, so it meets few rows however long it is.
     """
-    best = frames.select("source", F.lit(0).alias("level"), F.col("sec").alias("block"), F.struct((-F.col("rms")).alias("neg"), F.col("sec").alias("sec")).alias("best"))
-    table = best
-    for level in range(1, levels):
-        best = best.groupBy("source", F.floor(F.col("block") / base).cast("long").alias("block")).agg(F.min("best").alias("best")).withColumn("level", F.lit(level))
-        table = table.unionByName(best)
+    block = lambda level: F.struct(F.lit(level).alias("level"), F.floor(F.col("sec") / base**level).cast("long").alias("block"))
+    dealt = frames.select("source", F.explode(F.array(*map(block, range(levels)))).alias("p"), F.struct((-F.col("rms")).alias("neg"), F.col("sec").alias("sec")).alias("best"))
+    table = dealt.select("source", "p.level", "p.block", "best").groupBy("source", "level", "block").agg(F.min("best").alias("best"))
     parts = []
     rows = ranges.select("id", "source", F.col("lo").cast("long").alias("a"), F.col("hi").cast("long").alias("b"))
     run = lambda a, b: F.when(a < b, F.sequence(a, F.greatest(a, b - 1))).otherwise(F.array().cast("array<bigint>"))
