@@ -258,6 +258,24 @@ def test_html_titles_stay_and_plain_clutter_goes():
     assert html_paths.extract(page) == f"{one.strip()} x=2\n\nand {two}".strip()
 
 
+def test_html_articles_lose_no_text():
+    prose = [f"Paragraph {k} tells of things, at some length; and of others, too, as it goes on for a while." for k in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    whole = "\n\n".join(prose)
+    for inside, want in (
+        (f"<h1><a href=/x>Title</a></h1>{body}", f"Title\n\n{whole}"), (f"{body}<h2><a id=s1 href=#s1>Section</a></h2><p>{prose[0]}</p>", f"{whole}\n\nSection\n\n{prose[0]}"),
+        (f"{body}<ul><li><a href=/1>Source one</a></li><li><a href=/2>Source two</a></li></ul>", f"{whole}\n\nSource one\n\nSource two"),
+        (f"<section class='market-share'>{body}</section><p>{prose[0]}</p>", f"{whole}\n\n{prose[0]}"), (f"{body}<p class='social-history'>Of history.</p>", f"{whole}\n\nOf history."),
+        (f"{body}<p>All <span class='related'>related</span> words.</p>", f"{whole}\n\nAll related words."), (f"{body}<noscript><p>Shown without scripts.</p></noscript>", f"{whole}\n\nShown without scripts."),
+        (f"{body}<div class='share-buttons'>Share it</div><div id='social-links'><p>Follow us, please.</p></div><div class='related-posts'><p>Others.</p></div><ol class='comment-list'><li>Mine, too.</li></ol><p>{prose[1]}</p>", f"{whole}\n\n{prose[1]}"),
+    ):
+        assert html_paths.extract(f"<body><nav><a href=/>Menu</a></nav><article>{inside}</article><noscript>Please enable scripts.</noscript><footer>© 2024</footer></body>") == want
+    law = "Copyright law has changed, and quite a lot; many have told of it, at some length."
+    page = f"<body><div class=top>Welcome</div><div><h1>Title</h1><div class=byline>By A. Writer</div><p>{prose[0]}</p><p>{law}</p><p>{prose[1]}</p><div>The end.</div></div><div>© 2024 Some House</div></body>"
+    assert html_paths.extract(page) == "\n\n".join(("Title", "By A. Writer", prose[0], law, prose[1], "The end."))
+    assert html_paths.extract(f"<body><p>{prose[0]}</p><p>{prose[1]}</p><p>Copyright 2024 by us</p></body>") == "\n\n".join(prose[:2])
+
+
 def test_html_time_is_linear():
     import time
 

@@ -7,11 +7,14 @@ and its smoothed value; paths whose score reaches a fifth of the scores' mean, w
 paths, and content blocks are those on them.
 
 The outermost article or main elements that hold at least a quarter as much content as the one with the most are the
-article; all their blocks are given but lists of links. A page without such elements gives its content blocks, prose
-elements and lists beside them in one container, headings between them, and the last title before them.
+article; their headings and lists are given, and of their other blocks those on content paths and those that are not
+mostly links. A page without such elements gives its content blocks, prose elements, lists and other blocks beside them
+in one container, headings between them, and the last title before them; a short line of rights at the very end goes.
 
 What lies in clutter is in no list: menus, footers, sidebars, forms, hidden elements, by tag or role; and adverts,
-notices, comments and the like by class or id, unless the element holds half of the page's prose.
+notices, comments and the like by class or id, unless the element holds half of the page's prose. Some words mark
+clutter at either end of a name, others only where the whole name speaks of it (`share-buttons`, not `market-share`).
+Inline elements are hidden by no class. `noscript` counts inside an article only.
 
 Each page stands alone, so the job is one map without a shuffle, and a page takes time in proportion to its length:
 elements nested deeper than DEPTH are laid side by side there, as browsers do. Edge cases: null, empty or text-free html
@@ -39,7 +42,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg select".split())
+_RAW = frozenset("script style textarea title template iframe svg select".split())
 _KEEPS_P = frozenset("body button caption dd dt head html legend li optgroup option tbody td tfoot th thead tr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"optgroup"}}
@@ -47,12 +50,18 @@ _TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
 _SCOPE = frozenset("table td th caption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PROSE = frozenset("p li dt dd td th caption figcaption blockquote pre summary".split())
+_LISTED = frozenset("li dt dd".split())
 _FRAMES = frozenset("ul ol dl li table tbody thead tfoot tr td th blockquote figure".split())
 # Words that mark clutter.
 _CLUTTER_TAGS = frozenset("nav footer aside menu button dialog head search".split())
 _CLUTTER_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert form menu menubar".split())
 _CLUTTER_WORDS = frozenset(
-    "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar newsletter pagination popup promo sidebar signup sponsored subscribe toolbar topbar widget widgets".split()
+)
+# These mark clutter too, where a name holds nothing but such words, numbers and words for parts: share-buttons, but not market-share.
+_ALONE_WORDS = frozenset("comment copyright navigation notice overlay pager promoted promotion recommended related replies respond share sharing skip social sponsor subscription teaser teasers".split())
+_PART_WORDS = frozenset(
+    "area articles author bar block body bottom box btn button buttons container content count follow form group header icon icons inner item items left line link links list main meta more node outer panel post posts print reply right row section stories text thread title to top tools wrap wrapper".split()
 )
 _OUTSIDE_WORDS = frozenset("banner header search".split())  # clutter only outside of articles
 _ARTICLE_WORDS = frozenset("article blog body chapter content entry news page-title post section story text title".split())
@@ -61,7 +70,7 @@ _STOP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 _PUNCT = re.compile(r"[.,;:!?…。、，；：！？]")
-_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+_RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\s*(?:©|\(c\)|\d{4}))", re.I)
 
 
 def _clutter(tag: str, attributes: str, inside: bool) -> int:
@@ -77,8 +86,10 @@ def _clutter(tag: str, attributes: str, inside: bool) -> int:
             return 2
         if name in ("class", "id") and tag not in _HEADINGS:
             for one in value.split():
-                words = set(_WORDS.findall(one))
-                if words & _CLUTTER_WORDS or not inside and words & _OUTSIDE_WORDS and not words & _ARTICLE_WORDS:
+                words = _WORDS.findall(one)
+                ends = {words[0], words[-1]} if words else set()
+                alone = any(w in _ALONE_WORDS for w in words) and all(w in _ALONE_WORDS or w in _PART_WORDS or w in _CLUTTER_WORDS or w.isdigit() for w in words)
+                if ends & _CLUTTER_WORDS or alone or not inside and not _OUTSIDE_WORDS.isdisjoint(words) and _ARTICLE_WORDS.isdisjoint(words):
                     kind = 1
     return kind
 
@@ -167,7 +178,7 @@ class Page:
                 self._link = len(self._stack)
             if self._hidden[0] == tag:
                 self._hidden = (tag, self._hidden[1] + 1, self._hidden[2])
-            elif not self._hidden[1] and attributes and _clutter(tag, attributes, inside):
+            elif not self._hidden[1] and attributes and _clutter(tag, attributes, inside) == 2:  # no inline prose is hidden by a class
                 self._hidden = (tag, 1, len(self._stack))
             return
         if tag not in _KEEPS_P and self.tag[self._stack[-1]] == "p":
@@ -221,7 +232,7 @@ class Page:
             at = to
             if m[1]:
                 self._end(tag)
-            elif tag in _RAW:
+            elif tag in _RAW or tag == "noscript" and not (self._open["article"] or self._open["main"]):
                 if tag not in raw:
                     raw[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
                 end = raw[tag].search(page, at)
@@ -289,7 +300,8 @@ def extract(text: str | None) -> str:
     tops = {k for k in tops if 4 * held[k] >= max(held[x] for x in tops)} if 2 * sum(held[k] for k in tops) >= held[0] else set()
     few_links = [b.linked * 2 <= len(b.text) for b in found]
     if tops:
-        return "\n\n".join(b.text for b, c, f in zip(found, content, few_links, strict=True) if article[b.node] in tops and (c or f))
+        kept_tags = _HEADINGS | _LISTED
+        return "\n\n".join(b.text for b, c, f in zip(found, content, few_links, strict=True) if article[b.node] in tops and (c or f or page.tag[b.node] in kept_tags))
 
     def container(node: int) -> int:
         """The element around a block, past lists, tables and quotes."""
@@ -302,16 +314,19 @@ def extract(text: str | None) -> str:
     places = np.flatnonzero(content)
     titles = [i for i in range(places[0]) if page.tag[found[i].node] in _HEADINGS]
     main = [i for i in titles if page.tag[found[i].node] == "h1"] or titles
+    start = main[-1] if main else places[0]
     kept = []
     for i, b in enumerate(found):
-        tag = page.tag[b.node]
+        tag, around = page.tag[b.node], container(b.node)
         if content[i]:
-            keep = not _RIGHTS.match(b.text)
+            keep = True
         elif tag in _HEADINGS:
             keep = places[0] < i < places[-1] or i in main[-1:]
+        elif around not in beside or not few_links[i]:
+            keep = False
         else:
-            keep = tag in _PROSE and few_links[i] and container(b.node) in beside and not _RIGHTS.match(b.text)
-        if keep:
+            keep = tag in _PROSE or i > start and (i < places[-1] or page.tag[around] not in ("", "html", "body"))
+        if keep and not (i == len(found) - 1 and len(b.text) < 200 and _RIGHTS.match(b.text)):
             kept.append(b.text)
     return "\n\n".join(kept)
 
