@@ -244,7 +244,7 @@ def _cut(length: int, buckets: int, frequent):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        frags, wins, size = [], [], 0
+        frags, wins, size, held = [], [], 0, 0
 
         def flush():
             f = np.concatenate(frags, 1) if frags else np.zeros((5, 0), np.int64)
@@ -270,10 +270,12 @@ def _cut(length: int, buckets: int, frequent):
                     start = np.repeat(first[hot] - ends + many, many) + np.arange(ends[-1])
                     owner = np.repeat(doc[hot], many)
                     wins.append(np.stack([spans.of(start, start + length).view(np.int64), ids[at + owner], start - offsets[owner] + place]))
+                    held += wins[-1].nbytes
+                held += frags[-1].nbytes
                 size += len(data)
-                if size > 1 << 24:
+                if size > 1 << 24 or held > 1 << 25:  # windows of frequent anchors are a row a byte of text
                     yield from flush()
-                    frags, wins, size = [], [], 0
+                    frags, wins, size, held = [], [], 0, 0
         if frags or wins:
             yield from flush()
 
