@@ -198,12 +198,15 @@ def embedding_links(embeddings: DataFrame, cosine: float = 0.93, sample: int = 1
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     dealt = stored(classes.select("vec_id", "label", "raw", "copies").mapInPandas(_deal(models, radius, sure), _DEALT), "dealt")
     key = ["label", "dim", "list"]
-    blocks = dealt.where("member").groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # A list's members in blocks and its queries in parts, each of bounded size: every pair of them is a unit of work.
+    cut = lambda n, c: F.greatest(F.lit(1), F.ceil(c / n)).cast("int")
+    blocks = dealt.groupBy(*key).agg(cut(block, F.sum(F.when(F.col("member"), 1).otherwise(0))).alias("blocks"), cut(8 * block, F.count("*")).alias("parts"), F.max("member").alias("any")).where("any").drop("any")
     spread = dealt.join(blocks, key)
-    members = spread.where("member").withColumn("block", F.pmod(order, F.col("blocks")).cast("int")).withColumn("role", F.lit("member"))
-    queries = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit("query"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = spread.where("member").withColumn("block", F.pmod(order, F.col("blocks")).cast("int")).withColumn("part", every("parts")).withColumn("role", F.lit("member"))
+    queries = spread.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int")).withColumn("block", every("blocks")).withColumn("role", F.lit("query"))
     work = members.unionByName(queries)
-    found = stored(work.groupBy(*key, "block").applyInPandas(_linked(models, cosine, radius), "a long, b long, links long"), "links")
+    found = stored(work.groupBy(*key, "block", "part").applyInPandas(_linked(models, cosine, radius), "a long, b long, links long"), "links")
     tops = components(found.where("links = 0").select("a", "b")).withColumnRenamed("node", "rep")
     counts = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     reps = classes.select("label", "raw", F.col("vec_id").alias("rep"), "copies")
