@@ -185,12 +185,13 @@ def language_gate(documents: DataFrame, gate: str = "en", least: float = 0.6) ->
     return rows.select("source", decision.alias("decision"), "mix")
 
 
-def rules_floor(lines: DataFrame, default_banned: list[str], cap: int = 40) -> DataFrame:
+def rules_floor(lines: DataFrame, default_banned: list[str], cap: int = 40, assets: DataFrame | None = None) -> DataFrame:
     """(campaign, field, ord, value): what a campaign's lines rule, without a model.
 
     Sections hold their first `cap` lines in order (ord); hashtags, mentions, required elements and banned terms are
     sets (ord 0). Banned terms are the defaults and, from lines with a marking word, the terms of one to three words
-    after the first colon or dash. lines: (campaign, doc_id, line_no, text).
+    after the first colon or dash. lines: (campaign, doc_id, line_no, text); assets: (campaign, path), files given with a
+    campaign, of which one named a watermark or logo asks for it too.
     """
     any_of = lambda words: functools.reduce(lambda x, y: x | y, [F.col("low").contains(w) for w in words])
     rows = lines.select("campaign", "doc_id", "line_no", "text", F.lower("text").alias("low"))
@@ -215,6 +216,9 @@ def rules_floor(lines: DataFrame, default_banned: list[str], cap: int = 40) -> D
     term = (F.length("value") >= 2) & n_words.between(1, 3) & ~F.col("value").rlike("^[0-9]+$")
     sets = sets.where((F.col("field") != "banned") | term).select("campaign", F.when(F.col("field") == "banned", "banned_words").otherwise(F.col("field")).alias("field"), "value")
     defaults = lines.select("campaign").distinct().select("campaign", F.lit("banned_words").alias("field"), F.explode(F.array(*map(F.lit, default_banned))).alias("value"))
+    if assets is not None:
+        named_so = assets.where(F.lower("path").rlike("watermark|logo")).select("campaign").distinct().join(lines.select("campaign").distinct(), "campaign", "left_semi")
+        sets = sets.unionByName(named_so.select("campaign", F.lit("required").alias("field"), F.lit("watermark").alias("value")))
     sets = sets.unionByName(defaults).distinct().select("campaign", "field", F.lit(0).cast("long").alias("ord"), "value")
     return sections.unionByName(sets)
 

@@ -275,6 +275,19 @@ def deadband_follow(spark, d):
     return folds.deadband_follow(_t(spark, d, "events"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE value IS NOT NULL),
+          r AS (SELECT user_id, rn::BIGINT AS rn, event_id, least(500.0::DOUBLE, value) AS c FROM o WHERE rn = 1
+                UNION ALL SELECT o.user_id, o.rn, o.event_id, CASE WHEN c >= 500 THEN least(500.0::DOUBLE, o.value) ELSE least(500.0::DOUBLE, c * 0.618034::DOUBLE + o.value) END FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+          SELECT event_id, round(c, 4) AS level FROM r""")
+def fold_by_key(spark, d):
+    def step(level, row):  # a load that decays with each event, and starts anew once it was full
+        level = min(500.0, row.value if level is None or level >= 500 else level * 0.618034 + row.value)
+        return level, level
+
+    events = _t(spark, d, "events").where("value is not null").select("user_id", "ts", "event_id", "value")
+    return folds.fold_by_key(events, ["user_id"], ["ts", "event_id"], "level", "double", lambda: None, step).select("event_id", F.round("level", 4).alias("level"))
+
+
 _LOUD = "(intensity * (CASE WHEN type = 'audio_spike' THEN 10.0::DOUBLE ELSE 6.0::DOUBLE END) + least(length(text), 120) / 12.0::DOUBLE)"
 
 

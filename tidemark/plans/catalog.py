@@ -372,9 +372,14 @@ _FLOOR = f"""WITH l AS (SELECT campaign, doc_id, line_no, text, lower(text) AS l
   floor AS (SELECT campaign, field, ord, value FROM o WHERE ord <= 40 UNION ALL SELECT campaign, field, CAST(0 AS BIGINT), value FROM u)"""
 
 
-@query(f"{_FLOOR} SELECT campaign, field, ord, value FROM floor")
+_NAMED = "SELECT source AS campaign, CASE WHEN doc_id % 40 = 7 THEN 'Our-Logo.PNG' ELSE 'x.png' END AS path FROM {}"
+
+
+@query(f"""{_FLOOR} SELECT campaign, field, ord, value FROM floor
+           UNION SELECT DISTINCT campaign, 'required', CAST(0 AS BIGINT), 'watermark' FROM ({_NAMED.format("documents")}) a WHERE regexp_matches(lower(path), 'watermark|logo') AND campaign IN (SELECT campaign FROM v_rule_lines)""")
 def rules_floor(spark, d):
-    return board.rules_floor(_t(spark, d, "v_rule_lines"), DEFAULT_BANNED)
+    lines, documents = _t(spark, d, "v_rule_lines", "documents")
+    return board.rules_floor(lines, DEFAULT_BANNED, assets=spark.sql(_NAMED.format("{docs}"), docs=documents))
 
 
 # One struct in two orders of its keys.
