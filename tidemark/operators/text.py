@@ -98,15 +98,25 @@ def corpus_build(documents: DataFrame, limit: int = 24_000, salts: int = 64) ->
 def dictionary_language_vote(documents: DataFrame, stop_words: dict[str, list[str]], least: int = 8) -> DataFrame:
     """(doc_id, lang): the language whose stop words make up most of the tokens; null if there are few or none.
 
-    stop_words: a short list a language. On equal shares the earlier language wins. Counted inside the row, each language once.
+    stop_words: a short list a language. On equal shares the earlier language wins. Counted text by text, in one pass over its tokens.
     """
-    letter = "[a-zà-ÿ']"
-    rows = documents.select("doc_id", F.lower("text").alias("low"))
-    votes = [F.regexp_count("low", F.lit(f"(?<!{letter})(?:{'|'.join(own)})(?!{letter})")) for own in stop_words.values()]
-    rows = rows.select("doc_id", F.regexp_count("low", F.lit(f"{letter}+")).alias("n"), F.array(*votes).alias("votes"))
-    most = F.array_max("votes")
-    lang = F.get(F.array(*map(F.lit, stop_words)), (F.array_position("votes", most) - 1).cast("int"))
-    return rows.select("doc_id", F.when((F.col("n") >= least) & (most > 0), lang).alias("lang"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    lists = [(code, frozenset(own)) for code, own in stop_words.items()]
+
+    def vote(text: str, pattern: re.Pattern) -> str | None:
+        counts = Counter(pattern.findall(text))
+        if counts.total() < least:
+            return None
+        votes = [sum(counts[w] for w in own) for _, own in lists]
+        return lists[votes.index(max(votes))][0] if max(votes, default=0) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile("[a-zà-ÿ']+")
+        for batch in batches:
+            told = [vote(t or "", pattern) for t in batch.column("low").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(told, pa.string())], ["doc_id", "lang"])
+
+    return documents.select("doc_id", F.lower("text").alias("low")).mapInArrow(run, f"doc_id {kind}, lang string")
 
 
 def banned_gauntlet(candidates: DataFrame, terms: DataFrame) -> DataFrame:
