@@ -29,6 +29,7 @@ from tidemark.llm._common import keyed, lean
 
 PIECE = 2048
 OTHERS = 16
+TOGETHER = 8  # languages parsed at once
 
 
 class SuffixAutomaton:
@@ -105,25 +106,42 @@ class SuffixAutomaton:
         at = self.base[state] + symbol
         return np.where(self.owner[at] == state, self.target[at], -1)
 
-    def phrases(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases that each piece symbols[start : start + size] is parsed into."""
+
+class Joined:
+    """Some languages' automata side by side: one look-up takes a step in all of them."""
+
+    def __init__(self, automata: list[SuffixAutomaton], tables: list[np.ndarray]):
+        states, slots = (np.concatenate([[0], np.cumsum([len(x) for x in own])]) for own in ([a.base for a in automata], [a.owner for a in automata]))
+        self.base = np.concatenate([a.base + k for a, k in zip(automata, slots.tolist(), strict=False)]).astype(np.int32)
+        moved = lambda of: np.concatenate([np.where(x < 0, x, x + k) for x, k in zip(of, states.tolist(), strict=False)]).astype(np.int32)
+        self.owner, self.target = moved([a.owner for a in automata]), moved([a.target for a in automata])
+        width = max(len(a.root) for a in automata)
+        self.unknown = np.concatenate([np.append(a.root < 0, np.ones(width - len(a.root), bool)) for a in automata])  # such a symbol is a phrase by itself
+        self.root = np.concatenate([np.append(np.maximum(a.root, 0), np.zeros(width - len(a.root), np.int32)) + k for a, k in zip(automata, states.tolist(), strict=False)]).astype(np.int32)
+        self.first = (width * np.arange(len(automata))).astype(np.int32)
+        self.tables = np.stack(tables, 1)  # a code point's symbol in each language
+
+    def phrases(self, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(pieces, languages): phrases that each piece points[start : start + size] is parsed into."""
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
-        state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
-        unknown = self.root < 0  # such a symbol is a phrase by itself
-        ended = np.ones(len(size), bool)
-        root = np.maximum(self.root, 0)
-        live = len(size)
-        for k in range(int(size[0]) if live else 0):
-            while live and size[live - 1] <= k:
-                live -= 1
+        symbols = self.tables[points]
+        shape = (len(size), len(self.first))
+        state, count = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+        ended = np.ones(shape, bool)
+        longest = int(size[0]) if len(size) else 0
+        for k, live in enumerate(np.searchsorted(-size, -np.arange(1, longest + 1), "right").tolist()):
             c = symbols[start[:live] + k]
-            to = self.step(state[:live], c)
-            new = ended[:live] | (to < 0)
+            own = state[:live]
+            at = self.base[own] + c
+            to = self.target[at]
+            lost = self.owner[at] != own
+            new = ended[:live] | lost
             count[:live] += new
-            state[:live] = np.where(new, root[c], to)
-            ended[:live] = unknown[c]
-        out = np.empty(len(size), np.int64)
+            c = c + self.first
+            state[:live] = np.where(new, self.root[c], to)
+            ended[:live] = self.unknown[c]
+        out = np.empty(shape, np.int64)
         out[order] = count
         return out
 
@@ -140,8 +158,8 @@ class Model:
             kinds = sorted(c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:alphabet])
             if text:
                 self.points[lang] = np.array([ord(c) for c in kinds], np.uint32)
-                points, letter = self._run_free(text)
-                self.automata[lang] = SuffixAutomaton(self.symbols(lang, points, letter).tolist(), len(kinds) + OTHERS + 1)
+                points = self._run_free(text)
+                self.automata[lang] = SuffixAutomaton(self.table(lang)[points].tolist(), len(kinds) + OTHERS + 1)
 
     @staticmethod
     def _whole(own: list[str], chars: int) -> str:
@@ -153,21 +171,26 @@ class Model:
             size += len(t)
         return "\n".join(out)
 
-    def symbols(self, lang: str, points: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    def table(self, lang: str) -> np.ndarray:
         """Class, in one language's alphabet, of each code point."""
-        kinds = self.points[lang]
+        kinds, points = self.points[lang], np.arange(0x110000, dtype=np.uint32)
         out = (len(kinds) + 1 + points % OTHERS).astype(np.int16)
-        if len(kinds):
-            at = np.minimum(np.searchsorted(kinds, points), len(kinds) - 1)
-            out = np.where(kinds[at] == points, at.astype(np.int16), out)
-        return np.where(letter, out, len(kinds)).astype(np.int16)
+        out[kinds] = np.arange(len(kinds))
+        return np.where(self._letters(), out, len(kinds)).astype(np.int16)
+
+    def joined(self) -> list[Joined]:
+        """The automata, TOGETHER at a time, made where they are first used."""
+        if not hasattr(self, "_joined"):
+            names = list(self.automata)
+            self._joined = [Joined([self.automata[k] for k in own], [self.table(k) for k in own]) for own in (names[i : i + TOGETHER] for i in range(0, len(names), TOGETHER))]
+        return self._joined
 
-    def _run_free(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def _run_free(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = self._letters()[np.minimum(points, 0x10FFFF)]
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        return points[keep], letter[keep]
+        return points[keep]
 
     @staticmethod
     def _letters() -> np.ndarray:
@@ -198,7 +221,10 @@ class Model:
         names = list(self.automata)
         if not names:
             return ["und"] * len(low), [0.0] * len(low), [0.0] * len(low)
-        need = np.stack([np.bincount(owner, a.phrases(self.symbols(k, points, letters), start, width), minlength=len(low)) for k, a in self.automata.items()], 1)
+        each = np.concatenate([some.phrases(points, start, width) for some in self.joined()], 1)
+        sums = np.concatenate([np.zeros((1, len(names)), np.int64), np.cumsum(each, 0)])  # pieces stand in order of their texts
+        last = np.cumsum(pieces)
+        need = (sums[last] - sums[last - pieces]).astype(float)
         # h = phrases * log2(n) / n bits a character, a cross-entropy estimate
         bits = need * np.log2(np.maximum(size, 2))[:, None] / np.maximum(size, 1)[:, None]
         best = bits.argmin(1)
@@ -248,7 +274,7 @@ def identify(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) ->
             at = 0
             while at < len(batch):
                 held, size = [], 0
-                while at + len(held) < len(batch) and size < 1_600_000:
+                while at + len(held) < len(batch) and size < 4_000_000:
                     held.append(texts[at + len(held)].as_py())
                     size += len(held[-1] or "")
                 lang, score, rate = shared.value.predict(held)
