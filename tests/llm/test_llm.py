@@ -336,18 +336,21 @@ def test_embedding_recall_in_many_dimensions(spark):
 
 
 def test_language_id(spark):
-    symbols = [0, 1, 0, 1, 1, 0, 2]
-    sam = lang_parse.SuffixAutomaton(symbols, 4)
     rng = random.Random(9)
-    for _ in range(100):
-        text = [rng.randrange(4) for _ in range(rng.randint(1, 20))]
-        n, i = 0, 0
-        while i < len(text):
-            k = 1
-            while i + k < len(text) and any(symbols[j : j + k + 1] == text[i : i + k + 1] for j in range(len(symbols))):
-                k += 1
-            n, i = n + 1, i + k
-        assert sam.phrases(np.array(text), np.array([0]), np.array([len(text)])).tolist() == [n]
+    learned = [[0, 1, 0, 1, 1, 0, 2], [2, 2, 1], [0, 1, 2, 0, 1, 2, 4, 4]]
+    joined = lang_parse.Joined([lang_parse.SuffixAutomaton(x, n) for x, n in zip(learned, (4, 3, 5), strict=True)], [np.array([0, 1, 2, 3], np.int16), np.array([0, 1, 2, 0], np.int16), np.array([0, 1, 2, 4], np.int16)])
+    texts = [[rng.randrange(4) for _ in range(rng.randint(1, 20))] for _ in range(100)]
+    size = np.array([len(t) for t in texts])
+    counts = joined.phrases(np.array([c for t in texts for c in t]), np.cumsum(size) - size, size)
+    for text, told in zip(texts, counts.tolist(), strict=True):
+        for n, symbols, table in zip(told, learned, ([0, 1, 2, 3], [0, 1, 2, 0], [0, 1, 2, 4]), strict=True):
+            own, i = [table[c] for c in text], 0
+            while i < len(own):
+                k = 1
+                while i + k < len(own) and any(symbols[j : j + k + 1] == own[i : i + k + 1] for j in range(len(symbols))):
+                    k += 1
+                n, i = n - 1, i + k
+            assert n == 0
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
     got = [r for r in lang_parse.language_id(docs).collect() if r.held_out]
