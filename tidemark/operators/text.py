@@ -126,17 +126,13 @@ def banned_gauntlet(candidates: DataFrame, terms: DataFrame) -> DataFrame:
     automaton of them all; patterns are a few, each searched for.
     """
     low = candidates.select("clip_id", "pos", F.lower("text").alias("low"), F.lit(None).cast("long").alias("first"))
-    named: dict[int, str] = {}
     for rows in matcher.shards(terms):
-        named |= {int(r.ordinal): r.term for r in rows}
         plain = [(r.term, " " not in r.term, int(r.ordinal)) for r in rows if not r.is_pattern]
-        hit = matcher.matched(low, "low", plain, "hit", LongType(), lambda found: min(found, default=None)) if plain else low.withColumn("hit", F.lit(None).cast("long"))
         own = [F.when(F.rlike("low", F.lit(r.term)), F.lit(int(r.ordinal)).cast("long")) for r in rows if r.is_pattern]
+        hit = matcher.matched(low, "low", plain, "hit", LongType(), lambda found: min(found, default=None))
         low = hit.select("clip_id", "pos", "low", F.least("first", "hit", *own).alias("first"))
-    told = F.get(F.array(*map(F.lit, (named[k] for k in sorted(named)))), (F.array_position(F.array(*[F.lit(k).cast("long") for k in sorted(named)]), F.col("first")) - 1).cast("int")) if len(named) <= 200 else None
-    if told is not None:
-        return low.select("clip_id", "pos", told.alias("reason"))
-    return low.select("clip_id", "pos", F.col("first").alias("ordinal")).join(terms.select(F.col("ordinal").cast("long").alias("ordinal"), F.col("term").alias("reason")), "ordinal", "left").select("clip_id", "pos", "reason")
+    named = small_or_not(terms.select(F.col("ordinal").cast("long").alias("first"), F.col("term").alias("reason")))
+    return low.select("clip_id", "pos", "first").join(named, "first", "left").select("clip_id", "pos", "reason")
 
 
 def grounding_anti_join(candidates: DataFrame, documents: DataFrame, generic: list[str], stem: int = 4) -> DataFrame:
