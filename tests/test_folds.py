@@ -43,7 +43,7 @@ def test_merge_gap_capped(spark, seed):
 @pytest.mark.parametrize("seed", [4, 5])
 def test_window_overlap_suppress(spark, seed):
     rng = random.Random(seed)
-    rows = [(i, rng.randrange(2), a := float(rng.randrange(200)), a + rng.randrange(1, 30), float(rng.randrange(5))) for i in range(60)]
+    rows = [(i, rng.randrange(2), a := float(rng.randrange(200)), a + rng.randrange(0, 30), float(rng.randrange(5))) for i in range(90)]
     kept = []
     for i, k, a, b, _ in sorted(rows, key=lambda r: (-r[4], r[0])):
         if all(k != q or b <= s or e <= a for _, q, s, e in kept):

@@ -87,7 +87,7 @@ def window_overlap_suppress(clips: DataFrame) -> DataFrame:
         starts, ends = kept  # of kept windows, which don't overlap, so both are sorted
         i = bisect_left(starts, row.end_s)
         free = i == 0 or ends[i - 1] <= row.start_s
-        if free and row.end_s > row.start_s:
+        if free:
             starts.insert(i, row.start_s)
             ends.insert(i, row.end_s)
         return kept, free
