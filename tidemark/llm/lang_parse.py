@@ -274,7 +274,7 @@ def identify(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) ->
             at = 0
             while at < len(batch):
                 held, size = [], 0
-                while at + len(held) < len(batch) and size < 4_000_000:
+                while at + len(held) < len(batch) and size < 1_000_000:
                     held.append(texts[at + len(held)].as_py())
                     size += len(held[-1] or "")
                 lang, score, rate = shared.value.predict(held)
