@@ -163,3 +163,15 @@ def test_idle_positions_go(spark, tmp_path):
     run()
     got = {r.event_id: r.position for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {1: 100.0, 2: 100.0, 3: 108.0, 4: 0.0, 5: 500.0, 6: 116.0}
+
+
+def test_quota_of_many_users_is_kept_in_few_states(spark, tmp_path):
+    rows = [(i, i % 500, f"2024-01-01 00:{i // 500:02d}:00") for i in range(2500)] + [(3000 + i, None, "2024-01-01 10:00:00") for i in range(4)] + [(4000 + i, 7, None) for i in range(4)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts as timestamp) ts")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = replays.daily_quota(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), parts=4)
+    run = stream.writeStream.format("memory").queryName("quota_states").trigger(availableNow=True).outputMode("append").start()
+    run.awaitTermination()
+    got = sorted(r.event_id for r in spark.table("quota_states").collect())
+    assert got == [*range(1500), 3000, 3001, 3002, 4000, 4001, 4002]
+    assert max(p.stateOperators[0].numRowsTotal for p in run.recentProgress) <= 6  # four parts, one of no user, one of no time

@@ -58,24 +58,33 @@ def st_spike_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(stream.select("event_id", "user_id", F.round("value", 4).alias("value")), spark)
 
 
-def daily_quota(stream: DataFrame, quota: int = 3, late: str = "2 days") -> DataFrame:
+def daily_quota(stream: DataFrame, quota: int = 3, late: str = "2 days", parts: int = 64) -> DataFrame:
     """(event_id, user_id, day): the first events of each user and day that arrive, `quota` at most.
 
-    State: how many were let in, dropped by a timer once the watermark (`late` behind the newest event) has passed the day.
+    A day's users are dealt into `parts` by hash, and a part is worked on at once. State of a day's part: how many of
+    each of its users were let in, dropped by a timer once the watermark (`late` behind the newest event) has passed the
+    day. Events without a user or a time are parts or days of their own; the state of those without a time stays.
     """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        taken = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"]).head(max(0, quota - taken))
-        state.update((taken + len(rows),))
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1], tz="UTC").timestamp() + 86_400) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows[["event_id", "user_id", "day"]]
-
-    rows = stream.withWatermark("ts", late).select("event_id", "user_id", "ts", F.to_date("ts").cast("string").alias("day"))
-    return rows.groupBy("user_id", "day").applyInPandasWithState(admit, "event_id long, user_id long, day string", "taken long", "append", GroupStateTimeout.EventTimeTimeout)
+        taken = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = None
+        for batch in batches:  # what is held: a quota of each user
+            rows = (batch if rows is None else pd.concat([rows, batch])).sort_values(["user_id", "ts", "event_id"])
+            rows = rows[rows.groupby("user_id").cumcount() + rows.user_id.map(lambda u: taken.get(u, 0)) < quota]
+        for user, n in rows.user_id.value_counts().items():
+            taken[user] = taken.get(user, 0) + n
+        state.update(([int(u) for u in taken], [int(n) for n in taken.values()]))
+        if key[0] is not None:
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(key[0], tz="UTC").timestamp() + 86_400) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows.event_id, "user_id": rows.user_id if key[1] is not None else None, "day": rows.day})
+
+    part = F.when(F.col("user_id").isNotNull(), F.pmod(F.xxhash64("user_id"), F.lit(parts)))
+    rows = stream.withWatermark("ts", late).select("event_id", F.coalesce("user_id", F.lit(0)).alias("user_id"), "ts", F.to_date("ts").cast("string").alias("day"), part.alias("part"))
+    return rows.groupBy("day", "part").applyInPandasWithState(admit, "event_id long, user_id long, day string", "users array<long>, taken array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deadband(stream: DataFrame, safe: float = 20, easing: float = 0.06, most: float = 8, low: float = 0, high: float = 1000, idle: str = "30 days", late: str = "2 days") -> DataFrame:
