@@ -103,3 +103,16 @@ def test_wanted_files_and_open_batches(spark):
     moments = spark.createDataFrame([("s", f"m{i}", float(9 - i)) for i in range(5)], "source string, id string, intensity double")
     done = spark.createDataFrame([("m0",), ("m1",), ("m2",)], "id string")
     assert [tuple(r) for r in ranking.score_batches(moments, 2, done).orderBy("batch").collect()] == [("s", 1, 2, 1, "m2"), ("s", 2, 1, 1, "m4")]
+
+
+def test_sql_of_html_to_text_knows_all_references(spark):
+    import duckdb
+
+    from tidemark.plans import catalog
+
+    pages = ["a &amp b &ampx &notit; &notin; &#65;&#x41 &#0; &#x80;&#128 &#xD800; &#99999999999; &#1; &#xb; & &; &&amp;&amp lt&lt&gt>x &copy2", "&fjlig;&amp;lt; <b>&hellip</b>\n\n\n\nx&apos;", "", None, "&", "&#x;&#12.5;&CounterClockwiseContourIntegral;"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
+    got = text.html_to_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()["html_to_text"]).fetchall())

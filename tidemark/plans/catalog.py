@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from html import _invalid_charrefs, _invalid_codepoints
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,12 +100,24 @@ def route_by_extension(spark, d):
     return board.route_by_extension(_t(spark, d, "v_resources"), spark.createDataFrame(_KIND_ROWS, "ext string, kind string"))
 
 
-_DECODED = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
-for _of, _to in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):  # what the given pages hold; tests have others
-    _DECODED = f"replace({_DECODED}, '{_of}', '{_to}')"
-
-
-@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(" + _DECODED + r", '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), " + f"'^[{patterns.BLANK}]+|[{patterns.BLANK}]+$', '', 'g') AS text FROM pages")
+_STRIPPED = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+_NAMED = ", ".join("('" + n + "', '" + c.replace("'", "''") + "')" for n, c in sorted(html5.items()))  # all names of HTML, with and without the semicolon
+_NUMBERED = ", ".join(f"({n}, {'chr(%d)' % ord(c) if c != chr(0) else chr(39) * 2})" for n, c in sorted(_invalid_charrefs.items()))
+_NO_TEXT = ", ".join(map(str, sorted(_invalid_codepoints)))
+
+
+@query(rf"""WITH named(name, chars) AS (VALUES {_NAMED}), numbered(n, chars) AS (VALUES {_NUMBERED}),
+          x AS (SELECT row_number() OVER () AS r, page_id, string_split({_STRIPPED}, '&') AS a FROM pages), p AS (SELECT r, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM x),
+          k AS (SELECT *, regexp_extract(p, '^#([0-9]+|[xX][0-9a-fA-F]+);?') AS ref, ltrim(regexp_extract(p, '^#([0-9]+)', 1), '0') AS dec, ltrim(lower(regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1)), '0') AS hex,
+                  regexp_extract(p, '^[^	
+ <#;]{{1,32}};?') AS s FROM p WHERE i > 1),
+          c AS (SELECT r, i, p, ref, CASE WHEN length(dec) > 7 OR length(hex) > 6 THEN 1114112 WHEN dec <> '' THEN CAST(dec AS BIGINT) ELSE list_sum(list_transform(range(1, length(hex) + 1), lambda j: (instr('0123456789abcdef', substr(hex, j, 1)) - 1) * CAST(pow(16, length(hex) - j) AS BIGINT))) END AS n FROM k WHERE ref <> ''),
+          d AS (SELECT r, i, CASE WHEN m.n IS NOT NULL THEN m.chars WHEN coalesce(c.n, 0) = 0 OR c.n BETWEEN 55296 AND 57343 OR c.n > 1114111 THEN chr(65533) WHEN c.n IN ({_NO_TEXT}) THEN '' ELSE chr(CAST(c.n AS INTEGER)) END || substr(p, length(ref) + 1) AS t
+                FROM c LEFT JOIN numbered m ON m.n = c.n AND c.n > 0),
+          g AS (SELECT r, i, p, substr(s, 1, j) AS name FROM (SELECT r, i, p, s, unnest(range(2, length(s) + 1)) AS j FROM k WHERE ref = '') z),
+          l AS (SELECT r, i, arg_max(chars || substr(p, length(g.name) + 1), length(g.name)) AS t FROM g JOIN named USING (name) GROUP BY 1, 2),
+          t AS (SELECT r, string_agg(CASE WHEN i = 1 THEN p ELSE coalesce(d.t, l.t, '&' || p) END, '' ORDER BY i) AS t FROM p LEFT JOIN d USING (r, i) LEFT JOIN l USING (r, i) GROUP BY r)
+          SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(t, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '^[{patterns.BLANK}]+|[{patterns.BLANK}]+$', '', 'g') AS text FROM x LEFT JOIN t USING (r)""")
 def html_to_text(spark, d):
     return text.html_to_text(_t(spark, d, "pages"))
 
