@@ -160,3 +160,20 @@ def test_grounding_by_words_and_stems(spark):
     docs = spark.createDataFrame([(1, "a diamond rolexes pari"), (2, "cats naps"), (9, "unused")], "doc_id long, text string")
     got = {(r.clip_id, r.pos): (r.unsupported, r.specific) for r in text.grounding_anti_join(lines, docs, ["the"]).collect()}
     assert got == {(1, 0): ("", True), (1, 1): ("", False), (2, 0): ("cat,nap", False), (3, 0): ("", False)}
+
+
+def test_pointer_sql_ends_rules_at_empty_headings(spark):
+    import duckdb
+
+    from tidemark.plans import catalog
+    from tidemark.sources import views
+
+    text = "a" * 90 + "##\n" + "more words " * 40
+    rows = [(2, text, "web"), (6, "a" * 90 + "#\n" + "b" * 300, "web"), (3, "a\n#\t" + "c" * 300, "web"), (4, None, "web"), (5, None, None), (7, "see the doc", None), (8, "\t", "x"), (12, "##  Rules text  \nx\n##", "x"), (1, "x" * 400, "y")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = sorted(con.sql("SELECT doc_id, n_clean, pointer FROM (" + catalog.oracle_sql()["rules_pointer_flag"] + ") t").fetchall())
+    spark.createDataFrame(rows, "doc_id long, text string, source string").createOrReplaceTempView("odd_documents")
+    made = spark.sql(views.VIEWS["v_briefs"]["spark"].replace("FROM documents", "FROM odd_documents"))
+    assert sorted(map(tuple, briefs.rules_pointer_flag(made).collect())) == want

@@ -8,8 +8,12 @@ from tidemark.operators import board, briefs, patterns
 from tidemark.plans.catalog import _FLOOR, _KIND_ROWS, DEFAULT_BANNED, _t, _values, query
 
 
-@query(rf"""WITH r AS (SELECT doc_id, text, concat(regexp_extract(text, '(?s)(?:^|\n)## Rules text(.*?)(?:\n##? |$)', 1), chr(10), regexp_extract(text, '(?s)(?:^|\n)## On-modal requirements(.*?)(?:\n##? |$)', 1)) AS r FROM v_briefs),
-           c AS (SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN regexp_matches(r, '[^ \n]') THEN r ELSE text END, '\(none[^)]*\)', '', 'gi'), '^[{patterns.BLANK}]+|[{patterns.BLANK}]+$', '', 'g') AS c FROM r)
+_SPACE = patterns.BLANK.replace(r"\x{09}-\x{0D}", r"\x{09}\x{0B}-\x{0D}")  # within a line
+_UNDER = "regexp_replace(regexp_extract(text, '(?s)(?:^|\\n)##[ \\t][" + _SPACE + "]*{}(.*?)(?:\\n##?(?:[ \\t\\n]|$)|$)', 1), '^([^\\n]*?)[" + _SPACE + "]+(\\n|$)', '\\1\\2')"  # ends at a heading of one or two marks, empty ones too
+
+
+@query(rf"""WITH b AS (SELECT doc_id, coalesce(text, '') AS text FROM v_briefs), r AS (SELECT doc_id, text, concat({_UNDER.replace("{}", "Rules text", 1)}, chr(10), {_UNDER.replace("{}", "On-modal requirements", 1)}) AS r FROM b),
+           c AS (SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN regexp_matches(r, '[^{patterns.BLANK}]') THEN r ELSE text END, '\(none[^)]*\)', '', 'gi'), '^[{patterns.BLANK}]+|[{patterns.BLANK}]+$', '', 'g') AS c FROM r)
            SELECT doc_id, length(c) AS n_clean, length(c) < 160 OR regexp_matches(lower(c), '{patterns.POINTER}') AS pointer FROM c""")
 def rules_pointer_flag(spark, d):
     return briefs.rules_pointer_flag(_t(spark, d, "v_briefs"))

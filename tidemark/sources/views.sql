@@ -66,8 +66,8 @@ SELECT campaign, doc_id, CAST(p AS BIGINT) AS line_no, trim(c) AS text
 FROM (SELECT source AS campaign, doc_id, unnest(string_split(text, chr(10))) AS c,
              generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents) t WHERE length(trim(c)) > 0
 -- view: v_briefs both
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE concat('# Campaign ', source, chr(10), '## On-modal requirements / guidelines', chr(10), CASE WHEN doc_id % 4 = 1 THEN '(none on the modal)' ELSE substr(text, 1, 90) END, chr(10),
-         '### Detail', chr(10), substr(text, 91, CAST(60 + doc_id % 90 AS INTEGER)), chr(10), '## Rules text (scout detail extraction)', chr(10), CASE WHEN doc_id % 4 = 2 THEN 'See the linked doc below.' ELSE '(NONE)' END, chr(10), '## Other', chr(10), text) END AS text
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE concat('# Campaign ', coalesce(source, ''), chr(10), '## On-modal requirements / guidelines', chr(10), CASE WHEN doc_id % 4 = 1 THEN '(none on the modal)' ELSE substr(coalesce(text, ''), 1, 90) END, chr(10),
+         '### Detail', chr(10), substr(coalesce(text, ''), 91, CAST(60 + doc_id % 90 AS INTEGER)), chr(10), '## Rules text (scout detail extraction)', chr(10), CASE WHEN doc_id % 4 = 2 THEN 'See the linked doc below.' ELSE '(NONE)' END, chr(10), '## Other', chr(10), coalesce(text, '')) END AS text
 FROM documents
 -- view: v_brief_lines spark
 SELECT campaign, CAST(0 AS BIGINT) AS doc_id, CAST(p AS BIGINT) AS line_no, c AS text FROM (SELECT p_partkey AS campaign, array(concat('# Campaign ', p_name), concat('Make a ', p_name, ' clip. Keep it vertical, ', p_size, ' seconds at most.'),
