@@ -116,3 +116,10 @@ def test_sql_of_html_to_text_knows_all_references(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
     got = text.html_to_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()["html_to_text"]).fetchall())
+
+
+def test_barriers_are_told_without_the_jvms_matcher(spark):
+    pages = spark.createDataFrame([(1, "Please LOG IN"), (2, None), (3, "x" * 100_000 + " checkout "), (4, "nothing")], "page_id long, html string")
+    got = text.barrier_detect(pages, patterns.BARRIERS)
+    assert {r.page_id: r.barrier for r in got.collect()} == {1: "login", 2: None, 3: "payment", 4: None}
+    assert "RLIKE" not in got._jdf.queryExecution().toString().upper()

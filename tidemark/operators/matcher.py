@@ -1,4 +1,4 @@
-"""Many terms in one pass over a text: an Aho-Corasick automaton of all of them.
+"""Patterns told by Arrow's matcher, and many terms in one pass over a text: an Aho-Corasick automaton of all of them.
 
 The automaton goes to the tasks as a list of terms of bounded size; a longer list is dealt into shards, one pass each.
 Needs the pyahocorasick library on the executors.
@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
@@ -48,6 +49,18 @@ class Automaton:
                     yield value
 
 
+def holds(text: Column, pattern: str) -> Column:
+    """Whether a text holds the pattern, in time linear in the text however many alternatives there are; null for null.
+
+    Arrow's matcher walks a text once; the JVM's tries each alternative at each character.
+    """
+
+    def told(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
+    return F.arrow_udf(told, "boolean")(text)
+
+
 def shards(terms: DataFrame, most_bytes: int = 16 << 20) -> Iterator[list]:
     """The rows of a list of terms (a column `term` and others) in lists of about that many bytes."""
     total = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tidemark.functions.bounds import small_or_not
+from tidemark.functions.bounds import bounded_batches, small_or_not
 from tidemark.functions.ordered import earlier, joined, over, words_pattern
 from tidemark.functions.storage import stored
 from tidemark.operators import matcher, patterns
@@ -53,9 +53,10 @@ def prefilter_candidates(moments: DataFrame, shortest: float = 3.0, loud: float
 
 def barrier_detect(pages: DataFrame, categories: list[tuple[str, list[str]]]) -> DataFrame:
     """(page_id, barrier): the first category, in order of priority, one of whose patterns the page's text holds."""
+    bounded_batches(pages.sparkSession)
     low, found = F.lower("html"), F.lit(None).cast("string")
     for name, own in reversed(categories):
-        found = F.when(low.rlike("|".join(own)), name).otherwise(found)
+        found = F.when(matcher.holds(low, "|".join(own)), name).otherwise(found)
     return pages.select("page_id", found.alias("barrier"))
 
 
