@@ -123,3 +123,18 @@ def test_barriers_are_told_without_the_jvms_matcher(spark):
     got = text.barrier_detect(pages, patterns.BARRIERS)
     assert {r.page_id: r.barrier for r in got.collect()} == {1: "login", 2: None, 3: "payment", 4: None}
     assert "RLIKE" not in got._jdf.queryExecution().toString().upper()
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString().upper()
+
+
+LINES = [(1, 0, "No way he crashed."), (1, 1, "why did he\u000bcrash"), (1, 2, "wait for it 😳"), (1, 3, "here is a footage of nine long words that say all of it"), (2, 0, "!!! 12"), (2, 1, None), (3, 0, "It's $ 5, it's fine")]
+
+
+def test_line_scores_are_told_by_arrow(spark):
+    lines = spark.createDataFrame(LINES, "clip_id long, pos long, text string")
+    got = captions.caption_score_top2(lines)
+    assert "RLIKE" not in plan(got)
+    scores = {(r.clip_id, r.pos): (r.score, r.opening) for r in lines.select("clip_id", "pos", captions.line_score(F.col("text")).alias("score"), captions.opening(F.col("text")).alias("opening")).collect()}
+    assert scores == {(1, 0): (2 + 4 - 5 + 2 - 1 + 1, "no way"), (1, 1): (2 + 4 + 2 + 1, "why did"), (1, 2): (2 + 4 + 2 + 1, "wait for"), (1, 3): (-6 - 8 + 1, "here is"), (2, 0): (2, ""), (2, 1): (0, None), (3, 0): (4 + 2 + 1, "it's $ 5, it's"[:4] + " it's")}

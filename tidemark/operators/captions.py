@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, MapType, StringType
@@ -18,25 +21,36 @@ def first_words(column: Column, n: int = 2) -> Column:
 
 def opening(column: Column, n: int = 2) -> Column:
     """The first n words of letters, in lower case."""
-    return F.array_join(F.slice(F.regexp_extract_all(F.lower(column), F.lit("[a-z']+"), F.lit(0)), 1, n), " ")
+    head = F.regexp_extract(F.lower(column), rf"^[^a-z']*([a-z']+(?:[^a-z']+[a-z']+){{0,{n - 1}}})", 1)
+    return F.regexp_replace(head, "[^a-z']+", " ")
 
 
 def word_count(column: Column) -> Column:
     """Words that hold a letter or digit."""
-    return F.size(F.regexp_extract_all(column, F.lit(r"[^ ]*[A-Za-z0-9][^ ]*"), F.lit(0)))
+
+    def counted(texts: pa.Array) -> pa.Array:
+        return pc.cast(pc.count_substring_regex(texts, "[^ ]*[A-Za-z0-9][^ ]*"), pa.int32())
+
+    return F.arrow_udf(counted, "int")(column)
 
 
 def line_score(text: Column) -> Column:
     """Points of a line: its hooks, emoji, case and length, less for description and giveaways."""
-    low, words = F.lower(text), word_count(text)
-    one = lambda c, n: F.when(c, n).otherwise(0)
-    asks = low.rlike(patterns.HOOKS["question"])
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    score = one(text.rlike(patterns.EMOJI), 2) + one(asks | low.rlike(patterns.HOOKS["disbelief"]), 2) - one(low.rlike(patterns.DESCRIPTIVE), 6) - one(low.rlike(patterns.GIVEAWAY) & ~asks, 5)
-    for hook in patterns.HOOKS.values():
-        score = score + one(low.rlike(hook), 4)
-    score = score + one(words <= 6, 2) - one(words > 8, 8) - one(F.trim(text).endswith("."), 1)
-    return (score + one((letters > 0) & (F.length(F.regexp_replace(text, "[^a-z]", "")) > 0.85 * letters), 1)).cast("long")
+
+    def points(text: pa.Array, low: pa.Array, words: pa.Array) -> pa.Array:
+        one = lambda c, n: pc.if_else(pc.fill_null(c, False), n, 0)
+        held = lambda pattern: pc.fill_null(pc.match_substring_regex(low, pattern), False)
+        hooks = {name: held(p) for name, p in patterns.HOOKS.items()}
+        asks = hooks["question"]
+        letters, small = (pc.utf8_length(pc.replace_substring_regex(text, of, "")) for of in ("[^A-Za-z]+", "[^a-z]+"))
+        cased = pc.and_(pc.greater(letters, 0), pc.greater(pc.cast(small, pa.float64()), pc.multiply(pc.cast(letters, pa.float64()), 0.85)))
+        parts = [
+            one(pc.match_substring_regex(text, patterns.EMOJI), 2), one(pc.or_(asks, hooks["disbelief"]), 2), one(held(patterns.DESCRIPTIVE), -6), one(pc.and_not(held(patterns.GIVEAWAY), asks), -5),
+            *(one(h, 4) for h in hooks.values()), one(pc.less_equal(words, 6), 2), one(pc.greater(words, 8), -8), one(pc.ends_with(pc.utf8_trim(text, " "), "."), -1), one(cased, 1),
+        ]
+        return pc.cast(functools.reduce(pc.add, parts), pa.int64())
+
+    return F.arrow_udf(points, "long")(text, F.lower(text), word_count(text))
 
 
 def caption_score_top2(candidates: DataFrame) -> DataFrame:
@@ -56,12 +70,12 @@ def caption_quality_kill(candidates: DataFrame, transcripts: DataFrame, generic:
     `least` distinct words of three letters or more that aren't generic, as then there is something to be said of it.
     """
     text, low = F.col("text"), F.lower("text")
-    asks = low.rlike(patterns.HOOKS["question"])
+    asks = matcher.holds(low, patterns.HOOKS["question"])
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))), lambda w: (F.length(w) > 2) & ~w.isin(generic))
     told = transcripts.select("clip_id", (F.size(words) >= least).alias("told")).groupBy("clip_id").agg(F.max("told").alias("told"))
     reason = (
-        F.when(word_count(text) > most, "too long").when(text.contains("\n"), "several lines").when(low.rlike(patterns.DESCRIPTIVE), "describes").when(low.rlike(patterns.BAIT), "bait")
-        .when(~low.rlike("|".join(patterns.HOOKS.values())), "no hook").when(low.rlike(patterns.GIVEAWAY) & ~asks, "giveaway").when(low.rlike(patterns.FILLER), "filler")
+        F.when(word_count(text) > most, "too long").when(text.contains("\n"), "several lines").when(matcher.holds(low, patterns.DESCRIPTIVE), "describes").when(matcher.holds(low, patterns.BAIT), "bait")
+        .when(~matcher.holds(low, "|".join(patterns.HOOKS.values())), "no hook").when(matcher.holds(low, patterns.GIVEAWAY) & ~asks, "giveaway").when(matcher.holds(low, patterns.FILLER), "filler")
     )
     rows = candidates.select("clip_id", "pos", reason.alias("reason")).join(told, "clip_id", "left")
     return rows.select("clip_id", "pos", F.when((F.col("reason") != "filler") | F.coalesce("told", F.lit(False)), F.col("reason")).alias("reason"))
