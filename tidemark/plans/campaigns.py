@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import plugs
-from tidemark.operators import campaigns, captions, folds, patterns, ranking, timeline
+from tidemark.operators import campaigns, captions, folds, matcher, patterns, ranking, timeline
 from tidemark.plans.catalog import GENERIC, _ASKS, _HOOKED, _WORDS, _bound, _has, _t, _values, query
 from tidemark.streaming.replays import _folder
 
@@ -138,10 +138,10 @@ def caption_score_top2(spark, d):
            SELECT clip_id, pos, CAST(tier AS BIGINT) AS tier FROM (SELECT *, min(tier) OVER (PARTITION BY clip_id) AS m FROM r WHERE tier IS NOT NULL) u WHERE tier = m""")
 def tiered_fallback(spark, d):
     low = F.lower("text")
-    clean, hooked = ~low.rlike(_bound(DULL)), low.rlike("|".join(patterns.HOOKS.values())) & (captions.word_count(F.col("text")) <= 8)
+    clean, hooked = ~matcher.holds(low, _bound(DULL)), matcher.holds(low, "|".join(patterns.HOOKS.values())) & (captions.word_count(F.col("text")) <= 8)
     lines = _t(spark, d, "v_candidates").select(
-        "clip_id", "pos", (clean & hooked).alias("kept"), clean.alias("clean"), (F.length("text") > 40).alias("grounded"), low.rlike("[a-z]{9,}").alias("specific"),
-        F.lit(False).alias("made"), low.rlike(patterns.FILLER).alias("generic"), F.lit(True).alias("told"),
+        "clip_id", "pos", (clean & hooked).alias("kept"), clean.alias("clean"), (F.length("text") > 40).alias("grounded"), matcher.holds(low, "[a-z]{9,}").alias("specific"),
+        F.lit(False).alias("made"), matcher.holds(low, patterns.FILLER).alias("generic"), F.lit(True).alias("told"),
     )
     return captions.tiered_fallback(lines)
 
