@@ -138,3 +138,13 @@ def test_line_scores_are_told_by_arrow(spark):
     assert "RLIKE" not in plan(got)
     scores = {(r.clip_id, r.pos): (r.score, r.opening) for r in lines.select("clip_id", "pos", captions.line_score(F.col("text")).alias("score"), captions.opening(F.col("text")).alias("opening")).collect()}
     assert scores == {(1, 0): (2 + 4 - 5 + 2 - 1 + 1, "no way"), (1, 1): (2 + 4 + 2 + 1, "why did"), (1, 2): (2 + 4 + 2 + 1, "wait for"), (1, 3): (-6 - 8 + 1, "here is"), (2, 0): (2, ""), (2, 1): (0, None), (3, 0): (4 + 2 + 1, "it's $ 5, it's"[:4] + " it's")}
+
+
+def test_quota_and_tiers_match_without_the_jvm(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    rows = [(i, "No way he crashed. Wait for the outcome of everything.\nwhy did it happen?") for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, n in (("structure_quota", 4), ("tiered_fallback", 4)):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        assert "RLIKE" not in plan(got) and got.select("clip_id").distinct().count() == n
