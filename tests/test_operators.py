@@ -148,3 +148,10 @@ def test_quota_and_tiers_match_without_the_jvm(spark, tmp_path):
     for name, n in (("structure_quota", 4), ("tiered_fallback", 4)):
         got = catalog.queries()[name](spark, str(tmp_path))
         assert "RLIKE" not in plan(got) and got.select("clip_id").distinct().count() == n
+
+
+def test_junk_counts_hold_one_text_at_a_time(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = text.junk_text_flag(spark.createDataFrame([(1, "no no no no no yes"), (2, None), (3, "one two three four five")], "doc_id long, text string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+    assert {r.doc_id: (r.n_tokens, r.top, r.junk) for r in got.collect()} == {1: (6, 5, True), 2: (0, 0, True), 3: (5, 1, False)}

@@ -30,13 +30,17 @@ def filler_kill(moments: DataFrame, phrases: list[str]) -> DataFrame:
 def junk_text_flag(documents: DataFrame, least: int = 4, floor: int = 5, share: float = 0.5) -> DataFrame:
     """(doc_id, n_tokens, top, junk): too few tokens, or one token that makes up most of them. Counted text by text, without a shuffle."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    bounded_batches(documents.sparkSession)
+
+    def told(text: str | None, pattern: re.Pattern) -> tuple[int, int]:  # one text's counts are held at a time
+        counts = Counter(m.group() for m in pattern.finditer(text or ""))
+        return counts.total(), max(counts.values(), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = re.compile("[a-z']+")
         for batch in batches:
-            counts = [Counter(tokens.findall(t or "")) for t in batch.column("low").to_pylist()]
-            size, top = (pa.array(x, pa.int64()) for x in ([c.total() for c in counts], [max(c.values(), default=0) for c in counts]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, top], ["doc_id", "n_tokens", "top"])
+            size, top = zip(*(told(t.as_py(), tokens) for t in batch.column("low")), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(top, pa.int64())], ["doc_id", "n_tokens", "top"])
 
     rows = documents.select("doc_id", F.lower("text").alias("low")).mapInArrow(run, f"doc_id {kind}, n_tokens long, top long")
     return rows.withColumn("junk", (F.col("n_tokens") < least) | (F.col("top") >= F.greatest(F.lit(float(floor)), share * F.col("n_tokens"))))
