@@ -177,3 +177,14 @@ def test_pointer_sql_ends_rules_at_empty_headings(spark):
     spark.createDataFrame(rows, "doc_id long, text string, source string").createOrReplaceTempView("odd_documents")
     made = spark.sql(views.VIEWS["v_briefs"]["spark"].replace("FROM documents", "FROM odd_documents"))
     assert sorted(map(tuple, briefs.rules_pointer_flag(made).collect())) == want
+
+
+def test_sentences_are_told_by_arrow(spark, monkeypatch):
+    asked = []
+    plain = briefs.matcher.holds
+    monkeypatch.setattr(briefs.matcher, "holds", lambda text, pattern: asked.append(pattern) or plain(text, pattern))
+    lines = spark.createDataFrame([(1, 0, 0, "Submit within 5 min. Link in bio! At least 20 seconds.")], "campaign long, doc_id long, line_no long, text string")
+    rules = spark.createDataFrame([(1, "ambiguities", 0, "when?")], "campaign long, field string, ord long, value string")
+    items = {r.item for r in briefs.posting_checklist(lines, rules).collect()}
+    assert {"time window: Submit within 5 min.", "Link in bio!", "At least 20 seconds.", "when?"} <= items
+    assert {briefs.LINK_IN_BIO, briefs.POSTING, briefs.TIME_WINDOW, briefs.LEAST_VIEWS, briefs.LEAST_SECONDS} <= set(asked)

@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.bounds import bounded_batches
 from tidemark.functions.ordered import over
 from tidemark.functions.storage import stored
-from tidemark.operators import patterns
+from tidemark.operators import matcher, patterns
 from tidemark.operators.board import resource_usage
 
 HANDLE, HASHTAG = "@[A-Za-z0-9_.]+", "#[A-Za-z0-9_]+"
@@ -85,6 +86,8 @@ def rules_pointer_flag(documents: DataFrame, titles: tuple[str, ...] = ("Rules t
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
+    bounded_batches(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rules = ["\n".join(section(t or "", title) for title in titles).strip() or t or "" for t in batch.column("text").to_pylist()]
@@ -93,7 +96,7 @@ def rules_pointer_flag(documents: DataFrame, titles: tuple[str, ...] = ("Rules t
     rows = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rules string")
     clean = F.regexp_replace(F.regexp_replace("rules", r"(?i)\(none[^)]*\)", ""), f"^[{patterns.BLANK}]+|[{patterns.BLANK}]+$", "")
     rows = rows.select("doc_id", clean.alias("clean"))
-    return rows.select("doc_id", F.length("clean").cast("long").alias("n_clean"), ((F.length("clean") < least) | F.lower("clean").rlike(pointer)).alias("pointer"))
+    return rows.select("doc_id", F.length("clean").cast("long").alias("n_clean"), ((F.length("clean") < least) | matcher.holds(F.lower("clean"), pointer)).alias("pointer"))
 
 
 def sentences(rows: DataFrame) -> DataFrame:
@@ -155,8 +158,8 @@ def posting_checklist(lines: DataFrame, rules: DataFrame) -> DataFrame:
     texts = texts.unionByName(of("submission_process", "platform_rules", "deadlines", "payout_terms").select("campaign", order.alias("part"), "ord", F.lit(0).cast("long").alias("b"), F.col("value").alias("text")).withColumnRenamed("ord", "a"))
     texts = texts.unionByName(typed.select("campaign", F.lit(4).alias("part"), F.col("ord").alias("a"), F.lit(0).cast("long").alias("b"), F.col("detail").alias("text")))
     low = F.lower("sentence")
-    told = sentences(texts.where(F.lower("text").rlike(r"bio|[0-9]"))).withColumn("bio", low.rlike(LINK_IN_BIO))
-    told = told.withColumn("window", low.rlike(POSTING) & low.rlike(TIME_WINDOW)).withColumn("views", low.rlike(LEAST_VIEWS)).withColumn("seconds", low.rlike(LEAST_SECONDS))
+    told = sentences(texts.where(F.lower("text").rlike(r"bio|[0-9]"))).withColumn("bio", matcher.holds(low, LINK_IN_BIO))
+    told = told.withColumn("window", matcher.holds(low, POSTING) & matcher.holds(low, TIME_WINDOW)).withColumn("views", matcher.holds(low, LEAST_VIEWS)).withColumn("seconds", matcher.holds(low, LEAST_SECONDS))
     told = stored(told.where("bio or window or views or seconds"), "told")
     put(_first(told.where("bio"), 4, False), 2, 0, "box", F.col("sentence"))
 
