@@ -179,6 +179,15 @@ def test_pointer_sql_ends_rules_at_empty_headings(spark):
     assert sorted(map(tuple, briefs.rules_pointer_flag(made).collect())) == want
 
 
+def test_digest_leaves_out_files_of_no_campaign_before_it_gathers(spark):
+    kinds = spark.createDataFrame([("mp4", "footage")], "ext string, kind string")
+    files = spark.createDataFrame([(1, 1, "a.mp4", 60.0, 5), (9, 1, "b.mp4", 60.0, 5)], "campaign long, ord long, path string, duration_sec double, text_len long")
+    rules = spark.createDataFrame([(1, "deadlines", 0, "soon")], "campaign long, field string, ord long, value string")
+    got = briefs.campaign_digest(rules, files, kinds, spark.createDataFrame([(1, "x")], "campaign long, stats string"))
+    assert "LEFTSEMI" in got._jdf.queryExecution().toString().upper()
+    assert [(r.campaign, "a.mp4" in r.digest, "- soon" in r.digest) for r in got.collect()] == [(1, True, True)]
+
+
 def test_sentences_are_told_by_arrow(spark, monkeypatch):
     asked = []
     plain = briefs.matcher.holds

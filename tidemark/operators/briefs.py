@@ -223,7 +223,8 @@ def campaign_digest(rules: DataFrame, resources: DataFrame, kinds: DataFrame, st
 
     rules: (campaign, field, ord, value); resources and kinds as for resource_usage; stats: (campaign, stats), a line, which campaigns there are.
     """
-    used = resource_usage(resources, kinds)
+    known = resources.join(stats.select("campaign"), "campaign", "left_semi")  # files of no campaign told of are in no report
+    used = resource_usage(known, kinds)
     note = F.when(F.col("usage").startswith("UN"), F.concat(F.lit("\n    - note: "), F.when(F.col("kind") == "doc", "could not extract text").otherwise("no handler for this file type"))).otherwise("")
     body = used.select("campaign", F.lit(0).alias("part"), F.lit(0).alias("field_no"), F.col("ord").cast("long").alias("ord"), F.concat(F.lit("- **"), "path", F.lit("** ("), "kind", F.lit("): "), "usage", note).alias("line"))
     which = F.lit(None).cast("int")
