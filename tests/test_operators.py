@@ -155,3 +155,10 @@ def test_junk_counts_hold_one_text_at_a_time(spark):
     got = text.junk_text_flag(spark.createDataFrame([(1, "no no no no no yes"), (2, None), (3, "one two three four five")], "doc_id long, text string"))
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
     assert {r.doc_id: (r.n_tokens, r.top, r.junk) for r in got.collect()} == {1: (6, 5, True), 2: (0, 0, True), 3: (5, 1, False)}
+
+
+def test_titles_are_made_without_the_jvms_matcher(spark):
+    docs = spark.createDataFrame([(1, "ßa “ﬁne” — 3rd_x/élan"), (2, None), (3, " \n"), (4, "__a-b ...  c")], "doc_id long, text string")
+    got = text.text_normalize(docs)
+    assert "REGEXP" not in plan(got)
+    assert {r.doc_id: r.title for r in got.collect()} == {1: 'ßa "FIne" - 3rd_x/Élan', 2: None, 3: "clip", 4: "__A-B ... C"}

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
@@ -171,20 +172,17 @@ def text_normalize(documents: DataFrame, ascii_only: bool = False) -> DataFrame:
     A word ends at blanks, hyphens and slashes. Its first letter goes to upper case unless a digit stands before it; the
     rest stays. ascii_only: drop all other characters.
     """
-    x = F.regexp_replace("text", r"[ \t\n\r]+", " ")
-    for of, plain in patterns.PUNCTUATION:
-        x = F.regexp_replace(x, of, plain)
-    if ascii_only:
-        x = F.regexp_replace(x, r"[^\x00-\x7F]", "")
-    x = F.trim(F.regexp_replace(x, " {2,}", " "))
-
-    def cased(w):
-        head = F.length(F.regexp_extract(w, r"^[^\p{L}\p{N}]*", 0))
-        first = F.substr(w, head + 1, F.lit(1))
-        return F.when(first == "ß", w).otherwise(F.concat(F.substr(w, F.lit(1), head), F.upper(first), F.substr(w, head + 2)))  # ß has no capital of one letter
-
-    title = F.array_join(F.transform(F.regexp_extract_all(x, F.lit(patterns.TITLE_WORD), F.lit(0)), cased), "")
-    return documents.select("doc_id", F.when(title == "", "clip").otherwise(title).alias("title"))
+    bounded_batches(documents.sparkSession)
+    bare = [(r"[ \t\n\r]+", " "), *patterns.PUNCTUATION, *([(r"[^\x00-\x7F]", "")] if ascii_only else []), (" {2,}", " ")]
+
+    def titled(texts: pa.Array) -> pa.Array:
+        word = re.compile(r"(?:^|(?<=[ /-]))((?:(?![ /-])[\W_])*)([^\W_])")
+        for of, plain in bare:
+            texts = pc.replace_substring_regex(texts, of, plain)
+        up = lambda m: m[1] + (m[2] if m[2] == "ß" else m[2].upper())  # noqa: E731  ß has no capital of one letter
+        return pa.array((None if t is None else word.sub(up, t) or "clip" for t in (x.as_py() for x in pc.utf8_trim(texts, " "))), pa.string())
+
+    return documents.select("doc_id", F.arrow_udf(titled, "string")("text").alias("title"))
 
 
 def harvest_urls(urls: DataFrame) -> DataFrame:
