@@ -67,6 +67,44 @@ def test_structure_quota(spark):
             assert got[clip] == pick
 
 
+@pytest.mark.parametrize("clips", [12, 70])
+def test_structure_quota_reads_its_lines_once(spark, clips):
+    rng = random.Random(clips)
+    rows = [(1 + i % 2, i, p, f"{rng.choice('aab')} {rng.choice('cccdefg')} tail", rng.randrange(3)) for i in range(clips) for p in range(rng.randrange(1, 20))]
+    rng.shuffle(rows)  # a clip's lines stand in many of the batches
+    frame = spark.createDataFrame([*rows, (None, 999, 0, "a c", 1)], "batch long, clip_id long, pos long, text string, points long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        frame = folds.structure_quota(frame, F.col("points"))
+        got = {r.clip_id: (r.pos, r.opening) for r in frame.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for batch in (1, 2):
+        used, own = {}, sorted({r[1] for r in rows if r[0] == batch})
+        for clip in own:
+            lines = [(p, t[:3]) for _, c, p, t, _ in sorted(rows, key=lambda r: (-r[4], r[2])) if c == clip]
+            free = [x for x in lines if used.get(x[1], 0) < max(3, -(-len(own) // 5))]
+            want[clip] = free[0] if free else min(lines, key=lambda x: used.get(x[1], 0))
+            used[want[clip][1]] = used.get(want[clip][1], 0) + 1
+    assert got == want
+    physical = frame._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in physical and physical.count("Scan ExistingRDD") == 1
+
+
+def test_leading_lines_of_a_clip(spark):
+    rows = [(c, None if p == 7 else f"o{p % 4}", -(p % 3), p) for c in (1, None) for p in range(12)]
+    frame = spark.createDataFrame(rows, "clip_id long, opening string, low long, pos long").coalesce(1)
+    got = captions.leading(frame, ["clip_id"], 3).collect()
+    for clip in (1, None):
+        best = {}
+        for _, o, low, p in sorted((r for r in rows if r[0] == clip), key=lambda r: r[2:]):
+            best.setdefault(o, (low, p))
+        assert sorted((r.low, r.pos, r.opening) for r in got if r.clip_id == clip) == sorted((*v, o) for o, v in best.items())[:3]
+    assert captions.leading(frame.where("pos < 0"), ["clip_id"], 3).count() == 0
+
+
 def test_folds_of_nothing(spark):
     assert folds.merge_gap_capped(spark.createDataFrame([], MOMENTS)).count() == 0
     assert folds.deadband_follow(spark.createDataFrame([(1, None, 1, None)], "user_id long, ts timestamp, event_id long, value double")).count() == 0

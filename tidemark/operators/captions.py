@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -21,8 +23,14 @@ def first_words(column: Column, n: int = 2) -> Column:
 
 def opening(column: Column, n: int = 2) -> Column:
     """The first n words of letters, in lower case."""
-    head = F.regexp_extract(F.lower(column), rf"^[^a-z']*([a-z']+(?:[^a-z']+[a-z']+){{0,{n - 1}}})", 1)
-    return F.regexp_replace(head, "[^a-z']+", " ")
+    pattern = "^[^a-z']*(?P<w0>[a-z']+)" + "".join(f"(?:[^a-z']+(?P<w{i}>[a-z']+)" for i in range(1, n)) + ")?" * (n - 1)
+
+    def opened(low: pa.Array) -> pa.Array:
+        found = pc.extract_regex(low, pattern)
+        words = pc.binary_join_element_wise(*(pc.cast(pc.struct_field(found, f"w{i}"), pa.string()) for i in range(n)), " ")
+        return pc.if_else(pc.is_null(low), pa.scalar(None, pa.string()), pc.fill_null(pc.utf8_rtrim(words, " "), ""))
+
+    return F.arrow_udf(opened, "string")(F.lower(column))
 
 
 def word_count(column: Column) -> Column:
@@ -34,23 +42,58 @@ def word_count(column: Column) -> Column:
     return F.arrow_udf(counted, "int")(column)
 
 
+def _letters(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many ASCII letters each text has, and how many of them are small."""
+    text = pc.cast(text, pa.large_binary())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+    def count(held: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(held, dtype=np.int64)))[ends - ends[0]])
+
+    small = count((data >= 97) & (data <= 122))
+    return small + count((data >= 65) & (data <= 90)), small
+
+
 def line_score(text: Column) -> Column:
     """Points of a line: its hooks, emoji, case and length, less for description and giveaways."""
+    longer = lambda n: f"^(?:[^A-Za-z0-9]*[A-Za-z0-9][^ ]* ){{{n}}}[^A-Za-z0-9]*[A-Za-z0-9]"  # noqa: E731  # more words than n, as word_count has them
 
-    def points(text: pa.Array, low: pa.Array, words: pa.Array) -> pa.Array:
+    def points(text: pa.Array, low: pa.Array) -> pa.Array:
         one = lambda c, n: pc.if_else(pc.fill_null(c, False), n, 0)
         held = lambda pattern: pc.fill_null(pc.match_substring_regex(low, pattern), False)
         hooks = {name: held(p) for name, p in patterns.HOOKS.items()}
         asks = hooks["question"]
-        letters, small = (pc.utf8_length(pc.replace_substring_regex(text, of, "")) for of in ("[^A-Za-z]+", "[^a-z]+"))
-        cased = pc.and_(pc.greater(letters, 0), pc.greater(pc.cast(small, pa.float64()), pc.multiply(pc.cast(letters, pa.float64()), 0.85)))
+        letters, small = _letters(text)
+        cased = pa.array((letters > 0) & (small > letters * 0.85))
         parts = [
             one(pc.match_substring_regex(text, patterns.EMOJI), 2), one(pc.or_(asks, hooks["disbelief"]), 2), one(held(patterns.DESCRIPTIVE), -6), one(pc.and_not(held(patterns.GIVEAWAY), asks), -5),
-            *(one(h, 4) for h in hooks.values()), one(pc.less_equal(words, 6), 2), one(pc.greater(words, 8), -8), one(pc.ends_with(pc.utf8_trim(text, " "), "."), -1), one(cased, 1),
+            *(one(h, 4) for h in hooks.values()), one(pc.invert(pc.match_substring_regex(text, longer(6))), 2), one(pc.match_substring_regex(text, longer(8)), -8),
+            one(pc.ends_with(pc.utf8_trim(text, " "), "."), -1), one(cased, 1),
         ]
         return pc.cast(functools.reduce(pc.add, parts), pa.int64())
 
-    return F.arrow_udf(points, "long")(text, F.lower(text), word_count(text))
+    return F.arrow_udf(points, "long")(text, F.lower(text))
+
+
+def leading(lines: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """lines without those that can't be the best line of one of a key's first n openings, best line first.
+
+    lines: the keys, `opening`, `low` and `pos`; the lower these two, the better. Told in each Arrow batch alone, ahead of any
+    shuffle, so more lines than that may stay, but no other is dropped.
+    """
+    by = [(c, "ascending") for c in (*keys, "low", "pos")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.take(pc.sort_indices(batch, by, null_placement="at_start"))
+                code = {c: rows[c].dictionary_encode("encode").indices.to_numpy().astype(np.int64) for c in (*keys, "opening")}
+                key = np.cumsum(np.logical_or.reduce([np.diff(code[k], prepend=code[k][:1]) != 0 for k in keys]))
+                first = np.sort(np.unique(key * (code["opening"].max() + 1) + code["opening"], return_index=True)[1])  # each opening's best line
+                yield rows.take(pa.array(first[np.arange(len(first)) - np.searchsorted(key[first], key[first]) < n]))
+
+    return lines.mapInArrow(run, lines.schema)
 
 
 def caption_score_top2(candidates: DataFrame) -> DataFrame:

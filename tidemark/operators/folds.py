@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
 from tidemark.functions.ordered import earlier, joined, over, running
-from tidemark.operators.captions import opening
+from tidemark.operators.captions import leading, opening
 
 
 def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], out: str, kind: str | DataType, start: Callable, step: Callable) -> DataFrame:
@@ -118,13 +118,12 @@ def structure_quota(candidates: DataFrame, score: Column, floor: int = 3, share:
     """(batch, clip_id, pos, opening): in order of clips each clip's best line whose two-word opening is below its quota, else the least used.
 
     candidates: (batch, clip_id, pos, text); score: of a line, the greater the better, the first of equals. A batch's
-    quota is the larger of floor and a `share`-th of its clips, rounded up.
+    quota is the larger of floor and a `share`-th of its clips, rounded up. So fewer than `share` openings can be used up
+    before the last clip chooses, and a clip's first `share` openings are all that it may need.
     """
-    rows = candidates.select("batch", "clip_id", "pos", opening(F.col("text")).alias("opening"), score.alias("score"))
-    best = rows.groupBy("batch", "clip_id", "opening").agg(F.min(F.struct(-F.col("score"), F.col("pos"))).alias("rank"))  # lines of one opening differ in nothing but rank
-    clips = best.groupBy("batch", "clip_id").agg(F.array_sort(F.collect_list(F.struct("rank", "opening"))).alias("lines"))
-    sizes = clips.groupBy("batch").agg(F.count("*").alias("n"))
-    lines = clips.join(sizes, "batch").select("batch", "clip_id", "n", F.transform("lines", lambda x: x["opening"]).alias("openings"), F.transform("lines", lambda x: x["rank"]["pos"]).alias("places"))
+    rows = candidates.where("batch is not null").select("batch", "clip_id", "pos", opening(F.col("text")).alias("opening"), (-score).alias("low"))
+    clips = leading(rows, ["batch", "clip_id"], share).groupBy("batch", "clip_id").agg(F.array_sort(F.collect_list(F.struct("low", "pos", "opening"))).alias("lines"))
+    lines = clips.select("batch", "clip_id", F.count("*").over(over("batch")).alias("n"), F.col("lines")["opening"].alias("openings"), F.col("lines")["pos"].alias("places"))
 
     def step(used, row):
         quota = max(floor, -(-row.n // share))
