@@ -140,6 +140,18 @@ def test_line_scores_are_told_by_arrow(spark):
     assert scores == {(1, 0): (2 + 4 - 5 + 2 - 1 + 1, "no way"), (1, 1): (2 + 4 + 2 + 1, "why did"), (1, 2): (2 + 4 + 2 + 1, "wait for"), (1, 3): (-6 - 8 + 1, "here is"), (2, 0): (2, ""), (2, 1): (0, None), (3, 0): (4 + 2 + 1, "it's $ 5, it's"[:4] + " it's")}
 
 
+def test_top2_leaves_lines_out_before_the_shuffle(spark):
+    rows = [(c, p, f"{'abc'[p * 5 % 3]} {'xy'[p % 2]} {'no way' if p * (c + 7) % 5 == 0 else 'it is'}") for p in range(30) for c in range(9)]
+    got = captions.caption_score_top2(spark.createDataFrame(rows, "clip_id long, pos long, text string"))
+    shuffled = plan(got).split("EXCHANGE ")[-1]  # what stands before the first shuffle
+    assert "MAPINARROW" in shuffled
+    scores = {0: (2 + 1), 1: (2 + 4 + 2 + 1)}
+    for r in got.collect():
+        ranked = sorted((-scores["no way" in t], p, t[:3]) for c, p, t in rows if c == r.clip_id)
+        other = next(x for x in ranked if x[2] != ranked[0][2])
+        assert (r.best_pos, r.best_score, r.variant_pos) == (ranked[0][1], -ranked[0][0], other[1])
+
+
 def test_quota_and_tiers_match_without_the_jvm(spark, tmp_path):
     from tidemark.plans import catalog
 

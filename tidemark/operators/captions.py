@@ -98,12 +98,11 @@ def leading(lines: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def caption_score_top2(candidates: DataFrame) -> DataFrame:
     """(clip_id, best_pos, best_score, variant_pos): the best line, and the next best with another two-word opening."""
-    rows = candidates.select("clip_id", "pos", line_score(F.col("text")).alias("score"), opening(F.col("text")).alias("opening"))
-    rank = F.struct(-F.col("score"), F.col("pos"))
-    ranked = rows.select("clip_id", "opening", rank.alias("rank"))
-    best = ranked.groupBy("clip_id", "opening").agg(F.min("rank").alias("rank")).groupBy("clip_id").agg(F.slice(F.array_sort(F.collect_list("rank")), 1, 2).alias("top"))  # a row an opening
+    rows = candidates.select("clip_id", "pos", (-line_score(F.col("text"))).alias("low"), opening(F.col("text")).alias("opening"))
+    best = leading(rows, ["clip_id"], 2).groupBy("clip_id", "opening").agg(F.min(F.struct("low", "pos")).alias("rank"))
+    best = best.groupBy("clip_id").agg(F.slice(F.array_sort(F.collect_list("rank")), 1, 2).alias("top"))  # a row an opening
     first, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
-    return best.select("clip_id", first["pos"].alias("best_pos"), (-first["col1"]).alias("best_score"), second["pos"].alias("variant_pos"))
+    return best.select("clip_id", first["pos"].alias("best_pos"), (-first["low"]).alias("best_score"), second["pos"].alias("variant_pos"))
 
 
 def caption_quality_kill(candidates: DataFrame, transcripts: DataFrame, generic: list[str], most: int = 8, least: int = 3) -> DataFrame:
